@@ -139,12 +139,14 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 6
     return w, mean, scale
 
 
-def fit(texts: list[bytes], toxic: list[int], window: int = WINDOW) -> Model:
+def fit(texts: list[bytes], toxic: list[int], window: int = WINDOW, rate: float | None = None) -> Model:
     """Cross-fitted: each fold's features come from dictionaries of the other folds, so the calibration sees unseen texts. Copies share a fold.
+    rate is the share of toxic rows among all labelled ones, which the sample, bounded for each class, does not show.
     With no rows, or of one class only, the score is the smoothed base rate."""
     folds = 4 if len(texts) < 2000 else 2
     fold = [zlib.crc32(t) % folds for t in texts]
-    rate = (sum(toxic) + 0.5) / (len(toxic) + 10)
+    sampled = (sum(toxic) + 0.5) / (len(toxic) + 10)
+    rate = sampled if rate is None else min(max(rate, 1e-6), 1 - 1e-6)
     flat = Model(b"\0" * 64 + PREAMBLE, b"\0" * 64 + PREAMBLE, (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0, 0.0, 0.0), (0.0,) * 5, (1.0,) * 5)
     x, y = [], []
     for k in range(folds):
@@ -157,6 +159,7 @@ def fit(texts: list[bytes], toxic: list[int], window: int = WINDOW) -> Model:
     if len(set(y)) < 2:
         return flat
     w, mean, scale = calibrate(np.array(x), np.array(y, float))
+    w[0] += np.log(rate / (1 - rate)) - np.log(np.mean(y) / (1 - np.mean(y)))
     # The calibration holds for dictionaries of this kind; the ones in use see all rows.
     final = train_dictionaries(texts, toxic)
     return Model(*final, tuple(w.tolist()), tuple(mean.tolist()), tuple(scale.tolist()))
@@ -180,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most ``max_docs`` labelled rows of each class, the first by hash of the id, of those with crc32(id) mod 5 other than 0."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 <> 0")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
     label = {r.doc_id: r.y for r in picked}
     # At most 2 * max_docs ids, so the filter and its result are bounded.
@@ -187,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
     rows = own.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect() if label else []
     rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text.encode() for r in rows], [label[r.doc_id] for r in rows], window)
+    return fit([r.text.encode() for r in rows], [label[r.doc_id] for r in rows], window, (n.get(1, 0) + 0.5) / (sum(n.values()) + 10))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, window: int = WINDOW) -> DataFrame:
