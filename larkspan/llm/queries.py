@@ -81,7 +81,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda c: c <> 0)) > 0
   GROUP BY vec_id
 ), d AS (
-  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, list_distance(q.v, x.v) AS score
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id, sqrt(list_sum(list_transform(list_zip(q.v, x.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
   FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
