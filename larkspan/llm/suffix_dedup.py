@@ -31,6 +31,9 @@ from .core import U, by_bucket, doc_group, documents_input, materialize, merged,
 ANCHOR = 50
 #: Bytes of text that make up one batch of the index.
 BATCH_BYTES = 8 << 20
+#: An anchor with more distinct segments in one batch is a common line: its segments are checked by string at once, and the anchor's shard hears of
+#: it by one mark, so a batch never sends a shard more than this for one anchor.
+HOT_SEGMENTS = 8
 _ROWS = "bucket int, kind int, payload binary"
 _ENTRY = ("<u8", "<u8", "<i8", "<u4", "<u4")
 _WINDOW = ("<u8", "<u4", "<i8", "<u4")
@@ -192,7 +195,7 @@ def _flush(rows: list[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterator[
         yield _out(rows[at:])
 
 
-def _scan(length: int, n_buckets: int):
+def _scan(length: int, n_buckets: int, n_groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text", BATCH_BYTES):
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
@@ -209,13 +212,11 @@ def _scan(length: int, n_buckets: int):
             twice = again & (doc == doc[head]) & (pos == pos[head])
             gone = again & ~twice
             first = np.flatnonzero(~again)
-            other = np.zeros(len(first), bool)
-            a = anchor[first]
-            other[1:] |= a[1:] == a[:-1]
-            other[:-1] |= a[1:] == a[:-1]
-            direct, asked = first[other], first[~other]
+            _, which, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
+            hot = count[which] > HOT_SEGMENTS
+            direct, asked = first[hot], first[~hot]
             said = np.concatenate([np.flatnonzero(gone), direct])
-            rows = list(_answers(doc[said], pos[said], pos[said] + n[said] + length - 1, np.arange(len(said)) >= gone.sum(), n_buckets))
+            rows = list(_answers(doc[said], pos[said], pos[said] + n[said] + length - 1, np.arange(len(said)) >= gone.sum(), n_groups))
             marks = np.unique(anchor[direct])
             # A mark tells the shard that an anchor has several segments: an entry of no strings.
             columns = [np.concatenate([x[asked], y]) for x, y in zip((anchor, sign, doc, pos, n), (marks, marks, np.full(len(marks), -1), np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64)))]
@@ -234,7 +235,7 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, byte
             yield row
 
 
-def _judge_segments(length: int, n_buckets: int):
+def _judge_segments(length: int, n_groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, family, marks, said, rows = None, IndexFamily(), [], [], []
 
@@ -255,7 +256,7 @@ def _judge_segments(length: int, n_buckets: int):
                     ask |= np.isin(anchor, np.concatenate(marks))
                 said.append((doc[ask], pos[ask].astype(np.int64), pos[ask].astype(np.int64) + n[ask] + length - 1, np.ones(int(ask.sum()), bool)))
             if said:
-                rows.extend(_answers(*(np.concatenate(x) for x in zip(*said)), n_buckets))
+                rows.extend(_answers(*(np.concatenate(x) for x in zip(*said)), n_groups))
 
         for bucket, kind, payload in _sharded(batches):
             if bucket != now:
@@ -279,14 +280,14 @@ def _judge_segments(length: int, n_buckets: int):
     return run
 
 
-def _judge_strings(length: int, n_buckets: int):
+def _judge_strings(length: int, n_groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, family, said, rows = None, IndexFamily(), [], []
 
         def close() -> None:
             if said:
                 doc, s, e = _runs(*(np.concatenate(x) for x in zip(*said)))
-                rows.extend(_answers(doc, s, e, np.zeros(len(doc), bool), n_buckets))
+                rows.extend(_answers(doc, s, e, np.zeros(len(doc), bool), n_groups))
 
         for bucket, kind, payload in _sharded(batches):
             if bucket != now:
@@ -332,7 +333,7 @@ def _ranges(x: bytes | None) -> np.ndarray:
     return np.frombuffer(x or b"", "<u4").reshape(-1, 2).astype(np.int64)
 
 
-def _scan_strings(length: int, n_buckets: int):
+def _scan_strings(length: int, n_buckets: int, n_groups: int):
     """The strings of the ranges to check, each batch its distinct ones; what repeats within the batch is answered at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +371,7 @@ def _scan_strings(length: int, n_buckets: int):
             if lost:
                 doc, pos = lost[0][2], lost[0][3].astype(np.int64)
                 doc, s, e = _runs(doc, pos, pos + length)
-                rows += _answers(doc, s, e, np.zeros(len(doc), bool), n_buckets)
+                rows += _answers(doc, s, e, np.zeros(len(doc), bool), n_groups)
             order = np.lexsort((kept[3], kept[2]))
             kept = [c[order] for c in kept]
             for k, r in by_bucket((kept[0] % U(n_buckets)).astype(np.int64)):
@@ -388,13 +389,15 @@ def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """documents with the byte ranges to remove: doc_id, text, gone, more (both binary, pairs of unsigned 32-bit numbers)."""
     spark = docs.sparkSession
     n = batch_partitions or shuffle_partitions(spark)
+    # Answers go back to groups of documents, fewer than there are shards, so that their rows stay few.
+    g = max(8, n // 4)
     own = documents_input(docs, id_col, text_col)
-    found = _dealt(own.where(F.col("doc_id").isNotNull()).mapInArrow(_scan(length, 4 * n), _ROWS), _judge_segments(length, 4 * n), n)
+    found = _dealt(own.where(F.col("doc_id").isNotNull()).mapInArrow(_scan(length, n, g), _ROWS), _judge_segments(length, g), n)
     first = materialize(found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary"))
     joined = own.join(first, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "check")
     # No filter on the ranges here: with one, this join's exchange of the texts would differ from the last join's and be written twice.
-    strings = joined.select("doc_id", "text", "check").mapInArrow(_scan_strings(length, 4 * n), _ROWS)
-    second = _dealt(strings, _judge_strings(length, 4 * n), n).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary")
+    strings = joined.select("doc_id", "text", "check").mapInArrow(_scan_strings(length, n, g), _ROWS)
+    second = _dealt(strings, _judge_strings(length, g), n).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary")
     second = second.select("r_id", F.col("gone").alias("more"))
     return joined.join(second, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "more")
 
