@@ -26,6 +26,8 @@ ROWS, BANDS = 6, 42
 #: Signature values kept for verification, and how many one step of it compares.
 SIGNATURE, STEP_VALUES = 128, 16
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * U(2) + U(1)
+#: Ids that a join may send to every task: 16 MB.
+HELD_IDS = 1 << 20
 #: Members of one block when a bucket holds several components.
 BLOCK = 256
 
@@ -128,20 +130,63 @@ def _prune(bounds: np.ndarray):
     return run
 
 
-def _prune_blocks(bounds: np.ndarray):
-    """Pairs of members of two blocks of a bucket, across components, by signature batches; blocks are compared a member at a time."""
+def common_sizes(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of two lists of sets, as products of incidence matrices over the elements that occur more than once."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.cumsum(count > 1) - 1
+    ok = count[which] > 1
+    owner, column = owner[ok], often[which[ok]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        i, j = np.searchsorted(column, [lo, lo + columns])
+        x = np.zeros((len(sets), columns), np.float32)
+        x[owner[i:j], column[i:j] - lo] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _link_blocks(bounds: np.ndarray, percent: int):
+    """Links between members of two blocks of a bucket, across components. Signature batches prune; if pairs survive, full sets decide. Of the links
+    found, those are returned that join components not yet joined here, so at most one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids, comps = (np.array([r[c] for r in right]) for c in ("doc_id", "component"))
+                comps = np.array([r["component"] for r in right])
                 sigs = np.frombuffer(b"".join(r["sig"] for r in right), "<u4").reshape(-1, SIGNATURE)
-                found: list[tuple[int, int]] = []
-                for r in left:
-                    at = np.flatnonzero((comps != r["component"]) & ((ids > r["doc_id"]) if same else True))
+                pairs = []
+                for i, r in enumerate(left):
+                    at = np.flatnonzero(comps != r["component"])
+                    at = at[at > i] if same else at
                     if len(at):
                         own = np.broadcast_to(np.frombuffer(r["sig"], "<u4"), (len(at), SIGNATURE))
-                        found += [(min(r["doc_id"], int(ids[x])), max(r["doc_id"], int(ids[x]))) for x in at[_alive(own, sigs[at], bounds)]]
+                        pairs += [(i, int(x)) for x in at[_alive(own, sigs[at], bounds)]]
+                if not pairs:
+                    continue
+                rows, cols = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
+                x, y = ([np.frombuffer(side[i]["set"], U) for i in own] for side, own in ((left, rows), (right, cols)))
+                common = common_sizes(x, y)
+                sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+                linked = (common > 0) & (100 * common >= percent * (sizes - common))
+                row_of, col_of = {i: n for n, i in enumerate(rows)}, {j: n for n, j in enumerate(cols)}
+                root: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                found = []
+                for i, j in pairs:
+                    if linked[row_of[i], col_of[j]]:
+                        p, q = top(left[i]["component"]), top(right[j]["component"])
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            found.append((left[i]["doc_id"], right[j]["doc_id"]))
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -198,6 +243,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
+def _matching(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id; the ids go to every task if they are counted and few, else both sides are shuffled."""
+    ids = materialize(ids.distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= HELD_IDS else ids, "doc_id", how)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by Jaccard similarity >= threshold of their k-word shingle sets (A-Z lower-cased; words are runs of other
     bytes than ASCII white space; fewer than k words: the whole sequence is the one shingle).
@@ -213,42 +264,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     keys = ["set_a", "set_b", "n_shingles"]
     classes = materialize(full.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
-    # One row for each class: the sketch of its representative.
-    reps = materialize(full.join(classes, keys).where("doc_id = rep").dropDuplicates(["doc_id", *keys]).select("doc_id", "sig", "bands"))
+    # One row stands for each class: the sketch of its representative. Only the copies' ids travel, not the sketches.
+    copies = full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id")
+    reps = _matching(full.select("doc_id", "sig", "bands"), copies, "left_anti")
     members = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = materialize(members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
+    buckets = members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    # From here on only documents that share a bucket play a part.
+    shared = materialize(members.join(materialize(buckets), "band"))
     bounds = posterior_bounds(threshold, miss)
-    sigs = reps.select("doc_id", "sig")
+    sigs = materialize(_matching(reps.select("doc_id", "sig"), shared.select("doc_id"), "left_semi"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
         return x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets, made of the documents in question only."""
+        return materialize(_matching(own, ids, "left_semi").mapInArrow(_sets(k), "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates())
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs that hold on full sets. Sets are made of the documents in question only."""
+        """Pairs that hold on full sets."""
         pairs = materialize(pairs.distinct())
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = materialize(own.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates())
+        sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
         x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
         x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
         return materialize(x.mapInArrow(_exact(percent), "a long, b long").distinct())
 
-    star = members.join(buckets, "band").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = verified(with_signatures(star).mapInArrow(_prune(bounds), "a long, b long"))
     found = materialize(components(edges))
 
     def component(df: DataFrame, c: str) -> DataFrame:
         return df.join(found.select(F.col("node").alias(c), "component"), c, "left").withColumn("component", F.coalesce("component", F.col(c)))
 
-    placed = component(members.join(buckets.select("band", "n"), "band"), "doc_id")
+    placed = component(shared, "doc_id")
     mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x < y").select("band", "n"))
-    inside = component(members.join(mixed, "band"), "doc_id").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    inside = inside.withColumn("block", F.expr("pmod(xxhash64(doc_id), n_blocks)").cast("int")).join(sigs, "doc_id")
-    blocks = materialize(inside.groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "component", "sig")).alias("rows")))
+    inside = component(shared.select("doc_id", "band").join(mixed, "band"), "doc_id").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    inside = inside.withColumn("block", F.expr("pmod(xxhash64(doc_id), n_blocks)").cast("int")).join(sigs, "doc_id").join(sets_of(inside.select("doc_id")), "doc_id")
+    blocks = materialize(inside.groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "component", "sig", "set")).alias("rows")))
     left = blocks.select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(F.expr("sequence(block, n_blocks - 1)")).alias("j"))
     right = blocks.select("band", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
-    more = left.join(right, ["band", "j"]).select((F.col("i") == F.col("j")).alias("same"), "left_rows", "right_rows").mapInArrow(_prune_blocks(bounds), "a long, b long")
-    extra = verified(more.join(edges, ["a", "b"], "left_anti"))
+    extra = left.join(right, ["band", "j"]).select((F.col("i") == F.col("j")).alias("same"), "left_rows", "right_rows")
+    extra = materialize(extra.mapInArrow(_link_blocks(bounds, percent), "a long, b long").distinct())
     if extra.limit(1).count():
         found = materialize(components(edges.union(extra)))
     last = component(classes, "rep").select(*keys, F.col("component").alias("component_id"))
