@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Punctuation of junk and divider lines (bullets, dashes and box drawing besides ASCII marks), bullets, and block tags.
 JUNK_CLASS = r"[\s\-_=*~#.,:;!?|/\\+<>()\[\]{}•–—─-╿]"
@@ -85,7 +86,7 @@ def _plain(raw: str | None) -> str | None:
     return unicodedata.normalize("NFKC", "".join(c for c in text if c in "\t\n\r" or unicodedata.category(c) != "Cc"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_plain(raw: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The part of F4 without a built-in: entities, tags, control characters, NFKC."""
     for s in raw:
@@ -131,7 +132,7 @@ class _First(HTMLParser):
 def css_text(html: Column | str, tag: str | None = None, attribute: str | None = None, value: str | None = None) -> Column:
     """stripped text of the first element with this tag, and attribute (of this value); null if there is none."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def found(s: pd.Series) -> pd.Series:
         def one(raw: str) -> str | None:
             parser = _First(tag, attribute, value)
