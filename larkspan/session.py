@@ -26,7 +26,9 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on machines that see this folder import the package (elsewhere, pass it with --py-files)."""
+    """Lets Python workers on machines that see this folder import the package (elsewhere, pass it with --py-files), and keeps the batches that they
+    get small, so that very long texts don't fill their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
