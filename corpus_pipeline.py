@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.core import read
+from larkspan.llm.core import matching, read
 from larkspan.llm.minhash import near_duplicates
 from larkspan.llm.packing import pack
 from larkspan.llm.suffix_dedup import suffix_dedup
@@ -20,30 +20,30 @@ REPEAT_BYTES = 100
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = toxicity(docs, read(ship(spark), sf_dir, "labels")).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_anti").select(*COLUMNS)
+    verdicts = toxicity(docs, read(ship(spark), sf_dir, "labels")).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id")
+    return matching(docs, verdicts, "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that repeat the kept id itself are one document; one of them stays."""
     ship(spark)
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    kept = matching(docs, near_duplicates(docs).where("NOT kept").select("doc_id"), "left_anti").select(*COLUMNS)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return kept
+    return matching(kept, repeated, "left_anti").union(matching(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    cut = suffix_dedup(docs, REPEAT_BYTES).where("n_removed > 0").select("doc_id", F.col("text").alias("left_text"))
-    joined = docs.join(cut, "doc_id", "left")
-    changed = F.col("left_text").isNotNull()
-    text = F.when(changed, F.col("left_text")).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("left_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    cut = suffix_dedup(docs, REPEAT_BYTES, carry=["lang", "source", "n_chars"])
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, read(ship(spark), sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = decontaminate(docs, read(ship(spark), sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL").select("doc_id")
+    return matching(docs, found, "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

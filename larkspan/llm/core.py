@@ -48,6 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that a join may send to every task: 16 MB.
+HELD_IDS = 1 << 20
+
+
+def matching(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id; the ids go to every task if they are counted and few, else both sides are shuffled."""
+    ids = materialize(ids.distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= HELD_IDS else ids, "doc_id", how)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,17 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import LOWER, NOT_SPACE, STEP, U, documents_input, gram_hashes, groups, materialize, mix, span_hashes, text_bytes, word_spans
+from .core import LOWER, NOT_SPACE, STEP, U, documents_input, gram_hashes, groups, matching, materialize, mix, span_hashes, text_bytes, word_spans
 
 #: Rows of a band key, and number of bands: a pair at the threshold 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
 #: Signature values kept for verification, and how many one step of it compares.
 SIGNATURE, STEP_VALUES = 128, 16
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * U(2) + U(1)
-#: Ids that a join may send to every task: 16 MB.
-HELD_IDS = 1 << 20
 #: Members of one block when a bucket holds several components.
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingle_sets(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,12 +241,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
-def _matching(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids go to every task if they are counted and few, else both sides are shuffled."""
-    ids = materialize(ids.distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= HELD_IDS else ids, "doc_id", how)
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by Jaccard similarity >= threshold of their k-word shingle sets (A-Z lower-cased; words are runs of other
     bytes than ASCII white space; fewer than k words: the whole sequence is the one shingle).
@@ -266,13 +258,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     classes = materialize(full.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
     # One row stands for each class: the sketch of its representative. Only the copies' ids travel, not the sketches.
     copies = full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id")
-    reps = _matching(full.select("doc_id", "sig", "bands"), copies, "left_anti")
+    reps = matching(full.select("doc_id", "sig", "bands"), copies, "left_anti")
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     # From here on only documents that share a bucket play a part.
     shared = materialize(members.join(materialize(buckets), "band"))
     bounds = posterior_bounds(threshold, miss)
-    sigs = materialize(_matching(reps.select("doc_id", "sig"), shared.select("doc_id"), "left_semi"))
+    sigs = materialize(matching(reps.select("doc_id", "sig"), shared.select("doc_id"), "left_semi"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -280,7 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets, made of the documents in question only."""
-        return materialize(_matching(own, ids, "left_semi").mapInArrow(_sets(k), "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates())
+        return materialize(matching(own, ids, "left_semi").mapInArrow(_sets(k), "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates())
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that hold on full sets."""
@@ -301,7 +293,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x < y").select("band", "n"))
     inside = component(shared.select("doc_id", "band").join(mixed, "band"), "doc_id").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     inside = inside.withColumn("block", F.expr("pmod(xxhash64(doc_id), n_blocks)").cast("int")).join(sigs, "doc_id").join(sets_of(inside.select("doc_id")), "doc_id")
-    blocks = materialize(inside.groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "component", "sig", "set")).alias("rows")))
+    # Not written down: both sides of the join below read the one exchange that groups the members.
+    blocks = inside.groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "component", "sig", "set")).alias("rows"))
     left = blocks.select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(F.expr("sequence(block, n_blocks - 1)")).alias("j"))
     right = blocks.select("band", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
     extra = left.join(right, ["band", "j"]).select((F.col("i") == F.col("j")).alias("same"), "left_rows", "right_rows")

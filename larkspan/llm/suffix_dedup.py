@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U, by_bucket, doc_group, documents_input, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
+from .core import U, by_bucket, doc_group, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
 
 #: Bytes of one anchor. Any value up to ``length`` gives the same result; about half makes the two shuffles equally large.
 ANCHOR = 50
@@ -385,21 +386,21 @@ def _dealt(df: DataFrame, fn, n: int) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(fn, _ROWS)
 
 
-def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", batch_partitions: int | None = None) -> DataFrame:
-    """documents with the byte ranges to remove: doc_id, text, gone, more (both binary, pairs of unsigned 32-bit numbers)."""
-    spark = docs.sparkSession
-    n = batch_partitions or shuffle_partitions(spark)
+def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """documents with the byte ranges to remove: doc_id, text, gone, more (both binary, pairs of unsigned 32-bit numbers), and the struct ``carried``."""
+    n = shuffle_partitions(docs.sparkSession)
     # Answers go back to groups of documents, fewer than there are shards, so that their rows stay few.
     g = max(8, n // 4)
-    own = documents_input(docs, id_col, text_col)
-    found = _dealt(own.where(F.col("doc_id").isNotNull()).mapInArrow(_scan(length, n, g), _ROWS), _judge_segments(length, g), n)
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    found = _dealt(own.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_scan(length, n, g), _ROWS), _judge_segments(length, g), n)
     first = materialize(found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary"))
-    joined = own.join(first, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "check")
+    joined = own.join(first, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "check", "carried")
     # No filter on the ranges here: with one, this join's exchange of the texts would differ from the last join's and be written twice.
-    strings = joined.select("doc_id", "text", "check").mapInArrow(_scan_strings(length, n, g), _ROWS)
+    strings = joined.select("doc_id", "text", "check", "carried").mapInArrow(_scan_strings(length, n, g), _ROWS)
     second = _dealt(strings, _judge_strings(length, g), n).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary")
     second = second.select("r_id", F.col("gone").alias("more"))
-    return joined.join(second, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "more")
+    return joined.join(second, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "more", "carried")
 
 
 def _cut(b: np.ndarray, *ranges: np.ndarray) -> tuple[np.ndarray, int]:
@@ -430,23 +431,27 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = b[s:e]
             keep, spans = _cut(x, _ranges(gone), _ranges(more)) if gone or more else (slice(None), 0)
             left = x[keep]
-            text = x[_whole_characters(x, keep)].tobytes() if spans else x.tobytes()
-            out.append((len(x), len(x) - len(left), spans, hashlib.sha256(left.tobytes()).hexdigest(), text.decode("utf-8", "replace")))
+            text = x[_whole_characters(x, keep)].tobytes().decode("utf-8", "replace") if spans else None
+            out.append((len(x), len(x) - len(left), spans, hashlib.sha256(left.tobytes()).hexdigest(), text))
         n, removed, spans, sha, text = zip(*out) if out else [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pc.coalesce(pa.array(text, pa.string()), batch.column(1).cast(pa.string())), batch.column(4)],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "carried"],
         )
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """Removes every byte covered by a string of ``length`` bytes that also starts earlier (smaller id; same document, earlier start).
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text: what is left, where a character cut in two stays whole.
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left, where a character cut in two stays whole; the text itself, null or
+    not, if nothing was removed), and the columns named in ``carry`` as they were.
 
     Null text: as empty. Null id: the row is returned uncut and is no source of copies. Rows that repeat an id and a text are one document and
     get the same result each; an id with several texts has its ranges applied to each, cut to its length. Empty table: empty result. Other
     columns are not read.
     """
-    found = removed_ranges(docs, length, id_col, text_col)
-    return found.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    found = removed_ranges(docs, length, id_col, text_col, carry)
+    kind = found.schema["carried"].dataType.simpleString()
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, carried {kind}"
+    out = found.mapInArrow(_digest, schema)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *(F.col("carried")[c].alias(c) for c in carry))
