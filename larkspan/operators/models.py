@@ -53,7 +53,7 @@ def beta_fraction(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-13:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def t_two_sided(t: float, df: int) -> float:
