@@ -6,7 +6,8 @@
    batches of signature values; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold falls
    below the miss probability; survivors are verified on full shingle sets.
 3. Components are found. Only buckets in which members of different components meet need more: their members are compared in blocks, pairs
-   across components only, and again verified. Pairs within a component can't change it, so no link is lost to the short cut.
+   across components only, by signature; the members of surviving pairs are compared in blocks again, on full sets. Pairs within a component
+   can't change it, so no link is lost to the short cut.
 """
 
 from __future__ import annotations
@@ -147,22 +148,53 @@ def common_sizes(left: list[np.ndarray], right: list[np.ndarray], columns: int =
     return out.astype(np.int64)
 
 
+def _block_pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, list[dict], list[dict]]]:
+    """band, whether both sides are one block, and the members of both sides."""
+    for row in range(batch.num_rows):
+        band, same, left, right = (c[row].as_py() for c in batch.columns)
+        yield band, same, left, left if same else right
+
+
+def _across(left: list[dict], right: list[dict], same: bool, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of the left side, with those of the right side that lie in another component and whose signature survives every step."""
+    comps = np.array([r["component"] for r in right])
+    sigs = np.frombuffer(b"".join(r["sig"] for r in right), "<u4").reshape(-1, SIGNATURE)
+    for i, r in enumerate(left):
+        at = np.flatnonzero(comps != r["component"])
+        at = at[at > i] if same else at
+        if len(at):
+            own = np.broadcast_to(np.frombuffer(r["sig"], "<u4"), (len(at), SIGNATURE))
+            yield i, at[_alive(own, sigs[at], bounds)]
+
+
+def _meet_blocks(bounds: np.ndarray):
+    """The members of a bucket that have a surviving pair across components, of pairs whose first common band this is: such a pair meets in each of
+    its common bands, and one is enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, same, left, right in _block_pairs(batch):
+                keys = [np.array([r["bands"] for r in side], np.int64) for side in (left, right)]
+                found: set[int] = set()
+                for i, at in _across(left, right, same, bounds):
+                    first = (keys[1][at] == keys[0][i]).argmax(1)
+                    at = at[keys[0][i][first] == band]
+                    if len(at):
+                        found.add(left[i]["doc_id"])
+                        found.update(right[j]["doc_id"] for j in at)
+                yield pa.RecordBatch.from_arrays([pa.array([band] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], ["band", "doc_id"])
+
+    return run
+
+
 def _link_blocks(bounds: np.ndarray, percent: int):
     """Links between members of two blocks of a bucket, across components. Signature batches prune; if pairs survive, full sets decide. Of the links
     found, those are returned that join components not yet joined here, so at most one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                comps = np.array([r["component"] for r in right])
-                sigs = np.frombuffer(b"".join(r["sig"] for r in right), "<u4").reshape(-1, SIGNATURE)
-                pairs = []
-                for i, r in enumerate(left):
-                    at = np.flatnonzero(comps != r["component"])
-                    at = at[at > i] if same else at
-                    if len(at):
-                        own = np.broadcast_to(np.frombuffer(r["sig"], "<u4"), (len(at), SIGNATURE))
-                        pairs += [(i, int(x)) for x in at[_alive(own, sigs[at], bounds)]]
+            for _, same, left, right in _block_pairs(batch):
+                pairs = [(i, int(j)) for i, at in _across(left, right, same, bounds) for j in at]
                 if not pairs:
                     continue
                 rows, cols = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
@@ -264,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     # From here on only documents that share a bucket play a part.
     shared = materialize(members.join(materialize(buckets), "band"))
     bounds = posterior_bounds(threshold, miss)
-    sigs = materialize(matching(reps.select("doc_id", "sig"), shared.select("doc_id"), "left_semi"))
+    sigs = materialize(matching(reps.select("doc_id", "sig", "bands"), shared.select("doc_id"), "left_semi"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -291,14 +323,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
 
     placed = component(shared, "doc_id")
     mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x < y").select("band", "n"))
-    inside = component(shared.select("doc_id", "band").join(mixed, "band"), "doc_id").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    inside = inside.withColumn("block", F.expr("pmod(xxhash64(doc_id), n_blocks)").cast("int")).join(sigs, "doc_id").join(sets_of(inside.select("doc_id")), "doc_id")
-    # Not written down: both sides of the join below read the one exchange that groups the members.
-    blocks = inside.groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", "component", "sig", "set")).alias("rows"))
-    left = blocks.select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(F.expr("sequence(block, n_blocks - 1)")).alias("j"))
-    right = blocks.select("band", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
-    extra = left.join(right, ["band", "j"]).select((F.col("i") == F.col("j")).alias("same"), "left_rows", "right_rows")
-    extra = materialize(extra.mapInArrow(_link_blocks(bounds, percent), "a long, b long").distinct())
+
+    def compared(members: DataFrame, columns: list[str], kernel, schema: str) -> DataFrame:
+        """The kernel over all pairs of blocks of each bucket. members: band, n (the bucket's size), doc_id and the columns. A bucket of one block,
+        as nearly all are, needs no join, so its rows are shuffled once."""
+        x = members.withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("pmod(xxhash64(doc_id), n_blocks)").cast("int"))
+        blocks = lambda which: x.where(which).groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", *columns)).alias("rows"))
+        one, many = blocks("n_blocks = 1"), blocks("n_blocks > 1")
+        left = many.select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(F.expr("sequence(block, n_blocks - 1)")).alias("j"))
+        right = many.select("band", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
+        pairs = left.join(right, ["band", "j"]).select("band", (F.col("i") == F.col("j")).alias("same"), "left_rows", "right_rows")
+        pairs = one.select("band", F.lit(True).alias("same"), F.col("rows").alias("left_rows"), F.slice("rows", 1, 0).alias("right_rows")).union(pairs)
+        return materialize(pairs.mapInArrow(kernel, schema).distinct())
+
+    # Signatures first; full sets travel only to buckets where a pair across components survives, and of its common bands to the first.
+    inside = component(shared.select("doc_id", "band").join(mixed, "band"), "doc_id").join(sigs, "doc_id")
+    met = compared(inside, ["component", "sig", "bands"], _meet_blocks(bounds), "band long, doc_id long")
+    sizes = met.groupBy("band").agg(F.count("*").alias("n"))
+    again = component(met.join(sizes, "band"), "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").join(sets_of(met.select("doc_id")), "doc_id")
+    extra = compared(again, ["component", "sig", "set"], _link_blocks(bounds, percent), "a long, b long")
     if extra.limit(1).count():
         found = materialize(components(edges.union(extra)))
     last = component(classes, "rep").select(*keys, F.col("component").alias("component_id"))

@@ -111,6 +111,29 @@ def test_near_duplicates(docs, empty, rows):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 5])
+def test_near_duplicates_beyond_the_pivot(spark, monkeypatch, block):
+    """Families that drift: most links are not with a bucket's smallest member, and similarities lie on both sides of the threshold."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for family in range(3):
+        words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(40):
+            for _ in range(rng.choice([1, 2, 2, 3, 4])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    own = list(range(len(rows)))
+    links = [[b for b in own if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])] for a in own]
+    for _ in rows:
+        own = [min(own[b] for b in near) for near in links]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(own)) and 3 < len(set(own)) < 100
+
+
 def test_block_links_and_bounds():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 90, 60)).astype(np.uint64) for _ in range(9)]
