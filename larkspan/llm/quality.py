@@ -18,6 +18,8 @@ from .toxicity import calibrate
 #: Bound on labelled rows that the document classifier is fitted on, the first by hash of the id. Only their features are collected.
 TRAIN_DOCS = 5000
 FEATURES = 8
+#: Paths (with their hosts) that the last join may send to every task: names and four numbers of each, some MB. Beyond it, both sides are shuffled.
+HELD_PATHS = 1 << 16
 
 
 def features(text: Column) -> list[Column]:
@@ -90,11 +92,13 @@ def quality(docs: DataFrame, labels: DataFrame, host: str | Column = "source", p
         r = groups.where(F.col(n) > 1).agg((F.sum(F.col(n) * (F.col(s) / F.col(n) - center) ** 2) / F.sum(n)).alias("v"), (F.sum(F.lit(1.0)) / F.sum(n)).alias("per_row"), (F.sum(s) / F.sum(n)).alias("m")).first()
         return (r.m, r.v - r.m * (1 - r.m) * r.per_row) if r.m is not None else (None, None)
 
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("paths")).first()
     mean = (total.s + 1) / (total.n + 2) if total.n else 0.5
     m_host = strength(*spread(hosts, "n_host", "s_host", F.lit(mean)))
     m_path = strength(*spread(paths.join(hosts, "host"), "n", "s", F.col("s_host") / F.col("n_host")))
     sites = paths.join(hosts, "host")
+    if total.paths <= HELD_PATHS:
+        sites = F.broadcast(sites)
     host_left = (F.col("s_host") - F.col("evidence") + m_host * mean) / (F.col("n_host") - 1 + m_host)
     path_left = (F.col("s") - F.col("evidence") + m_path * F.col("host_posterior")) / (F.col("n") - 1 + m_path)
     joined = scored.join(sites, ["host", "path"]).withColumn("host_posterior", host_left).withColumn("path_posterior", path_left)
