@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .ann import nearest
-from .core import read
+from .core import HELD_IDS, materialize, read
 from .lm_score import cross_entropy_difference
 from .minhash import near_duplicates
 from .packing import pack
@@ -38,8 +38,9 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id", "left")
+    good = materialize(read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1"))
+    # Few ids go to every task, so the texts stay where they are.
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(good) if good.count() <= HELD_IDS else good, "doc_id", "left")
     return cross_entropy_difference(docs, F.col("good") == 1)
 
 
