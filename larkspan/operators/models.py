@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,36 +172,112 @@ def bootstrap_means(df: DataFrame, key: str, group: str, value: str, rounds: int
     return each.groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
 
 
-def _cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+def _log_cdf(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the normal distribution function, by its asymptotic series where the function itself underflows."""
+    low = z < -30
+    near = np.log(0.5 * np.frompyfunc(math.erfc, 1, 1)(-np.where(low, 0, z) / math.sqrt(2)).astype(float))
+    v = np.where(low, z, -30.0)
+    return np.where(low, -0.5 * v * v - np.log(-v) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / v**2 + 3 / v**4), near)
+
+
+def _interval(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log P of lo < normal <= hi, and the densities at lo and at hi over P. Edges may be infinite."""
+    flip = lo > 0
+    # In the upper half the mirrored interval, whose logarithms are exact.
+    a, b = np.where(flip, -lo, hi), np.where(flip, -hi, lo)
+    top, bottom = (np.where(np.isposinf(v), 0.0, np.where(np.isneginf(v), -np.inf, _log_cdf(np.clip(v, -1e150, 1e150)))) for v in (a, b))
+    log_p = top + np.log1p(-np.exp(np.minimum(bottom - top, -1e-300)))
+    at = [np.exp(np.where(np.isinf(v), -np.inf, -0.5 * np.where(np.isinf(v), 0, v) ** 2 - 0.5 * math.log(2 * math.pi)) - log_p) for v in (lo, hi)]
+    return log_p, at[0], at[1]
+
+
+def _probit_sums(k: np.ndarray, z: np.ndarray, w: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """Log-likelihood, gradient and Hessian by (weights, thresholds) of rows of classes k, as one vector."""
+    eta, edges, n = z @ w, np.concatenate([[-np.inf], tau, [np.inf]]), len(w) + len(tau)
+    hi, lo = edges[k + 1] - eta, edges[k] - eta
+    log_p, r_lo, r_hi = _interval(lo, hi)
+    wide = np.zeros((len(k), len(tau) + 2))
+    above, below = np.hstack([-z, wide]), np.hstack([-z, wide])
+    rows = np.arange(len(k))
+    above[rows, len(w) + 1 + k], below[rows, len(w) + k] = 1, 1
+    # The outermost edges are no parameters.
+    cut = [*range(len(w)), *range(len(w) + 1, len(w) + 1 + len(tau))]
+    above, below = above[:, cut], below[:, cut]
+    h_hi = -np.where(np.isinf(hi), 0, hi) * r_hi - r_hi**2
+    h_lo = np.where(np.isinf(lo), 0, lo) * r_lo - r_lo**2
+    mixed = (above * (r_hi * r_lo)[:, None]).T @ below
+    hessian = (above * h_hi[:, None]).T @ above + (below * h_lo[:, None]).T @ below + mixed + mixed.T
+    return np.concatenate([[log_p.sum()], r_hi @ above - r_lo @ below, hessian.reshape(n * n)])
+
+
+def _summed(rows: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows (arrays of doubles) of what the kernel gives for a batch of them; tasks send one vector each, which meet by position."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = kernel(np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total, pa.float64())], ["i", "v"])
+
+    found = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    return np.array([r.v for r in found])
 
 
-def ordered_probit(df: DataFrame, x: list[str], y: str, bins: int = 256, rounds: int = 300) -> list[tuple[str, float]]:
-    """M8: thresholds and weights by gradient ascent. Rows are first counted by class and by ``bins`` equal bins of each standardised feature's range, so
-    the driver sees a table of bounded size whatever the rows number (with one feature; each further one multiplies it)."""
-    m = df.agg(*(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
-    mean, scale = m[: len(x)], [s or 1.0 for s in m[len(x) :]]
-    z = [F.round(F.greatest(F.least((F.col(c) - F.lit(mean[i])) / F.lit(scale[i]), F.lit(4.0)), F.lit(-4.0)) * (bins / 8)) / (bins / 8) for i, c in enumerate(x)]
-    rows = df.dropna(subset=[*x, y]).groupBy(F.col(y).alias("_y"), *(c.alias(f"_z{i}") for i, c in enumerate(z))).agg(F.count("*").alias("_n")).collect()
-    classes = sorted({r["_y"] for r in rows})
-    if len(classes) < 2:
-        return []
-    k = np.array([classes.index(r["_y"]) for r in rows])
-    data, n = np.array([[r[f"_z{i}"] for i in range(len(x))] for r in rows], float), np.array([r["_n"] for r in rows], float)
-    share = np.cumsum([n[k == c].sum() for c in range(len(classes))]) / n.sum()
+@dataclass
+class OrderedProbit:
+    """weights are of standardised features."""
+
+    x: list[str]
+    classes: list
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    thresholds: np.ndarray
+    log_likelihood: float
+
+
+def fit_ordered_probit(df: DataFrame, x: list[str], y: str, steps: int = 100) -> OrderedProbit | None:
+    """M8: maximum likelihood on the values by Newton steps, whose sums are taken where the rows are; the driver holds what has the size of the
+    Hessian. Rows with a null are left out. None for fewer than two classes; raises if it does not converge (as for classes that can be separated)."""
     from statistics import NormalDist
 
-    tau, w = np.array([NormalDist().inv_cdf(min(max(s, 1e-6), 1 - 1e-6)) for s in share[:-1]]), np.zeros(len(x))
-    pdf = lambda v: np.exp(-0.5 * v * v) / math.sqrt(2 * math.pi)
-    for _ in range(rounds):
-        eta = data @ w
-        edges = np.concatenate([[-40.0], tau, [40.0]])
-        hi, lo = edges[k + 1] - eta, edges[k] - eta
-        p = np.maximum(_cdf(hi) - _cdf(lo), 1e-12)
-        weight = n / p / n.sum()
-        g_w = -((pdf(hi) - pdf(lo)) * weight) @ data
-        g_t = np.array([(pdf(hi) * weight)[k == c].sum() - (pdf(lo) * weight)[k == c + 1].sum() for c in range(len(tau))])
-        w, tau = w + g_w, np.maximum.accumulate(tau + g_t)
-        if max(np.abs(g_w).max(initial=0), np.abs(g_t).max(initial=0)) < 1e-9:
-            break
-    return [(f"weight_{c}", v) for c, v in zip(x, w)] + [(f"threshold_{c}", v) for c, v in zip(classes, tau)]
+    rows = df.dropna(subset=[*x, y])
+    counts = sorted((r["_y"], r["_n"]) for r in rows.groupBy(F.col(y).alias("_y")).agg(F.count("*").alias("_n")).collect())
+    if len(counts) < 2:
+        return None
+    classes, n = [c for c, _ in counts], np.array([k for _, k in counts], float)
+    m = rows.agg(*(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
+    mean, scale = np.array(m[: len(x)], float), np.array([v or 1.0 for v in m[len(x) :]], float)
+    place = F.lit(None).cast("double")
+    for i, c in enumerate(classes):
+        place = F.when(F.col(y) == F.lit(c), float(i)).otherwise(place)
+    data = rows.select(F.array(place, *((F.col(c).cast("double") - F.lit(float(mean[i]))) / F.lit(float(scale[i])) for i, c in enumerate(x))).alias("_r")).persist()
+    try:
+        at = np.concatenate([np.zeros(len(x)), [NormalDist().inv_cdf(v) for v in np.cumsum(n)[:-1] / n.sum()]])
+        step, best, p = np.zeros(len(at)), -np.inf, len(at)
+        for _ in range(steps):
+            trial = at + step
+            w, tau = trial[: len(x)], trial[len(x) :]
+            # Thresholds out of order have no likelihood.
+            sums = _summed(data, lambda r, w=w, tau=tau: _probit_sums(r[:, 0].astype(int), r[:, 1:], w, tau)) if (np.diff(tau) > 0).all() else np.array([-np.inf])
+            if not np.isfinite(sums).all() or sums[0] < best - 1e-9 * (1 + abs(best)):
+                step = step / 2
+                if not step.any():
+                    break
+                continue
+            at, best, g, h = trial, sums[0], sums[1 : p + 1], sums[p + 1 :].reshape(p, p)
+            step = np.linalg.pinv(-h, rcond=1e-12, hermitian=True) @ g
+            if g @ step < 1e-16 * n.sum() + 1e-18 or np.abs(step).max() < 1e-9:
+                return OrderedProbit(x, classes, mean, scale, at[: len(x)], at[len(x) :], float(best))
+    finally:
+        data.unpersist()
+    raise RuntimeError(f"ordered probit did not converge in {steps} steps")
+
+
+def ordered_probit(df: DataFrame, x: list[str], y: str, steps: int = 100) -> list[tuple[str, float]]:
+    """M8's coefficients: weights of the standardised features and thresholds, named by the class below."""
+    fit = fit_ordered_probit(df, x, y, steps)
+    return [] if fit is None else [(f"weight_{c}", v) for c, v in zip(x, fit.weights)] + [(f"threshold_{c}", v) for c, v in zip(fit.classes, fit.thresholds)]
