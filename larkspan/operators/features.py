@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a block of known rows, and of unknown ones, in the nearest-neighbour search.
+KNOWN_BLOCK, UNKNOWN_BLOCK = 4096, 512
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -55,15 +63,66 @@ def distance2(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn_impute(unknown: DataFrame, known: DataFrame, key: str, vector: str, value: str, k: int = 10, floor: float = 0.5, most: int = 200_000) -> DataFrame:
-    """Mean value of the k nearest known rows, at least ``floor``. The known rows are a reference set whose size is checked: each task holds it."""
-    n = known.count()
-    if n > most:
-        raise ValueError(f"{n} reference rows; the nearest-neighbour search holds at most {most} in each task")
-    right = F.broadcast(known.select(F.col(key).alias("_id"), F.col(vector).alias("_v"), F.col(value).alias("_y")))
-    near = unknown.select(key, vector).join(right, F.lit(True)).select(key, "_id", "_y", distance2(F.col(vector), F.col("_v")).alias("_d"))
-    rn = F.row_number().over(Window.partitionBy(key).orderBy("_d", "_id"))
-    return near.withColumn("_rn", rn).where(F.col("_rn") <= k).groupBy(key).agg(F.greatest(F.avg("_y"), F.lit(floor)).alias("imputed"))
+def _block_nearest(k: int):
+    """Of each unknown row of a block its k nearest known rows of another: distances sum the dimensions in order, ties go to the smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unknown, known in zip(batch.column(0), batch.column(1)):
+                (keys, q), (ids, x) = ((s.values.field(0), s.values.field(1)) for s in (unknown, known))
+                values = known.values.field(2).to_numpy(zero_copy_only=False)
+                q, x = (np.array(v.flatten()).reshape(len(v), -1) for v in (q, x))
+                # Rows by ascending id, so that a stable sort by distance leaves ties in order.
+                order = np.array(pc.sort_indices(ids))
+                x, values, ids = x[order], values[order], ids.take(pa.array(order))
+                with np.errstate(invalid="ignore", over="ignore"):
+                    # One matrix product bounds all distances; those that can be among the nearest are computed again, exactly.
+                    qq, xx = (q * q).sum(1), (x * x).sum(1)
+                    near = qq[:, None] + xx[None, :] - 2 * (q @ x.T)
+                    slack = 1e-10 * (qq + xx.max(initial=0))
+                    best, d = [], []
+                    for row, vector, s in zip(near, q, slack):
+                        at = np.arange(len(x))
+                        if len(x) > k:
+                            at = np.flatnonzero(~(row > np.partition(row, k - 1)[k - 1] + 2 * s))
+                        exact = np.zeros(len(at))
+                        for i in range(q.shape[1]):
+                            exact += (x[at, i] - vector[i]) ** 2
+                        exact[np.isnan(exact)] = np.inf
+                        first = np.argsort(exact, kind="stable")[:k]
+                        best.append(at[first])
+                        d.append(exact[first])
+                n, at = [len(v) for v in best], np.concatenate(best)
+                near = pa.StructArray.from_arrays([pa.array(np.concatenate(d)), ids.take(pa.array(at)), pa.array(values[at], pa.float64(), from_pandas=True)], ["_d", "_id", "_y"])
+                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), near)], ["_key", "near"])
+
+    return run
+
+
+def knn_impute(unknown: DataFrame, known: DataFrame, key: str, vector: str, value: str, k: int = 10, floor: float = 0.5, block: int = KNOWN_BLOCK, query_block: int = UNKNOWN_BLOCK) -> DataFrame:
+    """Mean value of the k nearest known rows (squared Euclidean distance; ties to the smaller id), at least ``floor``.
+
+    Exact, whatever the number of rows: blocks of unknown rows meet blocks of known rows, each pair of blocks returns k rows for an unknown one, and
+    these are merged. Rows with a null vector, a null component or a null key play no part; vectors are of one length. A null value counts as one of
+    the nearest, but not in the mean.
+    """
+    kind = known.schema[key].dataType.simpleString()
+    usable = lambda df: df.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(F.col(vector), lambda c: c.isNotNull()))
+    v = F.col(vector).cast("array<double>").alias("_v")
+    right = usable(known).select(F.col(key).alias("_id"), v, F.col(value).cast("double").alias("_y"))
+    left = usable(unknown).select(F.col(key).cast(kind).alias("_key"), v)
+    n_left, n_right = (max(1, -(-df.count() // size)) for df, size in ((left, query_block), (right, block)))
+    # Rows of the same key are dealt by their vector too.
+    left = left.groupBy(F.pmod(F.xxhash64("_key", "_v"), F.lit(n_left)).alias("i")).agg(F.collect_list(F.struct("_key", "_v")).alias("unknown"))
+    right = right.groupBy(F.pmod(F.xxhash64("_id", "_v"), F.lit(n_right)).alias("j")).agg(F.collect_list(F.struct("_id", "_v", "_y")).alias("known"))
+    pairs = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))).select("unknown", F.col("j").cast("long").alias("j"), "i")
+    met = pairs.join(right, "j").select("unknown", "known")
+    found = met.mapInArrow(_block_nearest(k), f"_key {kind}, near array<struct<_d: double, _id: {kind}, _y: double>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    merged = found.groupBy("_key").agg(best.alias("near"))
+    values = F.filter(F.transform("near", lambda s: s["_y"]), lambda y: y.isNotNull())
+    mean = F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, y: a + y) / F.size(values))
+    return merged.select(F.col("_key").alias(key), F.greatest(mean, F.lit(floor)).alias("imputed"))
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
