@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.core import matching, read
+from larkspan.llm.core import checkpoint_dir, matching, materialize, read
 from larkspan.llm.minhash import near_duplicates
 from larkspan.llm.packing import pack
 from larkspan.llm.suffix_dedup import suffix_dedup
@@ -20,18 +20,27 @@ REPEAT_BYTES = 100
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdicts = toxicity(docs, read(ship(spark), sf_dir, "labels")).where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id")
-    return matching(docs, verdicts, "left_anti").select(*COLUMNS)
+    """Each row by its own verdict, whatever its id."""
+    return toxicity(docs, read(ship(spark), sf_dir, "labels"), carry=COLUMNS[2:]).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that repeat the kept id itself are one document; one of them stays."""
+    """Rows are told apart by a key that is written down first, so those without an id or with a repeated one have a verdict of their own. Of each
+    group the row of the smallest id stays (a row without id only if there is none with)."""
+    from uuid import uuid4
+
     ship(spark)
-    kept = matching(docs, near_duplicates(docs).where("NOT kept").select("doc_id"), "left_anti").select(*COLUMNS)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept
-    return matching(kept, repeated, "left_anti").union(matching(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    folder = f"{checkpoint_dir(spark)}/rows-{uuid4().hex}"
+    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    # Only rows of groups of several are compared by id.
+    found = materialize(near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
+    groups = found.where("row <> component").select("component").distinct()
+    members = found.join(groups, "component").join(rows.select("row", "doc_id"), "row").select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place"))
+    members = materialize(members)
+    stays = members.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    gone = members.select("row").join(stays, "row", "left_anti")
+    return matching(rows.withColumnRenamed("doc_id", "id").withColumnRenamed("row", "doc_id"), gone.select(F.col("row").alias("doc_id")), "left_anti").drop("doc_id").withColumnRenamed("id", "doc_id").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, read(ship(spark), sf_dir, "benchmark")).where("contaminated AND doc_id IS NOT NULL").select("doc_id")
-    return matching(docs, found, "left_anti").select(*COLUMNS)
+    """Each row by its own verdict, whatever its id."""
+    return decontaminate(docs, read(ship(spark), sf_dir, "benchmark"), carry=COLUMNS[2:]).where("NOT contaminated").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Each result is written to the shared folder and read again, so a lost executor costs one stage at most."""
     from uuid import uuid4
 
-    from larkspan.llm.core import checkpoint_dir
-
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -207,3 +207,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def documents_input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names: further columns, of whatever name, play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def carried(own: DataFrame, carry: list[str] | None) -> str:
+    """The part of a schema for the text and the columns that an operator carries along."""
+    return "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in ["text", *carry]) if carry else ""

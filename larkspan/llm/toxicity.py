@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import carried
+
 #: Bound on labelled documents that a model is fitted on, for each class, and on bytes of one that training reads (a document beyond is left out).
 TRAIN_DOCS, TRAIN_BYTES = 2000, 1 << 16
 #: Words of a window; bytes of each part of a dictionary; gain from which a window counts as marked.
@@ -174,7 +176,10 @@ def _score(shared, window: int):
             x = np.array([scorer.features((t or "").encode()) for t in batch.column(1).to_pylist()]).reshape(-1, len(mean))
             p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[1:] + w[0], -30, 30)))
             ids = [None if i is None else zlib.crc32(str(i).encode()) % 5 == 0 for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            columns = [batch.column(0), pa.array(ids, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
+            # What is carried lies behind the id and the text.
+            kept = batch.columns[1:] if batch.num_columns > 2 else []
+            yield pa.RecordBatch.from_arrays([*columns, *kept], ["doc_id", "held_out", "score", "predicted", *(batch.schema.names[1:] if kept else [])])
 
     return run
 
@@ -194,13 +199,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text.encode() for r in rows], [label[r.doc_id] for r in rows], window, (n.get(1, 0) + 0.5) / (sum(n.values()) + 10))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, window: int = WINDOW) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
     """Scores whole texts: doc_id, held_out (crc32(id as text) mod 5 is 0: never learned from), score (0 to 1), predicted (score >= 0.5).
 
     Null or empty text: scored as a text without windows. Null id: scored, held_out null. Repeated rows: scored each. Labels other than 0 and 1,
     or null: not learned from; an id with both labels counts as toxic. No usable labels: every score is a base rate. Empty table: empty result.
-    Other columns are not read.
+    Other columns are not read, but for those to carry: they and the text come back beside each row's own verdict.
     """
     model = train(docs, labels, id_col, text_col, label_col, max_docs, window=window)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), window), "doc_id long, held_out boolean, score double, predicted int")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(carry or []))
+    return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), window), "doc_id long, held_out boolean, score double, predicted int" + carried(own, carry))

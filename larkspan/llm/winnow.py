@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import ALNUM, LOWER, STEP, U, gram_hashes, groups, materialize, merged, sliding, span_hashes, text_bytes, word_spans
+from .core import ALNUM, LOWER, STEP, U, carried, gram_hashes, groups, materialize, merged, sliding, span_hashes, text_bytes, word_spans
 
 #: Words of a window, and of a fingerprinted k-gram.
 WINDOW, GRAM = 13, 7
@@ -141,6 +141,12 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
 _NAMES = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
+def _with_carried(batch: pa.RecordBatch, rows: list[tuple], own: int) -> pa.RecordBatch:
+    """Verdicts, and behind them the text and what lies after the operator's own columns, if anything does."""
+    at = [1, *range(own, batch.num_columns)] if batch.num_columns > own else []
+    return pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows), *(batch.column(i) for i in at)], [*_NAMES, *(batch.schema.names[i] for i in at)])
+
+
 def _held(items, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Benchmark(items.value, window, k)
@@ -151,7 +157,7 @@ def _held(items, window: int, k: int):
                 lo = int(starts[i])
                 words, n = words_of(b[lo : int(ends[j - 1])], starts[i:j] - lo, ends[i:j] - lo)
                 rows += _verdicts(words, n, bench)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], _NAMES)
+            yield _with_carried(batch, rows, 2)
 
     return run
 
@@ -188,12 +194,12 @@ def _pairwise(window: int, k: int):
             for s, e, items in zip(starts, ends, batch.column(2).to_pylist()):
                 words, n = words_of(b[s:e], np.array([0]), np.array([e - s]))
                 rows += _verdicts(words, n, Benchmark([(x["item"], (x["item_text"] or "").encode()) for x in items or []], window, k)) if items else [(int(n[0]), 0, 0, hashlib.sha256(b"").hexdigest(), False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], _NAMES)
+            yield _with_carried(batch, rows, 3)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", held_bytes: int = HELD_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", held_bytes: int = HELD_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Words of documents that lie in an occurrence of a benchmark window (``window`` consecutive words of an item; a shorter item is one window).
 
     Returns doc_id, n_words, n_hit, n_items (items with occurring windows), items_sha256 (their ids, sorted as text, comma-joined), contaminated
@@ -201,20 +207,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     A benchmark of at most ``held_bytes`` of text goes to every task, and documents are not shuffled at all. A larger one is found by a join of
     fingerprints. Null or empty text: no words, not contaminated. Null document id: judged like any other. Null item ids are no items; a repeated
-    item counts once. Repeated documents are judged each. Empty tables: no hits, or no rows. Other columns are not read.
+    item counts once. Repeated documents are judged each. Empty tables: no hits, or no rows. Other columns are not read,
+    but for those to carry: they and the text come back beside each row's own verdict.
     """
     spark = docs.sparkSession
     k = min(k, window)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(carry or []))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     if size <= held_bytes:
         known = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.collect()])
-        return own.mapInArrow(_held(known, window, k), f"doc_id long, {_SCHEMA}")
+        return own.mapInArrow(_held(known, window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
     # Rows have no key of their own that is sure to be unique, so each gets one that is written down before it is used twice.
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()))
     theirs = items.select("item", "text").mapInArrow(_reported(window, k, "item"), "kind long, fp long, item string").distinct()
     ours = own.select("row", "text").mapInArrow(_reported(window, k, "row"), "kind long, fp long, row long")
     pairs = ours.join(theirs, ["kind", "fp"]).select("row", "item").distinct()
     listed = pairs.join(items.select("item", F.col("text").alias("item_text")), "item").groupBy("row").agg(F.collect_set(F.struct("item", "item_text")).alias("items"))
-    return own.join(listed, "row", "left").select("doc_id", "text", "items").mapInArrow(_pairwise(window, k), f"doc_id long, {_SCHEMA}")
+    return own.join(listed, "row", "left").select("doc_id", "text", "items", *(carry or [])).mapInArrow(_pairwise(window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
