@@ -1,4 +1,4 @@
-"""Fits from sufficient statistics (M3-M5, M7-M10, M12). One aggregation makes the Gram matrix, whose size is that of the features; only it is collected."""
+"""Fits from sufficient statistics (M3-M5, M7, M8 without its prediction, M10). One aggregation makes the Gram matrix, whose size is that of the features; only it is collected."""
 
 from __future__ import annotations
 
@@ -159,7 +159,7 @@ def balanced_logit(df: DataFrame, x: list[str], y: str, l1: bool = False, c: flo
 
 
 def bootstrap_means(df: DataFrame, key: str, group: str, value: str, rounds: int) -> DataFrame:
-    """M12's resampling as one aggregation: each row has a Poisson(1) weight in each round, drawn by hash, so rounds need neither copies of the data
+    """Intervals of group means by resampling in one aggregation (not M12, which refits a model): each row has a Poisson(1) weight in each round, drawn by hash, so rounds need neither copies of the data
     nor a loop. Returns the group's mean and its 95 % interval over rounds."""
     u = F.pmod(F.xxhash64(F.col(key), F.col("_b")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     cuts, total = [], 0.0
