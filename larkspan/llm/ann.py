@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import materialize
+from .core import mapped, materialize
 
 #: Vectors of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 512
@@ -118,6 +118,6 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     queries = own.where(F.col("vec_id") % every == 0).groupBy(F.expr(f"cast(pmod(xxhash64(vec_id, 7), {q_blocks}) AS int)").alias("q_part")).agg(rows.alias("query"))
     # Each block of candidates meets each block of queries once: the pairs of blocks are listed and joined on the query block's number.
     pairs = candidates.select("part", "cand", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_part"))
-    found = pairs.join(queries, "q_part").select("part", "cand", "query").mapInArrow(_join(k), "query_id long, scores array<double>, ids array<long>")
+    found = pairs.join(queries, "q_part").select("part", "cand", "query").transform(mapped, _join(k), "query_id long, scores array<double>, ids array<long>")
     grouped = found.groupBy("query_id").agg(F.collect_list(F.struct("scores", "ids")).alias("parts"))
-    return grouped.mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    return grouped.transform(mapped, _merge(k), "query_id long, rank int, vec_id long, score double")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,12 +35,16 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session. A private one is set only where the session names none (local tests)."""
+    """The shared checkpoint folder of the session. One is made only where driver and executors are one process (tests); elsewhere none set is an error."""
     context = spark.sparkContext
     set_already = context._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
-    folder = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspan-checkpoint-")
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="larkspan-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
@@ -53,15 +60,39 @@ HELD_IDS = 1 << 20
 
 
 def matching(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on doc_id; the ids go to every task if they are counted and few, else both sides are shuffled."""
-    ids = materialize(ids.distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= HELD_IDS else ids, "doc_id", how)
+    """Semi or anti join on the columns of ids; these go to every task if they are counted and few, else both sides are shuffled."""
+    ids = materialize(light(ids.distinct()))
+    return df.join(F.broadcast(ids) if ids.count() * len(ids.columns) <= HELD_IDS else ids, ids.columns, how)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def light(df: DataFrame) -> DataFrame:
+    """For narrow rows that come out of an exchange: fewer, larger partitions, so that their files are not mostly overhead."""
+    return df.coalesce(max(1, shuffle_partitions(df.sparkSession) // 8))
+
+
+def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers, which Spark uses again, give their memory back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return
+    trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U(32))
     h *= _MIX1
@@ -204,6 +235,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def with_row_key(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a number for each row, the same whenever they are read again, so that rows without an id or with a repeated one can be told apart.
+
+    A plain read of files has it from the file's place among the sorted paths and the row's place in the file. Any other docs are written to the shared
+    folder first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+        except AnalysisException:  # files of a kind without row numbers
+            placed = None
+        if placed is not None:
+            paths = sorted(r[0] for r in placed.select("_path").distinct().collect())
+            places = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
+            return placed.join(F.broadcast(places), "_path").withColumn(name, F.shiftleft("_file", 40) + F.col("_at")).drop("_path", "_at", "_file")
+    folder = f"{checkpoint_dir(docs.sparkSession)}/rows-{uuid4().hex}"
+    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def documents_input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names: further columns, of whatever name, play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import LOWER, NOT_SPACE, STEP, U, groups, materialize, mix, pack, shuffle_partitions, span_hashes, text_bytes, unpack, word_spans
+from .core import LOWER, NOT_SPACE, STEP, U, groups, mapped, materialize, mix, pack, shuffle_partitions, span_hashes, text_bytes, unpack, word_spans
 
 #: Bytes of text of a block, and of text for each slice of the fingerprints; the least number of slices (as a power of 2); weight of the bigram estimate.
 BLOCK_BYTES, SLICE_BYTES, SLICE_BITS, BIGRAM_WEIGHT = 8 << 20, 16 << 20, 8, 0.6
@@ -173,16 +173,16 @@ def cross_entropy_difference(docs: DataFrame, target: str | Column, id_col: str
     spark = docs.sparkSession
     marked = F.coalesce((F.col(target) if isinstance(target, str) else target).cast("boolean"), F.lit(False))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), marked.alias("wanted"))
-    blocks = materialize(own.mapInArrow(_blocks(block_bytes), "block long, n_bytes long, texts binary, docs binary, ids array<long>"))
+    blocks = materialize(own.transform(mapped, _blocks(block_bytes), "block long, n_bytes long, texts binary, docs binary, ids array<long>"))
     size = blocks.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
     bits = max(SLICE_BITS, (size.bytes // SLICE_BYTES).bit_length())
     parts = shuffle_partitions(spark)
-    counts = blocks.select("block", "texts", "docs").mapInArrow(_count(bits), "slice int, block long, payload binary, own_starts long, all_starts long")
+    counts = blocks.select("block", "texts", "docs").transform(mapped, _count(bits), "slice int, block long, payload binary, own_starts long, all_starts long")
     counts = counts.repartition(max(parts, 1 << bits - 2), "slice").sortWithinPartitions("slice", "block")
-    answers = materialize(counts.mapInArrow(_add, "block long, slice int, counts binary, " + ", ".join(f"{c} long" for c in _SUMS)))
+    answers = materialize(counts.transform(mapped, _add, "block long, slice int, counts binary, " + ", ".join(f"{c} long" for c in _SUMS)))
     sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMS)).first()
     kinds = {"texts": "binary", "docs": "binary", "ids": "array<long>", "counts": "binary"}
     rows = lambda df, slice_: df.select("block", slice_.alias("slice"), *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
     met = rows(blocks, F.lit(-1)).union(rows(answers, F.col("slice"))).repartition(max(parts, size.n), "block").sortWithinPartitions("block", "slice")
     score = _score((float(sums.n_own + sums.n_words), float(sums.n_all + sums.n_words)), (sums.own_starts, sums.all_starts))
-    return met.mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return met.transform(mapped, score, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import mapped
 from .tokens import default_vocabulary, encoder
 
 CAPACITY, SMALLEST = 1024, 64
@@ -108,4 +109,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     Repeated rows: packed each. Empty table: empty result. Other columns are not read. The vocabulary file must exist on every executor.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_pack(vocabulary or default_vocabulary(), capacity, end), _SCHEMA)
+    return own.transform(mapped, _pack(vocabulary or default_vocabulary(), capacity, end), _SCHEMA)

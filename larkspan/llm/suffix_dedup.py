@@ -26,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U, by_bucket, doc_group, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
+from .core import U, by_bucket, doc_group, mapped, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
 
 #: Bytes of one anchor. Any value up to ``length`` gives the same result; about half makes the two shuffles equally large.
 ANCHOR = 50
-#: Bytes of text that make up one batch of the index.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that make up one batch of the index, and strings that are checked in one.
+BATCH_BYTES, BATCH_STRINGS = 4 << 20, 1 << 18
+#: Bytes of text for each shard of the index, which one task holds.
+SHARD_BYTES = 32 << 20
 #: An anchor with more distinct segments in one batch is a common line: its segments are checked by string at once, and the anchor's shard hears of
 #: it by one mark, so a batch never sends a shard more than this for one anchor.
 HOT_SEGMENTS = 8
@@ -111,6 +113,9 @@ def _blocks(starts: np.ndarray, ends: np.ndarray, length: int, step: int = 1 <<
     """(document, start, end) arrays of pieces to work on together; a long document comes in pieces that overlap by length - 1 bytes."""
     which, lo, hi, size = [], [], [], 0
     for d, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+        if which and e - s > 2 * step:
+            yield np.array(which), np.array(lo), np.array(hi)
+            which, lo, hi, size = [], [], [], 0
         while e - s > 2 * step:
             yield np.array([d]), np.array([s]), np.array([s + step + length - 1])
             s += step
@@ -356,7 +361,7 @@ def _scan_strings(length: int, n_buckets: int, n_groups: int):
             if not some:
                 continue
             wanted = np.cumsum(marks[:-1]) > 0
-            found = []
+            found, n = [], 0
             for which, lo, hi in _blocks(starts, ends, length):
                 if not wanted[int(lo[0]) : int(hi[-1])].any():
                     continue
@@ -364,41 +369,49 @@ def _scan_strings(length: int, n_buckets: int, n_groups: int):
                 at = np.flatnonzero(valid & wanted[base : base + len(valid)])
                 piece = which[np.searchsorted(lo - base, at, "right") - 1]
                 found.append((_hash_spans(p, at, at + length), (anchor[at] >> U(32)).astype("<u4"), ids[piece], (at + base - starts[piece]).astype("<u4")))
-            if not found:
-                continue
-            lost: list = []
-            kept = IndexFamily._settle([np.concatenate(x) for x in zip(*found)], lost)
-            rows = []
-            if lost:
-                doc, pos = lost[0][2], lost[0][3].astype(np.int64)
-                doc, s, e = _runs(doc, pos, pos + length)
-                rows += _answers(doc, s, e, np.zeros(len(doc), bool), n_groups)
-            order = np.lexsort((kept[3], kept[2]))
-            kept = [c[order] for c in kept]
-            for k, r in by_bucket((kept[0] % U(n_buckets)).astype(np.int64)):
-                rows.append((k, 0, pack(*(c[r].astype(t) for c, t in zip(kept, _WINDOW)))))
-            yield from _flush(rows)
+                n += len(at)
+                if n >= BATCH_STRINGS:
+                    yield from settled(found)
+                    found, n = [], 0
+            if n:
+                yield from settled(found)
+
+    def settled(found: list) -> Iterator[pa.RecordBatch]:
+        lost: list = []
+        kept = IndexFamily._settle([np.concatenate(x) for x in zip(*found)], lost)
+        rows = []
+        if lost:
+            doc, pos = lost[0][2], lost[0][3].astype(np.int64)
+            doc, s, e = _runs(doc, pos, pos + length)
+            rows += _answers(doc, s, e, np.zeros(len(doc), bool), n_groups)
+        order = np.lexsort((kept[3], kept[2]))
+        kept = [c[order] for c in kept]
+        for k, r in by_bucket((kept[0] % U(n_buckets)).astype(np.int64)):
+            rows.append((k, 0, pack(*(c[r].astype(t) for c, t in zip(kept, _WINDOW)))))
+        yield from _flush(rows)
 
     return run
 
 
 def _dealt(df: DataFrame, fn, n: int) -> DataFrame:
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(fn, _ROWS)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").transform(mapped, fn, _ROWS)
 
 
 def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """documents with the byte ranges to remove: doc_id, text, gone, more (both binary, pairs of unsigned 32-bit numbers), and the struct ``carried``."""
-    n = shuffle_partitions(docs.sparkSession)
+    # A shard's share of the text is the same at every size.
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n = max(shuffle_partitions(docs.sparkSession), -(-size // SHARD_BYTES))
     # Answers go back to groups of documents, fewer than there are shards, so that their rows stay few.
     g = max(8, n // 4)
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
-    found = _dealt(own.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_scan(length, n, g), _ROWS), _judge_segments(length, g), n)
-    first = materialize(found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary"))
+    found = _dealt(own.where(F.col("doc_id").isNotNull()).select("doc_id", "text").transform(mapped, _scan(length, n, g), _ROWS), _judge_segments(length, g), n)
+    first = materialize(found.repartition(n, "bucket").sortWithinPartitions("bucket").transform(mapped, _per_document, "r_id long, gone binary, check binary"))
     joined = own.join(first, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "check", "carried")
     # No filter on the ranges here: with one, this join's exchange of the texts would differ from the last join's and be written twice.
-    strings = joined.select("doc_id", "text", "check", "carried").mapInArrow(_scan_strings(length, n, g), _ROWS)
-    second = _dealt(strings, _judge_strings(length, g), n).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_per_document, "r_id long, gone binary, check binary")
+    strings = joined.select("doc_id", "text", "check", "carried").transform(mapped, _scan_strings(length, n, g), _ROWS)
+    second = _dealt(strings, _judge_strings(length, g), n).repartition(n, "bucket").sortWithinPartitions("bucket").transform(mapped, _per_document, "r_id long, gone binary, check binary")
     second = second.select("r_id", F.col("gone").alias("more"))
     return joined.join(second, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "more", "carried")
 
@@ -453,5 +466,5 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     found = removed_ranges(docs, length, id_col, text_col, carry)
     kind = found.schema["carried"].dataType.simpleString()
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, carried {kind}"
-    out = found.mapInArrow(_digest, schema)
+    out = found.transform(mapped, _digest, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *(F.col("carried")[c].alias(c) for c in carry))

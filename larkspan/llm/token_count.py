@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import materialize
+from .core import mapped, materialize
 from .tokens import default_vocabulary, encoder
 
 #: Tokens of a block; blocks that one row of the upper level of the scan sums up.
@@ -33,7 +33,7 @@ def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOC
                 for i in range(0, max(len(data), 1), block_bytes):
                     yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([i // block_bytes], pa.int64()), pa.array([bytes(data[i : i + block_bytes])], pa.binary())], ["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").mapInArrow(run, _BLOCKS)
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").transform(mapped, run, _BLOCKS)
 
 
 def flatten(docs: DataFrame, vocabulary: str | None = None, end: int = 50256, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +71,7 @@ def flatten(docs: DataFrame, vocabulary: str | None = None, end: int = 50256, bl
         yield from cut(True)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, f"{_BLOCKS}, doc_ids array<long>")
+    return own.transform(mapped, run, f"{_BLOCKS}, doc_ids array<long>")
 
 
 def _scan(end: int, dtype: str):
@@ -94,7 +94,7 @@ def separator_scan(blocks: DataFrame, end: int = 50256, dtype: str = "<u2") -> D
     Blocks of a file are those numbers there are, in ascending order; a repeated block is an error of the input and counts twice. Null or empty
     payloads hold no tokens. Empty documents (two separators in a row) are documents of 0 tokens. Empty table: empty result.
     """
-    found = blocks.select(F.col("file").cast("long").alias("file"), F.col("block").cast("long").alias("block"), F.col("payload")).mapInArrow(_scan(end, dtype), "file long, block long, n long, ends array<long>")
+    found = blocks.select(F.col("file").cast("long").alias("file"), F.col("block").cast("long").alias("block"), F.col("payload")).transform(mapped, _scan(end, dtype), "file long, block long, n long, ends array<long>")
     found = materialize(found.withColumn("chunk", F.floor(F.col("block") / CHUNK)))
     last = F.try_element_at("ends", F.lit(-1))
 

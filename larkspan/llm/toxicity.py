@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import carried
+from .core import carried, mapped
 
 #: Bound on labelled documents that a model is fitted on, for each class, and on bytes of one that training reads (a document beyond is left out).
 TRAIN_DOCS, TRAIN_BYTES = 2000, 1 << 16
@@ -208,4 +208,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     model = train(docs, labels, id_col, text_col, label_col, max_docs, window=window)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(carry or []))
-    return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), window), "doc_id long, held_out boolean, score double, predicted int" + carried(own, carry))
+    return own.transform(mapped, _score(docs.sparkSession.sparkContext.broadcast(model), window), "doc_id long, held_out boolean, score double, predicted int" + carried(own, carry))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .core import mapped
+
 #: (host, path, verdict): a rule fits its host and all subdomains if the url's path starts with its path; the longest wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: One of these rejects an url.
@@ -92,4 +94,4 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, str
     are judged like others. Empty table: empty result. Other columns are not read. No shuffle.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    return own.mapInArrow(_judge(rules, strict, soft, distinct), "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_terms long")
+    return own.transform(mapped, _judge(rules, strict, soft, distinct), "page_id long, host string, path string, rule string, verdict string, strict_hits long, soft_terms long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import ALNUM, LOWER, STEP, U, carried, gram_hashes, groups, materialize, merged, sliding, span_hashes, text_bytes, word_spans
+from .core import ALNUM, LOWER, STEP, U, carried, gram_hashes, groups, mapped, materialize, merged, sliding, span_hashes, text_bytes, word_spans
 
 #: Words of a window, and of a fingerprinted k-gram.
 WINDOW, GRAM = 13, 7
@@ -217,11 +217,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     if size <= held_bytes:
         known = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in items.collect()])
-        return own.mapInArrow(_held(known, window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
+        return own.transform(mapped, _held(known, window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
     # Rows have no key of their own that is sure to be unique, so each gets one that is written down before it is used twice.
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()))
-    theirs = items.select("item", "text").mapInArrow(_reported(window, k, "item"), "kind long, fp long, item string").distinct()
-    ours = own.select("row", "text").mapInArrow(_reported(window, k, "row"), "kind long, fp long, row long")
+    theirs = items.select("item", "text").transform(mapped, _reported(window, k, "item"), "kind long, fp long, item string").distinct()
+    ours = own.select("row", "text").transform(mapped, _reported(window, k, "row"), "kind long, fp long, row long")
     pairs = ours.join(theirs, ["kind", "fp"]).select("row", "item").distinct()
     listed = pairs.join(items.select("item", F.col("text").alias("item_text")), "item").groupBy("row").agg(F.collect_set(F.struct("item", "item_text")).alias("items"))
-    return own.join(listed, "row", "left").select("doc_id", "text", "items", *(carry or [])).mapInArrow(_pairwise(window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
+    return own.join(listed, "row", "left").select("doc_id", "text", "items", *(carry or [])).transform(mapped, _pairwise(window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
