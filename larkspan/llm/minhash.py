@@ -7,7 +7,8 @@
    below the miss probability; survivors are verified on full shingle sets.
 3. Components are found. Only buckets in which members of different components meet need more: their members are compared in blocks, pairs
    across components only, by signature; the members of surviving pairs are compared in blocks again, on full sets. Pairs within a component
-   can't change it, so no link is lost to the short cut.
+   can't change it, so no link is lost to the short cut. Members of the bucket's main component (its smallest member's) lie in blocks of their
+   own, which don't meet each other: a group of near copies of any size costs as many block pairs as it has blocks.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import LOWER, NOT_SPACE, STEP, U, documents_input, gram_hashes, groups, matching, materialize, mix, span_hashes, text_bytes, word_spans
+from .core import LOWER, NOT_SPACE, STEP, U, documents_input, gram_hashes, groups, light, mapped, matching, materialize, mix, shuffle_partitions, span_hashes, text_bytes, word_spans
 
 #: Rows of a band key, and number of bands: a pair at the threshold 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
-#: Signature values kept for verification, and how many one step of it compares.
+#: Signature values kept for verification (16 bits of each), and how many one step of it compares.
 SIGNATURE, STEP_VALUES = 128, 16
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * U(2) + U(1)
-#: Members of one block when a bucket holds several components.
-BLOCK = 1024
+#: Members of one block when a bucket holds several components, with signatures and with full sets.
+BLOCK, SET_BLOCK = 1024, 128
+#: Links that one task joins into trees before components are sought across tasks.
+EDGES = 1 << 18
 
 
 def shingle_sets(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +83,8 @@ def _sketch(k: int):
                 for c in range(ROWS):
                     bands = mix(bands * U(31) + signature[:, c::ROWS])
                 bands += np.arange(BANDS, dtype=U)
-                values = (signature[:, :SIGNATURE] >> U(32)).astype("<u4")
+                # The least bits: the greatest ones of a minimum are mostly 0.
+                values = signature[:, :SIGNATURE].astype("<u2")
                 sig: list[bytes | None] = [None] * (j - i)
                 keys: list[np.ndarray | None] = [None] * (j - i)
                 for r, d in enumerate(full):
@@ -122,7 +126,7 @@ def _alive(a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def _prune(bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SIGNATURE) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SIGNATURE) for c in (2, 3))
             keep = pa.array(_alive(a, b, bounds), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -158,12 +162,12 @@ def _block_pairs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, list[dict],
 def _across(left: list[dict], right: list[dict], same: bool, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each member of the left side, with those of the right side that lie in another component and whose signature survives every step."""
     comps = np.array([r["component"] for r in right])
-    sigs = np.frombuffer(b"".join(r["sig"] for r in right), "<u4").reshape(-1, SIGNATURE)
+    sigs = np.frombuffer(b"".join(r["sig"] for r in right), "<u2").reshape(-1, SIGNATURE)
     for i, r in enumerate(left):
         at = np.flatnonzero(comps != r["component"])
         at = at[at > i] if same else at
         if len(at):
-            own = np.broadcast_to(np.frombuffer(r["sig"], "<u4"), (len(at), SIGNATURE))
+            own = np.broadcast_to(np.frombuffer(r["sig"], "<u2"), (len(at), SIGNATURE))
             yield i, at[_alive(own, sigs[at], bounds)]
 
 
@@ -174,11 +178,12 @@ def _meet_blocks(bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for band, same, left, right in _block_pairs(batch):
-                keys = [np.array([r["bands"] for r in side], np.int64) for side in (left, right)]
+                keys = [np.array([r["marks"] for r in side], np.int32) for side in (left, right)]
+                own = np.int64(band).astype(np.int32)
                 found: set[int] = set()
                 for i, at in _across(left, right, same, bounds):
                     first = (keys[1][at] == keys[0][i]).argmax(1)
-                    at = at[keys[0][i][first] == band]
+                    at = at[keys[0][i][first] == own]
                     if len(at):
                         found.add(left[i]["doc_id"])
                         found.update(right[j]["doc_id"] for j in at)
@@ -252,24 +257,49 @@ def _exact(percent: int):
     return run
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (smallest node reachable) for every node of the undirected edges (a, b): alternating large- and small-star steps, each a
-    grouped minimum and a join, until nothing changes. Every step is checkpointed."""
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one task as (node, smallest node that they reach)."""
+    sides = [np.concatenate(x) for x in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows))]
+    if not sides:
+        return
+    nodes, at = np.unique(np.concatenate(sides), return_inverse=True)
+    a, b = at[: len(sides[0])], at[len(sides[0]) :]
+    top = np.arange(len(nodes))
+    while (top[a] != top[b]).any():
+        least = np.minimum(top[a], top[b])
+        np.minimum.at(top, top[a], least)
+        np.minimum.at(top, top[b], least)
+        while (top[top] != top).any():
+            top = top[top]
+    below = np.flatnonzero(top != np.arange(len(nodes)))
+    for i in range(0, len(below), 1 << 16):
+        some = below[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[top[some]])], ["a", "b"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, per_task: int = EDGES) -> DataFrame:
+    """node, component (smallest node reachable) for every node of the undirected edges (a, b).
+
+    Each task joins its own links into trees, about ``per_task`` of them; where one task has them all, that is the result. Else alternating large- and
+    small-star steps follow, each a grouped minimum and a join, until nothing changes. Every step is checkpointed."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = materialize(light(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
+    tasks = max(1, -(-edges.count() // per_task))
+    edges = materialize(edges.coalesce(tasks).transform(mapped, _trees, "a long, b long"))
     state = None
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if tasks > 1 else 0):
         pairs = both(edges)
         least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        edges = materialize(large.join(least, "a").select(ends.alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        edges = materialize(large.join(least, "a").select(ends.alias("e")).select("e.a", "e.b").where("a <> b").distinct().coalesce(tasks))
         before, state = state, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
@@ -284,19 +314,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     """
     percent = round(threshold * 100)
     own = documents_input(docs, id_col, text_col)
-    sketch = materialize(own.mapInArrow(_sketch(k), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"))
+    sketch = materialize(own.transform(mapped, _sketch(k), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     keys = ["set_a", "set_b", "n_shingles"]
     classes = materialize(full.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
     # One row stands for each class: the sketch of its representative. Only the copies' ids travel, not the sketches.
-    copies = full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id")
-    reps = matching(full.select("doc_id", "sig", "bands"), copies, "left_anti")
+    copies = full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id", *keys)
+    reps = matching(full, copies, "left_anti").select("doc_id", "sig", "bands")
+    # An id with several texts may be in several classes: their representatives are linked.
+    repeated = materialize(light(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
+    held = docs.sparkSession.createDataFrame([], "a long, b long")
+    if repeated.limit(1).count():
+        reps = reps.distinct()
+        held = matching(full.select("doc_id", *keys), repeated, "left_semi").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     # From here on only documents that share a bucket play a part.
-    shared = materialize(members.join(materialize(buckets), "band"))
+    shared = materialize(members.join(materialize(buckets).select("band", "pivot"), "band"))
     bounds = posterior_bounds(threshold, miss)
-    sigs = materialize(matching(reps.select("doc_id", "sig", "bands"), shared.select("doc_id"), "left_semi"))
+    # The place of a pair's first common band is found with 32 bits of each band's key.
+    marks = F.transform("bands", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int"))
+    sigs = materialize(matching(reps.select("doc_id", "sig", marks.alias("marks")), shared.select("doc_id"), "left_semi"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -304,48 +342,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """Full sets, made of the documents in question only."""
-        return materialize(matching(own, ids, "left_semi").mapInArrow(_sets(k), "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates())
+        return materialize(matching(own, ids, "left_semi").transform(mapped, _sets(k), "doc_id long, set binary").where(F.length("set") > 0).dropDuplicates())
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that hold on full sets."""
-        pairs = materialize(pairs.distinct())
+        pairs = materialize(light(pairs.distinct()))
         sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
         x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
         x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-        return materialize(x.mapInArrow(_exact(percent), "a long, b long").distinct())
+        return materialize(light(x.transform(mapped, _exact(percent), "a long, b long").distinct()))
 
     star = shared.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = verified(with_signatures(star).mapInArrow(_prune(bounds), "a long, b long"))
-    found = materialize(components(edges))
+    edges = verified(with_signatures(star).transform(mapped, _prune(bounds), "a long, b long")).union(held)
+    found = materialize(light(components(edges)))
 
     def component(df: DataFrame, c: str) -> DataFrame:
-        return df.join(found.select(F.col("node").alias(c), "component"), c, "left").withColumn("component", F.coalesce("component", F.col(c)))
-
-    placed = component(shared, "doc_id")
-    mixed = materialize(placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("n").alias("n")).where("x < y").select("band", "n"))
-
-    def compared(members: DataFrame, columns: list[str], kernel, schema: str) -> DataFrame:
-        """The kernel over all pairs of blocks of each bucket. members: band, n (the bucket's size), doc_id and the columns. A bucket of one block,
-        as nearly all are, needs no join, so its rows are shuffled once."""
-        x = members.withColumn("n_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.expr("pmod(xxhash64(doc_id), n_blocks)").cast("int"))
-        blocks = lambda which: x.where(which).groupBy("band", "block", "n_blocks").agg(F.collect_list(F.struct("doc_id", *columns)).alias("rows"))
-        one, many = blocks("n_blocks = 1"), blocks("n_blocks > 1")
-        left = many.select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(F.expr("sequence(block, n_blocks - 1)")).alias("j"))
-        right = many.select("band", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
-        pairs = left.join(right, ["band", "j"]).select("band", (F.col("i") == F.col("j")).alias("same"), "left_rows", "right_rows")
-        pairs = one.select("band", F.lit(True).alias("same"), F.col("rows").alias("left_rows"), F.slice("rows", 1, 0).alias("right_rows")).union(pairs)
-        return materialize(pairs.mapInArrow(kernel, schema).distinct())
+        name = "component" if c != "pivot" else "main"
+        return df.join(found.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, F.col(c)))
+
+    # Side 0 of a bucket is the component of its pivot, side 1 are all others.
+    placed = materialize(component(component(shared, "doc_id"), "pivot").select("band", "doc_id", "component", (F.col("component") != F.col("main")).cast("int").alias("side")))
+
+    def sized(members: DataFrame) -> DataFrame:
+        """Members of the buckets that have a side 1, with the sizes of both sides."""
+        sizes = members.groupBy("band").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).where("n1 > 0")
+        return members.join(materialize(light(sizes)), "band")
+
+    def compared(members: DataFrame, columns: list[str], block: int, kernel, schema: str) -> DataFrame:
+        """The kernel over all pairs of blocks of each bucket but those of two blocks of side 0. members: band, doc_id, component, side, the sizes of
+        both sides and the columns. A bucket of one block, as nearly all are, needs no join, so its rows are shuffled once."""
+        x = members.withColumn("one", F.col("n0") + F.col("n1") <= block).withColumn("side", F.when(F.col("one"), 0).otherwise(F.col("side")))
+        x = x.withColumn("b0", F.ceil(F.col("n0") / block).cast("int")).withColumn("b1", F.ceil(F.col("n1") / block).cast("int"))
+        x = x.withColumn("block", F.when(F.col("one"), 0).otherwise(F.expr("pmod(xxhash64(doc_id), if(side = 0, b0, b1))").cast("int")))
+        place = ["band", "side", "block"]
+
+        def blocks(which: str) -> DataFrame:
+            # Dealt by block, not by band: a bucket of any size is many tasks' work.
+            dealt = x.where(which).repartition(shuffle_partitions(docs.sparkSession), *place)
+            return dealt.groupBy(*place, "b0", "b1").agg(F.collect_list(F.struct("doc_id", "component", *columns)).alias("rows"))
+
+        pairs = blocks("one").select("band", F.lit(True).alias("same"), F.col("rows").alias("left_rows"), F.slice("rows", 1, 0).alias("right_rows"))
+        if members.where(F.col("n0") + F.col("n1") > block).limit(1).count():
+            many = materialize(blocks("NOT one"))
+            meets = F.expr("concat(transform(sequence(block, b1 - 1), j -> struct(1 AS side, j AS j)), if(b0 = 0, array(), transform(sequence(0, greatest(b0, 1) - 1), j -> struct(0 AS side, j AS j))))")
+            left = many.where("side = 1").select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(meets).alias("m")).select("band", "i", "left_rows", "m.side", "m.j")
+            right = many.select("band", "side", F.col("block").alias("j"), F.col("rows").alias("right_rows"))
+            met = left.join(right, ["band", "side", "j"])
+            pairs = pairs.union(met.select("band", ((F.col("side") == 1) & (F.col("i") == F.col("j"))).alias("same"), "left_rows", "right_rows"))
+        return materialize(light(pairs.transform(mapped, kernel, schema).distinct()))
 
     # Signatures first; full sets travel only to buckets where a pair across components survives, and of its common bands to the first.
-    inside = component(shared.select("doc_id", "band").join(mixed, "band"), "doc_id").join(sigs, "doc_id")
-    met = compared(inside, ["component", "sig", "bands"], _meet_blocks(bounds), "band long, doc_id long")
-    sizes = met.groupBy("band").agg(F.count("*").alias("n"))
-    again = component(met.join(sizes, "band"), "doc_id").join(sigs.select("doc_id", "sig"), "doc_id").join(sets_of(met.select("doc_id")), "doc_id")
-    extra = compared(again, ["component", "sig", "set"], _link_blocks(bounds, percent), "a long, b long")
+    inside = materialize(sized(placed))
+    met = compared(inside.join(sigs, "doc_id"), ["sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long")
+    again = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]))
+    again = again.join(sigs.select("doc_id", "sig"), "doc_id").join(sets_of(met.select("doc_id")), "doc_id")
+    extra = compared(again, ["sig", "set"], SET_BLOCK, _link_blocks(bounds, percent), "a long, b long")
     if extra.limit(1).count():
-        found = materialize(components(edges.union(extra)))
-    last = component(classes, "rep").select(*keys, F.col("component").alias("component_id"))
-    # Ids that have several texts join what their texts are in.
+        found = materialize(light(components(edges.union(extra))))
+    last = component(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select(*keys, F.col("component").alias("component_id"))
     linked = full.select("doc_id", *keys).join(last, keys)
     return (
         linked.select("doc_id", "n_shingles", "component_id")

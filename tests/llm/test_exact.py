@@ -70,6 +70,21 @@ def test_suffix_dedup(docs, empty, rows):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_pieces_of_long_documents_are_bounded():
+    """Short documents before a long one don't join its pieces."""
+    at = np.array([0, 300, 300 + (12 << 20)])
+    spans = [int(hi[-1] - lo[0]) for _, lo, hi in suffix_dedup._blocks(at[:-1], at[1:], 100)]
+    assert max(spans) <= (1 << 20) + 100 and sum(spans) >= 12 << 20
+
+
+def test_suffix_dedup_in_many_batches(docs, monkeypatch):
+    """Batches and shards of other sizes give the same result."""
+    want = {(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    for name, value in (("BATCH_BYTES", 3000), ("BATCH_STRINGS", 500), ("SHARD_BYTES", 2000)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    assert {(r.doc_id, r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect()} == want
+
+
 def test_index_family_levels():
     rng = np.random.default_rng(3)
     family, all_ = suffix_dedup.IndexFamily(), {}
@@ -115,6 +130,7 @@ def test_near_duplicates(docs, empty, rows):
 def test_near_duplicates_beyond_the_pivot(spark, monkeypatch, block):
     """Families that drift: most links are not with a bucket's smallest member, and similarities lie on both sides of the threshold."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SET_BLOCK", min(block, 7))
     rng = random.Random(11)
     rows = []
     for family in range(3):
@@ -134,6 +150,30 @@ def test_near_duplicates_beyond_the_pivot(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(own)) and 3 < len(set(own)) < 100
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id shares the links of all its texts, be one of them another id's copy or not."""
+    words = lambda k, i: [f"{k}{j}" for j in range(i)]
+    a, b = " ".join(words("a", 60)), words("b", 80)
+    near = " ".join([*b[:-1], "other"])
+    rows = [(3, a), (5, a), (5, " ".join(b)), (9, near), (9, near), (11, " ".join(words("c", 20)))]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (5, 3), (5, 3), (9, 3), (9, 3), (11, 11)]
+
+
+@pytest.mark.parametrize("per_task", [1 << 18, 7])
+def test_components(spark, per_task):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(7, 7), (400, 401), (401, 400)]
+    own = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in own:
+        for a, b in edges:
+            if a != b:
+                own[a] = own[b] = min(own[a], own[b])
+    found = minhash.components(spark.createDataFrame(edges, "a long, b long"), per_task=per_task).collect()
+    assert {r.node: r.component for r in found} == own and len(found) == len(own)
+    assert minhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_block_links_and_bounds():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 90, 60)).astype(np.uint64) for _ in range(9)]
