@@ -28,10 +28,24 @@ def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSessio
 def ship(spark: SparkSession) -> SparkSession:
     """Lets Python workers on machines that see this folder import the package (elsewhere, pass it with --py-files), and keeps the batches that they
     get small, so that very long texts don't fill their memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     root = str(Path(__file__).resolve().parent.parent)
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, below spark.checkpoint.dir. Only where they are one process may that be unset."""
+    import tempfile
+    from uuid import uuid4
+
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="larkspan-scratch-")
+    return f"{folder.rstrip('/')}/scratch-{uuid4().hex}"
