@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.core import checkpoint_dir, matching, materialize, read
+from larkspan.llm.core import checkpoint_dir, matching, materialize, read, with_row_key
 from larkspan.llm.minhash import near_duplicates
 from larkspan.llm.packing import pack
 from larkspan.llm.suffix_dedup import suffix_dedup
@@ -20,30 +20,35 @@ REPEAT_BYTES = 100
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row by its own verdict, whatever its id."""
+    """Rows that the classifier does not reject, each by its own verdict, whatever its id.
+
+    Null, empty and repeated texts are judged as ``toxicity`` says (without windows: as ordinary); no labels: nothing is toxic unless most are. Empty
+    table: empty result. Columns beside those of documents are left out."""
     return toxicity(docs, read(ship(spark), sf_dir, "labels"), carry=COLUMNS[2:]).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are told apart by a key that is written down first, so those without an id or with a repeated one have a verdict of their own. Of each
-    group the row of the smallest id stays (a row without id only if there is none with)."""
-    from uuid import uuid4
+    """One row of each group of near duplicates (five words, similarity 0.8): that of the smallest id; a row without an id only if the group has none
+    with one; of rows with one id, the one that was read first.
 
-    ship(spark)
-    folder = f"{checkpoint_dir(spark)}/rows-{uuid4().hex}"
-    docs.withColumn("row", F.monotonically_increasing_id()).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    # Only rows of groups of several are compared by id.
+    Rows have a key of their own, so those without an id or with a repeated one have a verdict of their own. Null texts and texts without words are
+    in no group and stay. Empty table: empty result. Columns beside those of documents are left out, a column named like the key too."""
+    rows = with_row_key(docs.select(*COLUMNS) if "row" in docs.columns else docs)
     found = materialize(near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
-    groups = found.where("row <> component").select("component").distinct()
-    members = found.join(groups, "component").join(rows.select("row", "doc_id"), "row").select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place"))
-    members = materialize(members)
+    # Only rows of groups of several are compared by id: those with another's component, and the rows that these components are named by.
+    others = found.where("row <> component")
+    grouped = others.union(others.select(F.col("component").alias("row"), "component").distinct())
+    members = materialize(grouped.join(rows.select("row", "doc_id"), "row").select("row", "component", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place")))
     stays = members.groupBy("component").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
-    gone = members.select("row").join(stays, "row", "left_anti")
-    return matching(rows.withColumnRenamed("doc_id", "id").withColumnRenamed("row", "doc_id"), gone.select(F.col("row").alias("doc_id")), "left_anti").drop("doc_id").withColumnRenamed("id", "doc_id").select(*COLUMNS)
+    return matching(rows, members.select("row").join(stays, "row", "left_anti"), "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text without the passages of ``REPEAT_BYTES`` bytes that also start earlier (smaller id, or same document); characters stay whole.
+    n_chars is counted anew where something was cut.
+
+    Null and empty texts stay as they are. Rows without an id stay uncut and are no source of copies; rows with one id and one text are one
+    document. Empty table: empty result. Columns beside those of documents are left out."""
     ship(spark)
     cut = suffix_dedup(docs, REPEAT_BYTES, carry=["lang", "source", "n_chars"])
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -51,11 +56,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row by its own verdict, whatever its id."""
+    """Rows that are not contaminated by the benchmark, each by its own verdict, whatever its id.
+
+    Null texts and texts without words are not contaminated. Empty table, or empty benchmark: as it was. Columns beside those of documents are left out."""
     return decontaminate(docs, read(ship(spark), sf_dir, "benchmark"), carry=COLUMNS[2:]).where("NOT contaminated").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows as pieces in sequences of at most 1024 ids, as ``pack`` says. Null texts are empty documents; rows without an id have a null doc_id;
+    repeated rows are packed each. Empty table: empty result."""
     ship(spark)
     return pack(docs)
 
@@ -68,7 +77,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Compression distance and byte-pair encoding are not expressible in SQL; tests/llm/test_pipeline.py checks each stage against brute force.
+#: Compression distance and byte-pair encoding are not expressible in SQL; tests/llm/test_pipeline.py checks the stages on planted cases, and
+#: tests/llm/test_exact.py the operators against brute force.
 ORACLE_SQL = None
 
 
