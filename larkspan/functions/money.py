@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Monthly pay below which a currency's amount is taken as hourly.
-HOURLY_BELOW = {"RUB": 30000, "USD": 500, "EUR": 500, "GBP": 500, "KZT": 50000, "UZS": 1000000, "AED": 2000}
+HOURLY_BELOW = {"RUB": 30000, "USD": 500, "EUR": 500, "KZT": 50000, "UZS": 1000000, "AED": 2000, "GBP": 500}
 ANNUAL_FROM, HOURS, MONTHS = 25000, 160, 12
 SYMBOLS = [("₽|руб", "RUB"), (r"\$", "USD"), ("€", "EUR")]
 
@@ -29,10 +29,13 @@ def parse_salary(raw: Column, upto: str = "до", since: str = "от", symbols:
 
 
 def salary_from_json(ld: Column) -> Column:
-    """bounds of baseSalary: an object's min and max, a scalar's own value for both, else nulls."""
-    value = F.get_json_object(ld, "$.baseSalary.value")
-    scalar = value.try_cast("double")
-    return F.struct(F.coalesce(F.get_json_object(ld, "$.baseSalary.value.minValue").try_cast("double"), scalar).alias("low"), F.coalesce(F.get_json_object(ld, "$.baseSalary.value.maxValue").try_cast("double"), scalar).alias("high"))
+    """struct(low, high, currency) of baseSalary: an object's min and max, a scalar's own value for both, else nulls. Only an object has a
+    currency."""
+    base = F.get_json_object(ld, "$.baseSalary")
+    value, given = F.get_json_object(ld, "$.baseSalary.value"), F.coalesce(base.startswith("{"), F.lit(False))
+    scalar = F.when(~F.coalesce(value.startswith("{"), F.lit(False)), value.try_cast("double"))
+    bound = lambda name: F.when(given, F.coalesce(F.get_json_object(ld, f"$.baseSalary.value.{name}").try_cast("double"), scalar))
+    return F.struct(bound("minValue").alias("low"), bound("maxValue").alias("high"), F.when(given, F.get_json_object(ld, "$.baseSalary.currency")).alias("currency"))
 
 
 def normal_code(code: Column, aliases: dict[str, str]) -> Column:
@@ -45,18 +48,20 @@ def normal_code(code: Column, aliases: dict[str, str]) -> Column:
 
 def mentioned_currency(text: Column, pattern: str, aliases: dict[str, str], home: str = "RUB") -> Column:
     """first currency mentioned next to an amount that is not the home currency."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), lambda x: F.create_map(*(F.lit(v) for kv in aliases.items() for v in kv))[x])
-    return F.get(F.filter(found, lambda x: x.isNotNull() & (x != home)), F.lit(0))
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), lambda x: F.coalesce(F.create_map(*(F.lit(v) for kv in aliases.items() for v in kv))[F.trim(x)], F.upper(x)))
+    return F.get(F.filter(found, lambda x: (x != "") & (x != home)), F.lit(0))
 
 
 def monthly(low: Column, high: Column, currency: Column, text: Column, hourly: str, annual: str) -> Column:
-    """F32: factor that turns an amount into a monthly one, 1 where nothing is known."""
+    """F32: factor that turns an amount into a monthly one, 1 where nothing is known. A null currency is the home currency; a code that is not in the
+    table has its own two defaults."""
     top = F.greatest(F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(0.0)))
     table = F.create_map(*(F.lit(x) for k, v in HOURLY_BELOW.items() for x in (k, float(v))))
-    least = F.coalesce(table[F.coalesce(currency, F.lit("RUB"))], F.lit(float(HOURLY_BELOW["RUB"])))
-    per_year = F.coalesce(text.rlike(annual), F.lit(False)) & (top >= F.coalesce(table[F.coalesce(currency, F.lit(""))], F.lit(float(ANNUAL_FROM))) * MONTHS * 1.5)
+    own = table[F.coalesce(currency, F.lit("RUB"))]
+    least = F.coalesce(own, F.lit(float(HOURLY_BELOW["RUB"])))
+    per_year = F.coalesce(text.rlike(annual), F.lit(False)) & (top >= F.coalesce(own, F.lit(float(ANNUAL_FROM))) * MONTHS * 1.5)
     per_hour = F.when(top < least, True).when(top > 2 * least, False).otherwise(F.coalesce(text.rlike(hourly), F.lit(False)))
-    known = (top > 0) & (F.coalesce(F.trim(text), F.lit("")) != "")
+    known = (top > 0) & (F.coalesce(text, F.lit("")) != "")
     return F.when(~known, 1.0).when(per_year, 1.0 / MONTHS).when(per_hour, float(HOURS)).otherwise(1.0)
 
 
@@ -89,3 +94,31 @@ def to_home(amount: Column, rate: Column) -> Column:
 def parse_time(text: Column, keep_offset: bool = True) -> Column:
     """ISO time in UTC, null if it does not parse. keep_offset=False drops the offset instead of applying it."""
     return F.try_to_timestamp(text) if keep_offset else F.try_to_timestamp(F.substring(text, 1, 19))
+
+
+def to_home_chain(df: DataFrame, low: str, high: str, currency: str, text: str, rates: DataFrame, fallback: DataFrame, aliases: dict[str, str], patterns: list[tuple[str, str]], hourly: str, annual: str, home: str = "RUB") -> DataFrame:
+    """F27 (code), else F29 (first pattern found in the text); F32 (monthly); then the rate. Adds low_home, high_home, code_home: the home code,
+    or the original one where there is no rate and nothing is converted. Without any bound all three are null."""
+    from .rules import first_match
+
+    given = F.nullif(normal_code(F.col(currency), aliases), F.lit(""))
+    resolved = df.withColumn("_code", F.coalesce(given, first_match(F.col(text), patterns)))
+    factor = monthly(F.col(low), F.col(high), F.col("_code"), F.col(text), hourly, annual)
+    rated = with_rates(resolved.withColumn("_factor", factor), "_code", rates, fallback, home)
+    some = F.col(low).isNotNull() | F.col(high).isNotNull()
+    amount = lambda c: to_home(F.col(c) * F.col("_factor"), F.col("rate"))
+    code = F.when(some, F.when(F.col("rate").isNotNull(), F.lit(home)).otherwise(F.col(currency)))
+    return rated.withColumns({"low_home": amount(low), "high_home": amount(high), "code_home": code}).drop("_code", "_factor", "rate")
+
+
+def normalize_pay(low: Column, high: Column, currency: Column, text: Column, place: Column, aliases: dict[str, str], mentioned: str, places: list[tuple[list[str], str]], home: str = "RUB") -> Column:
+    """F28, F30, F31, F33 in their order: struct(low, high, currency). The code (by alias of its lower-cased text, else upper-cased), else the first
+    foreign one mentioned in the text, else by the place; without any, all are null. Amounts become monthly by their size; 0 counts as missing."""
+    from .rules import contains_first
+
+    table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    given = F.when(F.coalesce(currency, F.lit("")) != "", F.coalesce(table[F.lower(F.trim(currency))], F.upper(currency)))
+    code = F.coalesce(given, mentioned_currency(text, mentioned, aliases, home), contains_first(F.lower(place), places))
+    a, b = F.nullif(low, F.lit(0.0)), F.nullif(high, F.lit(0.0))
+    factor = monthly_by_size(low, high)
+    return F.struct(F.when(code.isNotNull(), a * factor).alias("low"), F.when(code.isNotNull(), b * factor).alias("high"), code.alias("currency"))

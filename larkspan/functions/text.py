@@ -12,8 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Punctuation of junk and divider lines (bullets, dashes and box drawing besides ASCII marks), bullets, and block tags.
-JUNK_CLASS = r"[\s\-_=*~#.,:;!?|/\\+<>()\[\]{}•–—─-╿]"
+#: Marks of junk lines, marks of divider lines, bullets, and block tags.
+JUNK_CLASS = r"""[\s\-─━═■□▪▸►•*~=_|/\\,.;:!?@#$%^&*()\[\]{}<>«»""''`]"""
+DIVIDER_CLASS = r"""[\s\-─━═▬•*~=_|/\\,.;:!?\[\]{}<>«»""''`]"""
 BULLET = r"^[•\-]\s*"
 BLOCK_TAGS = {"p", "div", "br", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -146,23 +147,52 @@ def css_text(html: Column | str, tag: str | None = None, attribute: str | None =
 
 
 def message_clean(raw: Column | str, labels: str = "source|author|contact|channel|via|link") -> Column:
-    """a channel message as one paragraph. labels: words that, before a colon at a line's start, are dropped."""
-    lines = F.transform(F.split(_c(raw), r"\n"), lambda x: F.trim(x))
-    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^[-=_*~.#]{3,}$"))
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, f"^(?i:{labels}):\\s*", ""), r"[#@]\w+ *", ""))
-    lines = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.trim(strip_bullet(x)))
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    """a channel message as one paragraph, null if nothing is left. labels: words that, before a colon at a line's start, are dropped. A line that
+    is a bullet only ends the paragraph."""
+    lines = F.transform(F.split(_c(raw), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(f"^{DIVIDER_CLASS}{{3,}}$"))
+    lines = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, f"^(?iu:{labels})\\s*:\\s*", "")), r"(?U)[#@]\w+\s*", "")))
+    lines = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.trim(strip_bullet(x)))
+    # Empty lines stand for paragraph breaks; outer ones go.
+    joined = F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.when(x == "", "\x01").otherwise(x)), " "), " *\x01[\x01 ]*", "\n\n")
+    return F.nullif(F.regexp_replace(joined, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def _groups(pattern: str) -> int:
+    """Capturing groups of a pattern: open brackets that are neither escaped, nor in a character class, nor followed by a question mark (but for names)."""
+    n, i, inside = 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            rest = pattern[i + 1 : i + 4]
+            n += not rest.startswith("?") or (rest.startswith("?<") and rest[2:3] not in ("=", "!"))
+        i += 1
+    return n
 
 
 def sections(text: Column | str, headers: list[tuple[str, str]]) -> Column:
     """F8a-c: array of (key, content), the preamble under key ''. headers: (pattern, key), the earlier wins at one offset. Contents that belong to
-    one key stay separate rows of the array, in order. Headers are marked in the text and split on, so offsets aren't needed."""
-    t = _c(text)
-    for pattern, key in headers:
-        t = F.regexp_replace(t, f"(?iu)(?<!\\x02)(?:{pattern})", f"\x01{key}\x02")
+    one key stay separate rows of the array, in order. The text is matched once, by all patterns together, and split at the headers, so neither a key
+    nor a header is searched again: of headers within one another the outer one counts. The control characters 1 to 3 of a text become blanks."""
+    t, group, marks = F.translate(_c(text), "\x01\x02\x03", "   "), 1, []
+    for pattern, _ in headers:
+        marks.append(f"${group}")
+        group += 1 + _groups(pattern)
+    if headers:
+        either = "|".join(f"({pattern})" for pattern, _ in headers)
+        # Which group matched tells the key; the others are empty.
+        t = F.regexp_replace(t, f"(?iu)(?:{either})", "\x01" + "\x03".join(marks) + "\x02")
     parts = F.split(t, "\x01")
+    keys = F.array(*(F.lit(key) for _, key in headers)) if headers else F.array().cast("array<string>")
+    which = lambda p: F.get(keys, F.array_position(F.transform(F.split(F.substring_index(p, "\x02", 1), "\x03"), lambda g: g != ""), True).cast("int") - 1)
     tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[•\-*_\s]+", ""), " {3,}", "  "))
-    return F.transform(parts, lambda p: F.when(p.contains("\x02"), F.struct(F.substring_index(p, "\x02", 1).alias("key"), tidy(F.substring_index(p, "\x02", -1)).alias("content"))).otherwise(F.struct(F.lit("").alias("key"), F.trim(p).alias("content"))))
+    return F.transform(parts, lambda p: F.when(p.contains("\x02"), F.struct(which(p).alias("key"), tidy(F.substring_index(p, "\x02", -1)).alias("content"))).otherwise(F.struct(F.lit("").alias("key"), F.trim(p).alias("content"))))
 
 
 def merge_sections(parts: Column, noise: list[str]) -> Column:
@@ -192,12 +222,38 @@ def salvage_json(raw: Column | str) -> Column:
 
 
 def json_posting(html: Column | str) -> Column:
-    """First JSON-LD script with @type JobPosting, '{}' if none; scripts that don't parse are skipped."""
+    """First JSON-LD object with @type JobPosting, in a script by itself or as an element of its list, '{}' if none; scripts that don't parse are
+    skipped."""
     scripts = F.regexp_extract_all(_c(html), F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
-    good = F.filter(scripts, lambda s: F.get_json_object(s, "$['@type']") == "JobPosting")
+    objects = F.flatten(F.transform(scripts, lambda s: F.when(F.trim(s).startswith("["), F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(s))))
+    good = F.filter(objects, lambda s: F.try_parse_json(s).isNotNull() & (F.get_json_object(s, "$['@type']") == "JobPosting"))
     return F.coalesce(F.get(good, F.lit(0)), F.lit("{}"))
 
 
+def nested(ld: Column, *path: str) -> Column:
+    """the string at a path of a JSON text, null where there is none or something else."""
+    value = F.try_variant_get(F.try_parse_json(ld), "$" + "".join(f"['{p}']" for p in path), "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+
+def element_name(element: Column, bare: bool = True) -> Column:
+    """an object's name, a bare string itself (or '' where bare ones don't count), else ''. element: a variant."""
+    kind = F.schema_of_variant(element)
+    name = F.when(kind.startswith("OBJECT"), F.try_variant_get(element, "$.name", "string"))
+    return F.coalesce(name, F.when((kind == "STRING") & F.lit(bare), element.cast("string")), F.lit(""))
+
+
+def truncated(text: Column, n: int) -> Column:
+    """the first n characters; null as ''."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, n)
+
+
+def defaulted(extracted: Column, lists: list[str], scalars: list[str] = ()) -> Column:
+    """a struct with the given fields of a JSON text; absent lists (of JSON values, as text) are empty, absent scalars null."""
+    fields = [F.coalesce(F.from_json(F.get_json_object(extracted, f"$.{name}"), "array<string>"), F.array().cast("array<string>")).alias(name) for name in lists]
+    return F.struct(*fields, *(F.get_json_object(extracted, f"$.{name}").alias(name) for name in scalars))
+
+
 def is_remote(ld: Column | str, text: Column | str, words: str = "remote|home office") -> Column:
     """F18."""
     return F.coalesce(F.get_json_object(_c(ld), "$.jobLocationType") == "TELECOMMUTE", F.lit(False)) | F.coalesce(_c(text).rlike(f"(?iu){words}"), F.lit(False))

@@ -52,6 +52,18 @@ def dummies(column: Column, values: list, prefix: str) -> list[Column]:
     return [F.coalesce((column == v).cast("double"), F.lit(0.0)).alias(f"{prefix}{i}") for i, v in enumerate(values)]
 
 
+def design(rows: DataFrame, owner: str, matrices: list[DataFrame], duties: DataFrame | None = None, clusters: str = "clusters", kept: list = ()) -> DataFrame:
+    """M2: the owners of ``rows`` with their columns, those of each matrix (0 where it has no such owner), and a 0/1 column ``resp_`` for each kept
+    cluster of the owner's set."""
+    out = rows
+    for m in matrices:
+        out = out.join(m, owner, "left").fillna(0.0, [c for c in m.columns if c != owner])
+    if duties is not None:
+        out = out.join(duties.select(owner, clusters), owner, "left")
+        out = out.withColumns({f"resp_{c}": F.coalesce(F.array_contains(clusters, c).cast("double"), F.lit(0.0)) for c in kept}).drop(clusters)
+    return out
+
+
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """z-scores with the population deviation; no variance divides by 1. The moments are one aggregated row."""
     moments = df.agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"_s_{c}") for c in columns)).first()

@@ -1,4 +1,4 @@
-"""Evaluation and summaries."""
+"""Evaluation and summaries."""
 
 from __future__ import annotations
 
@@ -116,3 +116,102 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """V7, V9."""
     return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), *(F.percentile(value, p).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max(value).alias("high"))
+
+
+def class_counts(df: DataFrame, column: str, classes: list) -> DataFrame:
+    """Rows of each class of a fixed list, 0 where there are none, in the order of the list."""
+    n = df.where(F.col(column).isin(classes)).agg(*(F.count_if(F.col(column) == c).alias(f"n{i}") for i, c in enumerate(classes)))
+    return n.select(F.inline(F.array(*(F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("class"), F.col(f"n{i}").alias("n")) for i, c in enumerate(classes)))))
+
+
+def depth(df: DataFrame, group: str, cluster: str, value: str) -> DataFrame:
+    """Mean value of each cluster in each group."""
+    return df.groupBy(group, cluster).agg(F.avg(value).alias("depth"))
+
+
+def multiplier(beta: Column) -> Column:
+    """percent that a unit of a feature adds where the target is a logarithm."""
+    return F.expm1(beta) * 100
+
+
+def half_width(low: Column, high: Column, predicted: Column) -> Column:
+    """half the interval, in percent of the prediction."""
+    return F.try_divide((high - low) / 2, predicted) * 100
+
+
+def coefficient_bars(coefs: DataFrame, feature: str, value: str, kind: Column, wanted: str | None = None) -> DataFrame:
+    """Multiplier of each feature of a kind, largest absolute coefficient first (ties by name), numbered from 0. One small table."""
+    own = coefs if wanted is None else coefs.where(kind == wanted)
+    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs(value)), feature))
+    return own.select(feature, multiplier(F.col(value)).alias("multiplier_pct"), (rn - 1).cast("long").alias("place"))
+
+
+def points(df: DataFrame, actual: str, predicted: str, low: str, high: str, group: str, order: list[str]) -> DataFrame:
+    """V3: actual and predicted values by group of a fixed order, with whether the interval holds the actual one."""
+    place = F.array_position(F.array(*(F.lit(o) for o in order)), F.col(group)) - 1
+    return df.where(F.col(group).isin(order)).select(group, place.alias("place"), actual, predicted, F.col(actual).between(F.col(low), F.col(high)).alias("inside"))
+
+
+def numbered(df: DataFrame, value: str, tie: str, column: str = "x") -> DataFrame:
+    """Rows numbered from 0 by a numeric value and a tie-break, without one task for all: approximate quantiles cut the values into ranges, rows
+    are numbered within their range, and the ranges' sizes are summed up. Null values come first."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 1 / (2 * n)))) if n > 1 else []
+    range_ = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c <= F.col(value))))
+    dealt = df.withColumn("_p", range_)
+    # One row for each range.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))
+    rn = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(value).asc_nulls_first(), tie))
+    return dealt.withColumn("_rn", rn).join(F.broadcast(sizes), "_p").withColumn(column, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_p", "_rn", "_before")
+
+
+def band(df: DataFrame, actual: str, tie: str, columns: list[str]) -> DataFrame:
+    """Rows by rising actual value (ties by key), numbered from 0."""
+    return numbered(df, actual, tie).select("x", tie, actual, *columns)
+
+
+def with_bounds(predictions: DataFrame, bounds: DataFrame, key: str, low: str, high: str, middle: str) -> DataFrame:
+    """The known bounds of each prediction's row, its middle where a bound is unknown or 0."""
+    b = bounds.select(key, F.col(low).alias("_low"), F.col(high).alias("_high"))
+    joined = predictions.join(b, key, "left")
+    known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0.0)), F.col(middle))
+    return joined.withColumns({low: known("_low"), high: known("_high")}).drop("_low", "_high")
+
+
+def picked(df: DataFrame, number: str, places: list[int]) -> DataFrame:
+    """The rows of these numbers."""
+    return df.where(F.col(number).isin(places))
+
+
+def medians(df: DataFrame, group: str, columns: list[str], order: list) -> DataFrame:
+    """V7: medians of each group of a fixed list, 0 where a group has no rows."""
+    m = df.groupBy(group).agg(*(F.percentile(c, 0.5).alias(c) for c in columns))
+    groups = df.sparkSession.createDataFrame([(o,) for o in order], [group])
+    return groups.join(m, group, "left").fillna(0.0, columns)
+
+
+def mean_abs(coefs: DataFrame, feature: str, value: str) -> DataFrame:
+    """Mean absolute coefficient of a feature over the classes."""
+    return coefs.groupBy(feature).agg(F.avg(F.abs(value)).alias("importance"))
+
+
+def mean_probabilities(df: DataFrame, actual: str, probabilities: list[str]) -> DataFrame:
+    """Mean predicted probability of each class by actual class."""
+    return df.groupBy(actual).agg(F.count("*").alias("n"), *(F.avg(p).alias(p) for p in probabilities))
+
+
+def mistakes(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """Correct and wrong rows of each class, and the confusions off the diagonal as (predicted, n), most frequent first."""
+    n = df.groupBy(actual, predicted).agg(F.count("*").alias("n"))
+    wrong = F.col(actual) != F.col(predicted)
+    listed = F.array_sort(F.collect_list(F.when(wrong, F.struct((-F.col("n")).alias("m"), F.col(predicted).alias("p")))))
+    total = n.groupBy(actual).agg(F.sum(F.when(~wrong, F.col("n")).otherwise(0)).alias("correct"), F.sum(F.when(wrong, F.col("n")).otherwise(0)).alias("wrong"), listed.alias("_l"))
+    return total.select(actual, "correct", "wrong", F.transform("_l", lambda s: F.struct(s["p"].alias("predicted"), (-s["m"]).alias("n"))).alias("confused_with"))
+
+
+def anchor_report(best: DataFrame, names: DataFrame, feature: str, name: str, size: str, n: int) -> DataFrame:
+    """Each anchor feature with the n largest names of its cluster, in order. names: (feature, name, size)."""
+    rn = F.row_number().over(Window.partitionBy(feature).orderBy(F.desc(size), name))
+    top = names.withColumn("_rn", rn).where(F.col("_rn") <= n).groupBy(feature).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", name))), lambda s: s[name]).alias("examples"))
+    return best.join(top, feature, "left")

@@ -1,4 +1,5 @@
-"""Fits from sufficient statistics (M3-M5, M7, M8 without its prediction, M10). One aggregation makes the Gram matrix, whose size is that of the features; only it is collected."""
+"""Fits from sufficient statistics (M3-M5, M7-M10, M12, M18, M20). Linear fits: one aggregation makes the Gram matrix, whose size is that of the
+features, and only it is collected. Likelihood fits: Newton steps whose sums are taken where the rows are."""
 
 from __future__ import annotations
 
@@ -22,21 +23,38 @@ class Ols:
     df: int
 
 
-def gram(df: DataFrame, x: list[str], y: str, by: Column | None = None) -> dict:
-    """Gram matrix of (1, x..., y), for each value of ``by`` if given. Rows with a null are left out."""
-    cols = [F.lit(1.0), *(F.col(c).cast("double") for c in x), F.col(y).cast("double")]
+@dataclass
+class Gram:
+    """Sums of products of (1, x - centre, y - centre), whole and for each value of ``by``. The centre is the mean of all rows, so large means don't
+    cancel."""
+
+    centre: np.ndarray
+    parts: dict
+
+    @property
+    def total(self) -> np.ndarray:
+        return sum(self.parts.values())
+
+
+def gram(df: DataFrame, x: list[str], y: str, by: Column | None = None) -> Gram | None:
+    """Rows with a null are left out; None without rows."""
+    rows = df.dropna(subset=[*x, y])
+    means = rows.agg(*(F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate([*x, y]))).first()
+    if means[0] is None:
+        return None
+    centre = np.array(means, float)
+    cols = [F.lit(1.0), *(F.col(c).cast("double") - F.lit(float(m)) for c, m in zip([*x, y], centre))]
     n = len(cols)
     sums = [F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]
-    rows = df.dropna(subset=[*x, y])
-    found = (rows.groupBy(by.alias("_by")) if by is not None else rows.groupBy(F.lit(0).alias("_by"))).agg(*sums).collect()
-    out = {}
+    found = rows.groupBy((by if by is not None else F.lit(0)).alias("_by")).agg(*sums).collect()
+    parts = {}
     for r in found:
         g = np.zeros((n, n))
         for i in range(n):
             for j in range(i, n):
                 g[i, j] = g[j, i] = r[f"s{i}_{j}"] or 0.0
-        out[r["_by"]] = g
-    return out
+        parts[r["_by"]] = g
+    return Gram(centre, parts)
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -62,23 +80,34 @@ def t_two_sided(t: float, df: int) -> float:
     return beta_fraction(df / 2, 0.5, df / (df + t * t)) if df > 0 else float("nan")
 
 
-def solve(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Minimum-norm coefficients, pseudo-inverse and rank, for designs that may be collinear."""
-    xx, xy = g[:-1, :-1], g[:-1, -1]
+def solve(g: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Minimum-norm coefficients of the uncentred design (intercept first), its pseudo-inverse, rank and squared error, for designs that may be
+    collinear. g: sums of the centred design."""
+    xx, xy, p = g[:-1, :-1], g[:-1, -1], len(g) - 1
     scale = np.sqrt(np.where(np.diag(xx) > 0, np.diag(xx), 1))
-    rank = int(np.linalg.matrix_rank(xx / np.outer(scale, scale), tol=1e-9, hermitian=True))
-    inverse = np.linalg.pinv(xx, rcond=1e-12, hermitian=True)
-    return inverse @ xy, inverse, rank
+    values, vectors = np.linalg.eigh(xx / np.outer(scale, scale))
+    kept = values > 1e-9 * max(values.max(initial=0), 1)
+    inner = (vectors[:, kept] / values[kept]) @ vectors[:, kept].T / np.outer(scale, scale)
+    b = inner @ xy
+    sse = max(g[-1, -1] - xy @ b, 0.0)
+    # Back to the uncentred design: the intercept moves by the means; what the design can't tell apart is taken out.
+    back = np.eye(p)
+    back[0, 1:] = -centre[:-1]
+    null = back @ (vectors[:, ~kept] / scale[:, None])
+    own = np.eye(p) - null @ np.linalg.pinv(null) if null.size else np.eye(p)
+    coef = back @ b
+    coef[0] += centre[-1]
+    return own @ coef, own @ back @ inner @ back.T @ own, int(kept.sum()), float(sse)
 
 
 def ols(df: DataFrame, x: list[str], y: str) -> Ols:
     """M3."""
-    g = gram(df, x, y).get(0)
-    if g is None:
+    found = gram(df, x, y)
+    if found is None:
         raise ValueError("no rows to fit")
-    coef, inverse, rank = solve(g)
+    g = found.total
+    coef, inverse, rank, sse = solve(g, found.centre)
     n = g[0, 0]
-    sse = max(g[-1, -1] - 2 * coef @ g[:-1, -1] + coef @ g[:-1, :-1] @ coef, 0.0)
     sst = g[-1, -1] - g[0, -1] ** 2 / n
     free = int(n - rank)
     err = np.sqrt(np.maximum(np.diag(inverse) * sse / max(free, 1), 0))
@@ -86,6 +115,22 @@ def ols(df: DataFrame, x: list[str], y: str) -> Ols:
     return Ols(coef, err, t, np.array([t_two_sided(v, free) for v in t]), 1 - sse / sst if sst > 0 else float("nan"), free)
 
 
+def t_quantile(p: float, df: int) -> float:
+    """Two-sided critical value of Student's t: P(|T| > t) = p, by bisection."""
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def ols_table(df: DataFrame, x: list[str], y: str, alpha: float = 0.05) -> list[tuple[str, float, float, float, float, float, float]]:
+    """M3: (term, coefficient, standard error, t, p, confidence bounds), the intercept first."""
+    fit = ols(df, x, y)
+    wide = t_quantile(alpha, fit.df) * fit.std_err
+    return [(n, *(float(v) for v in row)) for n, row in zip(["intercept", *x], np.column_stack([fit.coef, fit.std_err, fit.t, fit.p, fit.coef - wide, fit.coef + wide]))]
+
+
 def _predict(x: list[str], coef: np.ndarray) -> Column:
     out = F.lit(float(coef[0]))
     for c, w in zip(x, coef[1:]):
@@ -94,12 +139,14 @@ def _predict(x: list[str], coef: np.ndarray) -> Column:
 
 
 def kfold_predictions(df: DataFrame, x: list[str], y: str, fold: Column, k: int) -> DataFrame:
-    """M4: each row predicted by the model of the other folds, whose Gram matrix is the total less its fold's: the data are read once for the fit."""
-    parts = gram(df, x, y, fold)
-    total = sum(parts.values()) if parts else np.zeros((len(x) + 2, len(x) + 2))
+    """M4: each row predicted by the model of the other folds, whose sums are the total less its fold's: the data are read twice for the fit, whatever
+    the number of folds."""
+    found = gram(df, x, y, fold)
     out = F.lit(None).cast("double")
-    for f, g in parts.items():
-        out = F.when(fold == f, _predict(x, solve(total - g)[0])).otherwise(out)
+    for f, g in found.parts.items() if found else []:
+        rest = found.total - g
+        if rest[0, 0] > 0.5:
+            out = F.when(fold == f, _predict(x, solve(rest, found.centre)[0])).otherwise(out)
     return df.withColumn("prediction", out)
 
 
@@ -123,10 +170,10 @@ def _centered(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]
 
 def lasso(df: DataFrame, x: list[str], y: str, n_alphas: int = 50, folds: int = 5) -> list[tuple[float, int, float]]:
     """M5: coordinate descent on the Gram matrix over a grid of penalties: (alpha, kept features, cross-validated RMSE), largest penalty first."""
-    parts = gram(df, x, y, F.pmod(F.xxhash64(*x, y), F.lit(folds)))
-    if not parts:
+    found = gram(df, x, y, F.pmod(F.xxhash64(*x, y), F.lit(folds)))
+    if found is None:
         return []
-    total = sum(parts.values())
+    parts, total = found.parts, found.total
     xx, xy, _, _ = _centered(total)
     top = float(np.abs(xy).max())
     out, w = [], np.zeros(len(x))
@@ -158,17 +205,25 @@ def balanced_logit(df: DataFrame, x: list[str], y: str, l1: bool = False, c: flo
     return model.transform(data).drop("_x", "_w", "_y", "rawPrediction", "probability")
 
 
+#: Cumulative probabilities of Poisson(1).
+POISSON_CUTS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
+
+
+def poisson_weight(u: Column) -> Column:
+    """Poisson(1) draw of a uniform number."""
+    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
+
+
 def bootstrap_means(df: DataFrame, key: str, group: str, value: str, rounds: int) -> DataFrame:
-    """Intervals of group means by resampling in one aggregation (not M12, which refits a model): each row has a Poisson(1) weight in each round, drawn by hash, so rounds need neither copies of the data
-    nor a loop. Returns the group's mean and its 95 % interval over rounds."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col("_b")), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    cuts, total = [], 0.0
-    for k in range(7):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    drawn = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_w", weight)
-    each = drawn.groupBy(group, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("m"))
+    """Intervals of group means by resampling in one aggregation: each row has a Poisson(1) weight in each round, drawn by hash of key and round. A row
+    gives one sum for each round beside the others, so rounds copy no rows. Returns the group's mean over rounds and its 95 % interval."""
+    u = lambda b: F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{b}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    w = {b: poisson_weight(u(b)) for b in range(rounds)}
+    known = df.where(F.col(value).isNotNull())
+    weighted = known.select(group, F.col(value).cast("double").alias("_v"), *(w[b].alias(f"_w{b}") for b in w))
+    sums = weighted.groupBy(group).agg(*(F.sum(F.col(f"_w{b}") * F.col("_v")).alias(f"s{b}") for b in w), *(F.sum(f"_w{b}").alias(f"n{b}") for b in w))
+    means = F.filter(F.array(*(F.try_divide(F.col(f"s{b}"), F.col(f"n{b}")) for b in w)), lambda m: m.isNotNull())
+    each = sums.select(group, F.explode(means).alias("m"))
     return each.groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
 
 
@@ -281,3 +336,257 @@ def ordered_probit(df: DataFrame, x: list[str], y: str, steps: int = 100) -> lis
     """M8's coefficients: weights of the standardised features and thresholds, named by the class below."""
     fit = fit_ordered_probit(df, x, y, steps)
     return [] if fit is None else [(f"weight_{c}", v) for c, v in zip(x, fit.weights)] + [(f"threshold_{c}", v) for c, v in zip(fit.classes, fit.thresholds)]
+
+
+def _standardised(fit: OrderedProbit) -> list[Column]:
+    return [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(fit.x, fit.mean, fit.scale)]
+
+
+def _linear(fit: OrderedProbit) -> Column:
+    """x beta of a row."""
+    return sum((F.lit(float(w)) * z for w, z in zip(fit.weights, _standardised(fit))), F.lit(0.0))
+
+
+def predict_ordered(df: DataFrame, fit: OrderedProbit) -> DataFrame:
+    """M8: the most likely class of each row (ties: the lower), as ``prediction``; null where a feature is null.
+
+    With normal errors the likeliest class changes at one point between two neighbouring classes as x beta rises, unless a class is never the
+    likeliest; the points are found on the driver, so rows need comparisons only."""
+    edges = np.concatenate([[-np.inf], fit.thresholds, [np.inf]])
+    log_p = lambda eta: np.array([_interval(edges[k : k + 1] - eta, edges[k + 1 : k + 2] - eta)[0][0] for k in range(len(edges) - 1)])
+    best = lambda eta: int(np.argmax(log_p(eta)))
+    span = float(np.abs(fit.thresholds).max(initial=0)) + 10
+    grid = np.linspace(-span, span, 4001)
+    found = [best(e) for e in grid]
+    steps = []
+    for i in np.flatnonzero(np.diff(found)):
+        lo, hi = grid[i], grid[i + 1]
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if best(mid) == found[i] else (lo, mid)
+        steps.append((hi, found[i + 1]))
+    eta, out = _linear(fit), F.lit(fit.classes[found[0]])
+    for cut, k in steps:
+        out = F.when(F.col("_eta") >= float(cut), F.lit(fit.classes[k])).otherwise(out)
+    return df.withColumn("_eta", eta).withColumn("prediction", F.when(F.col("_eta").isNotNull(), out)).drop("_eta")
+
+
+def marginal_effects(df: DataFrame, fit: OrderedProbit) -> DataFrame:
+    """M9: class, feature, effect: the mean over rows of (density at the class's lower edge less that at its upper edge) times the feature's weight, on
+    standardised features. Rows with a null feature are left out. One aggregation of as many sums as there are classes."""
+    edges = [None, *fit.thresholds.tolist(), None]
+    density = lambda e: F.lit(0.0) if e is None else F.exp(-(F.lit(float(e)) - F.col("_eta")) * (F.lit(float(e)) - F.col("_eta")) / 2) / math.sqrt(2 * math.pi)
+    rows = df.dropna(subset=fit.x).select(_linear(fit).alias("_eta"))
+    means = rows.agg(*(F.avg(density(edges[k]) - density(edges[k + 1])).alias(f"m{k}") for k in range(len(fit.classes))))
+    each = [F.struct(F.lit(c).alias("class"), F.lit(x).alias("feature"), (F.col(f"m{k}") * float(w)).alias("effect")) for k, c in enumerate(fit.classes) for x, w in zip(fit.x, fit.weights)]
+    return means.select(F.inline(F.array(*each)))
+
+
+def l1_path(df: DataFrame, x: list[str], y: str, cs: list[float] = (0.01, 0.1, 1.0, 10.0, 100.0)) -> list[tuple[float, float, float, int]]:
+    """For each C an L1-penalised multinomial logit on standardised features: (C, accuracy, adjacent accuracy of ordinal classes, features with a
+    weight other than 0 in some class)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from .features import standardize
+
+    rows = standardize(df.dropna(subset=[*x, y]), x)
+    data = VectorAssembler(inputCols=x, outputCol="_x").transform(rows).select("_x", F.col(y).cast("double").alias("_y")).persist()
+    n, out = data.count(), []
+    try:
+        for c in cs if n else []:
+            model = LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1 / (c * n), elasticNetParam=1.0, standardization=False, maxIter=200, tol=1e-9).fit(data)
+            d = F.abs(F.col("_y") - F.col("prediction"))
+            r = model.transform(data).agg(F.avg((d == 0).cast("double")), F.avg((d <= 1).cast("double"))).first()
+            out.append((float(c), r[0], r[1], int((np.abs(model.coefficientMatrix.toArray()) > 1e-5).any(0).sum())))
+    finally:
+        data.unpersist()
+    return out
+
+
+#: Rounds whose sums one task holds at once.
+ROUNDS = 64
+
+
+def _weights(keys: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights (rows x rounds) by hash of the key and the round; round -1 is the plain sample."""
+    u = np.uint64
+    h = keys.astype(np.int64).view(u)[:, None] * u(0x9E3779B97F4A7C15) + rounds.astype(np.int64).view(u)[None, :] * u(0xD6E8FEB86659FD93)
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0x9FB21C651E98DF25), (32, 1)):
+        h = (h ^ (h >> u(shift))) * u(factor)
+    draw = (h >> u(11)).astype(float) / float(1 << 53)
+    w = np.searchsorted(POISSON_CUTS, draw, side="right").astype(float)
+    w[:, rounds < 0] = 1
+    return w
+
+
+def _softmax(z: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    s = z @ theta.T
+    s -= s.max(1, keepdims=True)
+    e = np.exp(s)
+    return e / e.sum(1, keepdims=True)
+
+
+def _logit_sums(k: np.ndarray, keys: np.ndarray, z: np.ndarray, rounds: np.ndarray, thetas: np.ndarray, balance: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the weighted loss for each round. thetas: rounds x classes x (1 + features); balance: rounds x classes."""
+    w, (r, c, p) = _weights(keys, rounds), thetas.shape
+    out = []
+    for b in range(r):
+        s = w[:, b] * balance[b][k]
+        prob = _softmax(z, thetas[b])
+        miss = prob.copy()
+        miss[np.arange(len(k)), k] -= 1
+        grad = (miss * s[:, None]).T @ z
+        hess = np.zeros((c, p, c, p))
+        for i in range(c):
+            for j in range(i, c):
+                v = s * prob[:, i] * ((i == j) - prob[:, j])
+                hess[i, :, j, :] = hess[j, :, i, :] = (z * v[:, None]).T @ z
+        out += [grad.ravel(), hess.ravel()]
+    return np.concatenate(out)
+
+
+@dataclass
+class Bootstrap:
+    """classes, features; thetas: rounds x classes x (1 + standardised features), intercept first, the plain fit before them; the mean and scale."""
+
+    x: list[str]
+    classes: list
+    mean: np.ndarray
+    scale: np.ndarray
+    plain: np.ndarray
+    thetas: np.ndarray
+
+
+def _rows(df: DataFrame, key: str, x: list[str], y: str, classes: list, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    place = F.lit(None).cast("double")
+    for i, c in enumerate(classes):
+        place = F.when(F.col(y) == F.lit(c), float(i)).otherwise(place)
+    # 52 bits of the key's hash are a whole double.
+    z = [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(x, mean, scale)]
+    return df.select(F.col(key).alias("_key"), F.array(place, F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 52)).cast("double"), F.lit(1.0), *z).alias("_r"))
+
+
+def bootstrap_logit(df: DataFrame, key: str, x: list[str], y: str, rounds: int, c: float = 1.0, steps: int = 50, tolerance: float = 1e-8) -> Bootstrap | None:
+    """Balanced multinomial logits (penalty as in M7) on resampled rows, all rounds at once. A row's weight in a round is Poisson(1), drawn by hash,
+    so rounds need no copies of the data; the balanced class weights hold each class's total at its share in every round, which is what resampling
+    within classes does. Each Newton step of ``ROUNDS`` rounds reads the data once and sends the driver one gradient and Hessian for each round.
+
+    Features are standardised over all rows. Rows with a null are left out; rows that share a key have the same weight. None for fewer than two classes.
+    A round that leaves a class without rows fits without it, and its weights are NaN. Raises if a round does not converge."""
+    rows = df.dropna(subset=[*x, y])
+    classes = sorted(r[0] for r in rows.select(y).distinct().collect())
+    if len(classes) < 2:
+        return None
+    m = rows.agg(*(F.avg(v) for v in x), *(F.stddev_pop(v) for v in x)).first()
+    mean, scale = np.array(m[: len(x)], float), np.array([v or 1.0 for v in m[len(x) :]], float)
+    data, k, p, found = _rows(rows, key, x, y, classes, mean, scale).select("_r").persist(), len(classes), len(x) + 1, []
+    try:
+        n = data.count()
+        for lo in range(-1, rounds, ROUNDS):
+            block = np.arange(lo, min(lo + ROUNDS, rounds))
+            totals = _summed(data, lambda r, block=block: np.stack([_weights(r[:, 1], block)[r[:, 0] == i].sum(0) for i in range(k)]).ravel()).reshape(k, len(block)).T
+            present = totals > 0
+            # Balanced: n over classes times the class's weight. The whole sample's weight stands for n.
+            balance = np.where(present, totals.sum(1, keepdims=True) / np.maximum(present.sum(1, keepdims=True) * totals, 1e-300), 0.0)
+            thetas, open_ = np.zeros((len(block), k, p)), np.arange(len(block))
+            penalty = np.tile(np.append(0.0, np.ones(p - 1) / c), k)
+            for _ in range(steps):
+                sums = _summed(data, lambda r, at=open_, t=thetas, block=block, balance=balance: _logit_sums(r[:, 0].astype(int), r[:, 1], r[:, 2:], block[at], t[at], balance[at]))
+                sums = sums.reshape(len(open_), k * p + (k * p) ** 2)
+                left = []
+                for b, row in zip(open_, sums):
+                    grad = row[: k * p] + penalty * thetas[b].ravel()
+                    hess = row[k * p :].reshape(k * p, k * p) + np.diag(penalty)
+                    move = np.linalg.pinv(hess, rcond=1e-12, hermitian=True) @ grad
+                    # A long step is cut, as far from the optimum the quadratic is no guide.
+                    longest = np.abs(move).max()
+                    thetas[b] -= (move * min(1.0, 4.0 / longest if longest > 0 else 1.0)).reshape(k, p)
+                    if longest > tolerance:
+                        left.append(b)
+                open_ = np.array(left, int)
+                if not len(open_):
+                    break
+            else:
+                raise RuntimeError(f"{len(open_)} rounds did not converge in {steps} steps")
+            thetas[~present] = np.nan
+            found.append(thetas)
+    finally:
+        data.unpersist()
+    all_ = np.concatenate(found)
+    return Bootstrap(x, classes, mean, scale, all_[0], all_[1:])
+
+
+def bootstrap_intervals(fit: Bootstrap, alpha: float = 0.05) -> list[tuple[str, object, float, float, float]]:
+    """(feature, class, coefficient of the plain fit, bounds over the rounds), and for each pair of neighbouring classes the bounds of the difference
+    under the class name 'lower->higher'. Rounds without a class don't count for it."""
+    out = []
+    for f, name in enumerate(fit.x, 1):
+        each = fit.thetas[:, :, f]
+        for i, c in enumerate(fit.classes):
+            out.append((name, str(c), float(fit.plain[i, f]), *(float(v) for v in np.nanpercentile(each[:, i], [100 * alpha / 2, 100 * (1 - alpha / 2)]))))
+        for i, (a, b) in enumerate(zip(fit.classes, fit.classes[1:])):
+            d = each[:, i + 1] - each[:, i]
+            out.append((name, f"{a}->{b}", float(fit.plain[i + 1, f] - fit.plain[i, f]), *(float(v) for v in np.nanpercentile(d, [100 * alpha / 2, 100 * (1 - alpha / 2)]))))
+    return out
+
+
+def out_of_bag(df: DataFrame, fit: Bootstrap, key: str, y: str) -> DataFrame:
+    """Key, actual, vote (index of the class that most rounds which left the row out predict; ties: the one predicted first), n_votes. Rows
+    that no round left out are not returned. A map over the rows: no round copies them."""
+    rows = _rows(df.dropna(subset=[*fit.x, y]), key, fit.x, y, fit.classes, fit.mean, fit.scale)
+    kind, thetas = df.schema[key].dataType.simpleString(), np.nan_to_num(fit.thetas, nan=0.0)
+    absent = np.isnan(fit.thetas[:, :, 0])
+    rounds, classes = np.arange(len(thetas)), len(fit.classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            left = _weights(r[:, 1], rounds) == 0
+            votes, first = np.zeros((len(r), classes)), np.full((len(r), classes), len(rounds) + 1.0)
+            for b in rounds:
+                s = r[:, 2:] @ thetas[b].T
+                s[:, absent[b]] = -np.inf
+                at = np.flatnonzero(left[:, b])
+                said = s[at].argmax(1)
+                votes[at, said] += 1
+                first[at, said] = np.minimum(first[at, said], b)
+            best = (votes - first / (len(rounds) + 2)).argmax(1)
+            some = pa.array(np.flatnonzero(left.any(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), *(pa.array(v.astype(np.int64)).take(some) for v in (r[:, 0], best, left.sum(1)))], [key, "actual", "vote", "n_votes"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, actual long, vote long, n_votes long")
+
+
+def compare_models(designs: dict[str, tuple[DataFrame, list[str]]], y: str) -> list[tuple[str, int, int, float, float]]:
+    """For each named design (rows, features) a least-squares fit: (name, rows, features, R2, RMSE), in the order given."""
+    out = []
+    for name, (df, x) in designs.items():
+        found = gram(df, x, y)
+        if found is None:
+            out.append((name, 0, len(x), float("nan"), float("nan")))
+            continue
+        g = found.total
+        _, _, _, sse = solve(g, found.centre)
+        sst = g[-1, -1] - g[0, -1] ** 2 / g[0, 0]
+        out.append((name, int(round(g[0, 0])), len(x), 1 - sse / sst if sst > 0 else float("nan"), math.sqrt(sse / g[0, 0])))
+    return out
+
+
+def merge_topics(vectors: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:
+    """Topics merged into k clusters by k-means of their vectors: key, cluster. Clusters are numbered by falling size, ties by smallest key."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from .skills import ranked
+
+    data = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("_x")).persist()
+    try:
+        model = KMeans(featuresCol="_x", predictionCol="_c", k=k, seed=seed).fit(data)
+    finally:
+        data.unpersist()
+    placed = model.transform(data).select(key, "_c")
+    sizes = placed.groupBy("_c").agg(F.count("*").alias("n"), F.min(key).alias("least"))
+    return placed.join(F.broadcast(ranked(sizes, [F.desc("n"), F.col("least")], "cluster").select("_c", "cluster")), "_c").select(key, "cluster")

@@ -1,4 +1,4 @@
-"""Names: aliases, compounds, clusters, frequencies, co-occurrence."""
+"""Names: aliases, compounds, clusters, frequencies, co-occurrence."""
 
 from __future__ import annotations
 
@@ -26,14 +26,77 @@ def capitalized(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 10**6))
 
 
-def split_compounds(df: DataFrame, column: str, known: DataFrame, row: list[str], separator: str = " ", least: int = 2, protected: list[str] = ()) -> DataFrame:
-    """rows whose name has at least ``least`` known parts (by table ``known(name)``) give a row for each part, unknown ones too; others stay.
-    row: columns that identify a row. The table may be of any size: parts are looked up by a join."""
-    parts = df.withColumn("_parts", F.filter(F.split(F.trim(column), separator), lambda p: p != ""))
-    each = parts.where(~F.col(column).isin(list(protected)) if protected else F.lit(True)).select(*row, column, F.explode("_parts").alias("_p"))
-    hits = each.join(known.select(F.lower("name").alias("_k")).distinct(), F.lower("_p") == F.col("_k")).groupBy(*row, column).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    chosen = parts.join(hits, [*row, column], "left")
-    return chosen.withColumn("_out", F.when(F.col("_n").isNotNull(), F.col("_parts")).otherwise(F.array(column))).withColumn(column, F.explode("_out")).drop("_parts", "_n", "_out")
+#: Words between the parts of a compound, which are no parts.
+CONNECTORS = ["and", "&", ",", "/"]
+
+
+def split_compounds(df: DataFrame, column: str, known: DataFrame, row: list[str], aliases: DataFrame | None = None, protected: list[str] = (), slash: str = "/", least: int = 2, most_words: int = 4, prefixes: dict[str, str] = {}) -> DataFrame:
+    """a name with slashes (and not protected) of which at least ``least`` parts are known gives a row for each part, unknown ones too; else a
+    name of at most ``most_words`` words does so for its words without connectors; others stay. A part is known if it or its canonical name is in
+    ``known(name)``, in whatever case. row: columns that identify a row. Both tables may be of any size: parts are looked up by joins. Null names stay."""
+    words = F.filter(F.split(F.trim(column), r"\s+"), lambda p: p != "")
+    slashed = F.filter(F.transform(F.split(column, slash), lambda p: F.trim(p)), lambda p: p != "")
+    slashed = F.when(F.col(column).contains(slash) & ~F.lower(column).isin(list(protected) or [""]) & (F.size(slashed) > 1), slashed)
+    parts = F.filter(words, lambda p: ~F.lower(p).isin(CONNECTORS))
+    parts = F.when(F.trim(column).contains(" ") & (F.size(words) <= most_words) & (F.size(parts) > 1), parts)
+    both = df.withColumns({"_slashed": slashed, "_worded": parts})
+    ways = F.array(F.struct(F.lit(0).alias("way"), F.col("_slashed").alias("parts")), F.struct(F.lit(1).alias("way"), F.col("_worded").alias("parts")))
+    each = both.select(*row, column, F.explode(ways).alias("_w")).select(*row, column, F.col("_w.way").alias("_way"), F.posexplode("_w.parts").alias("_i", "_p"))
+    each = each.withColumn("_canonical", F.col("_p"))
+    if aliases is not None:
+        each = normalize(each, "_canonical", aliases, prefixes)
+    names = known.select(F.lower("name").alias("_k")).distinct()
+    asked = each.select(*row, column, "_way", "_i", F.explode(F.array_distinct(F.array(F.lower("_p"), F.lower("_canonical")))).alias("_k"))
+    hits = asked.join(names, "_k", "left_semi").select(*row, column, "_way", "_i").distinct().groupBy(*row, column, "_way").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    best = hits.groupBy(*row, column).agg(F.min("_way").alias("_way"))
+    chosen = both.join(best, [*row, column], "left")
+    out = F.when(F.col("_way") == 0, F.col("_slashed")).when(F.col("_way") == 1, F.col("_worded")).otherwise(F.array(column))
+    return chosen.withColumn("_out", out).withColumn(column, F.explode("_out")).drop("_slashed", "_worded", "_way", "_out")
+
+
+def prepare(items: DataFrame, owner: str, position: str, name: str, aliases: DataFrame, known: DataFrame, protected: list[str] = (), prefixes: dict[str, str] = {}, existing: DataFrame | None = None, priority: str | None = None, least: int = 2) -> DataFrame:
+    """Normalise, split, normalise again, keep names of more than one character, of an owner's names that differ in case only the
+    first; then only names that occur ``least`` times, those of ``existing(name)`` counted too. Columns beside stay with each part; a null priority
+    is 'required'."""
+    first = normalize(items, name, aliases, prefixes).where(F.col(name).isNotNull())
+    parts = split_compounds(first, name, known, [owner, position], aliases, protected, prefixes=prefixes)
+    again = normalize(parts, name, aliases, prefixes).where(F.length(name) > 1)
+    if priority:
+        again = again.withColumn(priority, F.coalesce(priority, F.lit("required")))
+    unique = keep_first_name(again, owner, name, position)
+    counts = frequencies(*([unique] if existing is None else [unique, existing]), name=name)
+    return drop_singletons(unique, name, counts, least)
+
+
+def keep_first_name(items: DataFrame, owner: str, name: str, position: str) -> DataFrame:
+    """W5 in a total order: the first by position, of parts of one place the first by name."""
+    rn = F.row_number().over(Window.partitionBy(owner, F.lower(name)).orderBy(position, name))
+    return items.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+
+
+def with_catch_all(c: Column, label: str) -> Column:
+    """empty names get one label."""
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(label))
+
+
+def pair_clusters(pairs: DataFrame, raw: list[str], normal: list[str], count: str) -> DataFrame:
+    """The normalised pairs numbered from 0 by the largest count of a raw pair of theirs, ties by the raw pair; with that count and the total."""
+    first = pairs.groupBy(*normal).agg(F.max(count).alias("_max"), F.sum(count).alias("total"), F.min(F.struct((-F.col(count)).alias("n"), *raw)).alias("_first"))
+    return ranked(first, [F.col("_first")], "cluster").select(*normal, "cluster", "total", F.col("_max").alias("largest"), *(F.col("_first")[c].alias(f"top_{c}") for c in raw))
+
+
+def owner_sets(items: DataFrame, owner: str, cluster: str) -> DataFrame:
+    """The sorted set of each owner's clusters."""
+    return items.groupBy(owner).agg(F.sort_array(F.collect_set(cluster)).alias("clusters"))
+
+
+def pair_counts(items: DataFrame, first: str, second: str) -> DataFrame:
+    """A10: counts of first names, second names and pairs at once; level says which. Null or empty first names are no records, nor are empty second
+    names counted for themselves."""
+    clean = items.select(F.trim(first).alias(first), F.trim(F.coalesce(second, F.lit(""))).alias(second)).where(f"`{first}` <> ''")
+    g = clean.groupingSets([[first], [second], [first, second]], first, second).agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    level = F.when(F.col("_g") == 1, first).when(F.col("_g") == 2, second).otherwise("pair")
+    return g.select(level.alias("level"), first, second, "n").where(~((F.col("level") == second) & (F.col(second) == "")))
 
 
 def assign_clusters(items: DataFrame, clusters: DataFrame, owner: str, name: str, position: str, cluster: str = "cluster_id") -> DataFrame:

@@ -259,14 +259,24 @@ def html_text(t, spark):
     return t("pages").select("page_id", text.html_clean("html").alias("text"), text.css_text("html", tag="title").alias("title"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(x, ' ')) AS l FROM documents),
+    f AS (SELECT doc_id, list_filter(l, lambda x: x <> '' AND NOT regexp_matches(x, '^[\s\-─━═▬•*~=_|/\\,.;:!?\[\]{}<>«»""''`]{3,}$')) AS l FROM l),
+    c AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(trim(regexp_replace(x, '(?i)^(?:source|author|contact|channel|via|link)\s*:\s*', ''), ' '), '[#@][\p{L}\p{M}\p{N}\p{Pc}]+\s*', '', 'g'), ' ')), lambda x: x <> '') AS l FROM f),
+    b AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN trim(regexp_replace(x, '^[•\-]\s*', ''), ' ') = '' THEN chr(1) ELSE trim(regexp_replace(x, '^[•\-]\s*', ''), ' ') END), ' ') AS t FROM c)
+    SELECT doc_id, nullif(regexp_replace(regexp_replace(t, ' *\x01[\x01 ]*', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS text FROM b"""
+)
 def message_clean(t, spark):
     return t("documents").select("doc_id", text.message_clean("text").alias("text"))
 
 
-@query()
+@query(
+    r"""WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '(?i)(?:(the )|(la ))', chr(1) || '\1' || chr(3) || '\2' || chr(2), 'g'), chr(1)) AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS p, generate_subscripts(p, 1) - 1 AS i FROM m)
+    SELECT doc_id, CAST(i AS INTEGER) AS i, CASE WHEN contains(p, chr(2)) THEN CASE WHEN starts_with(p, chr(3)) THEN 'second' ELSE 'first' END ELSE '' END AS key,
+    CASE WHEN contains(p, chr(2)) THEN trim(regexp_replace(regexp_replace(string_split(p, chr(2))[2], '^[•\-*_\s]+', ''), ' {3,}', '  ', 'g'), ' ') ELSE trim(p, ' ') END AS content FROM e"""
+)
 def section_split(t, spark):
-    heads = [("(?<=^|\\n)the ", "first"), ("(?<=^|\\n)la ", "second")]
+    heads = [("the ", "first"), ("la ", "second")]
     return t("documents").select("doc_id", F.posexplode(text.sections("text", heads)).alias("i", "s")).select("doc_id", "i", "s.key", "s.content")
 
 
@@ -457,10 +467,17 @@ def balanced_logit(t, spark):
     return models.balanced_logit(o, ["x"], "y").groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
 
-@query()
+_HASHED = "('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '-' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_POISSON = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in models.POISSON_CUTS)
+
+
+@query(
+    f"""WITH r AS (SELECT CAST(left(o_orderpriority, 1) AS INTEGER) AS g, ln(o_totalprice) AS x, b, {_HASHED} AS u FROM orders, (SELECT unnest(range(100)) AS b)), w AS (SELECT g, b, x, {_POISSON} AS w FROM r),
+    m AS (SELECT g, b, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL) SELECT g, round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025::DOUBLE), 9) AS ci_low, round(quantile_cont(m, 0.975::DOUBLE), 9) AS ci_high FROM m GROUP BY 1"""
+)
 def bootstrap_ci(t, spark):
     o = t("orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("g"), F.log("o_totalprice").alias("x"))
-    return models.bootstrap_means(o, "o_orderkey", "g", "x", 100)
+    return models.bootstrap_means(o, "o_orderkey", "g", "x", 100).withColumns({c: F.round(c, 9) for c in ("mean", "ci_low", "ci_high")})
 
 
 @query()
@@ -473,3 +490,6 @@ def ordered_probit(t, spark):
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) rn FROM events) WHERE rn = 1")
 def stream_dedup_batch(t, spark):
     return ingest.keep_first(t("events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], [F.col("event_id")]).select("event_id", "user_id")
+
+
+from . import reports  # noqa: E402, F401  registers its queries here

@@ -17,11 +17,12 @@ def json_dictionary(spark: SparkSession, path: str, key: str = "name", value: st
 
 
 def xml_rates(text: Column) -> Column:
-    """Array of struct(code, rate) from <Valute> elements, decimal commas, rate = Value / Nominal."""
-    get = lambda tag: F.xpath(text, F.lit(f"//Valute/{tag}/text()"))
+    """Array of struct(code, rate) from <Valute> elements, decimal commas, rate = Value / Nominal. Each element is read by itself, so what is
+    missing in one (its rate is null then) doesn't move another's values."""
+    get = lambda element, tag: F.nullif(F.trim(F.regexp_extract(element, f"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
     number = lambda x: F.regexp_replace(x, ",", ".").try_cast("double")
-    rates = F.zip_with(get("Value"), get("Nominal"), lambda v, n: F.try_divide(number(v), number(n)))
-    return F.zip_with(get("CharCode"), rates, lambda c, r: F.struct(c.alias("code"), r.alias("rate")))
+    elements = F.regexp_extract_all(text, F.lit(r"(?s)<Valute\b.*?</Valute>"), F.lit(0))
+    return F.transform(elements, lambda e: F.struct(get(e, "CharCode").alias("code"), F.try_divide(number(get(e, "Value")), number(get(e, "Nominal"))).alias("rate")))
 
 
 def json_rates(text: Column) -> Column:
@@ -31,9 +32,9 @@ def json_rates(text: Column) -> Column:
 
 
 def export_csv(df: DataFrame, path: str, order: str) -> None:
-    """K9: nested columns as JSON text, nulls as empty, header, ordered. Parts are range-partitioned, so order holds across them without one task."""
+    """K9: nested columns as JSON text, nulls as empty, quotes doubled, header, ordered. Parts are range-partitioned, so order holds across them without one task."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).orderBy(order).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.select(*flat).orderBy(order).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
