@@ -6,7 +6,7 @@
    batches of signature values; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold falls
    below the miss probability; survivors are verified on full shingle sets.
 3. Components are found. Only buckets in which members of different components meet need more: their members are compared in blocks, pairs
-   across components only, by signature; the members of surviving pairs are compared in blocks again, on full sets. Pairs within a component
+   across components only, by signature; the members of surviving pairs meet in blocks again, on full sets. Pairs within a component
    can't change it, so no link is lost to the short cut. Members of the bucket's main component (its smallest member's) lie in blocks of their
    own, which don't meet each other: a group of near copies of any size costs as many block pairs as it has blocks.
 """
@@ -192,22 +192,18 @@ def _meet_blocks(bounds: np.ndarray):
     return run
 
 
-def _link_blocks(bounds: np.ndarray, percent: int):
-    """Links between members of two blocks of a bucket, across components. Signature batches prune; if pairs survive, full sets decide. Of the links
-    found, those are returned that join components not yet joined here, so at most one for each member."""
+def _link_blocks(percent: int):
+    """Links between members of two blocks of a bucket, across components, on full sets. Of the links found, those are returned that join components not
+    yet joined here, so at most one for each member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, same, left, right in _block_pairs(batch):
-                pairs = [(i, int(j)) for i, at in _across(left, right, same, bounds) for j in at]
-                if not pairs:
-                    continue
-                rows, cols = sorted({i for i, _ in pairs}), sorted({j for _, j in pairs})
-                x, y = ([np.frombuffer(side[i]["set"], U) for i in own] for side, own in ((left, rows), (right, cols)))
+                x, y = ([np.frombuffer(r["set"], U) for r in side] for side in (left, right))
                 common = common_sizes(x, y)
                 sizes = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
                 linked = (common > 0) & (100 * common >= percent * (sizes - common))
-                row_of, col_of = {i: n for n, i in enumerate(rows)}, {j: n for n, j in enumerate(cols)}
+                linked &= np.array([r["component"] for r in left])[:, None] != np.array([r["component"] for r in right])[None, :]
                 root: dict[int, int] = {}
 
                 def top(c: int) -> int:
@@ -216,12 +212,11 @@ def _link_blocks(bounds: np.ndarray, percent: int):
                     return c
 
                 found = []
-                for i, j in pairs:
-                    if linked[row_of[i], col_of[j]]:
-                        p, q = top(left[i]["component"]), top(right[j]["component"])
-                        if p != q:
-                            root[max(p, q)] = min(p, q)
-                            found.append((left[i]["doc_id"], right[j]["doc_id"]))
+                for i, j in zip(*np.nonzero(np.triu(linked) if same else linked)):
+                    p, q = top(left[i]["component"]), top(right[j]["component"])
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        found.append((left[i]["doc_id"], right[j]["doc_id"]))
                 if found:
                     a, b = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -363,12 +358,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     # Side 0 of a bucket is the component of its pivot, side 1 are all others.
     placed = materialize(component(component(shared, "doc_id"), "pivot").select("band", "doc_id", "component", (F.col("component") != F.col("main")).cast("int").alias("side")))
 
-    def sized(members: DataFrame) -> DataFrame:
-        """Members of the buckets that have a side 1, with the sizes of both sides."""
-        sizes = members.groupBy("band").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).where("n1 > 0")
-        return members.join(materialize(light(sizes)), "band")
+    def sized(members: DataFrame) -> tuple[DataFrame, int]:
+        """Members of the buckets that have a side 1, with the sizes of both sides, and the largest bucket's size."""
+        sizes = materialize(light(members.groupBy("band").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).where("n1 > 0")))
+        return members.join(sizes, "band"), sizes.agg(F.max(F.col("n0") + F.col("n1"))).first()[0] or 0
 
-    def compared(members: DataFrame, columns: list[str], block: int, kernel, schema: str) -> DataFrame:
+    def compared(members: DataFrame, largest: int, columns: list[str], block: int, kernel, schema: str) -> DataFrame:
         """The kernel over all pairs of blocks of each bucket but those of two blocks of side 0. members: band, doc_id, component, side, the sizes of
         both sides and the columns. A bucket of one block, as nearly all are, needs no join, so its rows are shuffled once."""
         x = members.withColumn("one", F.col("n0") + F.col("n1") <= block).withColumn("side", F.when(F.col("one"), 0).otherwise(F.col("side")))
@@ -382,7 +377,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
             return dealt.groupBy(*place, "b0", "b1").agg(F.collect_list(F.struct("doc_id", "component", *columns)).alias("rows"))
 
         pairs = blocks("one").select("band", F.lit(True).alias("same"), F.col("rows").alias("left_rows"), F.slice("rows", 1, 0).alias("right_rows"))
-        if members.where(F.col("n0") + F.col("n1") > block).limit(1).count():
+        if largest > block:
             many = materialize(blocks("NOT one"))
             meets = F.expr("concat(transform(sequence(block, b1 - 1), j -> struct(1 AS side, j AS j)), if(b0 = 0, array(), transform(sequence(0, greatest(b0, 1) - 1), j -> struct(0 AS side, j AS j))))")
             left = many.where("side = 1").select("band", F.col("block").alias("i"), F.col("rows").alias("left_rows"), F.explode(meets).alias("m")).select("band", "i", "left_rows", "m.side", "m.j")
@@ -392,11 +387,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
         return materialize(light(pairs.transform(mapped, kernel, schema).distinct()))
 
     # Signatures first; full sets travel only to buckets where a pair across components survives, and of its common bands to the first.
-    inside = materialize(sized(placed))
-    met = compared(inside.join(sigs, "doc_id"), ["sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long")
-    again = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]))
-    again = again.join(sigs.select("doc_id", "sig"), "doc_id").join(sets_of(met.select("doc_id")), "doc_id")
-    extra = compared(again, ["sig", "set"], SET_BLOCK, _link_blocks(bounds, percent), "a long, b long")
+    inside, largest = sized(placed)
+    inside = materialize(inside)
+    met = compared(inside.join(sigs, "doc_id"), largest, ["sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long")
+    again, largest = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]))
+    again = again.join(sets_of(met.select("doc_id")), "doc_id")
+    extra = compared(again, largest, ["set"], SET_BLOCK, _link_blocks(percent), "a long, b long")
     if extra.limit(1).count():
         found = materialize(light(components(edges.union(extra))))
     last = component(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select(*keys, F.col("component").alias("component_id"))
