@@ -4,7 +4,8 @@ Two Zstandard dictionaries are trained on the labelled rows: one of text that ma
 window of a document is compressed with both; by how many bytes the toxic dictionary does better is the window's gain. A document's gains (total,
 windows beyond a threshold, share) are calibrated on held-back training rows, so a score is a probability.
 
-Dictionary training: word beginnings that are significantly more frequent (a lower against an upper confidence bound) in documents of one class
+Dictionary training: taken from text as it is (by the library's own trainer), the two dictionaries tell the classes apart hardly better than chance,
+since nearly all of a toxic document is ordinary language, so the training is by contrast. Word beginnings that are significantly more frequent (a lower against an upper confidence bound) in documents of one class
 are its segments; they are laid down by rising value, so the best get the shortest offsets.
 """
 
@@ -25,8 +26,10 @@ from .core import carried, mapped
 
 #: Bound on labelled documents that a model is fitted on, for each class, and on bytes of one that training reads (a document beyond is left out).
 TRAIN_DOCS, TRAIN_BYTES = 2000, 1 << 16
-#: Words of a window; bytes of each part of a dictionary; gain from which a window counts as marked.
-WINDOW, DICTIONARY, MARKED = 6, 2048, 2
+#: Words of a window; bytes of each part of a dictionary, of which the best segments get as many as fit; gain from which a window counts as marked.
+WINDOW, DICTIONARY, MARKED = 6, 4096, 2
+#: Folds of the cross-fitting.
+FOLDS = 4
 #: Both dictionaries end with this and every window starts with it: so each frame holds a match anyhow, and a further one shows at its full worth.
 PREAMBLE = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -77,10 +80,13 @@ def train_dictionaries(texts: list[bytes], toxic: list[int], size: int = DICTION
             chance = c * np.log(c / n[y] / both) + (c0 * np.log(c0 / n[1 - y] / both) if c0 else 0)
             if low > 2 * high and chance > 9:
                 scored.append((c * (len(g) - 2) * float(np.log(low / high)), g))
-        stems: list[bytes] = []
-        for _, g in sorted(scored, reverse=True)[:4000]:
-            if not any(o.startswith(g) or g.startswith(o) for o in stems):
+        # Of segments that begin alike the best one stays.
+        stems, taken, begun = [], set(), set()
+        for _, g in sorted(scored, reverse=True):
+            if g not in begun and not any(g[:k] in taken for k in range(4, len(g))):
                 stems.append(g)
+                taken.add(g)
+                begun.update(g[:k] for k in range(4, len(g) + 1))
         text = b""
         for g in stems:
             # With the space before it and no other neighbour, a segment matches the beginning of a word and nothing else.
@@ -145,13 +151,12 @@ def fit(texts: list[bytes], toxic: list[int], window: int = WINDOW, rate: float
     """Cross-fitted: each fold's features come from dictionaries of the other folds, so the calibration sees unseen texts. Copies share a fold.
     rate is the share of toxic rows among all labelled ones, which the sample, bounded for each class, does not show.
     With no rows, or of one class only, the score is the smoothed base rate."""
-    folds = 4 if len(texts) < 2000 else 2
-    fold = [zlib.crc32(t) % folds for t in texts]
+    fold = [zlib.crc32(t) % FOLDS for t in texts]
     sampled = (sum(toxic) + 0.5) / (len(toxic) + 10)
     rate = sampled if rate is None else min(max(rate, 1e-6), 1 - 1e-6)
     flat = Model(b"\0" * 64 + PREAMBLE, b"\0" * 64 + PREAMBLE, (float(np.log(rate / (1 - rate))), 0.0, 0.0, 0.0, 0.0, 0.0), (0.0,) * 5, (1.0,) * 5)
     x, y = [], []
-    for k in range(folds):
+    for k in range(FOLDS):
         mine = [i for i, f in enumerate(fold) if f != k]
         if len({toxic[i] for i in mine}) < 2:
             continue
