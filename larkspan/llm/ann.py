@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import mapped, materialize
+from .core import mapped, materialize, shuffle_partitions
 
 #: Vectors of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 512
@@ -38,19 +38,17 @@ def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def _matrix(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    rows.sort(key=lambda r: r["vec_id"])
-    return np.array([r["vec_id"] for r in rows]), np.array([r["v"] for r in rows], np.float64)
-
-
 def block_neighbours(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query its k nearest of a block, itself left out: (score, id) ascending."""
     cq, sq, eq = quantise(q)
     cx, sx, ex = quantise(x)
-    # Products of int8 codes add up exactly in double precision (and in BLAS).
-    tile = cq.astype(np.float64) @ cx.T.astype(np.float64)
-    near = np.sqrt(np.maximum((sq * sq * (cq.astype(np.float64) ** 2).sum(1))[:, None] + (sx * sx * (cx.astype(np.float64) ** 2).sum(1))[None, :] - 2 * sq * sx * tile, 0))
-    slack = eq[:, None] + ex[None, :] + 1e-6 * near + 1e-9
+    # Sums of products of int8 codes are whole numbers, which single precision holds exactly up to 2**24 (and BLAS is fast at).
+    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    tile = (cq.astype(kind) @ cx.T.astype(kind)).astype(np.float64)
+    qq, xx = (s * s * (c.astype(np.float64) ** 2).sum(1) for s, c in ((sq, cq), (sx, cx)))
+    near = np.sqrt(np.maximum(qq[:, None] + xx[None, :] - 2 * sq * sx * tile, 0))
+    # Quantisation, and the rounding of the line above, of which little is left where nearly equal squares cancel.
+    slack = eq[:, None] + ex[None, :] + 1e-6 * near + 1e-7 * (np.sqrt(qq)[:, None] + np.sqrt(xx)[None, :])
     low, high = near - slack, near + slack
     own = q_ids[:, None] == ids[None, :]
     high[own] = np.inf
@@ -66,18 +64,46 @@ def block_neighbours(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.nd
         yield int(q_ids[i]), [(float(score[o]), int(ids[at[o]])) for o in order]
 
 
-def _join(k: int):
+def _join(k: int, query_block: int):
+    """Rows (part, kind, vec_id, v) by part, its candidates (kind 0) before the queries (kind 1): a block of candidates is held, queries pass by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block, asked, n = None, [], None, [], 0
+
+        def stacked(rows: list) -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            found = list(block_neighbours(*stacked(asked), *block, k)) if asked and block is not None else []
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[0] for f in found], pa.int64()), pa.array([[s for s, _ in f[1]] for f in found], pa.list_(pa.float64())), pa.array([[i for _, i in f[1]] for f in found], pa.list_(pa.int64()))],
+                    ["query_id", "scores", "ids"],
+                )
+
         for batch in batches:
-            for part, cand, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids, x = _matrix(cand)
-                q_ids, q = _matrix(query)
-                found = list(block_neighbours(q_ids, q, ids, x, k))
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([f[0] for f in found], pa.int64()), pa.array([[s for s, _ in f[1]] for f in found], pa.list_(pa.float64())), pa.array([[i for _, i in f[1]] for f in found], pa.list_(pa.int64()))],
-                        ["query_id", "scores", "ids"],
-                    )
+            if not batch.num_rows:
+                continue
+            part, kind, ids = (batch.column(i).to_numpy() for i in range(3))
+            vectors = np.asarray(batch.column(3).flatten(), np.float64).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if part[i] != now:
+                    yield from answers()
+                    now, held, block, asked, n = part[i], [], None, [], 0
+                if kind[i] == 0:
+                    held.append((ids[i:j], vectors[i:j]))
+                    continue
+                if block is None and held:
+                    block, held = stacked(held), []
+                for lo in range(i, j, query_block):
+                    hi = min(lo + query_block, j)
+                    asked.append((ids[lo:hi], vectors[lo:hi]))
+                    n += hi - lo
+                    if n >= query_block:
+                        yield from answers()
+                        asked, n = [], 0
+        yield from answers()
 
     return run
 
@@ -110,14 +136,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     own = own.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(fit)
     sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     d, n = (sizes[0].d, sizes[0].n) if sizes else (0, 0)
-    own = own.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = materialize(own.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v")))
     blocks = max(1, -(-n // block))
-    q_blocks = max(1, -(-n // every // QUERY_BLOCK))
-    rows = F.collect_list(F.struct("vec_id", "v"))
-    candidates = materialize(own.groupBy(F.expr(f"pmod(xxhash64(vec_id), {blocks})").alias("part")).agg(rows.alias("cand")))
-    queries = own.where(F.col("vec_id") % every == 0).groupBy(F.expr(f"cast(pmod(xxhash64(vec_id, 7), {q_blocks}) AS int)").alias("q_part")).agg(rows.alias("query"))
-    # Each block of candidates meets each block of queries once: the pairs of blocks are listed and joined on the query block's number.
-    pairs = candidates.select("part", "cand", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_part"))
-    found = pairs.join(queries, "q_part").select("part", "cand", "query").transform(mapped, _join(k), "query_id long, scores array<double>, ids array<long>")
+    candidates = own.select(F.expr(f"pmod(xxhash64(vec_id), {blocks})").alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
+    # Of the two sides of a pair of blocks the queries are the smaller, so they go to every block of candidates; these are shuffled once.
+    queries = own.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
+    met = candidates.union(queries).repartition(max(shuffle_partitions(vectors.sparkSession), blocks), "part").sortWithinPartitions("part", "kind")
+    found = met.transform(mapped, _join(k, QUERY_BLOCK), "query_id long, scores array<double>, ids array<long>")
     grouped = found.groupBy("query_id").agg(F.collect_list(F.struct("scores", "ids")).alias("parts"))
     return grouped.transform(mapped, _merge(k), "query_id long, rank int, vec_id long, score double")
