@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,17 +24,54 @@ BLOCK, CHUNK = 1 << 16, 1024
 _BLOCKS = "file long, block long, payload binary"
 
 
-def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK) -> DataFrame:
-    """Blocks of flat files in a folder that Spark reads: file (hash of its path), block, payload. block_bytes must be a multiple of the id's width."""
+def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK, blocks_each: int = CHUNK) -> DataFrame:
+    """Blocks of the flat files in a folder: file (hash of its path), block, payload. block_bytes must be a multiple of the id's width.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Spark lists the files and their lengths; each task reads its own range of ``blocks_each`` blocks, so a file may be of any size. Files in a store
+    that only Spark's readers can open are read as whole rows by them instead, which they refuse beyond 2 GB a file."""
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.select("path", "length")
+    first = listed.limit(1).collect()
+    if first and not _opened(first[0].path):
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    data = memoryview(content.as_buffer())
+                    for i in range(0, max(len(data), 1), block_bytes):
+                        yield _block(file, i // block_bytes, bytes(data[i : i + block_bytes]))
+
+        return files.select(F.xxhash64("path").alias("file"), "content").transform(mapped, cut, _BLOCKS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(content.as_buffer())
-                for i in range(0, max(len(data), 1), block_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([i // block_bytes], pa.int64()), pa.array([bytes(data[i : i + block_bytes])], pa.binary())], ["file", "block", "payload"])
+            for file, name, start, length in zip(*(c.to_pylist() for c in batch.columns)):
+                system, at = FileSystem.from_uri(_uri(name))
+                with system.open_input_file(at) as f:
+                    for block in range(start, min(start + blocks_each, max(-(-length // block_bytes), 1))):
+                        yield _block(file, block, f.read_at(min(block_bytes, length - block * block_bytes), block * block_bytes) if length else b"")
+
+    step = block_bytes * blocks_each
+    last = F.greatest(F.ceil(F.col("length") / step) - 1, F.lit(0)).cast("long")
+    ranges = listed.select(F.xxhash64("path").alias("file"), "path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"), "length").repartition("file", "i")
+    return ranges.select("file", "path", (F.col("i") * blocks_each).alias("start"), "length").transform(mapped, read, _BLOCKS)
+
+
+def _block(file: int, number: int, payload: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
+
+
+def _uri(path: str) -> str:
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+
 
-    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").transform(mapped, run, _BLOCKS)
+def _opened(path: str) -> bool:
+    """Whether Arrow's file systems know the path's store."""
+    try:
+        FileSystem.from_uri(_uri(path))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
 
 
 def flatten(docs: DataFrame, vocabulary: str | None = None, end: int = 50256, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -260,12 +260,34 @@ def test_token_counts(docs, empty, rows, spark, tmp_path):
     assert sorted((r.ordinal, r.start, r.n_tokens) for r in scan.collect()) == [(0, 0, 2), (1, 3, 0), (2, 4, 2)]
 
 
+@pytest.mark.parametrize("splits", [1, 1 << 20])
+def test_flat_files(spark, tmp_path, splits):
+    """Several files, cut into ranges that tasks read by themselves: separators at every kind of place, an empty file, no separator at the end."""
+    rng = np.random.default_rng(4)
+    want = []
+    for k in range(5):
+        ids = rng.integers(0, 12, [0, 1, 500, 64, 333][k]).astype("<u2")
+        (tmp_path / f"part-{k}.bin").write_bytes(ids.tobytes())
+        at = np.flatnonzero(ids == 9)
+        start = np.append(0, at + 1)
+        stop = np.append(at, len(ids))
+        docs = [(int(a), int(b - a)) for a, b in zip(start, stop)]
+        want += docs if docs[-1][1] else docs[:-1]
+    blocks = token_count.flat_file_blocks(spark, str(tmp_path), 16, blocks_each=splits)
+    scan = token_count.separator_scan(blocks, end=9)
+    assert sorted((r.start, r.n_tokens) for r in scan.collect()) == sorted(want)
+    # A gap in the numbers of blocks is no gap in the file.
+    gaps = blocks.withColumn("block", F.col("block") * 3000)
+    assert sorted((r.start, r.n_tokens) for r in token_count.separator_scan(gaps, end=9).collect()) == sorted(want)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(700, 8)).astype(np.float32)
     v[300] = v[200]
     rows = [(i, v[i].tolist(), 1) for i in range(700)] + [(900, None, 1), (1000, [0.0] * 8, 1), (1100, [float("nan")] * 8, 1), (1200, [1.0, None] + [0.0] * 6, 1), (None, v[0].tolist(), 1), (5, v[5].tolist(), 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, part int")
+    assert sorted(ann.nearest(df, every=7, block=100).collect()) == sorted(ann.nearest(df, every=7, block=1 << 20).collect())
     found = ann.nearest(df, block=128).collect()
     x = v.astype(np.float64)
     for q in range(0, 700, 100):
@@ -276,6 +298,18 @@ def test_nearest(spark):
     assert {r.query_id for r in found} == set(range(0, 700, 100)) and ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("query_block", [512, 3])
+def test_nearest_of_few_and_of_mixed_lengths(spark, monkeypatch, query_block):
+    """Fewer candidates than neighbours: all of them. Vectors of another length than the most frequent take no part. Equal vectors: the smaller id."""
+    monkeypatch.setattr(ann, "QUERY_BLOCK", query_block)
+    rows = [(i, [float(i // 2), 1.0]) for i in range(6)] + [(100, [1.0, 2.0, 3.0]), (200, [])]
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=2, block=4).collect()
+    for q in (0, 2, 4):
+        want = sorted((abs(q // 2 - i // 2) * 1.0, i) for i in range(6) if i != q)
+        assert [(r.score, r.vec_id) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == want
+    assert len(found) == 15
+
+
 def test_urls(spark):
     urls = ["http://www.EXAMPLE.com/en/a?x", "https://m.casino.org", "http://a.net/es/", "http://free-bets.org/x", "http://free.org/", "casino", None, "x://h#f", "http://freebets.org", "http://example.com/de/"]
     found = {r.page_id: r for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
