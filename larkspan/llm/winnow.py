@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import ALNUM, LOWER, STEP, U, carried, gram_hashes, groups, mapped, materialize, merged, sliding, span_hashes, text_bytes, word_spans
+from .core import ALNUM, LOWER, STEP, U, carried, gram_hashes, groups, mapped, materialize, merged, mix, sliding, span_hashes, text_bytes, word_spans
 
 #: Words of a window, and of a fingerprinted k-gram.
 WINDOW, GRAM = 13, 7
@@ -56,16 +56,28 @@ class Benchmark:
         self.words, self.n = words_of(np.frombuffer(b"".join(t for _, t in items), np.uint8), ends - size, ends)
         self.first = np.cumsum(self.n) - self.n
         at, h = fingerprints(self.words, self.n, window, self.k)
-        order = np.argsort(h, kind="stable")
-        self.at, self.hash = at[order], h[order]
-        self.owner = np.repeat(np.arange(len(items)), self.n)
-        #: Items shorter than a window: length -> (sorted hashes, item numbers).
+        owner = np.repeat(np.arange(len(items)), self.n)
+        # Where a fingerprint has the same words around it, as far as its windows reach, one place stands for all: a repetitive item has few.
+        order, self.group = _distinct(h, self._around(at, owner), owner[at])
+        self.at, self.hash, self.owner = at[order], h[order], owner
+        #: Items shorter than a window: length -> (sorted distinct hashes, the items of each).
         self.short = {}
         for length in sorted({int(x) for x in self.n if 0 < x < window}):
             own = np.flatnonzero(self.n == length)
             h = np.array([gram_hashes(self.words[self.first[i] : self.first[i] + length], length)[0] for i in own], U)
-            order = np.argsort(h, kind="stable")
-            self.short[length] = (h[order], own[order])
+            order, group = _distinct(h, np.zeros(len(h), U), own)
+            self.short[length] = (h[order], group)
+
+    def _around(self, at: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Hash of the words from where the earliest window with the k-gram begins to where the latest one ends; beyond the item there are none."""
+        h = np.zeros(len(at), U)
+        for step in range(self.k - self.window, self.window):
+            x = at + step
+            inside = (x >= 0) & (x < len(self.words))
+            x = np.where(inside, x, 0)
+            inside &= owner[x] == owner[at] if len(owner) else inside
+            h = mix(h * U(0x9E3779B97F4A7C15) + np.where(inside, self.words[x] | U(1), U(0)) if len(self.words) else h)
+        return h
 
     def hits(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words lie in an occurrence of a window, and the distinct (document, item) pairs as document * items + item."""
@@ -74,8 +86,9 @@ class Benchmark:
         at, h = fingerprints(words, n, self.window, self.k)
         i, j = _matches(h, self.hash)
         if len(i):
-            self._extend(words, doc, at[i], self.at[j], hit, found)
-        for length, (known, own) in self.short.items():
+            d, g = self._extend(words, doc, at[i], j, hit)
+            found.append(self._pairs(d, g, self.group))
+        for length, (known, group) in self.short.items():
             if len(words) < length:
                 continue
             h = gram_hashes(words, length)
@@ -83,13 +96,26 @@ class Benchmark:
             i, j = _matches(h[ok], known)
             np.add.at(hit, ok[i], 1)
             np.add.at(hit, ok[i] + length, -1)
-            found.append(doc[ok[i]] * len(self.names) + own[j])
+            found.append(self._pairs(doc[ok[i]], j, group))
         return np.cumsum(hit[:-1]) > 0, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def _extend(self, words: np.ndarray, doc: np.ndarray, here: np.ndarray, there: np.ndarray, hit: np.ndarray, found: list[np.ndarray]) -> None:
-        reach = self.window - self.k
+    def _pairs(self, doc: np.ndarray, place: np.ndarray, group: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """(document, item) of the distinct (document, place); group: where each place's items begin, and the items."""
+        if not len(doc):
+            return np.zeros(0, np.int64)
+        begins, items = group
+        both = np.unique(doc.astype(np.int64) * (len(begins) - 1) + place)
+        d, g = both // (len(begins) - 1), both % (len(begins) - 1)
+        n = begins[g + 1] - begins[g]
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[g], n)
+        return np.unique(np.repeat(d, n) * len(self.names) + items[which])
+
+    def _extend(self, words: np.ndarray, doc: np.ndarray, here: np.ndarray, place: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marks the windows that agree word by word around each shared fingerprint; the distinct (document, place) of those there are."""
+        reach, found = self.window - self.k, []
         for lo in range(0, len(here), 1 << 15):
-            a, b = here[lo : lo + (1 << 15)], there[lo : lo + (1 << 15)]
+            a, p = here[lo : lo + (1 << 15)], place[lo : lo + (1 << 15)]
+            b = self.at[p]
             d, own = doc[a], self.owner[b]
             step = np.arange(-reach, self.window)
             x, y = a[:, None] + step, b[:, None] + step
@@ -102,7 +128,20 @@ class Benchmark:
             start = a[r] - reach + c
             np.add.at(hit, start, 1)
             np.add.at(hit, start + self.window, -1)
-            found.append(np.unique(d[r] * len(self.names) + own[r]))
+            found.append(np.unique(np.column_stack([d[r], p[r]]), axis=0))
+        d, p = np.concatenate(found).T
+        return d, p
+
+
+def _distinct(h: np.ndarray, around: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """One row of each distinct (h, around), in the order of h, and the owners of each: where they begin, and they themselves."""
+    order = np.lexsort((owner, around, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (around[order][1:] != around[order][:-1])
+    group = np.cumsum(new) - 1
+    both = np.unique(group * (int(owner.max(initial=0)) + 1) + owner[order]) if len(order) else np.zeros(0, np.int64)
+    width = int(owner.max(initial=0)) + 1
+    return order[new], (np.searchsorted(both // width, np.arange(int(new.sum()) + 1)), both % width)
 
 
 def _matches(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +201,8 @@ def _held(items, window: int, k: int):
     return run
 
 
-def _reported(window: int, k: int, side: str):
-    """(fingerprint, id) rows, each once for a text; short lengths give their own kind of fingerprint."""
+def _reported(window: int, k: int, side: str, lengths: tuple[int, ...]):
+    """(fingerprint, id) rows, each once for a text; items shorter than a window give their own kind of fingerprint, documents those of such lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in merged(batches, "text", STEP):
@@ -172,13 +211,18 @@ def _reported(window: int, k: int, side: str):
             at, h = fingerprints(words, n, window, k)
             doc = np.repeat(np.arange(len(n)), n)
             kinds = [(np.zeros(len(h), np.int64), h, doc[at])]
-            for length in range(1, window):
+            for length in lengths:
                 x = gram_hashes(words, length)
                 ok = np.flatnonzero(doc[: len(x)] == doc[length - 1 :]) if len(x) else np.zeros(0, np.int64)
                 if side == "item":
                     ok = ok[n[doc[ok]] == length]
                 kinds.append((np.full(len(ok), length), x[ok], doc[ok]))
             kind, h, d = (np.concatenate(c) for c in zip(*kinds))
+            order = np.lexsort((d, h, kind))
+            kind, h, d = kind[order], h[order], d[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (kind[1:] != kind[:-1]) | (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            kind, h, d = kind[new], h[new], d[new]
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(h.view(np.int64)), batch.column(0).take(pa.array(d))], ["kind", "fp", side])
 
     return run
@@ -220,8 +264,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         return own.transform(mapped, _held(known, window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))
     # Rows have no key of their own that is sure to be unique, so each gets one that is written down before it is used twice.
     own = materialize(own.withColumn("row", F.monotonically_increasing_id()))
-    theirs = items.select("item", "text").transform(mapped, _reported(window, k, "item"), "kind long, fp long, item string").distinct()
-    ours = own.select("row", "text").transform(mapped, _reported(window, k, "row"), "kind long, fp long, row long")
+    theirs = materialize(items.select("item", "text").transform(mapped, _reported(window, k, "item", tuple(range(1, window))), "kind long, fp long, item string").distinct())
+    lengths = tuple(sorted(r.kind for r in theirs.where("kind > 0").select("kind").distinct().collect()))
+    ours = own.select("row", "text").transform(mapped, _reported(window, k, "row", lengths), "kind long, fp long, row long")
     pairs = ours.join(theirs, ["kind", "fp"]).select("row", "item").distinct()
     listed = pairs.join(items.select("item", F.col("text").alias("item_text")), "item").groupBy("row").agg(F.collect_set(F.struct("item", "item_text")).alias("items"))
     return own.join(listed, "row", "left").select("doc_id", "text", "items", *(carry or [])).transform(mapped, _pairwise(window, k), f"doc_id long, {_SCHEMA}" + carried(own, carry))

@@ -190,7 +190,7 @@ def test_components_chain(spark):
 
 @pytest.mark.parametrize("held", [1 << 20, 0])
 def test_decontaminate(spark, docs, empty, rows, held):
-    items = [(1, rows[0][1][:200]), (10, "word word word"), (2, rows[7][1]), (3, None), (None, "x"), (4, "..."), (1, rows[0][1][:200]), (5, rows[61][1].upper())]
+    items = [(1, rows[0][1][:200]), (10, "word word word"), (2, rows[7][1]), (3, None), (None, "x"), (4, "..."), (1, rows[0][1][:200]), (5, rows[61][1].upper()), (6, "word " * 700), (7, "left " + "word " * 30 + "right"), (8, "word word word")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER))
     windows = {}
@@ -216,6 +216,15 @@ def test_decontaminate(spark, docs, empty, rows, held):
     assert winnow.decontaminate(docs, bench.limit(0), held_bytes=held).where("contaminated").count() == 0
 
 
+def test_repetitive_items_have_few_places():
+    """A text of one repeated word against an item of one: work grows with the text, not with the product."""
+    bench = winnow.Benchmark([("a", b"word " * 20000), ("b", b"word " * 50), ("c", b"x " + b"word " * 50)])
+    assert len(bench.at) < 100
+    words, n = winnow.words_of(np.frombuffer(b"word " * 3000, np.uint8), np.array([0]), np.array([15000]))
+    hit, pairs = bench.hits(words, n)
+    assert hit.all() and pairs.tolist() == [0, 1, 2]
+
+
 def test_packing_round_trip(docs, empty, rows):
     from tokenizers import Tokenizer
 
