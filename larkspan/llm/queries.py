@@ -41,7 +41,9 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = materialize(read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("good")).where("good = 1"))
     # Few ids go to every task, so the texts stay where they are.
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(good) if good.count() <= HELD_IDS else good, "doc_id", "left")
-    return cross_entropy_difference(docs, F.col("good") == 1)
+    scored = cross_entropy_difference(docs, F.col("good") == 1)
+    # Eight decimals: sums of logarithms in another order agree no further.
+    return scored.withColumns({c: F.round(c, 8) + 0.0 for c in ("target_loss", "background_loss", "score")})
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,5 +117,70 @@ FROM s
 """
 
 
+_UPPER, _LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _words(column: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({column}, ''), {_UPPER}, {_LOWERED}), '{pattern}')"
+
+
+#: Bytes, which of their 100-byte strings came before, what these cover, and the slices that are left.
+_SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, md5(b[i : i + 99]) AS g FROM d, unnest(range(1, n - 98)) AS t(i) WHERE n >= 100),
+s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS again FROM g),
+p AS (SELECT doc_id, i FROM d, unnest(range(1, n + 1)) AS t(i)),
+c AS (SELECT doc_id, i, coalesce(max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 0) = 1 AS gone FROM p LEFT JOIN s USING (doc_id, i)),
+r AS (SELECT doc_id, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+k AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run, i FROM c WHERE NOT gone),
+e AS (SELECT doc_id, min(i) AS lo, max(i) AS hi FROM k GROUP BY doc_id, run),
+x AS (SELECT doc_id, string_agg(hex(b[lo : hi]), '' ORDER BY lo) AS kept FROM e JOIN d USING (doc_id) GROUP BY 1),
+m AS (SELECT doc_id, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_removed, CAST(sum(CAST(begins AS INTEGER)) AS BIGINT) AS n_spans FROM r GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+#: Exact counts of words and bigrams, as text, in both models.
+_LM_SQL = rf"""
+WITH good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
+d AS (SELECT doc_id, {_words("text", r"[^ \x09-\x0D]+")} AS w, doc_id IN (SELECT doc_id FROM good) AS own FROM documents),
+t AS (SELECT doc_id, own, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+u AS (SELECT w, count(*) AS n, count(*) FILTER (own) AS n_own FROM t GROUP BY 1),
+b AS (SELECT p, w, count(*) AS n, count(*) FILTER (own) AS n_own FROM t GROUP BY ALL),
+s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n_own) AS DOUBLE) AS n_own, count(*) AS words, (SELECT count(*) FROM d WHERE len(w) > 0) AS starts, (SELECT count(*) FROM d WHERE len(w) > 0 AND own) AS starts_own FROM u),
+l AS (SELECT t.doc_id,
+  -ln(0.6::DOUBLE * b.n_own / greatest(CASE WHEN t.p IS NULL THEN s.starts_own ELSE h.n_own END, 1) + 0.4::DOUBLE * (u.n_own + 1) / (s.n_own + s.words)) AS target,
+  -ln(0.6::DOUBLE * b.n / greatest(CASE WHEN t.p IS NULL THEN s.starts ELSE h.n END, 1) + 0.4::DOUBLE * (u.n + 1) / (s.n + s.words)) AS background
+  FROM t JOIN u USING (w) JOIN b ON b.w = t.w AND b.p IS NOT DISTINCT FROM t.p LEFT JOIN u h ON h.w = t.p, s)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, coalesce(round(avg(target), 8), 0) AS target_loss, coalesce(round(avg(background), 8), 0) AS background_loss, coalesce(round(avg(background) - avg(target), 8), 0) AS score
+FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, d.w
+"""
+
+#: Windows of the items, of 13 words or the item's own number, in the documents.
+_WINNOW_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[k : k + least(13, len(w)) - 1], ' ') AS g FROM i, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(k) WHERE len(w) > 0),
+dw AS (SELECT r, k, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(w) - n + 2)) AS t(k) WHERE len(w) >= n),
+m AS (SELECT r, k, n, item FROM dw JOIN iw USING (n, g)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS x FROM m) GROUP BY 1),
+f AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN f USING (r)
+"""
+
+#: All pairs that share a shingle, and what can be reached by those that are alike.
+_NEAR_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words("text", r"[^ \x09-\x0D]+")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reached AS (SELECT doc_id, doc_id AS m FROM d UNION SELECT e.b, reached.m FROM reached JOIN e ON e.a = reached.doc_id),
+o AS (SELECT doc_id, min(m) AS component_id FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM o LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ann": _ANN_SQL, "op10_url_filter": _url_sql()}
+    return {"op3_suffix_dedup": _SUFFIX_SQL, "op4_ann": _ANN_SQL, "op5_lm_score": _LM_SQL, "op7_decontaminate": _WINNOW_SQL, "op8_near_duplicates": _NEAR_SQL, "op10_url_filter": _url_sql()}
