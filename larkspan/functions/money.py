@@ -47,9 +47,11 @@ def normal_code(code: Column, aliases: dict[str, str]) -> Column:
 
 
 def mentioned_currency(text: Column, pattern: str, aliases: dict[str, str], home: str = "RUB") -> Column:
-    """first currency mentioned next to an amount that is not the home currency."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), lambda x: F.coalesce(F.create_map(*(F.lit(v) for kv in aliases.items() for v in kv))[F.trim(x)], F.upper(x)))
-    return F.get(F.filter(found, lambda x: (x != "") & (x != home)), F.lit(0))
+    """first currency mentioned next to an amount that is not the home currency. The pattern matches both; what of it is neither digit nor blank
+    is the currency, by its alias or else upper-cased."""
+    table = F.create_map(*(F.lit(v) for kv in aliases.items() for v in kv))
+    said = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"(?iu){pattern}"), F.lit(0)), lambda x: F.regexp_replace(x, r"[\d\s]+", ""))
+    return F.get(F.filter(F.transform(said, lambda x: F.coalesce(table[x], F.upper(x))), lambda x: (x != "") & (x != home)), F.lit(0))
 
 
 def monthly(low: Column, high: Column, currency: Column, text: Column, hourly: str, annual: str) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import fixed
+
 #: Marks of junk lines, marks of divider lines, bullets, and block tags.
 JUNK_CLASS = r"""[\s\-─━═■□▪▸►•*~=_|/\\,.;:!?@#$%^&*()\[\]{}<>«»""''`]"""
 DIVIDER_CLASS = r"""[\s\-─━═▬•*~=_|/\\,.;:!?\[\]{}<>«»""''`]"""
@@ -146,7 +148,7 @@ def css_text(html: Column | str, tag: str | None = None, attribute: str | None =
     return found(_c(html))
 
 
-def message_clean(raw: Column | str, labels: str = "source|author|contact|channel|via|link") -> Column:
+def message_clean(raw: Column | str, labels: str = fixed.MESSAGE_LABELS) -> Column:
     """a channel message as one paragraph, null if nothing is left. labels: words that, before a colon at a line's start, are dropped. A line that
     is a bullet only ends the paragraph."""
     lines = F.transform(F.split(_c(raw), r"\r\n|\r|\n"), lambda x: F.trim(x))
@@ -176,7 +178,7 @@ def _groups(pattern: str) -> int:
     return n
 
 
-def sections(text: Column | str, headers: list[tuple[str, str]]) -> Column:
+def sections(text: Column | str, headers: list[tuple[str, str]] = fixed.SECTIONS) -> Column:
     """F8a-c: array of (key, content), the preamble under key ''. headers: (pattern, key), the earlier wins at one offset. Contents that belong to
     one key stay separate rows of the array, in order. The text is matched once, by all patterns together, and split at the headers, so neither a key
     nor a header is searched again: of headers within one another the outer one counts. The control characters 1 to 3 of a text become blanks."""
@@ -195,14 +197,14 @@ def sections(text: Column | str, headers: list[tuple[str, str]]) -> Column:
     return F.transform(parts, lambda p: F.when(p.contains("\x02"), F.struct(which(p).alias("key"), tidy(F.substring_index(p, "\x02", -1)).alias("content"))).otherwise(F.struct(F.lit("").alias("key"), F.trim(p).alias("content"))))
 
 
-def merge_sections(parts: Column, noise: list[str]) -> Column:
+def merge_sections(parts: Column, noise: list[str] = fixed.NOISE) -> Column:
     """Contents of a key joined by newline, in order of first appearance; noise keys and the preamble left out."""
     keep = F.filter(parts, lambda p: (p["key"] != "") & ~p["key"].isin(noise))
     keys = F.array_distinct(F.transform(keep, lambda p: p["key"]))
     return F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.filter(keep, lambda p: p["key"] == k), lambda p: p["content"]), "\n").alias("content")))
 
 
-def format_sections(text: Column | str, headers: list[tuple[str, str]], noise: list[str]) -> Column:
+def format_sections(text: Column | str, headers: list[tuple[str, str]] = fixed.SECTIONS, noise: list[str] = fixed.NOISE) -> Column:
     """F8d: the text itself where it has no section, else preamble and contents by blank lines."""
     parts = sections(text, headers)
     body = F.array_join(F.filter(F.concat(F.array(parts[0]["content"]), F.transform(merge_sections(parts, noise), lambda p: p["content"])), lambda x: x != ""), "\n\n")
@@ -254,7 +256,7 @@ def defaulted(extracted: Column, lists: list[str], scalars: list[str] = ()) -> C
     return F.struct(*fields, *(F.get_json_object(extracted, f"$.{name}").alias(name) for name in scalars))
 
 
-def is_remote(ld: Column | str, text: Column | str, words: str = "remote|home office") -> Column:
+def is_remote(ld: Column | str, text: Column | str, words: str = fixed.REMOTE) -> Column:
     """F18."""
     return F.coalesce(F.get_json_object(_c(ld), "$.jobLocationType") == "TELECOMMUTE", F.lit(False)) | F.coalesce(_c(text).rlike(f"(?iu){words}"), F.lit(False))
 

@@ -232,7 +232,8 @@ def _log_cdf(z: np.ndarray) -> np.ndarray:
     low = z < -30
     near = np.log(0.5 * np.frompyfunc(math.erfc, 1, 1)(-np.where(low, 0, z) / math.sqrt(2)).astype(float))
     v = np.where(low, z, -30.0)
-    return np.where(low, -0.5 * v * v - np.log(-v) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / v**2 + 3 / v**4), near)
+    square = np.minimum(v * v, 1e150)
+    return np.where(low, -0.5 * v * v - np.log(-v) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / square + 3 / square**2), near)
 
 
 def _interval(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

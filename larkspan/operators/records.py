@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import money, text
+from ..functions import fixed, money, text
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Site:
 FIELDS = ["vacancy_id", "source", "title", "company_name", "location", "salary_from", "salary_to", "currency", "description", "remote", "published_at"]
 
 
-def record(pages: DataFrame, site: Site, url: str = "url", html: str = "html", upto: str = "до", since: str = "от", remote_words: str = "remote|удалённ") -> DataFrame:
+def record(pages: DataFrame, site: Site, url: str = "url", html: str = "html", upto: str = "до", since: str = "от", remote_words: str = fixed.REMOTE) -> DataFrame:
     """The eleven fields of each page: from its JSON-LD posting, else from the site's elements. Pay from the elements counts only where the
     posting has neither bound. Columns of the pages stay beside."""
     ld = pages.withColumn("_ld", text.json_posting(html))

@@ -267,7 +267,7 @@ def html_text(t, spark):
     SELECT doc_id, nullif(regexp_replace(regexp_replace(t, ' *\x01[\x01 ]*', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') AS text FROM b"""
 )
 def message_clean(t, spark):
-    return t("documents").select("doc_id", text.message_clean("text").alias("text"))
+    return t("documents").select("doc_id", text.message_clean("text", "source|author|contact|channel|via|link").alias("text"))
 
 
 @query(

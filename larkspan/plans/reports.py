@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import money, rules, text
+from ..functions import fixed, money, rules, text
 from ..operators import features, ingest, metrics, models, records, skills
 from ..session import scratch
 from ..sources import io
@@ -167,6 +167,52 @@ def name_functions(t, spark):
     )
 
 
+_TITLES = [
+    # title, grade, title grade, class, positions, not relevant
+    ("Senior DevOps Engineer", "Senior", "Senior", "senior", "DevOps", False),
+    ("Middle/Senior SRE", "Middle/Senior", "Senior", "senior", "SRE", False),
+    ("Junior DevOps Engineer (Azure)", "Junior", "Intern", "junior", "DevOps", False),
+    ("SRE/DevOps lead", "Lead", "Lead", "senior", "SRE,DevOps", False),
+    ("Strong Middle MLOps", "Middle", "Middle", "middle", "MLOps", False),
+    ("Frontend developer", None, None, None, "Frontend", True),
+    ("Backend engineer", None, None, None, "Backend", True),
+    ("Backend / DevOps", None, None, None, "DevOps", False),
+    ("Support engineer", None, None, None, "Support", True),
+    ("Junior-middle sysadmin", "Junior/Middle", "Junior", "junior", "System Administrator", False),
+    ("Head of Cloud Architect team", "Lead", "Lead", "senior", "Cloud Architect", False),
+    ("Manager, UI", "Lead", None, None, "Manager", True),
+]
+
+
+def _as_cases(column: int, kind: str = "VARCHAR") -> str:
+    text_ = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
+    return "CAST(CASE p_partkey % " + str(len(_TITLES)) + " " + " ".join(f"WHEN {i} THEN {text_(r[column])}" for i, r in enumerate(_TITLES)) + f" END AS {kind})"
+
+
+@query(f"SELECT p_partkey, {_as_cases(1)} AS grade, {_as_cases(2)} AS title_grade, {_as_cases(3)} AS class, {_as_cases(4)} AS positions, CASE WHEN {_as_cases(5, 'BOOLEAN')} THEN 'non-devops title' WHEN p_partkey % 5 = 0 THEN 'short description' END AS reasons FROM part")
+def fixed_title_rules(t, spark):
+    """P1, P2, F9-F12 with the fixed patterns."""
+    title = F.get(F.array(*(F.lit(r[0]) for r in _TITLES)), (F.col("p_partkey") % len(_TITLES)).cast("int"))
+    said = F.when(F.col("p_partkey") % 5 == 0, "little").otherwise(F.repeat(F.lit("words "), 12))
+    return t("part").select("p_partkey", rules.grade(title).alias("grade"), rules.title_grade(title).alias("title_grade"), rules.title_class(title).alias("class"), F.array_join(rules.positions(title), ",").alias("positions"), rules.review_reasons(title, said).alias("reasons"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'KZT' WHEN 3 THEN 'AED' END AS by_text, CASE p_partkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'KZT' WHEN 5 THEN 'GBP' END AS mentioned,
+    CASE p_partkey % 3 WHEN 0 THEN 'KZT' WHEN 1 THEN 'GEL' END AS by_place, CASE WHEN p_partkey % 6 = 0 THEN 160.0::DOUBLE WHEN p_partkey % 6 = 1 THEN 1.0::DOUBLE / 12 WHEN p_partkey % 6 = 4 THEN 160 ELSE 1 END AS factor, p_partkey % 6 = 3 AS wanted FROM part"""
+)
+def fixed_pay_rules(t, spark):
+    """P4, F29-F32 with the fixed patterns and tables."""
+    cases = ["pay 1000 usd/hour, or 5 rub", "100 000 eur / year", "50 000 rub or 70 000 kzt", "aed #Vacancy", "nothing", "£ 500 per month #vacancy #RESUME"]
+    said = F.get(F.array(*(F.lit(c) for c in cases)), (F.col("p_partkey") % 6).cast("int"))
+    place = F.get(F.array(F.lit("Алматы, центр"), F.lit("Грузия"), F.lit("Berlin")), (F.col("p_partkey") % 3).cast("int"))
+    amount = F.get(F.array(*(F.lit(x) for x in (450.0, 100000.0, 60000.0, 3000.0, 20000.0, 900.0))), (F.col("p_partkey") % 6).cast("int"))
+    code = rules.first_match(said, [(f"(?iu){p}", c) for p, c in fixed.CODE_PATTERNS])
+    mentioned = money.mentioned_currency(said, fixed.MENTIONED, fixed.CODE_NAMES)
+    factor = money.monthly(amount, F.lit(None).cast("double"), F.coalesce(code, mentioned), said, f"(?iu){fixed.HOURLY}", f"(?iu){fixed.ANNUAL}")
+    return t("part").select("p_partkey", code.alias("by_text"), mentioned.alias("mentioned"), rules.contains_first(F.lower(place), fixed.PLACES).alias("by_place"), factor.alias("factor"), rules.wanted_message(said).alias("wanted"))
+
+
 # ---- pay ----
 
 _FX, _BACK = [("USD", 90.0), ("EUR", 100.0)], [("USD", 1.0), ("KZT", 0.2)]
@@ -204,7 +250,7 @@ def pay_by_place(t, spark):
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     code = F.when(k % 6 == 0, " Dollars").when(k % 6 == 2, "rub").when(k % 6 == 3, "xxx").when(k % 6 == 4, "KZT").when(k % 6 == 5, "")
     said = F.when(k % 5 == 1, "100 rub or 5 Euro").when(k % 5 == 3, "200 kzt").otherwise("7 rub")
-    s = money.normalize_pay(F.when(k % 4 == 0, 0.0).otherwise(p), F.when(k % 3 > 0, p * 20), code, said, F.col("o_orderpriority"), {"dollars": "USD", "euro": "EUR", "rub": "RUB"}, r"\d+\s*(rub|euro|kzt)", [(["low"], "GEL")])
+    s = money.normalize_pay(F.when(k % 4 == 0, 0.0).otherwise(p), F.when(k % 3 > 0, p * 20), code, said, F.col("o_orderpriority"), {"dollars": "USD", "euro": "EUR", "rub": "RUB"}, r"\d+\s*(?:rub|euro|kzt)", [(["low"], "GEL")])
     return t("orders").select(k, s.alias("s")).select(k, F.round("s.low", 4).alias("low"), F.round("s.high", 4).alias("high"), "s.currency")
 
 
