@@ -94,7 +94,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def _url_sql() -> str:
-    strict = "|".join(STRICT)
+    strict = "|".join(STRICT)  # letters and hyphens only
     found = " + ".join(f"CAST(regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){t}([^\\p{{L}}\\p{{N}}]|$)') AS INTEGER)" for t in SOFT)
     return rf"""
 WITH p AS (

@@ -13,11 +13,14 @@ from .core import mapped
 
 #: (host, path, verdict): a rule fits its host and all subdomains if the url's path starts with its path; the longest wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: One of these rejects an url.
-STRICT = ["casino", "casinos", "porn", "porno", "xxx", "viagra", "cialis", "escort", "escorts", "hentai", "camgirls"]
+#: The vocabulary where none is given, English, German, French and Spanish. One of these rejects an url.
+STRICT = ["casino", "casinos", "porn", "porno", "xxx", "viagra", "cialis", "escort", "escorts", "hentai", "camgirls", "kasino", "sexkontakte", "tragaperras"]
 #: So many distinct ones of these do.
 SOFT = ["free", "bet", "bets", "betting", "cheap", "pills", "win", "winner", "adult", "sex", "sexy", "nude", "poker", "slots", "loan", "loans", "dating", "hot", "jackpot", "pharmacy"]
+SOFT += ["kostenlos", "wetten", "gewinnen", "kredit", "nackt", "gratuit", "paris-sportifs", "rencontres", "sexe", "nue", "gratis", "apuestas", "desnuda", "citas", "premio"]
 DISTINCT_SOFT = 2
+#: Terms that a given vocabulary may have: each task holds them all.
+MOST_TERMS = 1 << 20
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -87,6 +90,15 @@ def _judge(rules: list[tuple[str, str, str]], strict: list[str], soft: list[str]
     return run
 
 
+def vocabulary_terms(table: DataFrame, term_col: str = "term", strict_col: str = "strict") -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a table of terms and whether each is strict; a term that is both is strict. Null or empty terms are none; a null mark is
+    soft. More than ``MOST_TERMS`` are refused, as every task would hold them."""
+    terms = table.select(F.col(term_col).cast("string").alias("t"), F.coalesce(F.col(strict_col).cast("boolean"), F.lit(False)).alias("s")).where("t <> ''").groupBy("t").agg(F.max("s").alias("s")).limit(MOST_TERMS + 1).collect()
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"a vocabulary of more than {MOST_TERMS} terms")
+    return sorted(r.t for r in terms if r.s), sorted(r.t for r in terms if not r.s)
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, strict: list[str] = STRICT, soft: list[str] = SOFT, distinct: int = DISTINCT_SOFT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (the longest that fits, else null), verdict (the rule's, else the vocabulary's), strict_hits, soft_terms.
 

@@ -326,6 +326,76 @@ def test_urls(spark):
     assert (found[0].host, found[0].path, found[0].rule) == ("www.example.com", "/en/a", "www.example.com/en/") and (found[7].host, found[7].path) == ("h", "")
 
 
+def test_urls_on_awkward_rows(spark):
+    """Null ids, repeated rows, a clashing column and a very long url are judged like others; an empty table is empty; terms may come as a table."""
+    long = "http://a.org/" + "x" * 200_000 + "/casino"
+    rows = [(None, "http://a.org/porn", "h"), (1, long, "h"), (1, long, "h"), (2, "", "h"), (3, "://", "h"), (4, "http://a.com", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string")
+    found = sorted(map(tuple, urlfilter.filter_urls(df).select("page_id", "host", "rule", "verdict").collect()), key=str)
+    assert found == sorted([(None, "a.org", None, "block"), (1, "a.org", None, "block"), (1, "a.org", None, "block"), (2, "", None, "allow"), (3, "", None, "allow"), (4, "a.com", None, "allow")], key=str)
+    assert urlfilter.filter_urls(df.limit(0)).count() == 0
+    terms = spark.createDataFrame([("Xxx", False), ("apple", True), ("apple", False), (None, True), ("", True), ("pear", None)], "term string, strict boolean")
+    strict, soft = urlfilter.vocabulary_terms(terms)
+    assert (strict, soft) == (["apple"], ["Xxx", "pear"])
+    urls = spark.createDataFrame([(0, "http://a.org/apple"), (1, "http://a.org/xxx"), (2, "http://a.org/XXX-pear")], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.filter_urls(urls, strict=strict, soft=soft).orderBy("page_id").collect()] == ["block", "allow", "block"]
+
+
+def test_quality_by_hand(spark):
+    """Posteriors of each document without its own part, worked out row by row; sites of one row, conflicting and foreign labels, null host and id."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        host = rng.choice(["a", "a", "a", "b", "c", None])
+        words = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(3, 60)))
+        rows.append((i, words + ("!!! $$$ ..." * rng.randint(1, 5) if (i % 3 == 0) ^ (host == "b") else ""), host, rng.choice(["x", "y", f"only{i}"])))
+    rows += [(None, "some text", "a", "x"), (240, "", "lone", "x"), (241, None, "a", "x"), (7, rows[7][1], rows[7][2], rows[7][3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)] + [(1, 0), (2, 5), (None, 1)], "doc_id long, quality int")
+    found = quality.quality(df, labels, host="host", path="path")
+    mine = found.collect()
+    assert len(mine) == len(rows)
+    # The same features and fit; everything after them by hand.
+    x = {(r.doc_id, r.text): r.x for r in df.select("doc_id", "text", F.array(*(f.cast("double") for f in quality.features(F.col("text")))).alias("x")).collect()}
+    y = {}
+    for i, v in [(i, int(i % 3 > 0)) for i in range(120)] + [(1, 0)]:
+        y[i] = min(v, y.get(i, 1))
+    order = sorted(((r.h, r.doc_id, r.text) for r in df.where("doc_id < 120").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect()))
+    w0, w = quality.fit([(x[d, t], y[d]) for _, d, t in order])
+    data = [(d, h or "", p, 1 / (1 + np.exp(-np.clip(w0 + float(np.dot(w, x[d, t])), -30, 30)))) for d, t, h, p in rows]
+    total = sum(e for *_, e in data)
+    mean = (total + 1) / (len(data) + 2)
+
+    def sites(key):
+        out = {}
+        for r in data:
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, s + r[3])
+        return out
+
+    hosts, paths = sites(lambda r: r[1]), sites(lambda r: (r[1], r[2]))
+
+    def strength(groups, center):
+        some = [(n, s, center(k)) for k, (n, s) in groups.items() if n > 1]
+        n_all = sum(n for n, *_ in some)
+        m = sum(s for _, s, _ in some) / n_all
+        return quality.strength(m, sum(n * (s / n - c) ** 2 for n, s, c in some) / n_all - m * (1 - m) * len(some) / n_all)
+
+    m_host, m_path = strength(hosts, lambda k: mean), strength(paths, lambda k: hosts[k[0]][1] / hosts[k[0]][0])
+    logit = lambda q: np.log(q / (1 - q))
+    want = []
+    for d, h, p, e in data:
+        at_host = (hosts[h][1] - e + m_host * mean) / (hosts[h][0] - 1 + m_host)
+        at_path = (paths[h, p][1] - e + m_path * at_host) / (paths[h, p][0] - 1 + m_path)
+        score = 1 / (1 + np.exp(-(logit(np.clip(e, 1e-6, 1 - 1e-6)) + logit(np.clip(at_path, 1e-6, 1 - 1e-6)) - logit(mean))))
+        want.append((-1 if d is None else d, e, at_host, at_path, score))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.evidence, r.host_posterior, r.path_posterior, r.score) for r in mine)
+    assert np.allclose(np.array(got), np.array(sorted(want)), atol=1e-9)
+    # Labels of one class: the evidence is one rate.
+    one = quality.quality(df, labels.where("quality = 1 AND doc_id > 50"), host="host", path="path").select("evidence").distinct().collect()
+    assert len(one) == 1 and 0.5 < one[0].evidence < 1
+
+
 def test_toxicity_learns_and_never_sees_held_out_rows(spark, docs, empty):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
