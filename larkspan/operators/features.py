@@ -29,15 +29,16 @@ def diversity(items: DataFrame, vectors: DataFrame, owner: str, key: str, cluste
     """M1: ln(1 + k (1 - mean pairwise cosine)) of an owner's k items of a cluster; ln 2 for one item.
 
     With unit vectors u the mean over pairs is (|sum u|^2 - #nonzero) / (k (k - 1)), so there is no self-join: vectors are normalised once, then
-    summed. Items of an owner and cluster are counted by key first, so repeats cost nothing.
+    summed by dimension, partly before the shuffle, so a group of any size is a few numbers. An owner's items are counted by key first, so repeats
+    cost nothing. Vectors of fewer dimensions than the longest have 0 there.
     """
+    d = vectors.agg(F.max(F.size(vector))).first()[0] or 0
     n = norm(F.col(vector))
     unit = vectors.select(key, cluster, F.transform(vector, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)).alias("_u"), (n > 0).cast("long").alias("_nz"))
     counted = items.groupBy(owner, key).agg(F.count("*").alias("_c"))
-    grouped = counted.join(unit, key).groupBy(owner, cluster).agg(F.sum("_c").alias("k"), F.sum(F.col("_c") * F.col("_nz")).alias("_nz"), F.collect_list(F.struct("_c", "_u")).alias("_all"))
-    weighted = F.transform("_all", lambda s: F.transform(s["_u"], lambda x: x * s["_c"]))
-    total = F.aggregate(F.slice(weighted, 2, F.greatest(F.size(weighted) - 1, F.lit(0))), weighted[0], lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    square = F.aggregate(total, F.lit(0.0), lambda a, x: a + x * x)
+    sums = [F.sum(F.col("_c") * F.get("_u", F.lit(i))).alias(f"_s{i}") for i in range(d)]
+    grouped = counted.join(unit, key).groupBy(owner, cluster).agg(F.sum("_c").alias("k"), F.sum(F.col("_c") * F.col("_nz")).alias("_nz"), *sums)
+    square = F.aggregate(F.array(*(F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(d))).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
     mean = (square - F.col("_nz")) / (F.col("k") * (F.col("k") - 1))
     return grouped.select(owner, cluster, "k", F.when(F.col("k") == 1, F.log(F.lit(2.0))).otherwise(F.log1p(F.col("k") * (1 - mean))).alias("diversity"))
 
@@ -144,10 +145,11 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def nearest_centroid(df: DataFrame, centers: DataFrame, key: str, vector: str, group: str) -> DataFrame:
-    """Group of the nearest centroid of each row (ties: smaller group). There is one centroid for each group, a bounded dimension."""
-    c = F.broadcast(centers.select(F.col(group).alias("nearest"), "centroid"))
-    each = df.select(key, vector).join(c, F.lit(True)).select(key, F.struct(distance2(F.col(vector), F.col("centroid")).alias("d"), F.col("nearest")).alias("s"))
-    return each.groupBy(key).agg(F.min("s").alias("s")).select(key, F.col("s.nearest").alias("nearest"))
+    """Group of the nearest centroid of each row (ties: smaller group). The centroids, one for each group of a bounded dimension, are one row, so
+    rows are neither multiplied nor shuffled. Null without centroids or a vector."""
+    all_ = centers.groupBy().agg(F.collect_list(F.struct("centroid", F.col(group).alias("g"))).alias("_all"))
+    best = F.array_min(F.transform("_all", lambda c: F.struct(distance2(F.col(vector), c["centroid"]).alias("d"), c["g"].alias("nearest"))))
+    return df.select(key, vector).join(F.broadcast(all_), F.lit(True)).select(key, best["nearest"].alias("nearest"))
 
 
 def oversample(df: DataFrame, group: str, key: str) -> DataFrame:
