@@ -235,18 +235,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Files whose paths may go to every task: some 10 MB.
+HELD_FILES = 1 << 16
+
+
 def with_row_key(docs: DataFrame, name: str = "row") -> DataFrame:
     """docs with a number for each row, the same whenever they are read again, so that rows without an id or with a repeated one can be told apart.
 
-    A plain read of files has it from the file's place among the sorted paths and the row's place in the file. Any other docs are written to the shared
-    folder first."""
+    A plain read of at most ``HELD_FILES`` files has it from the file's place among the sorted paths, which go to every task, and the row's place in
+    the file. Any other docs are written to the shared folder first."""
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
             placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
         except AnalysisException:  # files of a kind without row numbers
             placed = None
         if placed is not None:
-            paths = sorted(r[0] for r in placed.select("_path").distinct().collect())
+            paths = sorted(r[0] for r in placed.select("_path").distinct().limit(HELD_FILES + 1).collect())
+        if placed is not None and len(paths) <= HELD_FILES:
             places = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
             return placed.join(F.broadcast(places), "_path").withColumn(name, F.shiftleft("_file", 40) + F.col("_at")).drop("_path", "_at", "_file")
     folder = f"{checkpoint_dir(docs.sparkSession)}/rows-{uuid4().hex}"

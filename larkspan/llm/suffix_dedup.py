@@ -31,7 +31,7 @@ from .core import U, by_bucket, doc_group, mapped, materialize, merged, mix, pac
 #: Bytes of one anchor. Any value up to ``length`` gives the same result; about half makes the two shuffles equally large.
 ANCHOR = 50
 #: Bytes of text that make up one batch of the index, and strings that are checked in one.
-BATCH_BYTES, BATCH_STRINGS = 4 << 20, 1 << 18
+BATCH_BYTES, BATCH_STRINGS = 2 << 20, 1 << 18
 #: Bytes of text for each shard of the index, which one task holds.
 SHARD_BYTES = 32 << 20
 #: An anchor with more distinct segments in one batch is a common line: its segments are checked by string at once, and the anchor's shard hears of
@@ -109,7 +109,7 @@ class IndexFamily:
         return out
 
 
-def _blocks(starts: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(starts: np.ndarray, ends: np.ndarray, length: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(document, start, end) arrays of pieces to work on together; a long document comes in pieces that overlap by length - 1 bytes."""
     which, lo, hi, size = [], [], [], 0
     for d, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
@@ -190,7 +190,7 @@ def _out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.binary())], ["bucket", "kind", "payload"])
 
 
-def _flush(rows: list[tuple[int, int, bytes]], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _flush(rows: list[tuple[int, int, bytes]], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     at, size = 0, 0
     for i, r in enumerate(rows):
         size += len(r[2])
