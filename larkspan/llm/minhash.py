@@ -29,7 +29,7 @@ ROWS, BANDS = 6, 42
 SIGNATURE, STEP_VALUES = 128, 16
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * U(2) + U(1)
 #: Members of one block when a bucket holds several components, with signatures and with full sets.
-BLOCK, SET_BLOCK = 1024, 128
+BLOCK, SET_BLOCK = 512, 128
 #: Links that one task joins into trees before components are sought across tasks.
 EDGES = 1 << 18
 
