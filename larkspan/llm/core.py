@@ -239,26 +239,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 HELD_FILES = 1 << 16
 
 
-def with_row_key(docs: DataFrame, name: str = "row") -> DataFrame:
-    """docs with a number for each row, the same whenever they are read again, so that rows without an id or with a repeated one can be told apart.
+def with_row_key(docs: DataFrame, columns: list[str], name: str = "row") -> DataFrame:
+    """The columns of docs and a number for each row, the same whenever they are read again, so that rows without an id or with a repeated one can be
+    told apart. None of the columns may begin with an underscore or have the number's name.
 
     A plain read of at most ``HELD_FILES`` files has it from the file's place among the sorted paths, which go to every task, and the row's place in
     the file. Any other docs are written to the shared folder first."""
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
         try:
-            placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+            placed = docs.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
         except AnalysisException:  # files of a kind without row numbers
             placed = None
         if placed is not None:
             paths = sorted(r[0] for r in placed.select("_path").distinct().limit(HELD_FILES + 1).collect())
         if placed is not None and len(paths) <= HELD_FILES:
             places = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
-            return placed.join(F.broadcast(places), "_path").withColumn(name, F.shiftleft("_file", 40) + F.col("_at")).drop("_path", "_at", "_file")
+            return placed.join(F.broadcast(places), "_path").withColumn(name, F.shiftleft("_file", 40) + F.col("_at")).select(*columns, name)
     folder = f"{checkpoint_dir(docs.sparkSession)}/rows-{uuid4().hex}"
-    docs.withColumn(name, F.monotonically_increasing_id()).write.parquet(folder)
+    docs.select(*columns).withColumn(name, F.monotonically_increasing_id()).write.parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate results, by Spark's own file systems."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents_input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names: further columns, of whatever name, play no part."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
