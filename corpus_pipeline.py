@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm.core import checkpoint_dir, matching, materialize, read, with_row_key
+from larkspan.llm.core import checkpoint_dir, delete, matching, materialize, read, with_row_key
 from larkspan.llm.minhash import near_duplicates
 from larkspan.llm.packing import pack
 from larkspan.llm.suffix_dedup import suffix_dedup
@@ -32,8 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with one; of rows with one id, the one that was read first.
 
     Rows have a key of their own, so those without an id or with a repeated one have a verdict of their own. Null texts and texts without words are
-    in no group and stay. Empty table: empty result. Columns beside those of documents are left out, a column named like the key too."""
-    rows = with_row_key(docs.select(*COLUMNS) if "row" in docs.columns else docs)
+    in no group and stay. Empty table: empty result. Columns beside those of documents are left out."""
+    rows = with_row_key(docs, COLUMNS)
     found = materialize(near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
     # Only rows of groups of several are compared by id: those with another's component, and the rows that these components are named by.
     others = found.where("row <> component")
@@ -83,12 +83,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each result is written to the shared folder and read again, so a lost executor costs one stage at most."""
+    """All stages over documents. Each result is written to the shared folder and read again, so a lost executor costs one stage at most; once the next
+    one is written it is removed. What is returned reads the last one, whose folder stays."""
     from uuid import uuid4
 
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
