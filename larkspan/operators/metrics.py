@@ -72,18 +72,24 @@ def majority(df: DataFrame, key: str, vote: str) -> DataFrame:
     return counted.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
-def quantile_ci(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Linear interpolation; nulls and NaN don't count."""
+def _quantile(value: Column, p: float, accuracy: int | None) -> Column:
+    """Exact with linear interpolation, which holds a group's distinct values; with an accuracy, an approximate value of bounded memory."""
+    return F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy).cast("double")
+
+
+def quantile_ci(df: DataFrame, group: str, value: str, alpha: float = 0.05, accuracy: int | None = None) -> DataFrame:
+    """Linear interpolation; nulls and NaN don't count. accuracy: for groups whose distinct values don't fit in memory, see percentile_approx."""
     v = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    return df.groupBy(group).agg(F.percentile(v, alpha / 2).alias("ci_low"), F.percentile(v, 1 - alpha / 2).alias("ci_high"))
+    return df.groupBy(group).agg(_quantile(v, alpha / 2, accuracy).alias("ci_low"), _quantile(v, 1 - alpha / 2, accuracy).alias("ci_high"))
 
 
 def share_by_group(items: DataFrame, owner: str, group: str, cluster: str) -> DataFrame:
     """Percent of a group's owners that have the cluster, on the full grid, with its tier."""
     owners = items.groupBy(group).agg(F.countDistinct(owner).alias("_n"))
     have = items.groupBy(group, cluster).agg(F.countDistinct(owner).alias("_h"))
-    # Groups and clusters are dimensions of bounded size; the grid is their product.
-    grid = owners.join(F.broadcast(items.select(cluster).where(F.col(cluster).isNotNull()).distinct()), F.lit(True))
+    # Groups and clusters are dimensions of bounded size; the grid is their product: one row of all clusters beside each group.
+    listed = items.where(F.col(cluster).isNotNull()).agg(F.array_sort(F.collect_set(cluster)).alias("_l"))
+    grid = owners.join(F.broadcast(listed), F.lit(True)).select(group, "_n", F.explode("_l").alias(cluster))
     pct = F.round(F.coalesce("_h", F.lit(0)) * 100.0 / F.col("_n"), 1)
     tier = F.when(F.col("pct") >= 60, "core").when(F.col("pct") >= 40, "regular").when(F.col("pct") >= 20, "episodic").otherwise("rare")
     return grid.join(have, [group, cluster], "left").select(group, cluster, pct.alias("pct")).withColumn("tier", tier)
@@ -113,9 +119,9 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).withColumn("density", F.col("n") / (r[2] * width))
 
 
-def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """V7, V9."""
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), *(F.percentile(value, p).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max(value).alias("high"))
+def box_stats(df: DataFrame, group: str, value: str, accuracy: int | None = None) -> DataFrame:
+    """V9. accuracy: as for quantile_ci."""
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), *(_quantile(F.col(value), p, accuracy).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max(value).alias("high"))
 
 
 def class_counts(df: DataFrame, column: str, classes: list) -> DataFrame:

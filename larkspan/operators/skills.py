@@ -79,6 +79,14 @@ def with_catch_all(c: Column, label: str) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(label))
 
 
+def partial_alias(df: DataFrame, column: str, aliases: list[tuple[str, str]]) -> DataFrame:
+    """The canonical name of the longest alias that the name contains (ties by alias), else the name. A short list of (alias, canonical)."""
+    out = F.col(column)
+    for alias, name in sorted(sorted(aliases, reverse=True), key=lambda a: len(a[0])):
+        out = F.when(F.lower(column).contains(alias.lower()), F.lit(name)).otherwise(out)
+    return df.withColumn(column, out)
+
+
 def pair_clusters(pairs: DataFrame, raw: list[str], normal: list[str], count: str) -> DataFrame:
     """The normalised pairs numbered from 0 by the largest count of a raw pair of theirs, ties by the raw pair; with that count and the total."""
     first = pairs.groupBy(*normal).agg(F.max(count).alias("_max"), F.sum(count).alias("total"), F.min(F.struct((-F.col(count)).alias("n"), *raw)).alias("_first"))

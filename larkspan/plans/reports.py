@@ -11,6 +11,7 @@ from ..operators import features, ingest, metrics, models, records, skills
 from ..session import scratch
 from ..sources import io
 from ..streaming import incremental
+from .steps import collect
 from .catalogue import PRIORITIES, _CLUST, _RES, _clustered, _residuals, query
 
 # ---- records, links and scans ----
@@ -35,6 +36,20 @@ def page_records(t, spark):
     return out.select("page_id", *(c for c in records.FIELDS if c != "published_at"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
+@query(
+    """WITH q AS (SELECT page_id, page_id % 3 = 0 AS done, row_number() OVER (PARTITION BY page_id % 3 = 0 ORDER BY page_id) AS rn FROM pages), s AS (SELECT page_id, CASE WHEN done THEN 'done' WHEN rn > 30 THEN 'pending' WHEN page_id % 5 = 0 THEN 'error' ELSE 'done' END AS status, CASE WHEN NOT done AND rn <= 30 AND page_id % 5 = 0 THEN 'no page' END AS error FROM q)
+    SELECT page_id, status, error, CASE WHEN page_id % 3 = 0 THEN 'old ' || page_id WHEN status = 'done' THEN 'H' || page_id END AS title FROM s"""
+)
+def collect_pages(t, spark):
+    """A batch of the queue, its landed pages as records, merged into the table, and the queue's new status."""
+    k = F.col("page_id")
+    queue = t("pages").select(k.alias("id"), F.concat(F.lit("http://a.example/v/"), k).alias("url"), F.lit("site").alias("source"), F.when(k % 3 == 0, "done").otherwise("pending").alias("status"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("updated_at"), F.lit(None).cast("string").alias("error"))
+    landed = t("pages").where(k % 5 > 0).select(F.concat(F.lit("http://a.example/v/"), k).alias("url"), F.concat(F.lit("<h1>H"), k, F.lit("</h1>")).alias("html"))
+    known = t("pages").where(k % 3 == 0).select(k.cast("string").alias("vacancy_id"), F.lit("site").alias("source"), F.concat(F.lit("old "), k).alias("title"))
+    rows, status = collect(queue, landed, known, _SITE, 30, F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    return status.select(F.col("id").alias("page_id"), "status", "error").join(rows.select(F.col("vacancy_id").cast("long").alias("page_id"), "title"), "page_id", "left")
+
+
 @query(
     r"""WITH l AS (SELECT regexp_extract_all(html, 'href="(/[a-z]{1,4})"', 1) AS a, regexp_extract_all(html, 'href="(/[^"?#]*)"', 1) AS b FROM pages)
     SELECT DISTINCT 'http://base.example' || unnest(CASE WHEN len(a) > 0 THEN a ELSE b END) AS link FROM l"""
@@ -625,6 +640,30 @@ def csv_export(t, spark):
     return spark.read.option("header", True).option("escape", '"').csv(at)
 
 
+@query("SELECT CAST(p_brand AS VARCHAR) AS p_brand, " + ", ".join(f"CAST(max(CASE WHEN p_size = {i} THEN 1 ELSE 0 END) AS VARCHAR) AS has_{i}" for i in (1, 2, 3)) + " FROM part WHERE p_partkey % 3 > 0 GROUP BY 1")
+def onehot_export(t, spark):
+    """A filtered 0/1 matrix as CSV, read again."""
+    at = f"{scratch(spark)}/csv"
+    io.export_csv(skills.onehot(t("part").where("p_partkey % 3 > 0"), "p_brand", "p_size", [1, 2, 3]), at, "p_brand")
+    return spark.read.option("header", True).csv(at)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def table_kinds(t, spark):
+    """Through ORC and JSON and back."""
+    at = scratch(spark)
+    io.save(t("nation"), at, "n", "orc")
+    io.save(io.table(spark, at, "n", "orc"), at, "n", "json")
+    return io.table(spark, at, "n", "json").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'red widget') THEN 'RW' WHEN contains(p_name, 'widget') THEN 'W' WHEN contains(p_name, 'blue') THEN 'B' WHEN contains(p_name, 'red') THEN 'R' ELSE p_name END AS name FROM part")
+def partial_names(t, spark):
+    """F17, T9."""
+    aliases = [("red", "R"), ("Widget", "W"), ("blue", "B"), ("red widget", "RW")]
+    return skills.partial_alias(t("part").select("p_partkey", F.col("p_name").alias("name")), "name", aliases)
+
+
 @query("SELECT p_name AS name, CAST(count(*) AS VARCHAR) AS cluster_id FROM part GROUP BY 1")
 def json_artifact(t, spark):
     """A dictionary written as one JSON object and loaded again."""

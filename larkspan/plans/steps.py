@@ -1,10 +1,13 @@
-"""Step registry with transitive dependencies (the orchestration of SURVEY 3.1, Q11)."""
+"""Step registry with transitive dependencies (the orchestration of SURVEY 3.1, Q11), and one round of collecting pages."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import ingest, records
 
 Step = Callable[[dict[str, DataFrame], bool], DataFrame]
 
@@ -41,3 +44,16 @@ class Steps:
         for name in self.expand(list(self.functions) if wanted is None else wanted):
             results[name] = self.functions[name](results, force)
         return results
+
+
+def collect(queue: DataFrame, pages: DataFrame, known: DataFrame, site: records.Site, n: int, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The first n waiting rows of the queue (id, url, source, status, ...), their landed pages (url, html) as records merged into the
+    known ones by vacancy and source, and the queue with each row's outcome: done, or error without a page. Returns the records, with the columns of
+    the known ones, and the queue. One pass over sets; an empty batch changes nothing."""
+    batch = ingest.dequeue(queue, n, F.col("status") == "pending", "id")
+    landed = batch.select("url").join(pages.select("url", "html"), "url", "left")
+    found = records.record(landed.where("html IS NOT NULL"), site).select(*known.columns)
+    found = ingest.keep_first(found, ["vacancy_id", "source"], [F.col(c) for c in known.columns])
+    missing = F.col("html").isNull()
+    outcome = landed.select("url", F.when(missing, "error").otherwise("done").alias("status"), F.when(missing, "no page").alias("error")).distinct()
+    return ingest.upsert(known, found, ["vacancy_id", "source"]), ingest.set_status(queue, outcome, "url", now)

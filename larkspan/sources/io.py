@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, kind: str = "parquet") -> DataFrame:
+    """A table of any kind that Spark reads, under its name and kind."""
+    return spark.read.format(kind).load(f"{folder}/{name}.{kind}")
+
+
+def save(df: DataFrame, folder: str, name: str, kind: str = "parquet") -> None:
+    df.write.mode("overwrite").format(kind).save(f"{folder}/{name}.{kind}")
 
 
 def json_dictionary(spark: SparkSession, path: str, key: str = "name", value: str = "cluster_id") -> DataFrame:
