@@ -35,7 +35,7 @@ def test_html(spark):
 
 def test_message_and_sections(spark):
     raw = "#job @x Hello\n-----\nsource: Acme corp\n- item\n\nend"
-    assert values(spark, [(raw,)], "t string", text.message_clean("t")) == [("Hello Acme corp item end",)]
+    assert values(spark, [(raw,)], "t string", text.message_clean("t", "source")) == [("Hello Acme corp item end",)]
     heads = [("main tasks:", "duties"), ("tasks:", "duties"), ("we offer:", "noise")]
     found = values(spark, [("intro main tasks: - do x we offer: y tasks: z",), ("plain",)], "t string", text.merge_sections(text.sections("t", heads), ["noise"]), text.format_sections("t", heads, ["noise"]))
     assert [tuple(x) for x in found[0][0]] == [("duties", "do x\nz")]
