@@ -260,10 +260,22 @@ def with_row_key(docs: DataFrame, columns: list[str], name: str = "row") -> Data
     return docs.sparkSession.read.parquet(folder)
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Removes a folder of intermediate results, by Spark's own file systems."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    files, path = _hadoop(spark, folder)
+    files.delete(path, True)
+
+
+def new_folder(spark: SparkSession, folder: str) -> str:
+    """Makes a folder, by Spark's own file systems, and returns its full path."""
+    files, path = _hadoop(spark, folder)
+    files.mkdirs(path)
+    return files.getFileStatus(path).getPath().toString()
 
 
 def documents_input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

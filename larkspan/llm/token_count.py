@@ -8,15 +8,16 @@ documents that lie across blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
+from pyarrow.fs import FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import mapped, materialize
+from .core import checkpoint_dir, mapped, materialize, new_folder
 from .tokens import default_vocabulary, encoder
 
 #: Tokens of a block; blocks that one row of the upper level of the scan sums up.
@@ -24,13 +25,17 @@ BLOCK, CHUNK = 1 << 16, 1024
 _BLOCKS = "file long, block long, payload binary"
 
 
+def flat_files(spark: SparkSession, path: str) -> DataFrame:
+    """The flat files in a folder, as Spark lists them: file (hash of its path), path, length."""
+    return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "path", "length")
+
+
 def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK, blocks_each: int = CHUNK) -> DataFrame:
-    """Blocks of the flat files in a folder: file (hash of its path), block, payload. block_bytes must be a multiple of the id's width.
+    """Blocks of the flat files in a folder: file, block, payload. block_bytes must be a multiple of the id's width.
 
     Spark lists the files and their lengths; each task reads its own range of ``blocks_each`` blocks, so a file may be of any size. Files in a store
     that only Spark's readers can open are read as whole rows by them instead, which they refuse beyond 2 GB a file."""
-    files = spark.read.format("binaryFile").load(path)
-    listed = files.select("path", "length")
+    listed = flat_files(spark, path)
     first = listed.limit(1).collect()
     if first and not _opened(first[0].path):
 
@@ -41,7 +46,7 @@ def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOC
                     for i in range(0, max(len(data), 1), block_bytes):
                         yield _block(file, i // block_bytes, bytes(data[i : i + block_bytes]))
 
-        return files.select(F.xxhash64("path").alias("file"), "content").transform(mapped, cut, _BLOCKS)
+        return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content").transform(mapped, cut, _BLOCKS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,10 +58,42 @@ def flat_file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOC
 
     step = block_bytes * blocks_each
     last = F.greatest(F.ceil(F.col("length") / step) - 1, F.lit(0)).cast("long")
-    ranges = listed.select(F.xxhash64("path").alias("file"), "path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"), "length").repartition("file", "i")
+    ranges = listed.select("file", "path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("i"), "length").repartition("file", "i")
     return ranges.select("file", "path", (F.col("i") * blocks_each).alias("start"), "length").transform(mapped, read, _BLOCKS)
 
 
+def write_flat_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes documents to flat files of ids (16-bit, or 32-bit from an ``end`` of 2**16 on), one for each task, in a folder that all executors share.
+
+    Returns which documents went where: part (the number in the file's name), first (the ordinal in it of the first of them), doc_ids. The files are
+    written when the rows are made; a task that runs again writes the same bytes, and a file takes its name when it is whole. Special tokens' strings in
+    a text are ordinary text, so no document holds the separator."""
+    vocabulary, dtype = vocabulary or default_vocabulary(), "<u2" if end < 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, context = encoder(vocabulary, True), TaskContext.get()
+        part, first, out = context.partitionId(), 0, None
+        system, base = FileSystem.from_uri(_uri(folder))
+        name, held = f"{base}/part-{part}.bin", f"{base}/_{part}-{context.taskAttemptId()}"
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = out or system.open_output_stream(held)
+            for text in batch.column(1):
+                out.write(np.append(encode(text.as_py() or ""), end).astype(dtype).tobytes())
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([first], pa.int64()), ids], ["part", "first", "doc_ids"])
+            first += batch.num_rows
+        if out is not None:
+            out.close()
+            if system.get_file_info(name).type != FileType.NotFound:
+                system.delete_file(name)
+            system.move(held, name)
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return own.transform(mapped, run, "part long, first long, doc_ids array<long>")
+
+
 def _block(file: int, number: int, payload: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([payload], pa.binary())], ["file", "block", "payload"])
 
@@ -160,14 +197,27 @@ def separator_scan(blocks: DataFrame, end: int = 50256, dtype: str = "<u2") -> D
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, end: int = 50256, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, file, ordinal, start, n_tokens of each document, counted by a separator scan of the flat files that ``flatten`` makes of them.
+    """doc_id, file (its number), ordinal, start, n_tokens of each document, counted by a separator scan of flat files that are made of them first, in the shared
+    folder (as rows of blocks, where only Spark can open that folder).
 
     Null or empty text: 0 tokens. Null id: counted, doc_id null. Repeated rows: counted each. Empty table: empty result. Other columns are not read.
     """
-    flat = materialize(flatten(docs, vocabulary, end, block, id_col, text_col))
-    counts = separator_scan(flat, end, "<u2" if end < 1 << 16 else "<u4")
+    spark, dtype = docs.sparkSession, "<u2" if end < 1 << 16 else "<u4"
+    shared = checkpoint_dir(spark)
+    if _opened(shared):
+        folder = new_folder(spark, f"{shared}/flat-{uuid4().hex}")
+        index = materialize(write_flat_files(docs, folder, vocabulary, end, id_col, text_col))
+        counts = separator_scan(flat_file_blocks(spark, folder, block * np.dtype(dtype).itemsize), end, dtype)
+        parts = flat_files(spark, folder).select("file", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).try_cast("long").alias("part"))
+        index = index.join(parts, "part")
+        number = "part"
+    else:
+        flat = materialize(flatten(docs, vocabulary, end, block, id_col, text_col))
+        counts = separator_scan(flat, end, dtype)
+        before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        number = "file"
+        index = flat.select("file", "block", "doc_ids").withColumn("first", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0)))
     # Where the n-th document of a file went: the scan itself knows files and ordinals only.
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    index = flat.select("file", "block", "doc_ids").withColumn("first", F.coalesce(F.sum(F.size("doc_ids")).over(before), F.lit(0)))
-    index = index.select("file", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("file", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
-    return index.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+    index = index.select("file", F.col(number).alias("number"), "first", F.posexplode("doc_ids").alias("i", "doc_id"))
+    index = index.select("file", "number", (F.col("first") + F.col("i")).alias("ordinal"), "doc_id")
+    return index.join(counts, ["file", "ordinal"]).select("doc_id", F.col("number").alias("file"), "ordinal", "start", "n_tokens")

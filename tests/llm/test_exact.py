@@ -263,6 +263,11 @@ def test_token_counts(docs, empty, rows, spark, tmp_path):
     found = token_count.token_counts(docs, block=64).collect()
     assert sorted(((r.doc_id, r.n_tokens) for r in found), key=repr) == sorted(((i, len(e(t or ""))) for i, t in rows), key=repr)
     assert token_count.token_counts(empty).count() == 0
+    # The same in a store that only Spark can open, where the blocks are rows.
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_count, "_opened", lambda path: False)
+        rows_only = token_count.token_counts(docs, block=64).collect()
+    assert sorted(map(str, rows_only)) == sorted(map(str, found))
     flat = np.array([5, 6, 9, 9, 7, 8], "<u2")
     (tmp_path / "f.bin").write_bytes(flat.tobytes())
     scan = token_count.separator_scan(token_count.flat_file_blocks(spark, str(tmp_path), 4), end=9)
