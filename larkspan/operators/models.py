@@ -1,4 +1,4 @@
-"""Fits from sufficient statistics (M3-M5, M7-M10, M12, M18, M20). Linear fits: one aggregation makes the Gram matrix, whose size is that of the
+"""Fits from sufficient statistics (M3-M5, M7-M10, M12, M15, M18, M20). Linear fits: one aggregation makes the Gram matrix, whose size is that of the
 features, and only it is collected. Likelihood fits: Newton steps whose sums are taken where the rows are."""
 
 from __future__ import annotations
@@ -591,3 +591,81 @@ def merge_topics(vectors: DataFrame, key: str, vector: str, k: int, seed: int =
     placed = model.transform(data).select(key, "_c")
     sizes = placed.groupBy("_c").agg(F.count("*").alias("n"), F.min(key).alias("least"))
     return placed.join(F.broadcast(ranked(sizes, [F.desc("n"), F.col("least")], "cluster").select("_c", "cluster")), "_c").select(key, "cluster")
+
+
+@dataclass
+class IntervalFit:
+    """intercept and weights of the features as they are, deviation of the errors, log-likelihood."""
+
+    x: list[str]
+    intercept: float
+    weights: np.ndarray
+    sigma: float
+    log_likelihood: float
+
+
+def _interval_sums(r: np.ndarray, p: int, at: np.ndarray) -> np.ndarray:
+    """Log-likelihood, gradient and Hessian by (weights over sigma, 1 / sigma) of rows (low, high, 1, features); infinite bounds are open."""
+    lo, hi, z, gamma, theta = r[:, 0], r[:, 1], r[:, 2:], at[:p], at[p]
+    eta = z @ gamma
+    point = lo == hi
+    out, grad, hess = 0.0, np.zeros(p + 1), np.zeros((p + 1, p + 1))
+    if point.any():
+        y, x = lo[point], z[point]
+        e = theta * y - eta[point]
+        own = np.column_stack([-x, y])
+        out += (math.log(theta) - 0.5 * math.log(2 * math.pi)) * len(y) - 0.5 * (e @ e)
+        grad -= e @ own
+        grad[p] += len(y) / theta
+        hess -= own.T @ own
+        hess[p, p] -= len(y) / theta**2
+    if (~point).any():
+        a, b, x, eta = lo[~point], hi[~point], z[~point], eta[~point]
+        low, high = theta * a - eta, theta * b - eta
+        log_p, r_lo, r_hi = _interval(low, high)
+        # An open end has no density, so whatever stands for it has no weight.
+        below, above = (np.column_stack([-x, np.where(np.isinf(v), 0, v)]) for v in (a, b))
+        out += log_p.sum()
+        grad += r_hi @ above - r_lo @ below
+        h_hi = -np.where(np.isinf(high), 0, high) * r_hi - r_hi**2
+        h_lo = np.where(np.isinf(low), 0, low) * r_lo - r_lo**2
+        mixed = (above * (r_hi * r_lo)[:, None]).T @ below
+        hess += (above * h_hi[:, None]).T @ above + (below * h_lo[:, None]).T @ below + mixed + mixed.T
+    return np.concatenate([[out], grad, hess.ravel()])
+
+
+def interval_regression(df: DataFrame, x: list[str], low: str, high: str, steps: int = 100) -> IntervalFit | None:
+    """Normal regression of a value known by bounds only: between both, above the one, below the other, or exactly where they are equal. Maximum
+    likelihood by Newton steps in (weights / sigma, 1 / sigma), where the likelihood has one maximum; each step's sums are taken where the rows are.
+
+    Rows without a bound, with bounds the wrong way round or with a null feature are left out. None without rows; raises if it does not converge (as
+    where no row has an upper bound)."""
+    usable = df.dropna(subset=x).where(F.coalesce(low, high).isNotNull() & (F.coalesce(F.col(low) <= F.col(high), F.lit(True))))
+    middle = F.coalesce((F.col(low) + F.col(high)) / 2, low, high).cast("double")
+    m = usable.agg(F.avg(middle), F.stddev_pop(middle), F.count("*"), *(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
+    if not m[2]:
+        return None
+    centre, spread, p = float(m[0]), float(m[1] or 1.0), len(x) + 1
+    mean, scale = np.array(m[3 : 3 + len(x)], float), np.array([v or 1.0 for v in m[3 + len(x) :]], float)
+    bound = lambda c, none: F.coalesce((F.col(c).cast("double") - F.lit(centre)) / F.lit(spread), F.lit(none))
+    z = [(F.col(c).cast("double") - F.lit(float(a))) / F.lit(float(s)) for c, a, s in zip(x, mean, scale)]
+    data = usable.select(F.array(bound(low, -math.inf), bound(high, math.inf), F.lit(1.0), *z).alias("_r")).persist()
+    try:
+        at, step, best = np.append(np.zeros(p), 1.0), np.zeros(p + 1), -np.inf
+        for _ in range(steps):
+            trial = at + step
+            sums = _summed(data, lambda r, trial=trial: _interval_sums(r, p, trial)) if trial[p] > 0 else np.array([-np.inf])
+            if not np.isfinite(sums).all() or sums[0] < best - 1e-9 * (1 + abs(best)):
+                step = step / 2
+                if not step.any():
+                    break
+                continue
+            at, best, g, h = trial, sums[0], sums[1 : p + 2], sums[p + 2 :].reshape(p + 1, p + 1)
+            step = np.linalg.pinv(-h, rcond=1e-12, hermitian=True) @ g
+            if np.abs(step).max() < 1e-9:
+                sigma = 1 / at[p]
+                weights = at[1:p] * sigma * spread / scale
+                return IntervalFit(x, float(centre + at[0] * sigma * spread - weights @ mean), weights, float(sigma * spread), float(best))
+    finally:
+        data.unpersist()
+    raise RuntimeError(f"interval regression did not converge in {steps} steps")

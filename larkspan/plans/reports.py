@@ -496,6 +496,14 @@ def kfold_linear(t, spark):
     return models.kfold_predictions(d, ["x"], "y", F.col("l_orderkey") % 5, 5).select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
 
 
+@query("SELECT 'intercept' AS name, round(regr_intercept(y, x), 5) AS value FROM (SELECT ln(o_totalprice) AS y, o_custkey AS x FROM orders) UNION ALL SELECT 'o_custkey', round(regr_slope(y, x), 9) FROM (SELECT ln(o_totalprice) AS y, o_custkey AS x FROM orders) UNION ALL SELECT 'sigma', round(sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_slope(y, x)) / count(*)), 6) FROM (SELECT ln(o_totalprice) AS y, o_custkey AS x FROM orders)")
+def interval_fit_of_points(t, spark):
+    """M15 where every interval is a point, which is least squares with the likelihood's deviation; tests have the rest."""
+    o = t("orders").select(F.col("o_custkey").cast("double").alias("o_custkey"), F.log("o_totalprice").alias("y"))
+    fit = models.interval_regression(o, ["o_custkey"], "y", "y")
+    return spark.createDataFrame([("intercept", round(fit.intercept, 5)), ("o_custkey", round(float(fit.weights[0]), 9)), ("sigma", round(fit.sigma, 6))], "name string, value double")
+
+
 _PROBIT = dict(mean=[150000.0, 0.0], scale=[90000.0, 2.0], weights=[0.4, -0.7], thresholds=[-0.8, 0.1, 0.9])
 _ETA = "0.4::DOUBLE * (o_totalprice - 150000) / 90000 - 0.7::DOUBLE * ((o_orderkey % 7) / 2.0::DOUBLE)"
 _PDF = "exp(-({e} - eta) * ({e} - eta) / 2) / sqrt(2 * pi())"

@@ -138,6 +138,40 @@ def test_ols_with_large_means_and_a_collinear_design(spark):
     assert len(models.ols(wide, [f"c{i}" for i in range(35)], "y").coef) == 36
 
 
+def test_interval_regression(spark):
+    """At the maximum no small move of a parameter raises the likelihood worked out row by row; open ends, points, and rows left out."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        a, b = rng.gauss(100, 20), rng.lognormvariate(0, 1)
+        y = 3 + 0.05 * a - 0.4 * b + rng.gauss(0, 0.7)
+        lo, hi = y - rng.random() * 2, y + rng.random()
+        rows.append((a, b, *[(lo, hi), (y, y), (lo, None), (None, hi)][i % 4]))
+    bad = [(1.0, 1.0, None, None), (1.0, None, 1.0, 2.0), (1.0, 1.0, 3.0, 2.0)]
+    fit = models.interval_regression(spark.createDataFrame(rows + bad, "a double, b double, lo double, hi double").repartition(3), ["a", "b"], "lo", "hi")
+    cdf = lambda v: 0.5 * math.erfc(-v / math.sqrt(2))
+
+    def likelihood(c, wa, wb, s):
+        total = 0.0
+        for a, b, lo, hi in rows:
+            m = c + wa * a + wb * b
+            if lo == hi:
+                total += -math.log(s) - (lo - m) ** 2 / (2 * s * s)
+            else:
+                total += math.log((1 if hi is None else cdf((hi - m) / s)) - (0 if lo is None else cdf((lo - m) / s)))
+        return total
+
+    best = [fit.intercept, *fit.weights, fit.sigma]
+    top = likelihood(*best)
+    for i in range(4):
+        for d in (-1e-4, 1e-4):
+            moved = list(best)
+            moved[i] += d
+            assert likelihood(*moved) <= top + 1e-7
+    assert abs(fit.weights[0] - 0.05) < 0.01 and abs(fit.weights[1] + 0.4) < 0.1 and abs(fit.sigma - 0.7) < 0.1
+    assert models.interval_regression(spark.createDataFrame(bad, "a double, b double, lo double, hi double"), ["a", "b"], "lo", "hi") is None
+
+
 def test_merged_topics_lie_with_the_nearest_centre(spark):
     rng = np.random.default_rng(1)
     v = np.concatenate([rng.normal(size=(n, 3)) * 0.1 + 5 * np.eye(3)[i] for i, n in enumerate((30, 20, 10))])
