@@ -38,7 +38,8 @@ def coverage(df: DataFrame, actual: str, low: str, high: str, group: str | None
 
 
 def residual_interval(df: DataFrame, group: str, mu: str, residual: str, alpha: float = 0.1) -> DataFrame:
-    """M13 in the limit of many draws: exp(mu + order statistic of the group's residuals), outer (alpha) and inner (2 alpha) band."""
+    """M13 in the limit of many draws: exp(mu + order statistic of the group's residuals), outer (alpha) and inner (2 alpha) band. The order statistics
+    are exact, so a group's distinct residuals are held while they are found."""
     cuts = [alpha, 1 - alpha, 2 * alpha, 1 - 2 * alpha]
     q = df.groupBy(group).agg(*(F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {residual})").alias(f"_q{i}") for i, p in enumerate(cuts)))
     names = ["lower_a", "upper_a", "lower_2a", "upper_2a"]

@@ -122,7 +122,7 @@ def unmapped(items: DataFrame, clusters: DataFrame, name: str, n: int = 10) -> D
 
 def cooccurrence(items: DataFrame, owner: str, name: str, n: int = 10) -> DataFrame:
     """Of each name the n other names most often with it in one owner. An owner's names are first counted, so its repeats are not paired;
-    the pair counts are partially summed before they are dealt out."""
+    the pair counts are partially summed before they are dealt out. An owner of m different names makes m * m pairs, which is what is asked for."""
     counted = items.groupBy(owner, name).agg(F.count("*").alias("c"))
     pairs = counted.alias("a").join(counted.alias("b"), F.col(f"a.{owner}") == F.col(f"b.{owner}")).where(F.col(f"a.{name}") != F.col(f"b.{name}"))
     sums = pairs.groupBy(F.col(f"a.{name}").alias(name), F.col(f"b.{name}").alias("other")).agg(F.sum("b.c").alias("n"))
@@ -150,7 +150,8 @@ def first_spelling(items: DataFrame, owner: str, name: str, position: str) -> Da
 
 
 def ranked(df: DataFrame, order: list[Column], column: str, start: int = 0) -> DataFrame:
-    """Dense numbers in a total order. For aggregated tables: the window has no partition."""
+    """Dense numbers in a total order. For aggregated tables (names, clusters): the window has no partition. Rows of a table of any size are
+    numbered by ``metrics.numbered``."""
     return df.withColumn(column, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
 
 
