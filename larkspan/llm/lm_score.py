@@ -3,8 +3,9 @@
 The target model counts documents of the wanted kind, the background model all documents. Both count every word and every bigram of the corpus, each
 under its own 64-bit fingerprint. Documents are packed into blocks; a block sends each of its distinct n-grams once, with its counts, to the slice of
 the fingerprint's range, which adds the counts of all blocks up and sends the totals back in the same order. So a frequent n-gram is one entry of a
-block, nothing but a slice or a block is ever held, and the tables grow with the corpus. A document's score is the mean over its tokens of background
-loss minus target loss: higher is nearer the target.
+block, nothing but a slice or a block is ever held, and the tables grow with the corpus. A document is scored by what the other documents say: its own
+counts are taken out of each model that counted it. Its score is the mean over its tokens of background loss minus target loss: higher is nearer the
+target.
 """
 
 from __future__ import annotations
@@ -133,30 +134,39 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((r[1], r[0], pack(own[mine], all_[mine]), *said), (pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5))], ["block", "slice", "counts", *_SUMS])
 
 
-def losses(word: np.ndarray, pair: np.ndarray, history: np.ndarray, total: float) -> np.ndarray:
+def losses(word: np.ndarray, pair: np.ndarray, history: np.ndarray, total: np.ndarray) -> np.ndarray:
     """-log p from counts of words, their bigrams and the words before: bigram and add-one unigram estimates, interpolated."""
     return -np.log(BIGRAM_WEIGHT * pair / np.maximum(history, 1.0) + (1 - BIGRAM_WEIGHT) * (word + 1.0) / total)
 
 
+def _within(doc: np.ndarray, at: np.ndarray, n_keys: int) -> np.ndarray:
+    """How often each token's n-gram is in its own document."""
+    _, which, count = np.unique(doc * n_keys + at, return_inverse=True, return_counts=True)
+    return count[which].astype(np.float64)
+
+
 def _score(totals: tuple[float, float], first: tuple[int, int]):
-    """totals: tokens and distinct words of each model; first: documents with words of each model, which its starts number."""
+    """totals: tokens of each model and distinct words of both; first: documents with words of each model, which its starts number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The texts (slice -1) come first, then the counts by ascending slice, which is the order of the n-grams.
         for (_, _, texts, docs, ids, _), *answers in _runs(batches, 0):
-            words, pairs, n = ngrams(*_open(texts, docs)[:3])
+            *text, wanted = _open(texts, docs)
+            words, pairs, n = ngrams(*text)
             keys = np.unique(np.concatenate([words, pairs]))
             sides = [np.concatenate(x) for x in zip(*(unpack(a[5], "<u8", "<u8") for a in answers))] if answers else [np.zeros(0, "<u8")] * 2
             if len(sides[0]) != len(keys):
                 raise RuntimeError(f"{len(sides[0])} counts for {len(keys)} n-grams")
             at, pair_at, doc, found = np.searchsorted(keys, words), np.searchsorted(keys, pairs), np.repeat(np.arange(len(n)), n), []
             start = (np.cumsum(n) - n)[n > 0]
-            for counts, total, starts in zip(sides, totals, first):
-                word = counts[at].astype(np.float64)
+            own_words, own_pairs = _within(doc, at, len(keys)), _within(doc, pair_at, len(keys))
+            for counts, total, starts, inside in zip(sides, totals, first, (wanted[doc], np.ones(len(doc), bool))):
+                word = counts[at] - np.where(inside, own_words, 0)
                 history = np.zeros_like(word)
                 history[1:] = word[:-1]
-                history[start] = starts
-                found.append(np.bincount(doc, losses(word, counts[pair_at].astype(np.float64), history, total), len(n)) / np.maximum(n, 1))
+                history[start] = starts - inside[start]
+                pair = counts[pair_at] - np.where(inside, own_pairs, 0)
+                found.append(np.bincount(doc, losses(word, pair, history, total - np.where(inside, n[doc], 0)), len(n)) / np.maximum(n, 1))
             t, g = found
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(t), pa.array(g), pa.array(g - t)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
@@ -167,8 +177,9 @@ def cross_entropy_difference(docs: DataFrame, target: str | Column, id_col: str
     """doc_id, n_tokens, target_loss, background_loss (mean nats per token), score (their difference: higher is more like the target).
 
     target: a boolean column or expression that marks the documents of the target model; null is false. Tokens are runs of bytes other than ASCII
-    white space, A-Z lower-cased. Null or empty text: no tokens, losses and score 0. Null id: counted and scored. Repeated rows: each. No target
-    rows: the target model is uniform. Empty table: empty result. Other columns are not read.
+    white space, A-Z lower-cased. A row's own counts are left out of the background model, and of the target model if it is one of its rows. Null or
+    empty text: no tokens, losses and score 0. Null id: counted and scored. Repeated rows: each, as one more document. No target rows: the target
+    model is uniform. Empty table: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     marked = F.coalesce((F.col(target) if isinstance(target, str) else target).cast("boolean"), F.lit(False))

@@ -140,7 +140,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed
 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN x USING (doc_id)
 """
 
-#: Exact counts of words and bigrams, as text, in both models.
+#: Exact counts of words and bigrams, as text, in both models, less the document's own.
 _LM_SQL = rf"""
 WITH good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
 d AS (SELECT doc_id, {_words("text", r"[^ \x09-\x0D]+")} AS w, doc_id IN (SELECT doc_id FROM good) AS own FROM documents),
@@ -148,10 +148,17 @@ t AS (SELECT doc_id, own, w[i] AS w, CASE WHEN i > 1 THEN w[i - 1] END AS p FROM
 u AS (SELECT w, count(*) AS n, count(*) FILTER (own) AS n_own FROM t GROUP BY 1),
 b AS (SELECT p, w, count(*) AS n, count(*) FILTER (own) AS n_own FROM t GROUP BY ALL),
 s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n_own) AS DOUBLE) AS n_own, count(*) AS words, (SELECT count(*) FROM d WHERE len(w) > 0) AS starts, (SELECT count(*) FROM d WHERE len(w) > 0 AND own) AS starts_own FROM u),
-l AS (SELECT t.doc_id,
-  -ln(0.6::DOUBLE * b.n_own / greatest(CASE WHEN t.p IS NULL THEN s.starts_own ELSE h.n_own END, 1) + 0.4::DOUBLE * (u.n_own + 1) / (s.n_own + s.words)) AS target,
-  -ln(0.6::DOUBLE * b.n / greatest(CASE WHEN t.p IS NULL THEN s.starts ELSE h.n END, 1) + 0.4::DOUBLE * (u.n + 1) / (s.n + s.words)) AS background
-  FROM t JOIN u USING (w) JOIN b ON b.w = t.w AND b.p IS NOT DISTINCT FROM t.p LEFT JOIN u h ON h.w = t.p, s)
+o AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY ALL),
+q AS (SELECT doc_id, p, w, count(*) AS n FROM t GROUP BY ALL),
+x AS (SELECT t.doc_id, t.own,
+  u.n - o.n AS w, u.n_own - CASE WHEN t.own THEN o.n ELSE 0 END AS w_own,
+  b.n - q.n AS b, b.n_own - CASE WHEN t.own THEN q.n ELSE 0 END AS b_own,
+  CASE WHEN t.p IS NULL THEN s.starts - 1 ELSE h.n - k.n END AS h,
+  CASE WHEN t.p IS NULL THEN s.starts_own - CASE WHEN t.own THEN 1 ELSE 0 END ELSE h.n_own - CASE WHEN t.own THEN k.n ELSE 0 END END AS h_own,
+  s.n + s.words - len(d.w) AS total, s.n_own + s.words - CASE WHEN t.own THEN len(d.w) ELSE 0 END AS total_own
+  FROM t JOIN d USING (doc_id) JOIN u ON u.w = t.w JOIN o ON o.doc_id = t.doc_id AND o.w = t.w JOIN b ON b.w = t.w AND b.p IS NOT DISTINCT FROM t.p
+  JOIN q ON q.doc_id = t.doc_id AND q.w = t.w AND q.p IS NOT DISTINCT FROM t.p LEFT JOIN u h ON h.w = t.p LEFT JOIN o k ON k.doc_id = t.doc_id AND k.w = t.p, s),
+l AS (SELECT doc_id, -ln(0.6::DOUBLE * b_own / greatest(h_own, 1) + 0.4::DOUBLE * (w_own + 1) / total_own) AS target, -ln(0.6::DOUBLE * b / greatest(h, 1) + 0.4::DOUBLE * (w + 1) / total) AS background FROM x)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_tokens, coalesce(round(avg(target), 8), 0) AS target_loss, coalesce(round(avg(background), 8), 0) AS background_loss, coalesce(round(avg(background) - avg(target), 8), 0) AS score
 FROM d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id, d.w
 """

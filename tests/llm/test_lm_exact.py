@@ -26,12 +26,17 @@ def test_losses_of_exact_counts(spark, small):
         model[side] = words, pairs, sum(words.values()) - words[""]
     n_words = len({w for _, t in tokens for w in t})
 
-    def loss(side, t):
+    def loss(side, t, inside):
+        """By the counts of the other documents."""
         words, pairs, n = model[side]
+        if inside:
+            own = Counter(t)
+            own[""] = bool(t)
+            words, pairs, n = words - own, pairs - Counter(zip(["", *t], t)), n - len(t)
         p = [0.6 * pairs[h, w] / max(words[h], 1) + 0.4 * (words[w] + 1) / (n + n_words) for h, w in zip(["", *t], t)]
         return sum(-math.log(x) for x in p) / max(len(t), 1)
 
-    expected = sorted((-1 if i is None else i, len(t), loss("t", t), loss("g", t)) for i, t in tokens)
+    expected = sorted((-1 if i is None else i, len(t), loss("t", t, i is not None and i < 60), loss("g", t, True)) for i, t in tokens)
     found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lm_score.cross_entropy_difference(docs, F.col("doc_id") < 60, **small).collect())
     assert len(found) == len(expected)
     for f, e in zip(found, expected):
