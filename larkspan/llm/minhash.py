@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     sketch = materialize(own.transform(mapped, _sketch(k), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     keys = ["set_a", "set_b", "n_shingles"]
-    classes = materialize(full.groupBy(*keys).agg(F.min("doc_id").alias("rep")))
+    classes = materialize(light(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"))))
     # One row stands for each class: the sketch of its representative. Only the copies' ids travel, not the sketches.
     copies = full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id", *keys)
     reps = matching(full, copies, "left_anti").select("doc_id", "sig", "bands")
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     # From here on only documents that share a bucket play a part.
-    shared = materialize(members.join(materialize(buckets).select("band", "pivot"), "band"))
+    shared = materialize(members.join(buckets.select("band", "pivot"), "band"))
     bounds = posterior_bounds(threshold, miss)
     # The place of a pair's first common band is found with 32 bits of each band's key.
     marks = F.transform("bands", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int"))
@@ -388,7 +388,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
 
     # Signatures first; full sets travel only to buckets where a pair across components survives, and of its common bands to the first.
     inside, largest = sized(placed)
-    inside = materialize(inside)
     met = compared(inside.join(sigs, "doc_id"), largest, ["sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long")
     again, largest = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]))
     again = again.join(sets_of(met.select("doc_id")), "doc_id")

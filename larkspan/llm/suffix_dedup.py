@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U, by_bucket, doc_group, mapped, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
+from .core import U, by_bucket, doc_group, light, mapped, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
 
 #: Bytes of one anchor. Any value up to ``length`` gives the same result; about half makes the two shuffles equally large.
 ANCHOR = 50
@@ -407,7 +407,7 @@ def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
     found = _dealt(own.where(F.col("doc_id").isNotNull()).select("doc_id", "text").transform(mapped, _scan(length, n, g), _ROWS), _judge_segments(length, g), n)
-    first = materialize(found.repartition(n, "bucket").sortWithinPartitions("bucket").transform(mapped, _per_document, "r_id long, gone binary, check binary"))
+    first = materialize(light(found.repartition(n, "bucket").sortWithinPartitions("bucket")).transform(mapped, _per_document, "r_id long, gone binary, check binary"))
     joined = own.join(first, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "check", "carried")
     # No filter on the ranges here: with one, this join's exchange of the texts would differ from the last join's and be written twice.
     strings = joined.select("doc_id", "text", "check", "carried").transform(mapped, _scan_strings(length, n, g), _ROWS)

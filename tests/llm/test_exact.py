@@ -422,6 +422,11 @@ def test_quality_and_lm(spark, docs, empty, rows):
     assert quality.strength(0.5, 0.25 / 11) == pytest.approx(10) and quality.strength(None, None) == 1e4
     lm = lm_score.cross_entropy_difference(docs, F.col("doc_id") < 30).collect()
     assert len(lm) == len(rows) and all(r.score == 0 for r in lm if not r.n_tokens)
-    mean = lambda ok: np.mean([r.score for r in lm if r.n_tokens and r.doc_id is not None and ok(r.doc_id)])
-    assert mean(lambda i: i < 30) > mean(lambda i: 30 <= i < 60)
+    # Documents like the target's score higher, those of the target itself no more than others like them.
+    rng = random.Random(2)
+    own = [(i, " ".join(f"{'near' if i % 2 else 'far'}{rng.randrange(40)}" if rng.random() < 0.5 else f"both{rng.randrange(40)}" for _ in range(60))) for i in range(200)]
+    lm = lm_score.cross_entropy_difference(spark.createDataFrame(own, "doc_id long, text string"), F.expr("doc_id < 100 AND doc_id % 2 = 1")).collect()
+    mean = lambda ok: np.mean([r.score for r in lm if ok(r.doc_id)])
+    target, like, other = mean(lambda i: i < 100 and i % 2), mean(lambda i: i >= 100 and i % 2), mean(lambda i: i % 2 == 0)
+    assert target > other + 0.5 and like > other + 0.5 and abs(target - like) < 0.05
     assert lm_score.cross_entropy_difference(empty, F.lit(True)).count() == 0
