@@ -75,8 +75,8 @@ class Benchmark:
             x = at + step
             inside = (x >= 0) & (x < len(self.words))
             x = np.where(inside, x, 0)
-            inside &= owner[x] == owner[at] if len(owner) else inside
-            h = mix(h * U(0x9E3779B97F4A7C15) + np.where(inside, self.words[x] | U(1), U(0)) if len(self.words) else h)
+            inside &= owner[x] == owner[at]
+            h = mix(h * U(0x9E3779B97F4A7C15) + np.where(inside, self.words[x] | U(1), U(0)))
         return h
 
     def hits(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +138,8 @@ def _distinct(h: np.ndarray, around: np.ndarray, owner: np.ndarray) -> tuple[np.
     order = np.lexsort((owner, around, h))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (around[order][1:] != around[order][:-1])
-    group = np.cumsum(new) - 1
-    both = np.unique(group * (int(owner.max(initial=0)) + 1) + owner[order]) if len(order) else np.zeros(0, np.int64)
     width = int(owner.max(initial=0)) + 1
+    both = np.unique((np.cumsum(new) - 1) * width + owner[order])
     return order[new], (np.searchsorted(both // width, np.arange(int(new.sum()) + 1)), both % width)
 
 
