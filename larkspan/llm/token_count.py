@@ -203,9 +203,8 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, end: int = 5025
     Null or empty text: 0 tokens. Null id: counted, doc_id null. Repeated rows: counted each. Empty table: empty result. Other columns are not read.
     """
     spark, dtype = docs.sparkSession, "<u2" if end < 1 << 16 else "<u4"
-    shared = checkpoint_dir(spark)
-    if _opened(shared):
-        folder = new_folder(spark, f"{shared}/flat-{uuid4().hex}")
+    folder = new_folder(spark, f"{checkpoint_dir(spark)}/flat-{uuid4().hex}")
+    if _opened(folder):
         index = materialize(write_flat_files(docs, folder, vocabulary, end, id_col, text_col))
         counts = separator_scan(flat_file_blocks(spark, folder, block * np.dtype(dtype).itemsize), end, dtype)
         parts = flat_files(spark, folder).select("file", F.regexp_extract("path", r"part-(\d+)\.bin$", 1).try_cast("long").alias("part"))
