@@ -209,22 +209,39 @@ def balanced_logit(df: DataFrame, x: list[str], y: str, l1: bool = False, c: flo
 POISSON_CUTS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10)]
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw of a uniform number."""
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_CUTS), F.lit(0))
+#: A prime below 2**31, so that squares fit into 64 bits.
+_PRIME = (1 << 31) - 1
+
+
+def _draws(keys: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights (rows x rounds) by a hash of key and round that any engine with whole numbers can work out."""
+    h, b = keys[:, None], rounds[None, :]
+    x = (h * 48271 + b * 16807 + 1) % _PRIME
+    for add in (b + 7, h, b * 31 + 3):
+        x = (x * x + add) % _PRIME
+    return np.searchsorted(POISSON_CUTS, x / _PRIME, side="right").astype(float)
 
 
 def bootstrap_means(df: DataFrame, key: str, group: str, value: str, rounds: int) -> DataFrame:
-    """Intervals of group means by resampling in one aggregation: each row has a Poisson(1) weight in each round, drawn by hash of key and round. A row
-    gives one sum for each round beside the others, so rounds copy no rows. Returns the group's mean over rounds and its 95 % interval."""
-    u = lambda b: F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{b}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    w = {b: poisson_weight(u(b)) for b in range(rounds)}
-    known = df.where(F.col(value).isNotNull())
-    weighted = known.select(group, F.col(value).cast("double").alias("_v"), *(w[b].alias(f"_w{b}") for b in w))
-    sums = weighted.groupBy(group).agg(*(F.sum(F.col(f"_w{b}") * F.col("_v")).alias(f"s{b}") for b in w), *(F.sum(f"_w{b}").alias(f"n{b}") for b in w))
-    means = F.filter(F.array(*(F.try_divide(F.col(f"s{b}"), F.col(f"n{b}")) for b in w)), lambda m: m.isNotNull())
-    each = sums.select(group, F.explode(means).alias("m"))
-    return each.groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
+    """Intervals of group means by resampling: each row has a Poisson(1) weight in each round, drawn by hash of its whole-number key and the round. Each
+    batch of rows gives one sum for each group and round, so rounds copy no rows. Returns the group's mean over rounds and its 95 % interval. Rows
+    without a value are left out; a round that draws no row of a group doesn't count for it."""
+    kind, each_round = df.schema[group].dataType.simpleString(), np.arange(rounds, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = batch.column(0).dictionary_encode(null_encoding="encode")
+            inside = np.zeros((len(groups.dictionary), batch.num_rows))
+            inside[groups.indices.to_numpy(), np.arange(batch.num_rows)] = 1
+            w, v = _draws(batch.column(1).to_numpy(), each_round), batch.column(2).to_numpy()
+            columns = [groups.dictionary.take(pa.array(np.repeat(np.arange(len(inside)), rounds))), *(pa.array(c) for c in (np.tile(each_round, len(inside)), (inside @ w).ravel(), (inside @ (w * v[:, None])).ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, [group, "_b", "_w", "_s"])
+
+    rows = df.where(F.col(value).isNotNull()).select(group, F.pmod(F.col(key).cast("long"), F.lit(_PRIME)).alias("_h"), F.col(value).cast("double").alias("_v"))
+    sums = rows.mapInArrow(run, f"`{group}` {kind}, _b long, _w double, _s double").groupBy(group, "_b").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0.0))).alias("m"))
+    return sums.where("m IS NOT NULL").groupBy(group).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high"))
 
 
 def _log_cdf(z: np.ndarray) -> np.ndarray:

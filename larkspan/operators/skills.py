@@ -30,28 +30,30 @@ def capitalized(c: Column) -> Column:
 CONNECTORS = ["and", "&", ",", "/"]
 
 
-def split_compounds(df: DataFrame, column: str, known: DataFrame, row: list[str], aliases: DataFrame | None = None, protected: list[str] = (), slash: str = "/", least: int = 2, most_words: int = 4, prefixes: dict[str, str] = {}) -> DataFrame:
+def split_compounds(df: DataFrame, column: str, known: DataFrame, aliases: DataFrame | None = None, protected: list[str] = (), slash: str = "/", least: int = 2, most_words: int = 4, prefixes: dict[str, str] = {}) -> DataFrame:
     """a name with slashes (and not protected) of which at least ``least`` parts are known gives a row for each part, unknown ones too; else a
     name of at most ``most_words`` words does so for its words without connectors; others stay. A part is known if it or its canonical name is in
-    ``known(name)``, in whatever case. row: columns that identify a row. Both tables may be of any size: parts are looked up by joins. Null names stay."""
-    words = F.filter(F.split(F.trim(column), r"\s+"), lambda p: p != "")
-    slashed = F.filter(F.transform(F.split(column, slash), lambda p: F.trim(p)), lambda p: p != "")
-    slashed = F.when(F.col(column).contains(slash) & ~F.lower(column).isin(list(protected) or [""]) & (F.size(slashed) > 1), slashed)
+    ``known(name)``, in whatever case. Both tables may be of any size: parts are looked up by joins. Null names stay."""
+    # Names are settled once each, however many rows have them.
+    n = F.col("_name")
+    words = F.filter(F.split(F.trim(n), r"\s+"), lambda p: p != "")
+    slashed = F.filter(F.transform(F.split(n, slash), lambda p: F.trim(p)), lambda p: p != "")
+    slashed = F.when(n.contains(slash) & ~F.lower(n).isin(list(protected) or [""]) & (F.size(slashed) > 1), slashed)
     parts = F.filter(words, lambda p: ~F.lower(p).isin(CONNECTORS))
-    parts = F.when(F.trim(column).contains(" ") & (F.size(words) <= most_words) & (F.size(parts) > 1), parts)
-    both = df.withColumns({"_slashed": slashed, "_worded": parts})
+    parts = F.when(F.trim(n).contains(" ") & (F.size(words) <= most_words) & (F.size(parts) > 1), parts)
+    both = df.select(F.col(column).alias("_name")).where("_name IS NOT NULL").distinct().withColumns({"_slashed": slashed, "_worded": parts}).where("_slashed IS NOT NULL OR _worded IS NOT NULL")
     ways = F.array(F.struct(F.lit(0).alias("way"), F.col("_slashed").alias("parts")), F.struct(F.lit(1).alias("way"), F.col("_worded").alias("parts")))
-    each = both.select(*row, column, F.explode(ways).alias("_w")).select(*row, column, F.col("_w.way").alias("_way"), F.posexplode("_w.parts").alias("_i", "_p"))
+    each = both.select("_name", F.explode(ways).alias("_w")).select("_name", F.col("_w.way").alias("_way"), F.posexplode("_w.parts").alias("_i", "_p"))
     each = each.withColumn("_canonical", F.col("_p"))
     if aliases is not None:
         each = normalize(each, "_canonical", aliases, prefixes)
     names = known.select(F.lower("name").alias("_k")).distinct()
-    asked = each.select(*row, column, "_way", "_i", F.explode(F.array_distinct(F.array(F.lower("_p"), F.lower("_canonical")))).alias("_k"))
-    hits = asked.join(names, "_k", "left_semi").select(*row, column, "_way", "_i").distinct().groupBy(*row, column, "_way").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    best = hits.groupBy(*row, column).agg(F.min("_way").alias("_way"))
-    chosen = both.join(best, [*row, column], "left")
-    out = F.when(F.col("_way") == 0, F.col("_slashed")).when(F.col("_way") == 1, F.col("_worded")).otherwise(F.array(column))
-    return chosen.withColumn("_out", out).withColumn(column, F.explode("_out")).drop("_slashed", "_worded", "_way", "_out")
+    asked = each.select("_name", "_way", "_i", F.explode(F.array_distinct(F.array(F.lower("_p"), F.lower("_canonical")))).alias("_k"))
+    hits = asked.join(names, "_k", "left_semi").select("_name", "_way", "_i").distinct().groupBy("_name", "_way").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    best = hits.groupBy("_name").agg(F.min("_way").alias("_way"))
+    settled = both.join(best, "_name").select("_name", F.when(F.col("_way") == 0, F.col("_slashed")).otherwise(F.col("_worded")).alias("_parts"))
+    joined = df.join(settled, F.col(column) == F.col("_name"), "left")
+    return joined.withColumn(column, F.explode(F.coalesce("_parts", F.array(column)))).drop("_name", "_parts")
 
 
 def prepare(items: DataFrame, owner: str, position: str, name: str, aliases: DataFrame, known: DataFrame, protected: list[str] = (), prefixes: dict[str, str] = {}, existing: DataFrame | None = None, priority: str | None = None, least: int = 2) -> DataFrame:
@@ -59,7 +61,7 @@ def prepare(items: DataFrame, owner: str, position: str, name: str, aliases: Dat
     first; then only names that occur ``least`` times, those of ``existing(name)`` counted too. Columns beside stay with each part; a null priority
     is 'required'."""
     first = normalize(items, name, aliases, prefixes).where(F.col(name).isNotNull())
-    parts = split_compounds(first, name, known, [owner, position], aliases, protected, prefixes=prefixes)
+    parts = split_compounds(first, name, known, aliases, protected, prefixes=prefixes)
     again = normalize(parts, name, aliases, prefixes).where(F.length(name) > 1)
     if priority:
         again = again.withColumn(priority, F.coalesce(priority, F.lit("required")))

@@ -296,7 +296,7 @@ def alias_normalize(t, spark):
 def compound_split(t, spark):
     p = t("part")
     known = p.where("p_partkey % 2 = 0").select(F.get(F.split("p_name", " "), F.lit(1)).alias("name")).union(spark.createDataFrame([("red",)], "name string")).distinct()
-    return skills.split_compounds(p.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_name").alias("name")), "name", known, ["p_partkey"])
+    return skills.split_compounds(p.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_name").alias("name")), "name", known)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
@@ -467,12 +467,12 @@ def balanced_logit(t, spark):
     return models.balanced_logit(o, ["x"], "y").groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
 
-_HASHED = "('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '-' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_MOD = f" % {(1 << 31) - 1}"
 _POISSON = " + ".join(f"CAST(u >= {c!r}::DOUBLE AS INTEGER)" for c in models.POISSON_CUTS)
 
 
 @query(
-    f"""WITH r AS (SELECT CAST(left(o_orderpriority, 1) AS INTEGER) AS g, ln(o_totalprice) AS x, b, {_HASHED} AS u FROM orders, (SELECT unnest(range(100)) AS b)), w AS (SELECT g, b, x, {_POISSON} AS w FROM r),
+    f"""WITH r AS (SELECT CAST(left(o_orderpriority, 1) AS INTEGER) AS g, ln(o_totalprice) AS x, b, (o_orderkey{_MOD} * 48271 + b * 16807 + 1){_MOD} AS x1, o_orderkey{_MOD} AS h FROM orders, (SELECT unnest(range(100)) AS b)), r2 AS (SELECT *, (x1 * x1 + b + 7){_MOD} AS x2 FROM r), r3 AS (SELECT *, (x2 * x2 + h){_MOD} AS x3 FROM r2), r4 AS (SELECT g, x, b, (x3 * x3 + b * 31 + 3){_MOD} / {(1 << 31) - 1}::DOUBLE AS u FROM r3), w AS (SELECT g, b, x, {_POISSON} AS w FROM r4),
     m AS (SELECT g, b, sum(w * x) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL) SELECT g, round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025::DOUBLE), 9) AS ci_low, round(quantile_cont(m, 0.975::DOUBLE), 9) AS ci_high FROM m GROUP BY 1"""
 )
 def bootstrap_ci(t, spark):

@@ -297,7 +297,7 @@ def compound_names(t, spark):
     name = F.when(k % 4 == 0, F.replace(n, F.lit(" "), F.lit("/"))).when(k % 4 == 1, F.concat(F.replace(n, F.lit(" "), F.lit(" and ")), F.lit(" "), n)).when(k % 4 == 2, "Ci/Cd").otherwise(n)
     known = t("part").select(F.get(F.split("p_name", " "), F.lit(0)).alias("name")).distinct()
     aliases = known.orderBy("name").limit(1).select(F.lit("gizmo").alias("key"), F.col("name").alias("canonical"))
-    return skills.split_compounds(t("part").select(k, name.alias("name")), "name", known, ["p_partkey"], aliases, ["ci/cd"])
+    return skills.split_compounds(t("part").select(k, name.alias("name")), "name", known, aliases, ["ci/cd"])
 
 
 @query(

@@ -73,6 +73,24 @@ def test_bootstrap_refits_and_votes(spark, graded, monkeypatch):
     assert models.bootstrap_logit(df.where("y = 1"), "k", ["a", "b"], "y", 2) is None
 
 
+def test_draws_of_the_means():
+    """Poisson(1), alike for neighbouring keys and rounds, and not tied to either."""
+    w = models._draws(np.arange(4000), np.arange(50))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.03 and abs((w == 0).mean() - math.exp(-1)) < 0.01
+    assert np.abs(w.mean(0) - 1).max() < 0.08 and np.abs(np.corrcoef(w.T) - np.eye(50)).max() < 0.09
+    assert abs(np.corrcoef(w[:-1].ravel(), w[1:].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(w[:, :-1].ravel(), w[:, 1:].ravel())[0, 1]) < 0.01
+
+
+def test_means_by_hand(spark):
+    rows = [(i, ["a", "b", None][i % 3], None if i % 10 == 9 else float(i % 7)) for i in range(200)]
+    found = {r.g: r for r in models.bootstrap_means(spark.createDataFrame(rows, "k int, g string, v double").repartition(3), "k", "g", "v", 40).collect()}
+    w = models._draws(np.arange(200), np.arange(40))
+    for g in ("a", "b", None):
+        at = [i for i, h, v in rows if h == g and v is not None]
+        m = (w[at] * np.array([rows[i][2] for i in at])[:, None]).sum(0) / w[at].sum(0)
+        assert np.allclose([found[g]["mean"], found[g].ci_low, found[g].ci_high], [m.mean(), *np.percentile(m, [2.5, 97.5])])
+
+
 def test_plain_logit_is_the_librarys(graded):
     rows, df = graded
     fit = models.bootstrap_logit(df, "k", ["a", "b"], "y", 1)
@@ -234,7 +252,7 @@ def test_compounds_with_one_known_part_stay(spark):
     names = ["Bash/Python", "bash / py / odd", "Bash/odd", "CI/CD", "Bash and Python", "bash py a b c", "k8s-x/bash", None, "", "Python"]
     df = spark.createDataFrame(list(enumerate(names)), "i int, name string")
     found = {}
-    for r in skills.split_compounds(df, "name", known, ["i"], aliases, ["ci/cd"], prefixes={"k8s": "Kubernetes"}).collect():
+    for r in skills.split_compounds(df, "name", known, aliases, ["ci/cd"], prefixes={"k8s": "Kubernetes"}).collect():
         found.setdefault(r.i, []).append(r.name)
     assert {i: sorted(v, key=str) for i, v in found.items()} == {0: ["Bash", "Python"], 1: ["bash", "odd", "py"], 2: ["Bash/odd"], 3: ["CI/CD"], 4: ["Bash", "Python"], 5: ["bash py a b c"], 6: ["bash", "k8s-x"], 7: [None], 8: [""], 9: ["Python"]}
 
