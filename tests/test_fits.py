@@ -156,6 +156,33 @@ def test_ols_with_large_means_and_a_collinear_design(spark):
     assert len(models.ols(wide, [f"c{i}" for i in range(35)], "y").coef) == 36
 
 
+def test_lasso_path(spark):
+    """Kept features and cross-validated errors of coordinate descent on the rows themselves, fold by fold."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 3)) * [1, 2, 0.5] + 50
+    y = 2 * x[:, 0] - 0.7 * x[:, 1] + rng.normal(size=240) + 1000
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, c double, y double")
+    rows = df.select("a", "b", "c", "y", F.pmod(F.xxhash64("a", "b", "c", "y"), F.lit(5)).alias("f")).collect()
+    x, y, fold = np.array([r[:3] for r in rows]), np.array([r.y for r in rows]), np.array([r.f for r in rows])
+
+    def descend(x, y, alpha):
+        m, w = x.mean(0), np.zeros(3)
+        z, v = x - m, y - y.mean()
+        for _ in range(2000):
+            for j in range(3):
+                r = z[:, j] @ (v - z @ w + z[:, j] * w[j]) / len(y)
+                w[j] = np.sign(r) * max(abs(r) - alpha, 0) / (z[:, j] @ z[:, j] / len(y))
+        return w, y.mean() - m @ w
+
+    found = models.lasso(df, ["a", "b", "c"], "y", n_alphas=6)
+    assert found[0][1] == 0 and found[-1][1] == 3
+    for alpha, kept, rmse in found:
+        assert kept == (np.abs(descend(x, y, alpha)[0]) > 1e-10).sum()
+        errors = np.concatenate([y[fold == f] - x[fold == f] @ w - c for f in range(5) for w, c in [descend(x[fold != f], y[fold != f], alpha)]])
+        assert abs(rmse - np.sqrt((errors**2).mean())) < 1e-6
+    assert models.lasso(df.limit(0), ["a"], "y") == []
+
+
 def test_interval_regression(spark):
     """At the maximum no small move of a parameter raises the likelihood worked out row by row; open ends, points, and rows left out."""
     rng = random.Random(12)
