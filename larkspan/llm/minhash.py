@@ -272,7 +272,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[top[some]])], ["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60, per_task: int = EDGES) -> DataFrame:
+def components(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
     """node, component (smallest node reachable) for every node of the undirected edges (a, b).
 
     Each task joins its own links into trees, about ``per_task`` of them; where one task has them all, that is the result. Else alternating large- and
@@ -281,8 +281,8 @@ def components(edges: DataFrame, max_rounds: int = 60, per_task: int = EDGES) ->
     edges = materialize(light(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     tasks = max(1, -(-edges.count() // per_task))
     edges = materialize(edges.coalesce(tasks).transform(mapped, _trees, "a long, b long"))
-    state = None
-    for _ in range(max_rounds if tasks > 1 else 0):
+    state, before = None, ()
+    while tasks > 1 and state != before:
         pairs = both(edges)
         least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -290,11 +290,6 @@ def components(edges: DataFrame, max_rounds: int = 60, per_task: int = EDGES) ->
         ends = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
         edges = materialize(large.join(least, "a").select(ends.alias("e")).select("e.a", "e.b").where("a <> b").distinct().coalesce(tasks))
         before, state = state, edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-    else:
-        if tasks > 1:
-            raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 

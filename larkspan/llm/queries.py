@@ -13,11 +13,14 @@ from .core import HELD_IDS, materialize, read
 from .lm_score import cross_entropy_difference
 from .minhash import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality import quality
 from .suffix_dedup import suffix_dedup
 from .token_count import token_counts
 from .toxicity import toxicity
 from .urlfilter import DISTINCT_SOFT, SOFT, STRICT, filter_urls
+from .vector_dedup import near_duplicate_vectors
+from .whitening import whiten
 from .winnow import decontaminate
 
 
@@ -66,12 +69,49 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of each tenth document, by checksum of its id, the words from some place on repeat those that follow it. Null ids: as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    docs = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("g", F.floor(h / 10)).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) AS int)]), ' ')")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    found = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(ship(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_toxicity, op2_quality, op3_suffix_dedup, op4_ann, op5_lm_score, op6_token_counts, op7_decontaminate, op8_near_duplicates, op9_packing, op10_url_filter)
+    own = (op1_toxicity, op2_quality, op3_suffix_dedup, op4_ann, op5_lm_score, op6_token_counts, op7_decontaminate, op8_near_duplicates, op9_packing, op10_url_filter, op11_vector_duplicates, op12_periodic_runs, op13_whitening)
     return {f.__name__: _shipped(f) for f in own}
 
 
@@ -189,5 +229,41 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+#: All pairs of rows of one label, and what can be reached by those that are alike.
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT r, vec_id, label, v, sqrt(list_sum(list_transform(v, lambda c: c * c))) AS z FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+e AS (SELECT x.r, x.vec_id AS a, y.vec_id AS b FROM f x JOIN f y ON x.label = y.label AND len(x.v) = len(y.v) AND x.r <> y.r
+  WHERE list_sum(list_transform(list_zip(x.v, y.v), lambda c: c[1] * c[2])) / (x.z * y.z) >= 0.93),
+n AS (SELECT r, count(*) AS n FROM e GROUP BY 1),
+reached AS (SELECT DISTINCT vec_id, vec_id AS m FROM f UNION SELECT e.b, reached.m FROM reached JOIN e ON e.a = reached.vec_id),
+o AS (SELECT vec_id, min(m) AS c FROM reached GROUP BY 1)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, CASE WHEN f.r IS NULL THEN v.vec_id ELSE c END AS component_id, coalesce(v.vec_id = CASE WHEN f.r IS NULL THEN v.vec_id ELSE c END, true) AS kept
+FROM v LEFT JOIN f USING (r) LEFT JOIN n USING (r) LEFT JOIN o ON o.vec_id = v.vec_id
+"""
+
+#: One step of CRC-32 over the bits of a byte, after it has been added.
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS UBIGINT))), lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, CAST(3988292384 AS UBIGINT) * (y & 1))))"
+
+#: Stretches of words that equal those q before them, of every q; of two with one place the smaller period counts.
+_RUNS_SQL = rf"""
+WITH c AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w, xor(CAST({_CRC} AS BIGINT), 4294967295) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, CAST(h // 10 AS BIGINT) AS g FROM c),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT r, n, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS w FROM p, unnest(range(n)) AS t(i)),
+e AS (SELECT x.r, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS run FROM e) GROUP BY r, q, run HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.q < s.q AND o.s <= s.s AND o.s + o.len >= s.s + s.len)),
+best AS (SELECT r, count(*) AS n_runs, arg_max(s, (len, -s, -q)) AS start, max(len) AS length, arg_max(q, (len, -s, -q)) AS period, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM u GROUP BY 1),
+gone AS (SELECT DISTINCT r, i FROM (SELECT r, unnest(range(s + q, s + len)) AS i FROM u)),
+k AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = t.r AND gone.i = t.i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM p LEFT JOIN best USING (r) LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": _SUFFIX_SQL, "op4_ann": _ANN_SQL, "op5_lm_score": _LM_SQL, "op7_decontaminate": _WINNOW_SQL, "op8_near_duplicates": _NEAR_SQL, "op10_url_filter": _url_sql()}
+    return {"op11_vector_duplicates": _VECTOR_SQL, "op12_periodic_runs": _RUNS_SQL, "op3_suffix_dedup": _SUFFIX_SQL, "op4_ann": _ANN_SQL, "op5_lm_score": _LM_SQL, "op7_decontaminate": _WINNOW_SQL, "op8_near_duplicates": _NEAR_SQL, "op10_url_filter": _url_sql()}
