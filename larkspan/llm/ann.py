@@ -1,8 +1,8 @@
 """Nearest neighbours by a block matrix join.
 
-Candidates and queries lie in blocks, each quantised to int8 with its own scale. The product of two int8 tiles gives all distances of a pair of
-blocks up to the quantisation errors of both vectors, which are known; what can't be among a query's k nearest of the block by these bounds is
-dropped, and the rest is recomputed in double precision on the original vectors. Block results are merged by heaps.
+Candidates and queries lie in blocks, each vector quantised to int8 with its own scale. The product of two int8 tiles gives all distances of a
+pair of tiles up to the quantisation errors of both vectors, which are known; what can't be among a query's k nearest of the tile by these bounds
+is dropped, and the rest is recomputed in double precision on the original vectors. Results are merged by heaps.
 """
 
 from __future__ import annotations
@@ -17,36 +17,55 @@ from pyspark.sql import functions as F
 
 from .core import mapped, materialize, shuffle_partitions
 
-#: Vectors of a block of candidates, and of queries.
+#: Vectors of a tile of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Bytes of the candidates that one task holds where there are many: each query is sent to as many tasks as there are such parts.
+HELD_BYTES = 64 << 20
+#: Between these, squares neither overflow nor lose anything.
+SMALL, LARGE = 1e-140, 1e140
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """int8 codes, scale, and the Euclidean error of each row."""
-    top = float(np.abs(x).max()) if x.size else 0.0
-    scale = top / 127 if top > 0 and np.isfinite(top / 127) and top / 127 > 0 else 1.0
-    codes = np.rint(x / scale).clip(-127, 127).astype(np.int8)
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, scale and Euclidean error of each row; no entry above 1 in absolute value."""
+    scale = np.abs(x).max(1) / 127
+    scale[scale == 0] = 1.0
+    codes = np.rint(x / scale[:, None]).clip(-127, 127).astype(np.int8)
     # A little more than the error, for the rounding of this computation.
-    return codes, scale, np.sqrt(((x - codes * scale) ** 2).sum(1)) * (1 + 1e-9) + 1e-12 * top
+    return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(1)) * (1 + 1e-9) + 1e-12 * scale + SMALL
 
 
-def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Distances in double precision, adding the dimensions one after the other."""
-    total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += (x[:, d] - q[d]) ** 2
+def _lengths(d: np.ndarray) -> np.ndarray:
+    """Length of each row, adding the dimensions one after the other."""
+    total = np.zeros(len(d))
+    for c in range(d.shape[1]):
+        total += d[:, c] ** 2
     return np.sqrt(total)
 
 
+def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances in double precision. Differences whose squares would over- or underflow are scaled by a power of two first."""
+    with np.errstate(over="ignore"):
+        d = x - q
+        top = np.abs(d).max(1)
+        odd = np.flatnonzero(((top > LARGE) | (top < SMALL)) & (top > 0) & np.isfinite(top))
+        out = _lengths(d)
+        if len(odd):
+            _, power = np.frexp(top[odd])
+            out[odd] = np.ldexp(_lengths(np.ldexp(d[odd], -power[:, None])), power)
+        return out
+
+
 def block_neighbours(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """For each query its k nearest of a block, itself left out: (score, id) ascending."""
-    cq, sq, eq = quantise(q)
-    cx, sx, ex = quantise(x)
+    # For the bounds only, all entries are at most 1 after scaling by a power of two.
+    _, power = np.frexp(max(np.abs(q).max(), np.abs(x).max()))
+    cq, sq, eq = quantise(np.ldexp(q, -power))
+    cx, sx, ex = quantise(np.ldexp(x, -power))
     # Sums of products of int8 codes are whole numbers, which single precision holds exactly up to 2**24 (and BLAS is fast at).
     kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
     tile = (cq.astype(kind) @ cx.T.astype(kind)).astype(np.float64)
     qq, xx = (s * s * (c.astype(np.float64) ** 2).sum(1) for s, c in ((sq, cq), (sx, cx)))
-    near = np.sqrt(np.maximum(qq[:, None] + xx[None, :] - 2 * sq * sx * tile, 0))
+    near = np.sqrt(np.maximum(qq[:, None] + xx[None, :] - 2 * sq[:, None] * sx[None, :] * tile, 0))
     # Quantisation, and the rounding of the line above, of which little is left where nearly equal squares cancel.
     slack = eq[:, None] + ex[None, :] + 1e-6 * near + 1e-7 * (np.sqrt(qq)[:, None] + np.sqrt(xx)[None, :])
     low, high = near - slack, near + slack
@@ -74,8 +93,13 @@ def _join(k: int, query_block: int):
             return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
 
         def answers() -> Iterator[pa.RecordBatch]:
-            found = list(block_neighbours(*stacked(asked), *block, k)) if asked and block is not None else []
-            if found:
+            if not asked or block is None:
+                return
+            q_ids, q = stacked(asked)
+            for at in range(0, len(block[0]), BLOCK):
+                found = list(block_neighbours(q_ids, q, block[0][at : at + BLOCK], block[1][at : at + BLOCK], k))
+                if not found:
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[0] for f in found], pa.int64()), pa.array([[s for s, _ in f[1]] for f in found], pa.list_(pa.float64())), pa.array([[i for _, i in f[1]] for f in found], pa.list_(pa.int64()))],
                     ["query_id", "scores", "ids"],
@@ -128,8 +152,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     """The k nearest rows (Euclidean, double precision; ties to the smaller id) of each row whose id is divisible by ``every``, itself left out:
     query_id, rank, vec_id, score. Exact.
 
-    Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with a null id or of another length than the most
-    frequent one. A repeated id: the smallest of its vectors stands. Empty table, or no queries: empty result. Other columns are not read.
+    Finite components of any size take part. Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with a null
+    id or of another length than the most frequent one. A repeated id: the smallest of its vectors stands. Empty table, or no queries: empty result. Other columns are not read.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fit = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -137,9 +161,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     sizes = own.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     d, n = (sizes[0].d, sizes[0].n) if sizes else (0, 0)
     own = materialize(own.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v")))
-    blocks = max(1, -(-n // block))
+    # As many parts as there are tasks, if they fill tiles; more only where a part would hold too much.
+    blocks = max(1, -(-n * d * 8 // HELD_BYTES), min(shuffle_partitions(vectors.sparkSession), -(-n // block)))
     candidates = own.select(F.expr(f"pmod(xxhash64(vec_id), {blocks})").alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
-    # Of the two sides of a pair of blocks the queries are the smaller, so they go to every block of candidates; these are shuffled once.
+    # Of the two sides the queries are the smaller, so they go to every part of the candidates; these are shuffled once.
     queries = own.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v")
     met = candidates.union(queries).repartition(max(shuffle_partitions(vectors.sparkSession), blocks), "part").sortWithinPartitions("part", "kind")
     found = met.transform(mapped, _join(k, QUERY_BLOCK), "query_id long, scores array<double>, ids array<long>")

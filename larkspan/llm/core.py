@@ -65,6 +65,18 @@ def matching(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() * len(ids.columns) <= HELD_IDS else ids, ids.columns, how)
 
 
+#: A class with more than one in so many of all rows is joined by sending it to every task; there are fewer of them than this number.
+HOT_PART = 1024
+
+
+def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, n_rows: int) -> DataFrame:
+    """Rows joined with their classes. Classes with a great part of the rows go to every task, so their rows stay where they are."""
+    hot = materialize(classes.where(F.col(copies) * HOT_PART > n_rows))
+    found = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    cold = found.where("_hot IS NULL").select(*rows.columns).join(classes.where(F.col(copies) * HOT_PART <= n_rows), keys)
+    return found.where("_hot").drop("_hot").unionByName(cold)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U, by_bucket, doc_group, light, mapped, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
+from .core import U, by_bucket, by_class, doc_group, light, mapped, materialize, merged, mix, pack, powers, prefix_hashes, shuffle_partitions, sliding, text_bytes, unpack
 
 #: Bytes of one anchor. Any value up to ``length`` gives the same result; about half makes the two shuffles equally large.
 ANCHOR = 50
@@ -397,6 +397,23 @@ def _dealt(df: DataFrame, fn, n: int) -> DataFrame:
     return df.repartition(n, "bucket").sortWithinPartitions("bucket").transform(mapped, fn, _ROWS)
 
 
+def numbered(own: DataFrame) -> DataFrame:
+    """own (doc_id, text and more) with a number ``key`` for each document, in the order of their ids. Where each id has one text, as is usual, that is the
+    id. Else documents of one id with different texts are told apart by 128 bits of their texts, and follow each other in the order of these."""
+    marks = [F.xxhash64(F.lit(i), F.coalesce("text", F.lit(""))).alias(f"mark{i}") for i in (1, 2)]
+    some = own.where(F.col("doc_id").isNotNull()).select("doc_id", *marks)
+    several = some.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("mark1", "mark2") for f in (F.min, F.max))).where("min_mark1 <> max_mark1 OR min_mark2 <> max_mark2")
+    if not several.limit(1).count():
+        return own.withColumn("key", F.col("doc_id"))
+    keys = ["doc_id", "mark1", "mark2"]
+    documents = some.groupBy(*keys).agg(F.count("*").alias("copies")).orderBy(*keys).withColumn("key", F.monotonically_increasing_id())
+    documents = materialize(documents)
+    n_rows = documents.agg(F.sum("copies")).first()[0]
+    marked = own.select("*", *marks)
+    told = by_class(marked.where(F.col("doc_id").isNotNull()), documents, keys, "copies", n_rows)
+    return told.select(*own.columns, "key").unionByName(own.where(F.col("doc_id").isNull()).withColumn("key", F.lit(None).cast("long")))
+
+
 def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """documents with the byte ranges to remove: doc_id, text, gone, more (both binary, pairs of unsigned 32-bit numbers), and the struct ``carried``."""
     # A shard's share of the text is the same at every size.
@@ -405,15 +422,15 @@ def removed_ranges(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     # Answers go back to groups of documents, fewer than there are shards, so that their rows stay few.
     g = max(8, n // 4)
     carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
-    found = _dealt(own.where(F.col("doc_id").isNotNull()).select("doc_id", "text").transform(mapped, _scan(length, n, g), _ROWS), _judge_segments(length, g), n)
+    own = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried")))
+    found = _dealt(own.where(F.col("key").isNotNull()).select("key", "text").transform(mapped, _scan(length, n, g), _ROWS), _judge_segments(length, g), n)
     first = materialize(light(found.repartition(n, "bucket").sortWithinPartitions("bucket")).transform(mapped, _per_document, "r_id long, gone binary, check binary"))
-    joined = own.join(first, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "check", "carried")
+    joined = own.join(first, F.col("key") == F.col("r_id"), "left").select("key", "text", "gone", "check", "carried", "doc_id")
     # No filter on the ranges here: with one, this join's exchange of the texts would differ from the last join's and be written twice.
-    strings = joined.select("doc_id", "text", "check", "carried").transform(mapped, _scan_strings(length, n, g), _ROWS)
+    strings = joined.select("key", "text", "check", "carried", "doc_id").transform(mapped, _scan_strings(length, n, g), _ROWS)
     second = _dealt(strings, _judge_strings(length, g), n).repartition(n, "bucket").sortWithinPartitions("bucket").transform(mapped, _per_document, "r_id long, gone binary, check binary")
     second = second.select("r_id", F.col("gone").alias("more"))
-    return joined.join(second, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "gone", "more", "carried")
+    return joined.join(second, F.col("key") == F.col("r_id"), "left").select("doc_id", "text", "gone", "more", "carried")
 
 
 def _cut(b: np.ndarray, *ranges: np.ndarray) -> tuple[np.ndarray, int]:
@@ -460,8 +477,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     not, if nothing was removed), and the columns named in ``carry`` as they were.
 
     Null text: as empty. Null id: the row is returned uncut and is no source of copies. Rows that repeat an id and a text are one document and
-    get the same result each; an id with several texts has its ranges applied to each, cut to its length. Empty table: empty result. Other
-    columns are not read.
+    get the same result each. Different texts of one id are documents of their own, one of which counts as the earlier (by a hash of the text).
+    Empty table: empty result. Other columns are not read.
     """
     found = removed_ranges(docs, length, id_col, text_col, carry)
     kind = found.schema["carried"].dataType.simpleString()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -10,6 +11,11 @@ import tiktoken
 from tokenizers import Tokenizer
 
 
+#: Runs of white space (Unicode's) of so many characters are cut out before tiktoken's pattern, which takes a level of its stack for each, sees them.
+LONG_SPACE = 20_000
+_SPACES = re.compile(r"[^\S\x1c-\x1f]{%d,}" % LONG_SPACE)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -57,7 +63,24 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if len(text) < LONG_SPACE:
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        try:
+            return np.concatenate([np.array(ids, np.uint32) for ids in self._parts(text)])
+        except BaseException as e:  # a panic of the library is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _parts(self, text: str):
+        """Ids of the text between its long runs of white space, and of these. The pattern makes one piece of a run at the text's end, and of any other
+        without its last character, which belongs to what follows; no piece reaches from before a run into it."""
+        at = 0
+        for run in _SPACES.finditer(text):
+            yield self.fast.encode_ordinary(text[at : run.start()])
+            at = run.end() if run.end() == len(text) else run.end() - 1
+            yield self.fast._encode_single_piece(text[run.start() : at])
+        yield self.fast.encode_ordinary(text[at:])
 
 
 @lru_cache(maxsize=2)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import HELD_IDS, light, mapped, materialize, shuffle_partitions
+from .core import HELD_IDS, by_class, light, mapped, materialize, shuffle_partitions
 from .minhash import components
 
 #: Classes of a block, and rows and columns of one tile.
@@ -26,8 +26,6 @@ BLOCK, TILE = 16384, 1024
 EXACT = (1 << 24) // (127 * 127)
 #: Pairs computed again at once.
 PAIRS = 1 << 15
-#: A class with more than this part of the rows is joined by sending it to every task; there are fewer of them than its inverse.
-HOT_PART = 1024
 
 
 def units(v: np.ndarray) -> np.ndarray:
@@ -171,14 +169,6 @@ def _tiles(threshold: float):
     return run
 
 
-def by_class(rows: DataFrame, classes: DataFrame, keys: list[str], copies: str, n_rows: int) -> DataFrame:
-    """Rows joined with their classes. Classes with a great part of the rows go to every task, so their rows stay where they are."""
-    hot = materialize(classes.where(F.col(copies) * HOT_PART > n_rows))
-    found = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
-    cold = found.where("_hot IS NULL").select(*rows.columns).join(classes.where(F.col(copies) * HOT_PART <= n_rows), keys)
-    return found.where("_hot").drop("_hot").unionByName(cold)
-
-
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label") -> DataFrame:
     """Links between vectors of one group whose cosine, in double precision, is the threshold (above 0) or more: a row for each vector with vec_id,
     n_links (other rows linked directly), component_id (smallest id reachable, itself included), kept (vec_id = component_id). Exact.
