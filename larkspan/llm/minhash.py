@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import LOWER, NOT_SPACE, STEP, U, documents_input, gram_hashes, groups, light, mapped, matching, materialize, mix, shuffle_partitions, span_hashes, text_bytes, word_spans
+from .core import LOWER, NOT_SPACE, STEP, U, by_class, documents_input, gram_hashes, groups, light, mapped, matching, materialize, mix, shuffle_partitions, span_hashes, text_bytes, word_spans
 
 #: Rows of a band key, and number of bands: a pair at the threshold 0.8 shares no band with probability 3e-6.
 ROWS, BANDS = 6, 42
@@ -30,6 +30,8 @@ SIGNATURE, STEP_VALUES = 128, 16
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * U(2) + U(1)
 #: Members of one block when a bucket holds several components, with signatures and with full sets.
 BLOCK, SET_BLOCK = 512, 128
+#: Bytes of full sets that make a block full as well.
+SET_BYTES = 16 << 20
 #: Links that one task joins into trees before components are sought across tasks.
 EDGES = 1 << 18
 
@@ -307,16 +309,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     sketch = materialize(own.transform(mapped, _sketch(k), "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     keys = ["set_a", "set_b", "n_shingles"]
-    classes = materialize(light(full.groupBy(*keys).agg(F.min("doc_id").alias("rep"))))
+    placed = materialize(light(full.select("doc_id", *keys)))
+    classes = materialize(light(placed.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))))
+    n_full = classes.agg(F.sum("copies")).first()[0] or 0
     # One row stands for each class: the sketch of its representative. Only the copies' ids travel, not the sketches.
-    copies = full.select("doc_id", *keys).join(classes, keys).where("doc_id <> rep").select("doc_id", *keys)
+    copies = by_class(placed, classes, keys, "copies", n_full).where("doc_id <> rep").select("doc_id", *keys)
     reps = matching(full, copies, "left_anti").select("doc_id", "sig", "bands")
     # An id with several texts may be in several classes: their representatives are linked.
-    repeated = materialize(light(full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
+    repeated = materialize(light(placed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
     held = docs.sparkSession.createDataFrame([], "a long, b long")
     if repeated.limit(1).count():
         reps = reps.distinct()
-        held = matching(full.select("doc_id", *keys), repeated, "left_semi").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+        held = matching(placed, repeated, "left_semi").join(classes, keys).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     # From here on only documents that share a bucket play a part.
@@ -327,7 +331,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     sigs = materialize(matching(reps.select("doc_id", "sig", marks.alias("marks")), shared.select("doc_id"), "left_semi"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
+        """Pairs (pivot, member) with both signatures; that of a pivot with a great part of the pairs goes to every task."""
+        pairs = materialize(light(pairs))
+        often = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        x = by_class(pairs, often.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a"), ["a"], "n", pairs.count())
         return x.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -351,11 +358,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
         return df.join(found.select(F.col("node").alias(c), F.col("component").alias(name)), c, "left").withColumn(name, F.coalesce(name, F.col(c)))
 
     # Side 0 of a bucket is the component of its pivot, side 1 are all others.
-    placed = materialize(component(component(shared, "doc_id"), "pivot").select("band", "doc_id", "component", (F.col("component") != F.col("main")).cast("int").alias("side")))
+    members = materialize(component(component(shared, "doc_id"), "pivot").select("band", "doc_id", "component", (F.col("component") != F.col("main")).cast("int").alias("side")))
 
     def sized(members: DataFrame) -> tuple[DataFrame, int]:
-        """Members of the buckets that have a side 1, with the sizes of both sides, and the largest bucket's size."""
-        sizes = materialize(light(members.groupBy("band").agg(F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1")).where("n1 > 0")))
+        """Members of the buckets that have a side 1, with the sizes of both sides, and the largest bucket's size. A member counts its weight."""
+        n0, n1 = F.sum((1 - F.col("side")) * F.col("weight")), F.sum(F.col("side") * F.col("weight"))
+        sizes = materialize(light(members.groupBy("band").agg(n0.alias("n0"), n1.alias("n1")).where("n1 > 0")))
         return members.join(sizes, "band"), sizes.agg(F.max(F.col("n0") + F.col("n1"))).first()[0] or 0
 
     def compared(members: DataFrame, largest: int, columns: list[str], block: int, kernel, schema: str) -> DataFrame:
@@ -382,15 +390,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
         return materialize(light(pairs.transform(mapped, kernel, schema).distinct()))
 
     # Signatures first; full sets travel only to buckets where a pair across components survives, and of its common bands to the first.
-    inside, largest = sized(placed)
+    inside, largest = sized(members.withColumn("weight", F.lit(1)))
     met = compared(inside.join(sigs, "doc_id"), largest, ["sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long")
-    again, largest = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]))
-    again = again.join(sets_of(met.select("doc_id")), "doc_id")
+    sets = sets_of(met.select("doc_id"))
+    # A long set counts for several, so that a block's bytes are bounded as well.
+    lengths = sets.select("doc_id", (1 + F.floor(F.length("set") * SET_BLOCK / SET_BYTES)).alias("weight"))
+    again, largest = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]).join(lengths, "doc_id"))
+    again = again.join(sets, "doc_id")
     extra = compared(again, largest, ["set"], SET_BLOCK, _link_blocks(percent), "a long, b long")
     if extra.limit(1).count():
         found = materialize(light(components(edges.union(extra))))
-    last = component(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select(*keys, F.col("component").alias("component_id"))
-    linked = full.select("doc_id", *keys).join(last, keys)
+    last = component(classes.withColumnRenamed("rep", "doc_id"), "doc_id").select(*keys, "copies", F.col("component").alias("component_id"))
+    linked = by_class(placed, materialize(light(last)), keys, "copies", n_full)
     return (
         linked.select("doc_id", "n_shingles", "component_id")
         .union(sketch.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
