@@ -182,14 +182,15 @@ def _meet_blocks(bounds: np.ndarray):
             for band, same, left, right in _block_pairs(batch):
                 keys = [np.array([r["marks"] for r in side], np.int32) for side in (left, right)]
                 own = np.int64(band).astype(np.int32)
-                found: set[int] = set()
+                found: dict[int, int] = {}
                 for i, at in _across(left, right, same, bounds):
                     first = (keys[1][at] == keys[0][i]).argmax(1)
                     at = at[keys[0][i][first] == own]
                     if len(at):
-                        found.add(left[i]["doc_id"])
-                        found.update(right[j]["doc_id"] for j in at)
-                yield pa.RecordBatch.from_arrays([pa.array([band] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())], ["band", "doc_id"])
+                        found[left[i]["doc_id"]] = left[i]["n_shingles"]
+                        found.update((right[j]["doc_id"], right[j]["n_shingles"]) for j in at)
+                ids = sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([band] * len(ids), ids, [found[i] for i in ids])], ["band", "doc_id", "n_shingles"])
 
     return run
 
@@ -314,7 +315,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     n_full = classes.agg(F.sum("copies")).first()[0] or 0
     # One row stands for each class: the sketch of its representative. Only the copies' ids travel, not the sketches.
     copies = by_class(placed, classes, keys, "copies", n_full).where("doc_id <> rep").select("doc_id", *keys)
-    reps = matching(full, copies, "left_anti").select("doc_id", "sig", "bands")
+    reps = matching(full, copies, "left_anti").select("doc_id", "n_shingles", "sig", "bands")
     # An id with several texts may be in several classes: their representatives are linked.
     repeated = materialize(light(placed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")))
     held = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -328,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
     bounds = posterior_bounds(threshold, miss)
     # The place of a pair's first common band is found with 32 bits of each band's key.
     marks = F.transform("bands", lambda b: F.shiftright(F.shiftleft(b, 32), 32).cast("int"))
-    sigs = materialize(matching(reps.select("doc_id", "sig", marks.alias("marks")), shared.select("doc_id"), "left_semi"))
+    sigs = materialize(matching(reps.select("doc_id", "n_shingles", "sig", marks.alias("marks")), shared.select("doc_id"), "left_semi"))
 
     def with_signatures(pairs: DataFrame) -> DataFrame:
         """Pairs (pivot, member) with both signatures; that of a pivot with a great part of the pairs goes to every task."""
@@ -391,12 +392,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, miss: f
 
     # Signatures first; full sets travel only to buckets where a pair across components survives, and of its common bands to the first.
     inside, largest = sized(members.withColumn("weight", F.lit(1)))
-    met = compared(inside.join(sigs, "doc_id"), largest, ["sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long")
-    sets = sets_of(met.select("doc_id"))
+    met = compared(inside.join(sigs, "doc_id"), largest, ["n_shingles", "sig", "marks"], BLOCK, _meet_blocks(bounds), "band long, doc_id long, n_shingles long")
     # A long set counts for several, so that a block's bytes are bounded as well.
-    lengths = sets.select("doc_id", (1 + F.floor(F.length("set") * SET_BLOCK / SET_BYTES)).alias("weight"))
-    again, largest = sized(met.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]).join(lengths, "doc_id"))
-    again = again.join(sets, "doc_id")
+    heavy = met.select("band", "doc_id", (1 + F.floor(F.col("n_shingles") * 8 * SET_BLOCK / SET_BYTES)).alias("weight"))
+    again, largest = sized(heavy.join(inside.select("band", "doc_id", "component", "side"), ["band", "doc_id"]))
+    again = again.join(sets_of(met.select("doc_id")), "doc_id")
     extra = compared(again, largest, ["set"], SET_BLOCK, _link_blocks(percent), "a long, b long")
     if extra.limit(1).count():
         found = materialize(light(components(edges.union(extra))))
