@@ -492,4 +492,4 @@ def stream_dedup_batch(t, spark):
     return ingest.keep_first(t("events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], [F.col("event_id")]).select("event_id", "user_id")
 
 
-from . import reports  # noqa: E402, F401  registers its queries here
+from . import modelling, reports  # noqa: E402, F401  register their queries here

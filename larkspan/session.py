@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -49,3 +49,11 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="larkspan-scratch-")
     return f"{folder.rstrip('/')}/scratch-{uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df from reliable files below spark.checkpoint.dir: what made it is not run again, also if executors are lost."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint(eager=True)
