@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
+import re
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from . import fixed
+from . import fixed, selectors
 
 #: Marks of junk lines, marks of divider lines, bullets, and block tags.
 JUNK_CLASS = r"""[\s\-─━═■□▪▸►•*~=_|/\\,.;:!?@#$%^&*()\[\]{}<>«»""''`]"""
@@ -26,12 +27,23 @@ def _c(c: Column | str) -> Column:
 
 
 def clean_url(url: Column | str, base: str | None = None) -> Column:
-    """scheme, host and path; a relative url is taken from base's host (absolute path) or folder."""
+    """scheme, host and path; a relative url is taken from base's host (absolute path) or folder, its . and .. segments are resolved; one without a
+    path is base's."""
     u = _c(url)
-    if base:
-        root, folder = base.split("://")[0] + "://" + base.split("://")[1].split("/")[0], base.rsplit("/", 1)[0] if base.count("/") > 2 else base
-        u = F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), u).when(u.startswith("//"), F.concat(F.lit(base.split("://")[0] + ":"), u)).when(u.startswith("/"), F.concat(F.lit(root), u)).otherwise(F.concat(F.lit(folder + "/"), u))
-    return F.regexp_replace(u, "[?#].*$", "")
+    if not base:
+        return F.regexp_replace(u, "[?#].*$", "")
+    plain = re.sub("[?#].*$", "", base)
+    scheme, rest = plain.split("://", 1)
+    root = f"{scheme}://{rest.split('/')[0]}"
+    folder = plain.rsplit("/", 1)[0] if "/" in rest else root
+    cut = F.regexp_replace(u, "[?#].*$", "")
+    relative = F.when(cut.startswith("/"), cut).otherwise(F.concat(F.lit(folder[len(root) :] + "/"), cut))
+    segments = F.split(F.substring(relative, 2, (1 << 31) - 1), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    # A last . or .. stands for a folder.
+    path = F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+    joined = F.concat(F.lit(root), F.when(relative.rlike(r"(^|/)\.\.?(/|$)"), path).otherwise(relative))
+    return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), cut).when(u.startswith("//"), F.concat(F.lit(scheme + ":"), cut)).when(cut == "", F.lit(plain)).otherwise(joined)
 
 
 def id_from_url(url: Column | str, pattern: str) -> Column:
@@ -42,11 +54,12 @@ def id_from_url(url: Column | str, pattern: str) -> Column:
 
 
 def links(html: Column | str, pattern: str, fallback: str | None = None) -> Column:
-    """All href values that match; the fallback pattern where there are none."""
-    found = F.array_distinct(F.regexp_extract_all(_c(html), F.lit(f'href="({pattern})"'), F.lit(1)))
-    if fallback is None:
-        return found
-    return F.when(F.size(found) > 0, found).otherwise(F.array_distinct(F.regexp_extract_all(_c(html), F.lit(f'href="({fallback})"'), F.lit(1))))
+    """All href values that match, in double quotes, single ones or none; the fallback pattern where there are none."""
+    quoted = [r'"([^"]*)"', "'([^']*)'", r"""([^\s"'>]+)"""]
+    values = F.array_distinct(F.concat(*(F.regexp_extract_all(_c(html), F.lit(rf"(?i)\shref\s*=\s*{q}"), F.lit(1)) for q in quoted)))
+    matching = lambda p: F.filter(values, lambda v: v.rlike(f"^(?:{p})$"))
+    found = matching(pattern)
+    return found if fallback is None else F.when(F.size(found) > 0, found).otherwise(matching(fallback))
 
 
 def is_junk_line(line: Column) -> Column:
@@ -108,44 +121,10 @@ def html_clean(raw: Column | str) -> Column:
     return tidy_lines(html_plain(_c(raw)))
 
 
-class _First(HTMLParser):
-    """First element with a tag, class or attribute value."""
-
-    def __init__(self, tag: str | None, key: str | None, value: str | None) -> None:
-        super().__init__(convert_charrefs=True)
-        self.want, self.depth, self.done, self.parts, self.tag = (tag, key, value), 0, False, [], ""
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        want_tag, key, value = self.want
-        if self.depth:
-            self.depth += tag == self.tag
-        elif not self.done and (want_tag in (None, tag)) and (key is None or any(k == key and (value is None or value in (v or "").split() or value == v) for k, v in attrs)):
-            self.depth, self.tag = 1, tag
-
-    def handle_endtag(self, tag: str) -> None:
-        if self.depth and tag == self.tag:
-            self.depth -= 1
-            self.done = self.done or not self.depth
-
-    def handle_data(self, data: str) -> None:
-        if self.depth:
-            self.parts.append(data)
-
-
 def css_text(html: Column | str, tag: str | None = None, attribute: str | None = None, value: str | None = None) -> Column:
-    """stripped text of the first element with this tag, and attribute (of this value); null if there is none."""
-
-    @F.pandas_udf(StringType())
-    def found(s: pd.Series) -> pd.Series:
-        def one(raw: str) -> str | None:
-            parser = _First(tag, attribute, value)
-            parser.feed(raw)
-            parser.close()
-            return "".join(parser.parts).strip() if parser.done or parser.depth else None
-
-        return s.map(one, na_action="ignore")
-
-    return found(_c(html))
+    """stripped text of the first element with this tag, and attribute (of this value); null if there is none. Several fields of one page are found in
+    one pass by ``selectors.page_fields``."""
+    return selectors.page_fields(_c(html), {"text": selectors.Field((tag, attribute, value))})["text"]
 
 
 def message_clean(raw: Column | str, labels: str = fixed.MESSAGE_LABELS) -> Column:
@@ -226,7 +205,7 @@ def salvage_json(raw: Column | str) -> Column:
 def json_posting(html: Column | str) -> Column:
     """First JSON-LD object with @type JobPosting, in a script by itself or as an element of its list, '{}' if none; scripts that don't parse are
     skipped."""
-    scripts = F.regexp_extract_all(_c(html), F.lit(r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1))
+    scripts = F.regexp_extract_all(_c(html), F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""), F.lit(1))
     objects = F.flatten(F.transform(scripts, lambda s: F.when(F.trim(s).startswith("["), F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))).otherwise(F.array(s))))
     good = F.filter(objects, lambda s: F.try_parse_json(s).isNotNull() & (F.get_json_object(s, "$['@type']") == "JobPosting"))
     return F.coalesce(F.get(good, F.lit(0)), F.lit("{}"))

@@ -7,6 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import placed, quantiles
+
 
 def conditional_counts(df: DataFrame, **conditions: Column) -> DataFrame:
     """A1: one row: total and the rows that meet each condition."""
@@ -19,10 +21,12 @@ def status_table(df: DataFrame, group: str, status: str, values: list[str]) -> D
 
 
 def errors(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """R2, MAE, median absolute error, RMSE."""
+    """R2, MAE, median absolute error (exact, by selection), RMSE."""
     e = F.col(actual) - F.col(predicted)
     sst = F.var_pop(actual) * F.count(actual)
-    return df.agg((1 - F.sum(e * e) / sst).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), 0.5).alias("median_ae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    middle = quantiles(df.select(F.abs(e).alias("e")), None, "e", [0.5]).select(F.col("q")[0].alias("median_ae"))
+    found = df.agg((1 - F.sum(e * e) / sst).alias("r2"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    return found.join(F.broadcast(middle), F.lit(True), "left").select("r2", "mae", "median_ae", "rmse")
 
 
 def group_sigma(df: DataFrame, group: str, residual: str, least: int = 2) -> DataFrame:
@@ -39,11 +43,10 @@ def coverage(df: DataFrame, actual: str, low: str, high: str, group: str | None
 
 def residual_interval(df: DataFrame, group: str, mu: str, residual: str, alpha: float = 0.1) -> DataFrame:
     """M13 in the limit of many draws: exp(mu + order statistic of the group's residuals), outer (alpha) and inner (2 alpha) band. The order statistics
-    are exact, so a group's distinct residuals are held while they are found."""
-    cuts = [alpha, 1 - alpha, 2 * alpha, 1 - 2 * alpha]
-    q = df.groupBy(group).agg(*(F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY {residual})").alias(f"_q{i}") for i, p in enumerate(cuts)))
+    are exact, by selection."""
+    q = quantiles(df, group, residual, [alpha, 1 - alpha, 2 * alpha, 1 - 2 * alpha], continuous=False).select(F.col(group).alias("_g"), "q")
     names = ["lower_a", "upper_a", "lower_2a", "upper_2a"]
-    return df.join(q, group).withColumns({n: F.exp(F.col(mu) + F.col(f"_q{i}")) for i, n in enumerate(names)}).drop(*(f"_q{i}" for i in range(4)))
+    return df.join(q, F.col(group) == F.col("_g")).select(*df.columns, *(F.exp(F.col(mu) + F.col("q")[i]).alias(n) for i, n in enumerate(names)))
 
 
 def gaussian_interval(df: DataFrame, mu: str, sigma: str, alpha: float = 0.1) -> DataFrame:
@@ -73,15 +76,15 @@ def majority(df: DataFrame, key: str, vote: str) -> DataFrame:
     return counted.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
-def _quantile(value: Column, p: float, accuracy: int | None) -> Column:
-    """Exact with linear interpolation, which holds a group's distinct values; with an accuracy, an approximate value of bounded memory."""
-    return F.percentile(value, p) if accuracy is None else F.percentile_approx(value, p, accuracy).cast("double")
-
-
 def quantile_ci(df: DataFrame, group: str, value: str, alpha: float = 0.05, accuracy: int | None = None) -> DataFrame:
-    """Linear interpolation; nulls and NaN don't count. accuracy: for groups whose distinct values don't fit in memory, see percentile_approx."""
+    """Linear interpolation; nulls and NaN don't count. Exact, by selection; with an accuracy approximate, in one pass, see percentile_approx."""
     v = F.nanvl(F.col(value), F.lit(None).cast("double"))
-    return df.groupBy(group).agg(_quantile(v, alpha / 2, accuracy).alias("ci_low"), _quantile(v, 1 - alpha / 2, accuracy).alias("ci_high"))
+    cuts = [alpha / 2, 1 - alpha / 2]
+    if accuracy is not None:
+        found = df.groupBy(group).agg(F.percentile_approx(v, F.array(*(F.lit(p) for p in cuts)), accuracy).cast("array<double>").alias("q"))
+    else:
+        found = quantiles(df.select(group, v.alias("_q")), group, "_q", cuts)
+    return found.select(group, F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
 def share_by_group(items: DataFrame, owner: str, group: str, cluster: str) -> DataFrame:
@@ -121,8 +124,15 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def box_stats(df: DataFrame, group: str, value: str, accuracy: int | None = None) -> DataFrame:
-    """V9. accuracy: as for quantile_ci."""
-    return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), *(_quantile(F.col(value), p, accuracy).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max(value).alias("high"))
+    """V9. Quartiles are exact, by selection; accuracy: as for quantile_ci."""
+    cuts = [0.25, 0.5, 0.75]
+    if accuracy is not None:
+        found = df.groupBy(group).agg(F.percentile_approx(value, F.array(*(F.lit(p) for p in cuts)), accuracy).cast("array<double>").alias("q"))
+    else:
+        found = quantiles(df, group, value, cuts)
+    found = found.select(F.col(group).alias("_g"), *(F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))))
+    ends = df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return ends.join(found, F.col(group).eqNullSafe(F.col("_g"))).select(group, "n", "low", "q1", "median", "q3", "high")
 
 
 def class_counts(df: DataFrame, column: str, classes: list) -> DataFrame:
@@ -147,10 +157,9 @@ def half_width(low: Column, high: Column, predicted: Column) -> Column:
 
 
 def coefficient_bars(coefs: DataFrame, feature: str, value: str, kind: Column, wanted: str | None = None) -> DataFrame:
-    """Multiplier of each feature of a kind, largest absolute coefficient first (ties by name), numbered from 0. One small table."""
+    """Multiplier of each feature of a kind, largest absolute coefficient first (ties by name), numbered from 0."""
     own = coefs if wanted is None else coefs.where(kind == wanted)
-    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs(value)), feature))
-    return own.select(feature, multiplier(F.col(value)).alias("multiplier_pct"), (rn - 1).cast("long").alias("place"))
+    return placed(own, [F.desc(F.abs(value)), F.col(feature)], "place").select(feature, multiplier(F.col(value)).alias("multiplier_pct"), "place")
 
 
 def points(df: DataFrame, actual: str, predicted: str, low: str, high: str, group: str, order: list[str]) -> DataFrame:
@@ -160,17 +169,8 @@ def points(df: DataFrame, actual: str, predicted: str, low: str, high: str, grou
 
 
 def numbered(df: DataFrame, value: str, tie: str, column: str = "x") -> DataFrame:
-    """Rows numbered from 0 by a numeric value and a tie-break, without one task for all: approximate quantiles cut the values into ranges, rows
-    are numbered within their range, and the ranges' sizes are summed up. Null values come first."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(value, [i / n for i in range(1, n)], 1 / (2 * n)))) if n > 1 else []
-    range_ = F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), lambda c: c <= F.col(value))))
-    dealt = df.withColumn("_p", range_)
-    # One row for each range.
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_before"))
-    rn = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(value).asc_nulls_first(), tie))
-    return dealt.withColumn("_rn", rn).join(F.broadcast(sizes), "_p").withColumn(column, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_p", "_rn", "_before")
+    """Rows numbered from 0 by a value and a tie-break, without one task for all. Null values come first."""
+    return placed(df, [F.col(value).asc_nulls_first(), F.col(tie)], column)
 
 
 def band(df: DataFrame, actual: str, tie: str, columns: list[str]) -> DataFrame:
@@ -193,9 +193,10 @@ def picked(df: DataFrame, number: str, places: list[int]) -> DataFrame:
 
 def medians(df: DataFrame, group: str, columns: list[str], order: list) -> DataFrame:
     """V7: medians of each group of a fixed list, 0 where a group has no rows."""
-    m = df.groupBy(group).agg(*(F.percentile(c, 0.5).alias(c) for c in columns))
-    groups = df.sparkSession.createDataFrame([(o,) for o in order], [group])
-    return groups.join(m, group, "left").fillna(0.0, columns)
+    out = df.sparkSession.createDataFrame([(o,) for o in order], [group])
+    for c in columns:
+        out = out.join(quantiles(df, group, c, [0.5]).select(group, F.col("q")[0].alias(c)), group, "left")
+    return out.fillna(0.0, columns)
 
 
 def mean_abs(coefs: DataFrame, feature: str, value: str) -> DataFrame:

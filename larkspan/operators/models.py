@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import placed
+from .resampling import multinomial
+
 
 @dataclass
 class Ols:
@@ -426,18 +429,6 @@ def l1_path(df: DataFrame, x: list[str], y: str, cs: list[float] = (0.01, 0.1, 1
 ROUNDS = 64
 
 
-def _weights(keys: np.ndarray, rounds: np.ndarray) -> np.ndarray:
-    """Poisson(1) weights (rows x rounds) by hash of the key and the round; round -1 is the plain sample."""
-    u = np.uint64
-    h = keys.astype(np.int64).view(u)[:, None] * u(0x9E3779B97F4A7C15) + rounds.astype(np.int64).view(u)[None, :] * u(0xD6E8FEB86659FD93)
-    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0x9FB21C651E98DF25), (32, 1)):
-        h = (h ^ (h >> u(shift))) * u(factor)
-    draw = (h >> u(11)).astype(float) / float(1 << 53)
-    w = np.searchsorted(POISSON_CUTS, draw, side="right").astype(float)
-    w[:, rounds < 0] = 1
-    return w
-
-
 def _softmax(z: np.ndarray, theta: np.ndarray) -> np.ndarray:
     s = z @ theta.T
     s -= s.max(1, keepdims=True)
@@ -445,9 +436,9 @@ def _softmax(z: np.ndarray, theta: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _logit_sums(k: np.ndarray, keys: np.ndarray, z: np.ndarray, rounds: np.ndarray, thetas: np.ndarray, balance: np.ndarray) -> np.ndarray:
+def _logit_sums(k: np.ndarray, places: np.ndarray, z: np.ndarray, sizes: list[int], rounds: np.ndarray, thetas: np.ndarray, balance: np.ndarray) -> np.ndarray:
     """Gradient and Hessian of the weighted loss for each round. thetas: rounds x classes x (1 + features); balance: rounds x classes."""
-    w, (r, c, p) = _weights(keys, rounds), thetas.shape
+    w, (r, c, p) = multinomial(k, places, sizes, rounds), thetas.shape
     out = []
     for b in range(r):
         s = w[:, b] * balance[b][k]
@@ -466,51 +457,55 @@ def _logit_sums(k: np.ndarray, keys: np.ndarray, z: np.ndarray, rounds: np.ndarr
 
 @dataclass
 class Bootstrap:
-    """classes, features; thetas: rounds x classes x (1 + standardised features), intercept first, the plain fit before them; the mean and scale."""
+    """classes and their rows, features; thetas: rounds x classes x (1 + standardised features), intercept first, the plain fit before them; the mean and
+    scale; steps that did not settle, by round (-1: the plain fit)."""
 
     x: list[str]
     classes: list
+    sizes: list[int]
     mean: np.ndarray
     scale: np.ndarray
     plain: np.ndarray
     thetas: np.ndarray
+    open_rounds: list[int]
 
 
 def _rows(df: DataFrame, key: str, x: list[str], y: str, classes: list, mean: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """_key and _r: class, place among the rows of the class (by a hash of the key), 1, standardised features."""
     place = F.lit(None).cast("double")
     for i, c in enumerate(classes):
         place = F.when(F.col(y) == F.lit(c), float(i)).otherwise(place)
-    # 52 bits of the key's hash are a whole double.
     z = [(F.col(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(x, mean, scale)]
-    return df.select(F.col(key).alias("_key"), F.array(place, F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 52)).cast("double"), F.lit(1.0), *z).alias("_r"))
+    own = df.select(F.col(key).alias("_key"), F.array(place, F.lit(1.0), *z).alias("_z"))
+    own = placed(own.withColumn("_class", F.col("_z")[0]), [F.xxhash64("_key"), F.col("_key"), F.col("_z")], "_at", ["_class"])
+    return own.select("_key", F.concat(F.slice("_z", 1, 1), F.array(F.col("_at").cast("double")), F.slice("_z", 2, len(x) + 1)).alias("_r"))
 
 
 def bootstrap_logit(df: DataFrame, key: str, x: list[str], y: str, rounds: int, c: float = 1.0, steps: int = 50, tolerance: float = 1e-8) -> Bootstrap | None:
-    """Balanced multinomial logits (penalty as in M7) on resampled rows, all rounds at once. A row's weight in a round is Poisson(1), drawn by hash,
-    so rounds need no copies of the data; the balanced class weights hold each class's total at its share in every round, which is what resampling
-    within classes does. Each Newton step of ``ROUNDS`` rounds reads the data once and sends the driver one gradient and Hessian for each round.
+    """Balanced multinomial logits (penalty as in M7) on resampled rows, all rounds at once. Each round draws from every class as many rows as it has,
+    with replacement; a row's count is found where the row is (``resampling.multinomial``), so rounds need no copies of the data. Each Newton step of
+    ``ROUNDS`` rounds reads the data once and sends the driver one gradient and Hessian for each round.
 
-    Features are standardised over all rows. Rows with a null are left out; rows that share a key have the same weight. None for fewer than two classes.
-    A round that leaves a class without rows fits without it, and its weights are NaN. Raises if a round does not converge."""
+    Features are standardised over all rows. Rows with a null are left out; keys tell rows apart. None for fewer than two classes. Rounds that do not
+    converge in ``steps`` keep their last weights and are listed in ``open_rounds``."""
     rows = df.dropna(subset=[*x, y])
-    classes = sorted(r[0] for r in rows.select(y).distinct().collect())
+    counted = sorted(tuple(r) for r in rows.groupBy(y).agg(F.count("*")).collect())
+    classes, sizes = [c for c, _ in counted], [n for _, n in counted]
     if len(classes) < 2:
         return None
     m = rows.agg(*(F.avg(v) for v in x), *(F.stddev_pop(v) for v in x)).first()
     mean, scale = np.array(m[: len(x)], float), np.array([v or 1.0 for v in m[len(x) :]], float)
     data, k, p, found = _rows(rows, key, x, y, classes, mean, scale).select("_r").persist(), len(classes), len(x) + 1, []
+    # Each class keeps its own size in every round, so its balanced weight is the same: n over classes times its rows.
+    one, settled_not = np.array([sum(sizes) / (k * n) for n in sizes]), []
     try:
-        n = data.count()
         for lo in range(-1, rounds, ROUNDS):
             block = np.arange(lo, min(lo + ROUNDS, rounds))
-            totals = _summed(data, lambda r, block=block: np.stack([_weights(r[:, 1], block)[r[:, 0] == i].sum(0) for i in range(k)]).ravel()).reshape(k, len(block)).T
-            present = totals > 0
-            # Balanced: n over classes times the class's weight. The whole sample's weight stands for n.
-            balance = np.where(present, totals.sum(1, keepdims=True) / np.maximum(present.sum(1, keepdims=True) * totals, 1e-300), 0.0)
+            balance = np.tile(one, (len(block), 1))
             thetas, open_ = np.zeros((len(block), k, p)), np.arange(len(block))
             penalty = np.tile(np.append(0.0, np.ones(p - 1) / c), k)
             for _ in range(steps):
-                sums = _summed(data, lambda r, at=open_, t=thetas, block=block, balance=balance: _logit_sums(r[:, 0].astype(int), r[:, 1], r[:, 2:], block[at], t[at], balance[at]))
+                sums = _summed(data, lambda r, at=open_, t=thetas, block=block, balance=balance: _logit_sums(r[:, 0].astype(int), r[:, 1], r[:, 2:], sizes, block[at], t[at], balance[at]))
                 sums = sums.reshape(len(open_), k * p + (k * p) ** 2)
                 left = []
                 for b, row in zip(open_, sums):
@@ -525,19 +520,17 @@ def bootstrap_logit(df: DataFrame, key: str, x: list[str], y: str, rounds: int,
                 open_ = np.array(left, int)
                 if not len(open_):
                     break
-            else:
-                raise RuntimeError(f"{len(open_)} rounds did not converge in {steps} steps")
-            thetas[~present] = np.nan
+            settled_not += [int(b) for b in block[open_]]
             found.append(thetas)
     finally:
         data.unpersist()
     all_ = np.concatenate(found)
-    return Bootstrap(x, classes, mean, scale, all_[0], all_[1:])
+    return Bootstrap(x, classes, sizes, mean, scale, all_[0], all_[1:], settled_not)
 
 
 def bootstrap_intervals(fit: Bootstrap, alpha: float = 0.05) -> list[tuple[str, object, float, float, float]]:
     """(feature, class, coefficient of the plain fit, bounds over the rounds), and for each pair of neighbouring classes the bounds of the difference
-    under the class name 'lower->higher'. Rounds without a class don't count for it."""
+    under the class name 'lower->higher'."""
     out = []
     for f, name in enumerate(fit.x, 1):
         each = fit.thetas[:, :, f]
@@ -553,8 +546,7 @@ def out_of_bag(df: DataFrame, fit: Bootstrap, key: str, y: str) -> DataFrame:
     """Key, actual, vote (index of the class that most rounds which left the row out predict; ties: the one predicted first), n_votes. Rows
     that no round left out are not returned. A map over the rows: no round copies them."""
     rows = _rows(df.dropna(subset=[*fit.x, y]), key, fit.x, y, fit.classes, fit.mean, fit.scale)
-    kind, thetas = df.schema[key].dataType.simpleString(), np.nan_to_num(fit.thetas, nan=0.0)
-    absent = np.isnan(fit.thetas[:, :, 0])
+    kind, thetas, sizes = df.schema[key].dataType.simpleString(), fit.thetas, fit.sizes
     rounds, classes = np.arange(len(thetas)), len(fit.classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -562,11 +554,10 @@ def out_of_bag(df: DataFrame, fit: Bootstrap, key: str, y: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             r = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            left = _weights(r[:, 1], rounds) == 0
+            left = multinomial(r[:, 0].astype(int), r[:, 1], sizes, rounds) == 0
             votes, first = np.zeros((len(r), classes)), np.full((len(r), classes), len(rounds) + 1.0)
             for b in rounds:
                 s = r[:, 2:] @ thetas[b].T
-                s[:, absent[b]] = -np.inf
                 at = np.flatnonzero(left[:, b])
                 said = s[at].argmax(1)
                 votes[at, said] += 1

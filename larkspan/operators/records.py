@@ -9,20 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, money, text
+from ..functions import fixed, money, selectors, text
 
 
 @dataclass(frozen=True)
 class Site:
-    """Where a site's pages hold what: for each field (tag, attribute, value) of its first element, as ``text.css_text`` takes them."""
+    """Where a site's pages hold what: for each field the selector of its first element, or (tag, attribute, value)."""
 
     source: str
     id_pattern: str
-    title: tuple = (None, None, None)
-    company: tuple = (None, None, None)
-    location: tuple = (None, None, None)
-    pay: tuple = (None, None, None)
-    description: tuple = (None, None, None)
+    title: str | tuple = (None, None, None)
+    company: str | tuple = (None, None, None)
+    location: str | tuple = (None, None, None)
+    pay: str | tuple = (None, None, None)
+    description: str | tuple = (None, None, None)
 
 
 FIELDS = ["vacancy_id", "source", "title", "company_name", "location", "salary_from", "salary_to", "currency", "description", "remote", "published_at"]
@@ -30,28 +30,30 @@ FIELDS = ["vacancy_id", "source", "title", "company_name", "location", "salary_f
 
 def record(pages: DataFrame, site: Site, url: str = "url", html: str = "html", upto: str = "до", since: str = "от", remote_words: str = fixed.REMOTE) -> DataFrame:
     """The eleven fields of each page: from its JSON-LD posting, else from the site's elements. Pay from the elements counts only where the
-    posting has neither bound. Columns of the pages stay beside."""
+    posting has neither bound. All elements are found in one pass over the page. Columns of the pages stay beside."""
+    wanted = {f: selectors.Field(getattr(site, f)) for f in ("title", "company", "location", "pay", "description") if getattr(site, f) != (None, None, None)}
     ld = pages.withColumn("_ld", text.json_posting(html))
+    ld = ld.withColumn("_shown", selectors.page_fields(html, wanted)) if wanted else ld.withColumn("_shown", F.lit(None))
     said = lambda *path: F.nullif(text.nested(F.col("_ld"), *path), F.lit(""))
-    shown = lambda where: text.css_text(html, *where) if where != (None, None, None) else F.lit(None).cast("string")
-    both = ld.withColumns({"_json": money.salary_from_json(F.col("_ld")), "_text": money.parse_salary(shown(site.pay), upto, since)})
+    shown = lambda field: F.col(f"_shown.{field}") if field in wanted else F.lit(None).cast("string")
+    both = ld.withColumns({"_json": money.salary_from_json(F.col("_ld")), "_text": money.parse_salary(shown("pay"), upto, since)})
     unpaid = F.col("_json.low").isNull() & F.col("_json.high").isNull()
     pay = lambda part: F.when(unpaid, F.col(f"_text.{part}")).otherwise(F.col(f"_json.{part}"))
-    out = both.withColumn("description", F.coalesce(said("description"), shown(site.description)))
+    out = both.withColumn("description", F.coalesce(said("description"), shown("description")))
     return out.withColumns(
         {
             "vacancy_id": text.id_from_url(url, site.id_pattern),
             "source": F.lit(site.source),
-            "title": F.coalesce(said("title"), shown(site.title)),
-            "company_name": F.coalesce(said("hiringOrganization", "name"), shown(site.company)),
-            "location": F.coalesce(said("jobLocation", "address", "addressLocality"), shown(site.location)),
+            "title": F.coalesce(said("title"), shown("title")),
+            "company_name": F.coalesce(said("hiringOrganization", "name"), shown("company")),
+            "location": F.coalesce(said("jobLocation", "address", "addressLocality"), shown("location")),
             "salary_from": pay("low"),
             "salary_to": pay("high"),
             "currency": pay("currency"),
             "remote": text.is_remote("_ld", "description", remote_words),
             "published_at": money.parse_time(said("datePosted")),
         }
-    ).drop("_ld", "_json", "_text")
+    ).drop("_ld", "_shown", "_json", "_text")
 
 
 def found_links(pages: DataFrame, html: str, base: str, pattern: str, fallback: str | None = None) -> DataFrame:

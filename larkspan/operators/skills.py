@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
 
 def name_key(c: Column) -> Column:
     """Lower case, without outer blanks and dots."""
@@ -12,8 +14,9 @@ def name_key(c: Column) -> Column:
 
 
 def normalize(df: DataFrame, column: str, aliases: DataFrame, prefixes: dict[str, str] = {}) -> DataFrame:
-    """Canonical name by alias (key, canonical), else by prefix of the key, else as it is, trimmed; empty is null."""
-    known = aliases.select(name_key(F.col("key")).alias("_key"), "canonical").dropDuplicates(["_key"])
+    """Canonical name by alias (key, canonical), else by prefix of the key, else as it is, trimmed; empty is null. Of several canonical names
+    of one key the smallest counts."""
+    known = aliases.groupBy(name_key(F.col("key")).alias("_key")).agg(F.min("canonical").alias("canonical"))
     out = F.col("canonical")
     for prefix, name in prefixes.items():
         out = F.coalesce(out, F.when(F.col("_key").startswith(prefix), F.lit(name)))
@@ -23,7 +26,7 @@ def normalize(df: DataFrame, column: str, aliases: DataFrame, prefixes: dict[str
 
 def capitalized(c: Column) -> Column:
     """F16: only the first letter changes."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 10**6))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, (1 << 31) - 1))
 
 
 #: Words between the parts of a compound, which are no parts.
@@ -152,9 +155,8 @@ def first_spelling(items: DataFrame, owner: str, name: str, position: str) -> Da
 
 
 def ranked(df: DataFrame, order: list[Column], column: str, start: int = 0) -> DataFrame:
-    """Dense numbers in a total order. For aggregated tables (names, clusters): the window has no partition. Rows of a table of any size are
-    numbered by ``metrics.numbered``."""
-    return df.withColumn(column, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))
+    """Dense numbers in a total order, of any number of rows."""
+    return placed(df, order, column, start=start)
 
 
 def named_by_size(sizes: DataFrame, names: list[str], size: str, tie: str, other: str = "Other") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import density, topics
+from ..operators import density, resampling, topics
 from .catalogue import query
 
 # ---- topics ----
@@ -48,3 +48,43 @@ def reassigned_noise(t, spark):
     """Noise goes to the nearest topic."""
     rows = t("embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 3 == 0, -1).otherwise(F.col("label")).alias("topic"))
     return topics.reassign_noise(rows, "vec_id", "embedding", "topic", least=0.05)
+
+
+# ---- resampling ----
+
+_POOLS = "g AS (SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'single' ELSE o_orderpriority END AS grade, ln(o_totalprice) AS y FROM orders), r AS (SELECT *, avg(y) OVER (PARTITION BY grade) AS mu, y - avg(y) OVER () AS res FROM g)"
+
+
+@query(
+    f"""WITH {_POOLS}, n AS (SELECT grade, count(*) AS own FROM r GROUP BY 1), s AS (SELECT grade, own < 2 AS small, CASE WHEN own < 2 THEN (SELECT count(*) FROM r) ELSE own END AS n FROM n),
+    d AS (SELECT grade, small, CAST(least(floor(CAST('0x' || substr(md5('42:' || grade || ':' || b), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE * n), n - 1) AS BIGINT) AS k FROM s, (SELECT unnest(range(10000)) AS b)),
+    o AS (SELECT grade, false AS small, res, row_number() OVER (PARTITION BY grade ORDER BY res) - 1 AS k FROM r),
+    a AS (SELECT res, row_number() OVER (ORDER BY res) - 1 AS k FROM r),
+    e AS (SELECT d.grade, exp(o.res) AS f FROM d JOIN o ON o.grade = d.grade AND o.k = d.k WHERE NOT d.small UNION ALL SELECT d.grade, exp(a.res) FROM d JOIN a ON a.k = d.k WHERE d.small),
+    q AS (SELECT grade, quantile_cont(f, 0.1::DOUBLE) AS la, quantile_cont(f, 0.9::DOUBLE) AS ua, quantile_cont(f, 0.2::DOUBLE) AS l2, quantile_cont(f, 0.8::DOUBLE) AS u2 FROM e GROUP BY 1)
+    SELECT grade, count(*) AS n, round(max(exp(mu) * la), 4) AS lower_a, round(max(exp(mu) * ua), 4) AS upper_a, round(max(exp(mu) * l2), 4) AS lower_2a, round(max(exp(mu) * u2), 4) AS upper_2a,
+      round(avg(CAST(exp(y) BETWEEN exp(mu) * la AND exp(mu) * ua AS DOUBLE)) * 100, 3) AS inside FROM r JOIN q USING (grade) GROUP BY 1"""
+)
+def drawn_interval(t, spark):
+    """Intervals of 10,000 draws from each grade's residuals; a grade of one row draws from all."""
+    first = t("orders").agg(F.min("o_orderkey").alias("first"))
+    rows = t("orders").join(F.broadcast(first), F.lit(True)).select("o_orderkey", F.when(F.col("o_orderkey") == F.col("first"), "single").otherwise(F.col("o_orderpriority")).alias("grade"), F.log("o_totalprice").alias("y"))
+    mean = rows.groupBy("grade").agg(F.avg("y").alias("mu"))
+    all_ = rows.agg(F.avg("y").alias("centre"))
+    rows = rows.join(F.broadcast(mean), "grade").join(F.broadcast(all_), F.lit(True)).withColumn("res", F.col("y") - F.col("centre"))
+    out = resampling.drawn_interval(rows, "grade", "mu", "res")
+    names = ["lower_a", "upper_a", "lower_2a", "upper_2a"]
+    inside = (F.avg(F.exp("y").between(F.col("lower_a"), F.col("upper_a")).cast("double")) * 100).alias("inside")
+    return out.groupBy("grade").agg(F.count("*").alias("n"), *(F.round(F.max(c), 4).alias(c) for c in names), F.round(inside, 3).alias("inside"))
+
+
+@query("SELECT o_orderpriority, CAST(b AS INTEGER) AS round, n, true AS plausible FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), (SELECT unnest(range(1000)) AS b)")
+def stratified_rounds(t, spark):
+    """1000 rounds, each draws as many rows of each grade as it has. plausible: nearly 1 - 1/e of them are drawn at least once, and the mean of the
+    drawn is within six standard errors."""
+    o = t("orders").select("o_orderkey", "o_orderpriority", F.log("o_totalprice").alias("x"))
+    found = resampling.stratified_rounds(o, "o_orderkey", "o_orderpriority", "x", 1000)
+    own = o.groupBy("o_orderpriority").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("size"))
+    share = F.abs(F.col("rows") / F.col("size") - (1 - F.exp(F.lit(-1.0)))) < 4 / F.sqrt("size")
+    near = F.abs(F.col("mean") - F.col("m")) <= 6 * F.col("s") / F.sqrt("size")
+    return found.join(F.broadcast(own), "o_orderpriority").select("o_orderpriority", "round", "n", (share & near).alias("plausible"))

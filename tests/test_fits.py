@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspan.functions import text
-from larkspan.operators import features, ingest, metrics, models, records, skills
+from larkspan.operators import features, ingest, metrics, models, records, resampling, skills
 from larkspan.streaming import incremental
 
 
@@ -53,12 +53,17 @@ def test_bootstrap_refits_and_votes(spark, graded, monkeypatch):
     z = np.column_stack([np.ones(len(x)), (x - x.mean(0)) / x.std(0)])
     k = np.array([fit.classes.index(r[3]) for r in rows])
     assert fit.classes == [1, 2, 5] and np.allclose(fit.plain, balanced_fit(z, k, np.ones(len(k)), 3), atol=1e-6)
-    keys = np.array([r.h for r in df.orderBy("k").select(F.pmod(F.xxhash64("k"), F.lit(1 << 52)).cast("double").alias("h")).collect()])
-    w = models._weights(keys, np.arange(9))
+    order = {r.k: r.h for r in df.select("k", F.xxhash64("k").alias("h")).collect()}
+    places, sizes = np.zeros(len(rows)), [int((k == c).sum()) for c in range(3)]
+    for c in range(3):
+        for at, i in enumerate(sorted(np.flatnonzero(k == c), key=lambda i: order[rows[i][0]])):
+            places[i] = at
+    w = resampling.multinomial(k, places, sizes, np.arange(9))
+    assert fit.sizes == sizes and not fit.open_rounds and all((w[k == c].sum(0) == sizes[c]).all() for c in range(3))
     for b in range(9):
         assert np.allclose(fit.thetas[b], balanced_fit(z, k, w[:, b], 3), atol=1e-6)
     # Weights look like draws with replacement.
-    many = models._weights(keys, np.arange(400))
+    many = resampling.multinomial(k, places, sizes, np.arange(400))
     assert abs(many.mean() - 1) < 0.02 and abs(many.var() - 1) < 0.05 and abs((many == 0).mean() - math.exp(-1)) < 0.02
     votes = {r.k: r for r in models.out_of_bag(df, fit, "k", "y").collect()}
     for i in range(len(rows)):
