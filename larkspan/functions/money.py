@@ -81,9 +81,10 @@ def midpoint(low: Column, high: Column) -> Column:
 
 
 def with_rates(df: DataFrame, code: str, rates: DataFrame, fallback: DataFrame, home: str = "RUB") -> DataFrame:
-    """Adds ``rate``: the table's, else the fallback's, 1 for the home currency and null codes, else null. Both tables are (code, rate)."""
-    first = rates.select(F.col("code").alias(code), F.col("rate").alias("_r1"))
-    second = fallback.select(F.col("code").alias(code), F.col("rate").alias("_r2"))
+    """Adds ``rate``: the table's, else the fallback's, 1 for the home currency and null codes, else null. Both tables are (code, rate); of
+    several rates of a code the smallest counts."""
+    first = rates.groupBy(F.col("code").alias(code)).agg(F.min("rate").alias("_r1"))
+    second = fallback.groupBy(F.col("code").alias(code)).agg(F.min("rate").alias("_r2"))
     rate = F.when(F.col(code).isNull() | (F.col(code) == home), 1.0).otherwise(F.coalesce("_r1", "_r2"))
     return df.join(first, code, "left").join(second, code, "left").withColumn("rate", rate).drop("_r1", "_r2")
 

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import fixed, selectors
 
@@ -176,6 +176,31 @@ def sections(text: Column | str, headers: list[tuple[str, str]] = fixed.SECTIONS
     return F.transform(parts, lambda p: F.when(p.contains("\x02"), F.struct(which(p).alias("key"), tidy(F.substring_index(p, "\x02", -1)).alias("content"))).otherwise(F.struct(F.lit("").alias("key"), F.trim(p).alias("content"))))
 
 
+def nested_sections(text: Column | str, headers: list[tuple[str, str]] = fixed.SECTIONS) -> Column:
+    """F8a, W7 as the hits of each pattern by itself, so a header within another one counts as well, and leaves the outer one without content. The same
+    array as ``sections``. headers: (pattern, key), of hits at one offset the earlier one counts; a section reaches from a hit's end to the next hit's
+    start. The texts are cut in Python, in batches."""
+    patterns = [(re.compile(p, re.IGNORECASE), key) for p, key in headers]
+
+    @F.pandas_udf(ArrayType(StructType([StructField("key", StringType()), StructField("content", StringType())])))
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[dict] | None:
+            if t is None:
+                return None
+            hits: dict[int, tuple[int, str]] = {}
+            for pattern, key in patterns:
+                for m in pattern.finditer(t):
+                    hits.setdefault(m.start(), (m.end(), key))
+            at = sorted(hits)
+            ends = [*at, len(t)]
+            return [{"key": "", "content": t[: ends[0]]}, *({"key": hits[a][1], "content": t[hits[a][0] : max(b, hits[a][0])]} for a, b in zip(at, ends[1:]))]
+
+        return texts.map(one)
+
+    tidy = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[•\-*_\s]+", ""), " {3,}", "  "))
+    return F.transform(cut(_c(text)), lambda p: F.struct(p["key"].alias("key"), F.when(p["key"] == "", F.trim(p["content"])).otherwise(tidy(p["content"])).alias("content")))
+
+
 def merge_sections(parts: Column, noise: list[str] = fixed.NOISE) -> Column:
     """Contents of a key joined by newline, in order of first appearance; noise keys and the preamble left out."""
     keep = F.filter(parts, lambda p: (p["key"] != "") & ~p["key"].isin(noise))

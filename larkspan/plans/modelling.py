@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import density, resampling, topics
+from ..session import scratch
+from ..streaming.buckets import BucketTable
+from ..streaming.claims import Claims
 from .catalogue import query
 
 # ---- topics ----
@@ -88,3 +91,35 @@ def stratified_rounds(t, spark):
     share = F.abs(F.col("rows") / F.col("size") - (1 - F.exp(F.lit(-1.0)))) < 4 / F.sqrt("size")
     near = F.abs(F.col("mean") - F.col("m")) <= 6 * F.col("s") / F.sqrt("size")
     return found.join(F.broadcast(own), "o_orderpriority").select("o_orderpriority", "round", "n", (share & near).alias("plausible"))
+
+
+# ---- queues and merges ----
+
+
+@query(
+    """WITH w AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE value > 10)
+    SELECT 'a' AS worker, event_id, event_type FROM w WHERE k <= 400 UNION ALL SELECT 'b', event_id, event_type FROM w WHERE k > 400 AND k <= 800
+    UNION ALL SELECT 'c', event_id, event_type FROM w WHERE k <= 400 AND event_id % 2 = 1 UNION ALL SELECT 'c', event_id, event_type FROM w WHERE k > 800"""
+)
+def claimed_batches(t, spark):
+    """Three workers claim rows of one queue in turn. a finishes half of its rows before its lease runs out; c takes the other half again, and
+    all that is left."""
+    claims, waiting = Claims(spark, f"{scratch(spark)}/claims"), t("events").where("value > 10")
+    take = lambda n, worker, now: claims.claim(waiting, "event_id", n, worker, 60, ["ts"], now)
+    a = take(400, "a", 1000.0)
+    b = take(400, "b", 1030.0)
+    claims.finish(a.where("event_id % 2 = 0"), "event_id", "a")
+    c = take(waiting.count(), "c", 1070.0)
+    out = [rows.select(F.lit(w).alias("worker"), "event_id", "event_type") for w, rows in (("a", a), ("b", b), ("c", c))]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) rn FROM events) WHERE rn = 1")
+def bucket_merge(t, spark):
+    """The events of each weekday as an epoch, all delivered twice, merged by user."""
+    table = BucketTable(f"{scratch(spark)}/table", ["user_id"], [F.desc("event_id")], buckets=16)
+    rows = t("events").select("user_id", "event_id", "event_type", F.weekday("ts").alias("day"))
+    for _ in range(2):
+        for day in range(7):
+            table.merge(rows.where(F.col("day") == day).drop("day"), day)
+    return table.read(spark)

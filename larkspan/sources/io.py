@@ -21,6 +21,20 @@ def json_dictionary(spark: SparkSession, path: str, key: str = "name", value: st
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias(key, value))
 
 
+def decoded(content: Column, encoding: str) -> Column:
+    """Text of the bytes of a file (as ``binaryFile`` reads them). Spark decodes few encodings; those of one byte a character, such as windows-1251, are
+    ISO-8859-1 with other characters for the upper half of the bytes."""
+    if encoding.lower().replace("_", "-") in ("utf-8", "utf-16", "us-ascii", "iso-8859-1"):
+        return F.decode(content, encoding)
+    upper = bytes(range(128, 256))
+    return F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin-1"), upper.decode(encoding, "replace"))
+
+
+def read_texts(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """path and text of whole files of any encoding, one row for each: for files of a bounded size, such as rates."""
+    return spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content"), encoding).alias("text"))
+
+
 def xml_rates(text: Column) -> Column:
     """Array of struct(code, rate) from <Valute> elements, decimal commas, rate = Value / Nominal. Each element is read by itself, so what is
     missing in one (its rate is null then) doesn't move another's values."""
