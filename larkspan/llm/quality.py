@@ -75,7 +75,8 @@ def quality(docs: DataFrame, labels: DataFrame, host: str | Column = "source", p
     aren't learned from; no usable labels: evidence is 0.5. Empty table: empty result. Other columns are not read.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(as_column(host).cast("string"), F.lit("")).alias("host"), F.coalesce(as_column(path).cast("string"), F.lit("")).alias("path"), F.array(*(f.cast("double") for f in features(F.col(text_col)))).alias("x"))
+    site = lambda c: F.coalesce(F.concat(F.lit("="), as_column(c).cast("string")), F.lit(""))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), site(host).alias("host"), site(path).alias("path"), F.array(*(f.cast("double") for f in features(F.col(text_col)))).alias("x"))
     own = materialize(own)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
     sample = own.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "x", "y").limit(max_docs).collect()

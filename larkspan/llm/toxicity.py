@@ -190,7 +190,8 @@ def _score(shared, window: int):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES, window: int = WINDOW) -> Model:
-    """Fits on at most ``max_docs`` labelled rows of each class, the first by hash of the id, of those with crc32(id) mod 5 other than 0."""
+    """Fits on at most ``max_docs`` labelled rows of each class, the first by hash of the id, of those with crc32(id) mod 5 other than 0. Of an id with
+    several texts the smallest is learned from."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL AND crc32(cast(doc_id AS string)) % 5 <> 0")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -199,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most 2 * max_docs ids, so the filter and its result are bounded.
     ids = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
-    rows = own.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect() if label else []
+    rows = own.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect() if label else []
     rows.sort(key=lambda r: r.doc_id)
     return fit([r.text.encode() for r in rows], [label[r.doc_id] for r in rows], window, (n.get(1, 0) + 0.5) / (sum(n.values()) + 10))
 
