@@ -292,11 +292,11 @@ def alias_normalize(t, spark):
     return skills.normalize(t("part").select("p_partkey", F.col("p_name").alias("name")), "name", a, {"blue": "Blue Family"})
 
 
-@query("WITH k AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS w FROM part WHERE p_partkey % 2 = 0 UNION SELECT 'red'), e AS (SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 3 = 0), s AS (SELECT p_partkey FROM e WHERE w IN (SELECT w FROM k) GROUP BY 1 HAVING count(*) >= 2) SELECT p_partkey, w AS name FROM e WHERE p_partkey IN (SELECT p_partkey FROM s) UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT p_partkey FROM s)")
+@query("WITH k AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS w FROM part WHERE p_size > 25 UNION SELECT 'red'), e AS (SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS w FROM part), s AS (SELECT p_partkey FROM e WHERE w IN (SELECT w FROM k) GROUP BY 1 HAVING count(*) >= 2) SELECT p_partkey, w AS name FROM e WHERE p_partkey IN (SELECT p_partkey FROM s) UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM s)")
 def compound_split(t, spark):
     p = t("part")
-    known = p.where("p_partkey % 2 = 0").select(F.get(F.split("p_name", " "), F.lit(1)).alias("name")).union(spark.createDataFrame([("red",)], "name string")).distinct()
-    return skills.split_compounds(p.where("p_partkey % 3 = 0").select("p_partkey", F.col("p_name").alias("name")), "name", known)
+    known = p.where("p_size > 25").select(F.get(F.split("p_name", " "), F.lit(1)).alias("name")).union(spark.createDataFrame([("red",)], "name string")).distinct()
+    return skills.split_compounds(p.select("p_partkey", F.col("p_name").alias("name")), "name", known)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
@@ -457,7 +457,7 @@ def box_stats(t, spark):
 
 @query()
 def lasso_path(t, spark):
-    rows = models.lasso(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", n_alphas=20)
+    rows = models.lasso(t("lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", n_alphas=50)
     return spark.createDataFrame(rows, "alpha double, n_kept long, cv_rmse double")
 
 
