@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import placed
+
 #: Rows of a block of known rows, and of unknown ones, in the nearest-neighbour search.
 KNOWN_BLOCK, UNKNOWN_BLOCK = 4096, 512
 
@@ -156,7 +158,6 @@ def oversample(df: DataFrame, group: str, key: str) -> DataFrame:
     """M11, repeatable: each group grows to the size of the largest, by whole copies and then the first rows by hash."""
     counts = df.groupBy(group).agg(F.count("*").alias("_n"))
     most = counts.agg(F.max("_n")).first()[0] or 0
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
-    sized = df.join(counts, group).withColumn("_rn", rn)
+    sized = placed(df.where(F.col(group).isNotNull()), [F.xxhash64(key), F.col(key)], "_rn", [group], 1).join(counts, group)
     copies = (F.floor(F.lit(most) / F.col("_n")) + (F.col("_rn") <= F.lit(most) % F.col("_n")).cast("int")).cast("int")
     return sized.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_n", "_rn", "_copy")

@@ -72,8 +72,9 @@ def class_report(df: DataFrame, actual: str, predicted: str, classes: list) -> D
 def majority(df: DataFrame, key: str, vote: str) -> DataFrame:
     """Most frequent vote; ties by the vote itself."""
     counted = df.groupBy(key, vote).agg(F.count("*").alias("votes"))
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("votes"), vote))
-    return counted.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
+    # The first vote by falling number, then by itself: kept in part before the shuffle, with no sort.
+    best = counted.groupBy(key).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col(vote).isNotNull().alias("known"), vote)).alias("_b"))
+    return best.select(key, F.col("_b")[vote].alias(vote), (-F.col("_b.n")).alias("votes"))
 
 
 def quantile_ci(df: DataFrame, group: str, value: str, alpha: float = 0.05, accuracy: int | None = None) -> DataFrame:

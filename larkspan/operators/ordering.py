@@ -17,7 +17,8 @@ SORTED = 1 << 16
 RANGES = 256
 
 
-def _sent(df: DataFrame) -> DataFrame:
+def sent(df: DataFrame) -> DataFrame:
+    """df, to be sent to every task if it is small; its rows are counted."""
     return F.broadcast(df) if df.count() <= HELD else df
 
 
@@ -39,7 +40,7 @@ def placed(df: DataFrame, order: list[Column], column: str, within: list[str] =
     same = F.col("_part") == F.col("_p")
     for c in within:
         same = same & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-    return dealt.join(_sent(named), same).withColumn(column, (F.col("_at") + F.col("_base")).cast("long")).select(*df.columns, column)
+    return dealt.join(sent(named), same).withColumn(column, (F.col("_at") + F.col("_base")).cast("long")).select(*df.columns, column)
 
 
 def order_statistics(df: DataFrame, group: str, value: str, wanted: DataFrame, held: int = SORTED, ranges: int = RANGES) -> DataFrame:
@@ -53,7 +54,7 @@ def order_statistics(df: DataFrame, group: str, value: str, wanted: DataFrame, h
     sizes = materialized(rows.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
     # Large groups are fewer than the rows by the size that makes them large.
     large = sizes.where(F.col("_n") > held)
-    sizes_sent = _sent(large.select("_g"))
+    sizes_sent = sent(large.select("_g"))
     here = lambda left, right: left["_g"].eqNullSafe(right["_g"])
 
     def sorted_out(cells: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def order_statistics(df: DataFrame, group: str, value: str, wanted: DataFrame, h
 
         def within(targets: DataFrame) -> DataFrame:
             """The rows between the bounds of a target, once for each pair of bounds."""
-            bounds = _sent(targets.select(F.col("_g").alias("_h"), F.col("_lo").alias("_cell"), "_hi").distinct())
+            bounds = sent(targets.select(F.col("_g").alias("_h"), F.col("_lo").alias("_cell"), "_hi").distinct())
             return rows.join(bounds, rows["_g"].eqNullSafe(bounds["_h"]) & (rows["_v"] >= bounds["_cell"]) & (rows["_v"] <= bounds["_hi"])).select("_g", "_cell", "_v")
 
         if few.limit(1).count():
@@ -84,7 +85,7 @@ def order_statistics(df: DataFrame, group: str, value: str, wanted: DataFrame, h
             return out.select(F.col("_g").alias(group), F.col("_k").alias("rank"), F.col("_v").alias(value))
         cells = within(many)
         cuts = F.percentile_approx("_v", F.array(*(F.lit(i / ranges) for i in range(1, ranges))), F.lit(8 * ranges))
-        pivots = _sent(materialized(cells.groupBy("_g", "_cell").agg(F.array_distinct(cuts).alias("_cuts"))).select(F.col("_g").alias("_h"), F.col("_cell").alias("_c"), "_cuts"))
+        pivots = sent(materialized(cells.groupBy("_g", "_cell").agg(F.array_distinct(cuts).alias("_cuts"))).select(F.col("_g").alias("_h"), F.col("_cell").alias("_c"), "_cuts"))
         met = cells.join(pivots, cells["_g"].eqNullSafe(pivots["_h"]) & (cells["_cell"] == pivots["_c"]))
         # Values equal to a cut are a range of their own, so a frequent value ends the search.
         below, equal = F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.array_contains("_cuts", F.col("_v")).cast("int")

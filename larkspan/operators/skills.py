@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import placed
+from ..session import materialized
+from .ordering import placed, sent
+
+#: Names of an owner whose pairs one task makes.
+PAIRED = 1000
 
 
 def name_key(c: Column) -> Column:
@@ -63,9 +67,12 @@ def prepare(items: DataFrame, owner: str, position: str, name: str, aliases: Dat
     """Normalise, split, normalise again, keep names of more than one character, of an owner's names that differ in case only the
     first; then only names that occur ``least`` times, those of ``existing(name)`` counted too. Columns beside stay with each part; a null priority
     is 'required'."""
-    first = normalize(items, name, aliases, prefixes).where(F.col(name).isNotNull())
-    parts = split_compounds(first, name, known, aliases, protected, prefixes=prefixes)
-    again = normalize(parts, name, aliases, prefixes).where(F.length(name) > 1)
+    # Each different name is settled once; the rows meet the result in one join.
+    names = items.select(F.col(name).alias("_from")).where("_from IS NOT NULL").distinct().withColumn("_to", F.col("_from"))
+    first = normalize(names, "_to", aliases, prefixes).where("_to IS NOT NULL")
+    parts = split_compounds(first, "_to", known, aliases, protected, prefixes=prefixes)
+    settled = normalize(parts, "_to", aliases, prefixes).where(F.length("_to") > 1)
+    again = items.join(settled, F.col(name) == F.col("_from")).withColumn(name, F.col("_to")).drop("_from", "_to")
     if priority:
         again = again.withColumn(priority, F.coalesce(priority, F.lit("required")))
     unique = keep_first_name(again, owner, name, position)
@@ -127,10 +134,16 @@ def unmapped(items: DataFrame, clusters: DataFrame, name: str, n: int = 10) -> D
 
 def cooccurrence(items: DataFrame, owner: str, name: str, n: int = 10) -> DataFrame:
     """Of each name the n other names most often with it in one owner. An owner's names are first counted, so its repeats are not paired;
-    the pair counts are partially summed before they are dealt out. An owner of m different names makes m * m pairs, which is what is asked for."""
+    the pair counts are partially summed before they are dealt out. An owner of m different names makes m * m pairs, which is what is asked for; beyond
+    ``PAIRED`` names it is dealt to several tasks, by the first name of the pair."""
     counted = items.groupBy(owner, name).agg(F.count("*").alias("c"))
-    pairs = counted.alias("a").join(counted.alias("b"), F.col(f"a.{owner}") == F.col(f"b.{owner}")).where(F.col(f"a.{name}") != F.col(f"b.{name}"))
-    sums = pairs.groupBy(F.col(f"a.{name}").alias(name), F.col(f"b.{name}").alias("other")).agg(F.sum("b.c").alias("n"))
+    # Owners of many names are fewer than the names by that number.
+    many = materialized(counted.groupBy(owner).agg(F.count("*").alias("_m")).where(F.col("_m") > PAIRED).select(owner, F.ceil(F.col("_m") / PAIRED).cast("int").alias("_tasks")))
+    dealt = counted.join(sent(many), owner, "left").withColumn("_tasks", F.coalesce("_tasks", F.lit(1)))
+    left = dealt.select(F.col(owner).alias("_o"), F.col(name).alias("_a"), F.expr(f"pmod(xxhash64(`{name}`), _tasks)").cast("int").alias("_t"))
+    right = dealt.select(F.col(owner).alias("_p"), F.col(name).alias("other"), "c", F.explode(F.expr("sequence(0, _tasks - 1)")).alias("_u"))
+    pairs = left.join(right, (F.col("_o") == F.col("_p")) & (F.col("_t") == F.col("_u"))).where("_a <> other")
+    sums = pairs.groupBy(F.col("_a").alias(name), "other").agg(F.sum("c").alias("n"))
     rn = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("n"), "other"))
     return sums.withColumn("rank", rn.cast("long")).where(F.col("rank") <= n)
 

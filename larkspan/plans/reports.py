@@ -11,6 +11,7 @@ from ..operators import features, ingest, metrics, models, records, skills
 from ..session import scratch
 from ..sources import io
 from ..streaming import incremental
+from ..streaming.buckets import BucketTable
 from .steps import collect
 from .catalogue import PRIORITIES, _CLUST, _RES, _clustered, _residuals, query
 
@@ -346,7 +347,7 @@ def owner_clusters(t, spark):
 def top_clusters(t, spark):
     """J10, T5."""
     mapping = t("embeddings").select(F.col("label").cast("long").alias("label")).distinct().select("label", F.floor(F.col("label") / 2).alias("topic"))
-    return _clustered(t).join(F.broadcast(mapping), "label").groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(3)
+    return _clustered(t).join(mapping, "label").groupBy("topic").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "topic").limit(3)
 
 
 @query("SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 9) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -623,12 +624,12 @@ def _as_stream(t, spark, name: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) rn FROM events) WHERE rn = 1")
 def stream_upsert(t, spark):
-    """A stream in several micro-batches, run twice with one checkpoint, merged by key."""
+    """A stream in several micro-batches, run twice with one checkpoint, merged by key into a bucketed table."""
     stream, at = _as_stream(t, spark, "events").select("user_id", "event_id", "event_type"), scratch(spark)
-    merge = incremental.merge_parquet(f"{at}/table", ["user_id"], [F.desc("event_id")])
+    table = BucketTable(f"{at}/table", ["user_id"], [F.desc("event_id")], buckets=16)
     for _ in range(2):
-        incremental.run_available(stream, merge, f"{at}/checkpoint").awaitTermination()
-    return incremental.latest(spark, f"{at}/table")
+        incremental.run_available(stream, table.merge, f"{at}/checkpoint").awaitTermination()
+    return table.read(spark)
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
