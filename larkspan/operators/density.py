@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialized
 
-#: Vectors of a block; edges that one task takes to its own tree; merges of one level.
-BLOCK, EDGES, LEVEL = 2048, 1 << 20, 1 << 20
+#: Vectors of a block, and of a part of it whose distances are one matrix; edges that one task takes to its own tree; merges of one level.
+BLOCK, PART, EDGES, LEVEL = 8192, 1024, 1 << 20, 1 << 20
 #: Least distance: nearer rows count as this far apart, so that densities stay finite.
 NEAREST = 1e-9
 
@@ -48,8 +48,7 @@ def pairs_of(blocks: DataFrame, columns: list[str]) -> DataFrame:
     right = blocks.select(F.col("i").alias("j"), *(F.col(c).alias(f"r_{c}") for c in columns))
     n = blocks.count()
     met = left.withColumn("j", F.explode(F.sequence("i", F.lit(n - 1)))).join(right, "j")
-    spread = met.repartition(max(n, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "i", "j")
-    return spread.select((F.col("i") == F.col("j")).alias("same"), *(f"l_{c}" for c in columns), *(f"r_{c}" for c in columns))
+    return met.select((F.col("i") == F.col("j")).alias("same"), *(f"l_{c}" for c in columns), *(f"r_{c}" for c in columns))
 
 
 def _arrays(row: pa.RecordBatch, kinds: list) -> list[np.ndarray]:
@@ -74,15 +73,18 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _nearest(k: int):
     """The k least distances of each row of a pair of blocks to rows of the other block, or of the same."""
 
-    def least(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, d: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-        if same:
-            np.fill_diagonal(d, np.inf)
-        n = min(k, d.shape[1] - same)
+    def least(nodes: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[pa.RecordBatch]:
+        n = min(k, len(y) - same)
         # A few more by the fast distances than are needed by the exact ones.
-        wide = min(n + 8, d.shape[1] - same)
-        at = np.argpartition(d, wide - 1, 1)[:, :wide] if wide else np.zeros((len(x), 0), int)
-        found = exact(np.repeat(x, wide, 0), y[at.ravel()]).reshape(len(x), wide)
-        return nodes, np.sort(found, 1)[:, :n]
+        wide = min(n + 8, len(y) - same)
+        for lo in range(0, len(x), PART):
+            own = x[lo : lo + PART]
+            d = distances(own, y)
+            if same:
+                d[np.arange(len(own)), lo + np.arange(len(own))] = np.inf
+            at = np.argpartition(d, wide - 1, 1)[:, :wide] if wide else np.zeros((len(own), 0), int)
+            found = np.sort(exact(np.repeat(own, wide, 0), y[at.ravel()]).reshape(len(own), wide), 1)[:, :n]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + PART]), pa.array(list(found), pa.list_(pa.float64()))], ["node", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +93,9 @@ def _nearest(k: int):
                 a, x, b, y = _arrays(row, [np.int64, np.float64] * 2)
                 x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
                 same = row.column(0)[0].as_py()
-                d = distances(x, y)
-                for nodes, found in [least(a, x, y, d, same)] + ([] if same else [least(b, y, x, d.T, False)]):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(list(found), pa.list_(pa.float64()))], ["node", "d"])
+                yield from least(a, x, y, same)
+                if not same:
+                    yield from least(b, y, x, False)
 
     return run
 
@@ -130,66 +132,82 @@ def _tree_of_points(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _pair_trees(sizes: list[int]):
-    """Edges (level of sizes, a, b, weight) of the trees of a pair of blocks that cross it; of a block with itself, all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                same = row.column(0)[0].as_py()
-                kinds = [np.int64, *[np.float64] * (len(sizes) + 1)]
-                parts = _arrays(row, kinds * 2)
-                left, right = parts[: len(kinds)], parts[len(kinds) :]
-                nodes, *cores, x = left if same else [np.concatenate(p) for p in zip(left, right)]
-                x, cut = x.reshape(len(nodes), -1), len(left[0])
-                d = distances(x, x)
-                for which, core in enumerate(cores):
-                    if len(nodes) < 2:
-                        continue
-                    w = np.maximum(np.maximum(d, core[:, None]), core[None, :])
-                    a, b = _tree_of_points(w)
-                    if not same:
-                        across = (a < cut) != (b < cut)
-                        a, b = a[across], b[across]
-                    weight = np.maximum(np.maximum(exact(x[a], x[b]), np.maximum(core[a], core[b])), NEAREST)
-                    lo, hi = np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), which), pa.int32()), pa.array(lo), pa.array(hi), pa.array(weight)], ["which", "a", "b", "w"])
-
-    return run
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The minimum spanning forest of one task's edges."""
-    parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
-    if not parts:
-        return
-    a, b, w = (np.concatenate(c) for c in zip(*parts))
+def forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    """The minimum spanning forest of edges, in the total order (w, a, b)."""
     order = np.lexsort((b, a, w))
     a, b, w = a[order], b[order], w[order]
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y, left, top = ends[: len(a)], ends[len(a) :], np.arange(len(a)), np.arange(len(nodes))
+    one, two = ends[: len(a)], ends[len(a) :]
+    x, y, left, top = one, two, np.arange(len(a)), np.arange(len(nodes))
     keep = np.zeros(len(a), bool)
     while True:
         x, y = top[x], top[y]
         apart = x != y
         x, y, left = x[apart], y[apart], left[apart]
         if not len(left):
-            break
+            return [a[keep], b[keep], w[keep]]
         # Edges are in order, so the first one of each tree is its least.
         first = np.full(len(nodes), len(a))
         np.minimum.at(first, x, left)
         np.minimum.at(first, y, left)
         chosen = np.unique(first[first < len(a)])
         keep[chosen] = True
-        p, q = top[ends[: len(a)][chosen]], top[ends[len(a) :][chosen]]
+        p, q = one[chosen], two[chosen]
         while (top[p] != top[q]).any():
             low = np.minimum(top[p], top[q])
             np.minimum.at(top, top[p], low)
             np.minimum.at(top, top[q], low)
             while (top[top] != top).any():
                 top = top[top]
-    yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (a, b, w)], ["a", "b", "w"])
+
+
+def _pair_trees(sizes: list[int]):
+    """Edges (which of the sizes, a, b, weight) that cross a pair of blocks (of a block with itself, all) and can be in the whole tree: those of the trees of
+    the pairs of their parts, and of these their forest."""
+
+    def crossing(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+        nodes, *cores, x = left if same else [np.concatenate(p) for p in zip(left, right)]
+        if len(nodes) < 2:
+            return
+        cut, d = len(left[0]), distances(x, x)
+        for which, core in enumerate(cores):
+            w = np.maximum(d, core[:, None])
+            a, b = _tree_of_points(np.maximum(w, core[None, :], out=w))
+            if not same:
+                across = (a < cut) != (b < cut)
+                a, b = a[across], b[across]
+            weight = np.maximum(np.maximum(exact(x[a], x[b]), np.maximum(core[a], core[b])), NEAREST)
+            yield which, [np.minimum(nodes[a], nodes[b]), np.maximum(nodes[a], nodes[b]), weight]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [np.int64, *[np.float64] * (len(sizes) + 1)]
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                same, columns = row.column(0)[0].as_py(), _arrays(row, kinds * 2)
+                sides = []
+                for part in (columns[: len(kinds)], columns[len(kinds) :]):
+                    part[-1] = part[-1].reshape(len(part[0]), -1)
+                    sides.append([[c[lo : lo + PART] for c in part] for lo in range(0, len(part[0]), PART)])
+                found: list[list] = [[] for _ in sizes]
+                for p, left in enumerate(sides[0]):
+                    for q, right in enumerate(sides[1]):
+                        if not same or q >= p:
+                            for which, edges in crossing(left, right, same and p == q):
+                                found[which].append(edges)
+                for which, edges in enumerate(found):
+                    if edges:
+                        a, b, w = forest(*(np.concatenate(c) for c in zip(*edges)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), which), pa.int32()), pa.array(a), pa.array(b), pa.array(w)], ["which", "a", "b", "w"])
+
+    return run
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The minimum spanning forest of one task's edges."""
+    parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches if b.num_rows]
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*(np.concatenate(c) for c in zip(*parts)))], ["a", "b", "w"])
 
 
 def spanning_tree(edges: DataFrame, per_task: int = EDGES) -> DataFrame:
@@ -320,7 +338,8 @@ def condensed(tree: DataFrame, nodes: DataFrame, least: int, level: int = LEVEL)
         touched = materialized(ours.select("a").union(ours.select(F.col("b").alias("a"))).distinct())
         given = ours.union(state.join(touched, "a", "left_semi").select("kind", "a", "b", "n", "x", "y"))
         events = materialized(given.coalesce(1).mapInArrow(_merge(least, first), _EVENTS))
-        first += events.where("kind IN (0, 3)").agg(F.coalesce(F.max("b") + 1 - first, F.lit(0))).first()[0] if events.where("kind IN (0, 3)").agg(F.max("b")).first()[0] is not None else 0
+        # The last of the new clusters has no parent yet, so it is among the nodes' clusters.
+        first = max(first, events.where("kind = 3").agg(F.coalesce(F.max("b"), F.lit(-1)) + 1).first()[0])
         fell = events.where("kind = 0").select(F.col("a").alias("place"), F.col("b").alias("cluster"), F.col("x").alias("density"))
         falls.append(materialized(at.join(fell, "place").select("node", "cluster", "density")))
         clusters.append(events.where("kind = 1").select(F.col("a").alias("cluster"), F.col("b").alias("parent"), (F.col("n") == 1).alias("better")))

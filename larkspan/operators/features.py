@@ -10,10 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import placed
+from ..session import materialized
+from .ordering import placed, sent
 
 #: Rows of a block of known rows, and of unknown ones, in the nearest-neighbour search.
 KNOWN_BLOCK, UNKNOWN_BLOCK = 4096, 512
+#: Vectors of a group that one task lists.
+LISTED = 256
 
 
 def norm(v: Column) -> Column:
@@ -30,19 +33,39 @@ def cosine(a: Column, b: Column) -> Column:
 def diversity(items: DataFrame, vectors: DataFrame, owner: str, key: str, cluster: str, vector: str) -> DataFrame:
     """M1: ln(1 + k (1 - mean pairwise cosine)) of an owner's k items of a cluster; ln 2 for one item.
 
-    With unit vectors u the mean over pairs is (|sum u|^2 - #nonzero) / (k (k - 1)), so there is no self-join: vectors are normalised once, then
-    summed by dimension, partly before the shuffle, so a group of any size is a few numbers. An owner's items are counted by key first, so repeats
-    cost nothing. Vectors of fewer dimensions than the longest have 0 there.
+    With unit vectors u the mean over pairs is (|sum u|^2 - #nonzero) / (k (k - 1)), so there is no self-join. An owner's items are counted by key
+    first, so repeats cost nothing. The vectors of a group of at most ``LISTED`` keys are listed and added up there; those of larger groups are summed by
+    dimension, partly before the shuffle, so no buffer grows with a group. Vectors of fewer dimensions than the longest have 0 there.
     """
     d = vectors.agg(F.max(F.size(vector))).first()[0] or 0
     n = norm(F.col(vector))
     unit = vectors.select(key, cluster, F.transform(vector, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)).alias("_u"), (n > 0).cast("long").alias("_nz"))
     counted = items.groupBy(owner, key).agg(F.count("*").alias("_c"))
-    sums = [F.sum(F.col("_c") * F.get("_u", F.lit(i))).alias(f"_s{i}") for i in range(d)]
-    grouped = counted.join(unit, key).groupBy(owner, cluster).agg(F.sum("_c").alias("k"), F.sum(F.col("_c") * F.col("_nz")).alias("_nz"), *sums)
-    square = F.aggregate(F.array(*(F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(d))).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-    mean = (square - F.col("_nz")) / (F.col("k") * (F.col("k") - 1))
-    return grouped.select(owner, cluster, "k", F.when(F.col("k") == 1, F.log(F.lit(2.0))).otherwise(F.log1p(F.col("k") * (1 - mean))).alias("diversity"))
+    large = counted.join(vectors.select(key, cluster), key).groupBy(owner, cluster).agg(F.count("*").alias("_m")).where(F.col("_m") > LISTED).select(F.col(owner).alias("_lo"), F.col(cluster).alias("_lc"))
+    large = materialized(large)
+    rows = counted.join(unit, key)
+    totals = [F.sum("_c").alias("k"), F.sum(F.col("_c") * F.col("_nz")).alias("_nz")]
+
+    def told(grouped: DataFrame, square: Column) -> DataFrame:
+        mean = (square - F.col("_nz")) / (F.col("k") * (F.col("k") - 1))
+        return grouped.select(owner, cluster, "k", F.when(F.col("k") == 1, F.log(F.lit(2.0))).otherwise(F.log1p(F.col("k") * (1 - mean))).alias("diversity"))
+
+    def listed(some: DataFrame) -> DataFrame:
+        pad = lambda u: F.concat(u, F.array_repeat(F.lit(0.0), d - F.size(u)))
+        added = F.aggregate("_l", F.array_repeat(F.lit(0.0), d), lambda t, x: F.zip_with(t, pad(x["_u"]), lambda p, q: p + x["_c"] * F.coalesce(q, F.lit(0.0))))
+        return told(some.groupBy(owner, cluster).agg(*totals, F.collect_list(F.struct("_c", "_u")).alias("_l")), F.aggregate(added, F.lit(0.0), lambda t, x: t + x * x))
+
+    def summed(some: DataFrame) -> DataFrame:
+        sums = [F.sum(F.col("_c") * F.get("_u", F.lit(i))).alias(f"_s{i}") for i in range(d)]
+        square = F.aggregate(F.array(*(F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(d))).cast("array<double>"), F.lit(0.0), lambda t, x: t + x * x)
+        return told(some.groupBy(owner, cluster).agg(*totals, *sums), square)
+
+    if not large.limit(1).count():
+        return listed(rows)
+    # Large groups are fewer than the items by their least size.
+    marks = sent(large)
+    same = F.col(owner).eqNullSafe(F.col("_lo")) & F.col(cluster).eqNullSafe(F.col("_lc"))
+    return listed(rows.join(marks, same, "left_anti")).unionByName(summed(rows.join(marks, same, "left_semi")))
 
 
 def feature_matrix(features: DataFrame, owner: str, cluster: str, value: str, clusters: list) -> DataFrame:

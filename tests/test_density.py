@@ -75,12 +75,13 @@ def x():
     return np.vstack([x, x[:2], np.repeat(x[7:8], 5, 0)])
 
 
-@pytest.mark.parametrize("kw", [{}, {"block": 30, "level": 30}, {"per_task": 40}])
-def test_density_clusters(spark, x, kw):
+@pytest.mark.parametrize("sizes,kw", [([5, 3], {}), ([3], {"block": 30, "level": 30}), ([4], {"per_task": 40})])
+def test_density_clusters(spark, x, sizes, kw, monkeypatch):
+    monkeypatch.setattr(density, "PART", 17)
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)] + [(900, None, "x"), (901, [None, 1.0, 2.0], "x"), (902, [float("nan")] * 3, "x"), (903, [1.0], "x"), (None, [1.0, 2.0, 3.0], "x")]
-    got = density.density_clusters(spark.createDataFrame(rows, "k long, v array<double>, topic string"), "k", "v", [5, 3], **kw).toPandas()
-    assert len(got) == 2 * len(rows)
-    for least in (5, 3):
+    got = density.density_clusters(spark.createDataFrame(rows, "k long, v array<double>, topic string"), "k", "v", sizes, **kw).toPandas()
+    assert len(got) == len(sizes) * len(rows)
+    for least in sizes:
         own = got[(got.min_size == least) & (got.k < 900)].sort_values("k")
         assert own.topic.tolist() == brute(x, least).tolist() and own.topic.max() >= 2
         assert ((own.strength > 0) == (own.topic >= 0)).all() and own.strength.max() == 1
