@@ -59,7 +59,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances by one matrix product; ``exact`` computes again those that count."""
     centre = a.mean(0)
     a, b = a - centre, b - centre
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
+    d = (-2 * a) @ b.T
+    d += (a * a).sum(1)[:, None]
+    d += (b * b).sum(1)
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -170,9 +174,10 @@ def _pair_trees(sizes: list[int]):
         if len(nodes) < 2:
             return
         cut, d = len(left[0]), distances(x, x)
+        w = np.empty_like(d)
         for which, core in enumerate(cores):
-            w = np.maximum(d, core[:, None])
-            a, b = _tree_of_points(np.maximum(w, core[None, :], out=w))
+            np.maximum(d, core[:, None], out=w)
+            a, b = _tree_of_points(np.maximum(w, core, out=w))
             if not same:
                 across = (a < cut) != (b < cut)
                 a, b = a[across], b[across]
