@@ -15,8 +15,8 @@ from .ordering import placed, sent
 
 #: Rows of a block of known rows, and of unknown ones, in the nearest-neighbour search.
 KNOWN_BLOCK, UNKNOWN_BLOCK = 4096, 512
-#: Vectors of a group that one task lists.
-LISTED = 256
+#: Items of an owner that one task lists; components of vectors that one task holds; items that share a copy of a block of vectors.
+LISTED, COMPONENTS, CELL = 256, 1 << 23, 1 << 23
 
 
 def norm(v: Column) -> Column:
@@ -30,42 +30,122 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (one(norm(a)) * one(norm(b)))
 
 
-def diversity(items: DataFrame, vectors: DataFrame, owner: str, key: str, cluster: str, vector: str) -> DataFrame:
+def _added(d: int):
+    """Sums of unit vectors. The rows of a cell come together, its vectors (no ``counts``) first: of each list of keys the sum of their vectors by their counts,
+    as its square or, where the list is a piece of a group, as it is."""
+
+    def matrix(vectors: pa.Array) -> np.ndarray:
+        """Unit vectors, 0 where a component is missing; with a missing component they are 0 throughout."""
+        n, flat = vectors.value_lengths().to_numpy(), vectors.flatten()
+        lost = np.unique(np.repeat(np.arange(len(n)), n)[flat.is_null().to_numpy(zero_copy_only=False)])
+        x = np.zeros((len(n), d))
+        x[np.arange(d) < n[:, None]] = flat.to_numpy(zero_copy_only=False)
+        x[lost] = 0
+        with np.errstate(invalid="ignore", over="ignore"):
+            length = np.zeros(len(x))
+            for i in range(d):
+                length += x[:, i] ** 2
+            length = np.sqrt(length)
+            return x / np.where(length == 0, 1.0, length)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, known, arrived, names = None, None, [], []
+        for batch in batches:
+            cells, isvec = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (isvec[1:] != isvec[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(cells)]) if len(cells) else ():
+                part = batch.slice(lo, hi - lo)
+                keys = part.column(2).flatten().to_numpy(zero_copy_only=False)
+                if cells[lo] != cell:
+                    cell, known, arrived = cells[lo], None, []
+                if isvec[lo]:
+                    arrived.append((keys, matrix(part.column(4))))
+                    continue
+                if known is None:
+                    # A key with several vectors stands for their sum.
+                    names, at = np.unique(np.concatenate([k for k, _ in arrived]), return_inverse=True)
+                    known = np.zeros((len(names), d))
+                    np.add.at(known, at, np.concatenate([x for _, x in arrived]))
+                    arrived = []
+                n = part.column(2).value_lengths().to_numpy()
+                with np.errstate(invalid="ignore", over="ignore"):
+                    each = known[np.searchsorted(names, keys)] * part.column(3).flatten().to_numpy()[:, None]
+                    total = np.add.reduceat(each, np.concatenate([[0], np.cumsum(n)[:-1]]), 0)
+                    square = (total * total).sum(1)
+                piece = part.column(5)
+                sums = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * d, pa.int32()), pa.array(total.ravel()))
+                sums = pc.if_else(piece, sums, pa.scalar(None, sums.type)) if pc.any(piece).as_py() else pa.nulls(len(n), sums.type)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(6, 11)), pa.array(square), sums], ["_o", "_g", "k", "_nz", "_bad", "_sq", "_sum"])
+
+    return run
+
+
+def diversity(items: DataFrame, vectors: DataFrame, owner: str, key: str, cluster: str, vector: str, listed: int = LISTED, block: int = COMPONENTS, per_cell: int = CELL) -> DataFrame:
     """M1: ln(1 + k (1 - mean pairwise cosine)) of an owner's k items of a cluster; ln 2 for one item.
 
-    With unit vectors u the mean over pairs is (|sum u|^2 - #nonzero) / (k (k - 1)), so there is no self-join. An owner's items are counted by key
-    first, so repeats cost nothing. The vectors of a group of at most ``LISTED`` keys are listed and added up there; those of larger groups are summed by
-    dimension, partly before the shuffle, so no buffer grows with a group. Vectors of fewer dimensions than the longest have 0 there.
+    With unit vectors u the mean over pairs is (|sum u|^2 - #nonzero) / (k (k - 1)), so there is no self-join. Vectors are not joined to items: an
+    owner's keys of a cluster are listed, and lists of more than one key meet the vectors of their cluster, of which each task holds a block of at most
+    ``block`` components; a block is copied once for about ``per_cell`` items. Groups of one key need no vector. The keys of owners of more than ``listed``
+    items, and of clusters of more than one block, are listed in pieces, whose sums are added up by dimension, so no buffer grows with a group. Vectors
+    of fewer dimensions than the longest have 0 there.
     """
-    d = vectors.agg(F.max(F.size(vector))).first()[0] or 0
-    n = norm(F.col(vector))
-    unit = vectors.select(key, cluster, F.transform(vector, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)).alias("_u"), (n > 0).cast("long").alias("_nz"))
-    counted = items.groupBy(owner, key).agg(F.count("*").alias("_c"))
-    large = counted.join(vectors.select(key, cluster), key).groupBy(owner, cluster).agg(F.count("*").alias("_m")).where(F.col("_m") > LISTED).select(F.col(owner).alias("_lo"), F.col(cluster).alias("_lc"))
-    large = materialized(large)
-    rows = counted.join(unit, key)
-    totals = [F.sum("_c").alias("k"), F.sum(F.col("_c") * F.col("_nz")).alias("_nz")]
-
-    def told(grouped: DataFrame, square: Column) -> DataFrame:
-        mean = (square - F.col("_nz")) / (F.col("k") * (F.col("k") - 1))
-        return grouped.select(owner, cluster, "k", F.when(F.col("k") == 1, F.log(F.lit(2.0))).otherwise(F.log1p(F.col("k") * (1 - mean))).alias("diversity"))
-
-    def listed(some: DataFrame) -> DataFrame:
-        pad = lambda u: F.concat(u, F.array_repeat(F.lit(0.0), d - F.size(u)))
-        added = F.aggregate("_l", F.array_repeat(F.lit(0.0), d), lambda t, x: F.zip_with(t, pad(x["_u"]), lambda p, q: p + x["_c"] * F.coalesce(q, F.lit(0.0))))
-        return told(some.groupBy(owner, cluster).agg(*totals, F.collect_list(F.struct("_c", "_u")).alias("_l")), F.aggregate(added, F.lit(0.0), lambda t, x: t + x * x))
-
-    def summed(some: DataFrame) -> DataFrame:
-        sums = [F.sum(F.col("_c") * F.get("_u", F.lit(i))).alias(f"_s{i}") for i in range(d)]
-        square = F.aggregate(F.array(*(F.coalesce(f"_s{i}", F.lit(0.0)) for i in range(d))).cast("array<double>"), F.lit(0.0), lambda t, x: t + x * x)
-        return told(some.groupBy(owner, cluster).agg(*totals, *sums), square)
-
-    if not large.limit(1).count():
-        return listed(rows)
-    # Large groups are fewer than the items by their least size.
-    marks = sent(large)
-    same = F.col(owner).eqNullSafe(F.col("_lo")) & F.col(cluster).eqNullSafe(F.col("_lc"))
-    return listed(rows.join(marks, same, "left_anti")).unionByName(summed(rows.join(marks, same, "left_semi")))
+    d, n = vectors.agg(F.max(F.size(vector)), F.count("*")).first()
+    d = max(d or 0, 1)
+    # The length is bound once for each vector, not found again for each component.
+    bound = lambda f: F.transform(F.array(norm(F.col(vector))), f)[0]
+    square = bound(lambda n: F.aggregate(F.transform(vector, lambda x: F.coalesce(x.cast("double") / F.when(n == 0, 1.0).otherwise(n), F.lit(0.0))), F.lit(0.0), lambda t, x: t + x * x))
+    own = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(cluster).alias("_g"), F.col(vector).alias("_v"), (norm(F.col(vector)) > 0).cast("long").alias("_z"), square.alias("_s"))
+    sizes = items.groupBy(owner).agg(F.count("*").alias("_n"))
+    large = materialized(sizes.where(F.col("_n") > listed).select(F.col(owner).alias("_o"), "_n"))
+    n_items, rows_of_block = items.count(), max(1, block // d)
+    # Each cluster's blocks, and copies of them.
+    dealt = placed(own.groupBy("_g").agg(F.count("*").alias("_m")), [F.col("_g").asc_nulls_first()], "_no")
+    copies = F.least(F.ceil(F.col("_m") / F.lit(max(n, 1)) * F.lit(n_items) / F.ceil(F.col("_m") / rows_of_block) / per_cell), F.lit(1 << 14))
+    dealt = materialized(dealt.select(F.col("_g").alias("_gg"), "_no", F.ceil(F.col("_m") / rows_of_block).alias("_blocks"), F.greatest(copies, F.lit(1)).alias("_copies")))
+    own = own.join(sent(dealt), F.col("_g").eqNullSafe(F.col("_gg"))).withColumn("_cell", F.col("_no") * (1 << 28) + F.pmod(F.xxhash64("_k"), "_blocks") * (1 << 14)).drop("_gg", "_no")
+    split = F.col("_blocks") > 1
+    known = own.groupBy("_k", "_g", "_cell", "_copies", split.alias("_split")).agg(F.count("*").alias("_m"), F.sum("_z").alias("_z"), F.max(F.col("_v").isNull()).alias("_bad"), F.sum("_s").alias("_s"))
+    known = materialized(known)
+    rows = items.select(F.col(owner).alias("_o"), F.col(key).alias("_ik")).join(sent(known), F.col("_ik") == F.col("_k")).drop("_ik")
+    has_large, has_split = (df.limit(1).count() > 0 for df in (large, known.where("_split")))
+    marks = sent(large) if has_large else None
+    whole = rows.join(marks.select(F.col("_o").alias("_lo")), F.col("_o").eqNullSafe(F.col("_lo")), "left_anti") if has_large else rows
+    totals = lambda c: [F.sum(c * F.col("_m")).alias("k"), F.sum(c * F.col("_z")).alias("_nz"), F.max("_bad").alias("_bad")]
+    one = F.lit(1).cast("long")
+    # What is of one key, or the same for all keys, comes as one value, so that both uses of the lists are one shuffle.
+    most = F.max(F.struct("_bad", "_m", "_s", "_cell", "_copies")).alias("_t")
+    lists = whole.where(~F.col("_split")).groupBy("_o", "_g").agg(*totals(one)[:2], most, F.collect_list("_k").alias("_keys")).select("_o", "_g", "k", "_nz", "_keys", "_t.*")
+    same = (F.size(F.array_distinct("_keys")) == 1) & (F.col("_m") == 1)
+    # Of one key the square is known.
+    lists = lists.withColumn("_sq", F.col("_s") * F.size("_keys") * F.size("_keys"))
+    single = lists.where(same).select("_o", "_g", "k", "_nz", "_bad", "_sq")
+    columns = ["_cell", "_copies", "_keys", "_counts", "_piece", "_o", "_g", "k", "_nz", "_bad"]
+    many = lists.where(~same).withColumn("_counts", F.array_repeat(one, F.size("_keys"))).withColumn("_piece", F.lit(False)).select(*columns, "_sq")
+    if has_large or has_split:
+        counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_c"))
+        if has_large:
+            counted = counted.join(marks.select(F.col("_o").alias("_lo"), "_n"), F.col("_o").eqNullSafe(F.col("_lo")), "left").where(F.col("_n").isNotNull() | F.col("_split"))
+            counted = counted.withColumn("_chunk", F.pmod(F.xxhash64("_k"), F.coalesce(F.ceil(F.col("_n") / listed), one)))
+        else:
+            counted = counted.where("_split").withColumn("_chunk", one)
+        pieces = counted.groupBy("_o", "_g", "_cell", "_copies", "_chunk").agg(*totals(F.col("_c")), F.collect_list("_k").alias("_keys"), F.collect_list("_c").alias("_counts"))
+        many = many.unionByName(pieces.withColumn("_piece", F.lit(True)).withColumn("_sq", F.lit(0.0)).select(*columns, "_sq"))
+    null = lambda t: F.lit(None).cast(t)
+    asked = many.select((F.col("_cell") + F.pmod(F.xxhash64("_keys"), "_copies")).alias("_cell"), F.lit(False).alias("_isvec"), "_keys", "_counts", null(vectors.schema[vector].dataType).alias("_v"), "_piece", "_o", "_g", "k", "_nz", "_bad", "_sq")
+    held = own.select(F.explode(F.sequence(F.col("_cell"), F.col("_cell") + F.col("_copies") - 1)).alias("_cell"), F.lit(True).alias("_isvec"), F.array("_k").alias("_keys"), null("array<bigint>").alias("_counts"), F.coalesce("_v", F.array().cast(vectors.schema[vector].dataType)).alias("_v"), *(null(asked.schema[c].dataType).alias(c) for c in asked.columns[5:]))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = asked.union(held).repartition(parts, "_cell").sortWithinPartitions("_cell", F.desc("_isvec"))
+    kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in ("_o", "_g", "k", "_nz", "_bad"))
+    found = met.mapInArrow(_added(d), f"{kinds}, _sq double, _sum array<double>")
+    out = single.unionByName(found.where("_sum IS NULL").drop("_sum"))
+    if has_large or has_split:
+        found = materialized(found)
+        out = single.unionByName(found.where("_sum IS NULL").drop("_sum"))
+        sums = found.where("_sum IS NOT NULL").groupBy("_o", "_g").agg(F.sum("k").alias("k"), F.sum("_nz").alias("_nz"), F.max("_bad").alias("_bad"), *(F.sum(F.get("_sum", F.lit(i))).alias(f"_s{i}") for i in range(d)))
+        square = F.aggregate(F.array(*(f"_s{i}" for i in range(d))), F.lit(0.0), lambda t, x: t + x * x)
+        out = out.unionByName(sums.select("_o", "_g", "k", "_nz", "_bad", square.alias("_sq")))
+    mean = (F.when(~F.col("_bad"), F.col("_sq")) - F.col("_nz")) / (F.col("k") * (F.col("k") - 1))
+    return out.select(F.col("_o").alias(owner), F.col("_g").alias(cluster), "k", F.when(F.col("k") == 1, F.log(F.lit(2.0))).otherwise(F.log1p(F.col("k") * (1 - mean))).alias("diversity"))
 
 
 def feature_matrix(features: DataFrame, owner: str, cluster: str, value: str, clusters: list) -> DataFrame:
