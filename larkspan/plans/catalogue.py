@@ -66,8 +66,12 @@ _CLUST = _PARTS + ", c AS (SELECT p.*, CAST(label AS BIGINT) AS label FROM p JOI
     SELECT l_orderkey, label, CAST(max(k) AS BIGINT) AS k, round(CASE WHEN max(k) = 1 THEN ln(2.0) ELSE ln(1 + max(k) * (1 - (sum(x * x) - max(nz)) / (max(k) * (max(k) - 1)))) END, 6) + 0.0::DOUBLE AS diversity FROM t GROUP BY ALL"""
 )
 def diversity_feature(t, spark):
+    return _diversity(t, _parts(t))
+
+
+def _diversity(t, parts: DataFrame) -> DataFrame:
     e = t("embeddings").select("vec_id", F.col("label").cast("long").alias("label"), "embedding")
-    return features.diversity(_parts(t), e, "l_orderkey", "vec_id", "label", "embedding").withColumn("diversity", F.round("diversity", 6) + 0.0)
+    return features.diversity(parts, e, "l_orderkey", "vec_id", "label", "embedding").withColumn("diversity", F.round("diversity", 6) + 0.0)
 
 
 @query("SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC NULLS LAST, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS rn FROM lineitem) WHERE rn = 1")
@@ -334,7 +338,8 @@ def iso_timestamp(t, spark):
 
 @query(_SQL["diversity_feature"].replace("SELECT l_orderkey, label, CAST(max(k)", ", m AS (SELECT l_orderkey, label, CAST(max(k)") + ") SELECT l_orderkey, " + ", ".join(f"coalesce(max(CASE WHEN label = {i} THEN diversity END), 0) AS f_{i}" for i in range(10)) + ", " + ", ".join(f"max(CASE WHEN o_orderpriority = '{p}' THEN 1.0::DOUBLE ELSE 0 END) AS grade_{i}" for i, p in enumerate(PRIORITIES)) + " FROM m JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 def feature_matrix(t, spark):
-    d = features.feature_matrix(diversity_feature(t, spark), "l_orderkey", "label", "diversity", list(range(10)))
+    # The join drops parts without an order; dropped before, both uses of the lists of parts stay one shuffle.
+    d = features.feature_matrix(_diversity(t, _parts(t).where("l_orderkey IS NOT NULL")), "l_orderkey", "label", "diversity", list(range(10)))
     o = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), *features.dummies(F.col("o_orderpriority"), PRIORITIES, "grade_"))
     return d.join(o, "l_orderkey")
 
