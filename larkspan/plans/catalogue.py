@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, rules, text
 from ..operators import features, ingest, metrics, models, skills
-from ..session import ship
+from ..session import ship, tasks_for
 from ..sources.io import table
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,9 +229,12 @@ def batch_number(t, spark):
 
 @query("SELECT l_orderkey, p_name, pos FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lower(p_name) ORDER BY pos) rn FROM (SELECT l_orderkey, p_name, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey)) WHERE rn = 1")
 def first_wins_dedup(t, spark):
-    i = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct().join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    # Repeated lines need no distinct: the first of them is one row.
+    i = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    n = tasks_for(spark, i.count())
+    i = i.repartition(n, "l_partkey").join(t("part").select("p_partkey", "p_name").repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     i = i.select("l_orderkey", "p_name", (F.col("l_linenumber").cast("long") * F.lit(1000000000) + F.col("l_partkey")).alias("pos"))
-    return skills.first_spelling(i, "l_orderkey", "p_name", "pos")
+    return skills.first_spelling(i.repartition(n, F.col("l_orderkey"), F.lower("p_name")), "l_orderkey", "p_name", "pos")
 
 
 @query("SELECT o_orderpriority, next, round(delta, 4) AS delta FROM (SELECT o_orderpriority, lead(o_orderpriority) OVER (ORDER BY o_orderpriority) AS next, lead(a) OVER (ORDER BY o_orderpriority) - a AS delta FROM (SELECT o_orderpriority, avg(o_totalprice) AS a FROM orders GROUP BY 1)) WHERE next IS NOT NULL")

@@ -51,6 +51,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/scratch-{uuid4().hex}"
 
 
+#: Rows that one task joins or sorts.
+TASK_ROWS = 1 << 20
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: as many as set, more where a task would get over ``TASK_ROWS``, so that a task's memory does not grow with
+    the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df from reliable files below spark.checkpoint.dir: what made it is not run again, also if executors are lost."""
     context = df.sparkSession.sparkContext
