@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialized
 from .ordering import placed, quantiles
 
 
@@ -89,11 +90,16 @@ def quantile_ci(df: DataFrame, group: str, value: str, alpha: float = 0.05, accu
 
 
 def share_by_group(items: DataFrame, owner: str, group: str, cluster: str) -> DataFrame:
-    """Percent of a group's owners that have the cluster, on the full grid, with its tier."""
-    owners = items.groupBy(group).agg(F.countDistinct(owner).alias("_n"))
-    have = items.groupBy(group, cluster).agg(F.countDistinct(owner).alias("_h"))
+    """Percent of a group's owners that have the cluster, on the full grid, with its tier.
+
+    One pass: each owner of a group counts once for each of its clusters, and once for itself. Rows that are dealt by owner are not shuffled."""
+    sets = items.groupBy(group, owner).agg(F.collect_set(cluster).alias("_l"))
+    each = sets.select(group, owner, F.explode(F.concat(F.array(F.struct(F.lit(True).alias("all"), F.lit(None).cast(items.schema[cluster].dataType).alias("c"))), F.transform("_l", lambda c: F.struct(F.lit(False).alias("all"), c.alias("c"))))).alias("_e"))
+    counted = materialized(each.groupBy(group, F.col("_e.all").alias("_all"), F.col("_e.c").alias(cluster)).agg(F.count(owner).alias("_h")))
+    owners = counted.where("_all").select(group, F.col("_h").alias("_n"))
+    have = counted.where("NOT _all").drop("_all")
     # Groups and clusters are dimensions of bounded size; the grid is their product: one row of all clusters beside each group.
-    listed = items.where(F.col(cluster).isNotNull()).agg(F.array_sort(F.collect_set(cluster)).alias("_l"))
+    listed = have.where(F.col(cluster).isNotNull()).agg(F.array_sort(F.collect_set(cluster)).alias("_l"))
     grid = owners.join(F.broadcast(listed), F.lit(True)).select(group, "_n", F.explode("_l").alias(cluster))
     pct = F.round(F.coalesce("_h", F.lit(0)) * 100.0 / F.col("_n"), 1)
     tier = F.when(F.col("pct") >= 60, "core").when(F.col("pct") >= 40, "regular").when(F.col("pct") >= 20, "episodic").otherwise("rare")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, rules, text
 from ..operators import features, ingest, metrics, models, skills
+from ..operators.ordering import sent
 from ..session import ship, tasks_for
 from ..sources.io import table
 
@@ -50,8 +51,15 @@ def _parts(t) -> DataFrame:
     return items.select("l_orderkey", "l_linenumber", "l_partkey", F.expr("pmod(l_partkey, n_vec)").alias("vec_id"))
 
 
-def _clustered(t) -> DataFrame:
-    return _parts(t).join(t("embeddings").select("vec_id", F.col("label").cast("long").alias("label")), "vec_id")
+def _clustered(t, items: DataFrame | None = None) -> DataFrame:
+    return (_parts(t) if items is None else items).join(sent(t("embeddings").select("vec_id", F.col("label").cast("long").alias("label"))), "vec_id")
+
+
+def _ordered(t, *columns: str) -> DataFrame:
+    """Clustered parts with columns of their orders, dealt by order: what is grouped by order then needs no other shuffle."""
+    parts, orders = _parts(t), t("orders").select("o_orderkey", *columns)
+    n = tasks_for(orders.sparkSession, max(t("lineitem").count(), orders.count()))
+    return _clustered(t, parts.repartition(n, "l_orderkey")).join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 _PARTS = "p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % (SELECT count(*) FROM embeddings) AS vec_id FROM lineitem)"
@@ -245,7 +253,7 @@ def adjacent_delta(t, spark):
 
 @query(f"WITH {_CLUST}, g AS (SELECT label, o_orderpriority, count(*) AS n FROM c JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), b AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, o_orderpriority) rn FROM g) WHERE rn = 1) SELECT label, o_orderpriority, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, label) AS rank FROM b) WHERE rank <= 3")
 def anchor_topk(t, spark):
-    g = _clustered(t).join(t("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("label", "o_orderpriority").agg(F.count("*").alias("n"))
+    g = _ordered(t, "o_orderpriority").groupBy("label", "o_orderpriority").agg(F.count("*").alias("n"))
     return metrics.anchors(g, "label", "o_orderpriority", "n", 3)
 
 
@@ -388,7 +396,7 @@ def interval_coverage(t, spark):
 
 @query(f"WITH {_CLUST}, j AS (SELECT DISTINCT l_orderkey, label, o_orderpriority FROM c JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT o_orderpriority, count(DISTINCT l_orderkey) AS n FROM j GROUP BY 1), h AS (SELECT o_orderpriority, label, count(*) AS h FROM j GROUP BY ALL), g AS (SELECT n.o_orderpriority, l.label, round(coalesce(h, 0) * 100.0::DOUBLE / n, 1) AS pct FROM n CROSS JOIN (SELECT DISTINCT label FROM j) l LEFT JOIN h ON h.o_orderpriority = n.o_orderpriority AND h.label = l.label) SELECT *, CASE WHEN pct >= 60 THEN 'core' WHEN pct >= 40 THEN 'regular' WHEN pct >= 20 THEN 'episodic' ELSE 'rare' END AS tier FROM g")
 def cluster_share(t, spark):
-    j = _clustered(t).join(t("orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = _ordered(t, "o_orderpriority")
     return metrics.share_by_group(j, "l_orderkey", "o_orderpriority", "label")
 
 

@@ -13,7 +13,7 @@ from ..sources import io
 from ..streaming import incremental
 from ..streaming.buckets import BucketTable
 from .steps import collect
-from .catalogue import PRIORITIES, _CLUST, _RES, _clustered, _residuals, query
+from .catalogue import PRIORITIES, _CLUST, _RES, _clustered, _ordered, _residuals, query
 
 # ---- records, links and scans ----
 
@@ -370,7 +370,7 @@ def class_counts(t, spark):
 @query(f"WITH {_CLUST} SELECT o_orderpriority, label, round(avg(o_totalprice), 4) AS depth FROM c JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def cluster_depth(t, spark):
     """A13."""
-    j = _clustered(t).join(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey"))
+    j = _ordered(t, "o_orderpriority", "o_totalprice")
     return metrics.depth(j, "o_orderpriority", "label", "o_totalprice").withColumn("depth", F.round("depth", 4))
 
 

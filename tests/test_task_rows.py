@@ -30,7 +30,7 @@ def _most(spark, df) -> int:
     return most
 
 
-@pytest.mark.parametrize("name", ["first_wins_dedup"])
+@pytest.mark.parametrize("name", ["first_wins_dedup", "cluster_share"])
 def test_tasks_grow_with_rows(spark, monkeypatch, name):
     monkeypatch.setattr(session, "TASK_ROWS", 200, raising=False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
