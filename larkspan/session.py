@@ -67,3 +67,11 @@ def materialized(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df from Parquet files below spark.checkpoint.dir, so its size is known. A checkpoint keeps the estimate of its plan, and a self-join squares that: in a loop
+    the digits of the estimate double in each round, and planning soon takes minutes."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

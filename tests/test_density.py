@@ -121,3 +121,38 @@ def test_noise_is_reassigned(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1), (4, [0.1, 1.0], -1), (5, [-1.0, -1.0], -1), (6, None, -1), (7, [2.0, 0.1], None)]
     df = spark.createDataFrame(rows, "k long, v array<double>, topic int")
     assert sorted(tuple(r) for r in topics.reassign_noise(df, "k", "v", "topic").collect()) == [(1, 0, False), (2, 0, False), (3, 1, False), (4, 1, True), (5, -1, False), (6, -1, False), (7, 0, True)]
+
+
+def test_estimates_stay_small(spark):
+    """The self-joins of a deep chain of clusters don't square the planner's estimate of their size in each round."""
+    chain = spark.range(200).selectExpr("id AS cluster", "id + 1 AS parent", "id = 150 AS better")
+    found = density.selected(chain)
+    assert int(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 60
+    assert {r.cluster: r.topic for r in found.collect()} == {i: 150 if i <= 150 else None for i in range(200)}
+
+
+def test_spanning_trees_by_passes(spark, monkeypatch):
+    """Tight groups that no list of near rows leaves, far away and with equal rows, in several blocks: the weights of a tree by Prim."""
+    monkeypatch.setattr(density, "PART", 13)
+    monkeypatch.setattr(density, "COLUMNS", 11)
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.standard_normal(4) * 1e3 + rng.standard_normal((15, 4)) * s for s in (1e-7, 0.01, 1, 1, 30)])
+    x[3] = x[4] = x[5]
+    n, sizes, k = len(x), [2, 4], 5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, x array<double>")
+    near = density.nearest_rows(rows, n, k, 20)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    by_distance = np.sort(d + np.diag([np.inf] * n), 1)
+    assert np.allclose([[e.d for e in r.near] for r in near.sort("node").collect()], by_distance[:, :k], rtol=1e-12, atol=0)
+    cores = [near["near"][s - 1]["d"].alias(f"core{i}") for i, s in enumerate(sizes)]
+    trees = density.spanning_trees(rows.join(near, "node").select("node", "x", *cores), near, n, len(sizes), 20)
+    for s, tree in zip(sizes, trees):
+        core = by_distance[:, s - 1]
+        w = np.maximum(np.maximum(np.maximum(d, core[:, None]), core), density.NEAREST)
+        best, weights, out = w[0].copy(), [], np.zeros(n, bool)
+        out[0] = True
+        for _ in range(n - 1):
+            j = int(np.where(out, np.inf, best).argmin())
+            weights.append(best[j])
+            out[j], best = True, np.minimum(best, w[j])
+        assert np.allclose(sorted(r.w for r in tree.collect()), sorted(weights), rtol=1e-12, atol=0)
